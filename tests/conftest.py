@@ -21,5 +21,8 @@ def spark(tmp_path_factory):
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    from quiverlake.session import ship_code
+
+    ship_code(session)
     yield session
     session.stop()
