@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, quality_ranker, quality_rules, simhash
+from . import language, quality_ranker, quality_rules, simhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_quality_ranker": quality_ranker.query,
+        "op4_toxicity": toxicity.query,
         "op5_quality_rules": quality_rules.query,
         "op8_simhash": simhash.query,
         "op9_language": language.query,
