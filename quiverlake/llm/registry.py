@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, quality_ranker, quality_rules, simhash, toxicity
+from . import language, pii, quality_ranker, quality_rules, simhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_quality_rules": quality_rules.query,
         "op8_simhash": simhash.query,
         "op9_language": language.query,
+        "op10_pii": pii.query,
     }
 
 
