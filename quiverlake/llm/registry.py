@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, pii, pitman_yor, quality_ranker, quality_rules, simhash, toxicity
+from . import decontamination, language, pii, pitman_yor, quality_ranker, quality_rules, simhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontamination": decontamination.query,
         "op2_quality_ranker": quality_ranker.query,
         "op3_pitman_yor": pitman_yor.query,
         "op4_toxicity": toxicity.query,
