@@ -6,9 +6,9 @@ holds an item if at least SIMILARITY of the item's distinct windows occur in it
 each value of the item's slots is replaced by one value of the document (CONSISTENCY: distinct item values per distinct replacement
 pair, at least). So verbatim copies and copies with other numbers, names or units are found alike.
 
-Plan: DataFrame functions only. Documents are scanned once, exploded to window hashes and joined with the benchmark's windows, which are
-broadcast only if they are counted to be at most BROADCAST_ROWS; else the join shuffles both sides. A frequent window meets no shuffle
-of its own: counts are aggregated per task first.
+Plan: DataFrame functions only. Documents are exploded to window hashes and joined with the benchmark's windows; those that hold an item
+are read again for their slots. A side is broadcast only if it is counted to have at most BROADCAST_ROWS rows; else the join shuffles
+both sides. A frequent window meets no shuffle of its own: counts are aggregated per task first.
 
 Nulls: null or empty texts hold nothing and items without a word are found nowhere. Rows with one doc_id are judged together, a null
 doc_id like any other; items with the same text are each reported. An empty table gives no rows.
@@ -26,66 +26,88 @@ SIMILARITY = 0.8
 CONSISTENCY = 0.5
 BROADCAST_ROWS = 200_000
 
-#: Units that follow a number.
+#: Units that follow a number, and signs that are no part of a word.
 UNITS = (
     "kg|g|mg|lb|lbs|oz|km|m|cm|mm|mi|ft|in|l|ml|s|ms|h|hr|hrs|min|mins|kmh|mph|usd|eur|gbp|percent|"
     "kilograms?|grams?|pounds?|ounces?|kilometers?|kilometres?|meters?|metres?|centimeters?|miles?|feet|foot|inch|inches|yards?|"
     "liters?|litres?|gallons?|seconds?|minutes?|hours?|days?|weeks?|months?|years?|degrees?|dollars?|euros?|cents?"
 )
+PUNCTUATION = r"[!-/:-@\[-`{-~¡¿«»‐-›…]+"
 NUMBER_SLOT, UNIT_SLOT, NAME_SLOT = "\u0001", "\u0002", "\u0003"
 
 
-def without_marks(text: Column) -> Column:
-    """The text without words that have neither letter nor digit, so that every word left has a canonical form."""
-    return F.regexp_replace(text, r"(?<!\S)[^\p{L}\p{N}\s]+(?!\S)", "")
+def canonical(text: Column) -> Column:
+    """Placeholders for numbers, units after numbers, and capitalised words inside a sentence; then lower case without punctuation.
 
+    White space is kept sign by sign, so the words stay aligned with those of the text. Each pattern begins with the signs it replaces
+    and looks back from there: a pattern that began by looking back would be tried at every position.
+    """
+    out = F.regexp_replace(text, r"\p{Lu}(?<=[^\s.!?:;][ \t]\p{Lu})\p{Ll}[\p{L}'’-]*", NAME_SLOT)
+    out = F.regexp_replace(out, r"[0-9](?<=(?<!\S)[^\s\p{L}0-9]{0,4}[0-9])\S*", NUMBER_SLOT)
+    out = F.regexp_replace(out, rf"(?i)\x01 (?:{UNITS})(?![\p{{L}}0-9])", f"{NUMBER_SLOT} {UNIT_SLOT}")
+    return F.regexp_replace(F.lower(out), PUNCTUATION, "")
 
-def canonical(text: Column) -> Column:
-    """Placeholders for numbers, units after numbers, and capitalised words inside a sentence; then lower case, letters and digits only."""
-    out = F.regexp_replace(text, r"(?<=[^\s.!?:;][ \t])\p{Lu}\p{Ll}[\p{L}'’-]*", NAME_SLOT)
-    out = F.regexp_replace(out, r"(?<!\S)[^\s\p{L}\p{N}\x03]*\p{N}\S*", NUMBER_SLOT)
-    out = F.regexp_replace(out, rf"(?i)(?<=\x01 )(?:{UNITS})(?![\p{{L}}\p{{N}}])", UNIT_SLOT)
-    return F.regexp_replace(F.lower(out), r"[^\p{L}\p{N}\s\x01-\x03]+", "")
 
+def forms(text: Column) -> Column:
+    """Canonical words of a text; words that were punctuation only are left out, null and blank texts have none."""
+    return F.filter(F.split(canonical(F.coalesce(text, F.lit(""))), r"\s"), lambda w: w != "")
 
-def words(text: Column) -> Column:
-    """Words of a text as an array; empty for null and blank texts."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
 
+def aligned(text: Column) -> Column:
+    """Structs (raw, form) of the words that have a canonical form."""
+    filled = F.coalesce(text, F.lit(""))
+    pairs = F.arrays_zip(F.split(filled, r"\s").alias("raw"), F.split(canonical(filled), r"\s").alias("form"))
+    return F.filter(pairs, lambda p: p["form"] != "")
 
-def windows(table: DataFrame, key: str) -> DataFrame:
-    """``key``, raw and slotted words, and ``h``: the hashes of the template windows in order (one for a text shorter than a window)."""
-    kept = table.select(F.col(key), without_marks(F.col("text")).alias("_text"))
-    split = kept.select(key, words(F.col("_text")).alias("raw"), words(canonical(F.col("_text"))).alias("form")).where(F.size("raw") > 0)
-    members = ", ".join(f"get(form, i + {j})" for j in range(WINDOW))
-    return split.select(key, "raw", "form", F.expr(f"transform(sequence(0, greatest(size(form) - {WINDOW}, 0)), i -> xxhash64({members}))").alias("h"))
 
+def window_hashes(form: Column) -> Column:
+    """Hashes of the template windows in order; one for a text shorter than a window, none for one without words. ``form`` is bound once."""
 
-def slots(raw: str, form: str, start: str) -> Column:
-    """The words as written at the placeholders of the window that begins at ``start``, in order, marked by type."""
-    return F.expr(
-        f"transform(filter(sequence({start}, least({start} + {WINDOW}, size({form})) - 1), j -> get({form}, j) <= '{NAME_SLOT}'),"
-        f" j -> concat(get({form}, j), regexp_replace(lower(get({raw}, j)), '[^\\\\p{{L}}\\\\p{{N}}.,]+|[.,]+$', '')))"
-    )
+    def of(f: Column) -> Column:
+        places = F.sequence(F.lit(0), F.greatest(F.size(f) - WINDOW, F.lit(0)))
+        hashes = F.transform(places, lambda i: F.xxhash64(*(F.get(f, i + j) for j in range(WINDOW))))
+        return F.when(F.size(f) > 0, hashes).otherwise(F.array().cast("array<bigint>"))
+
+    return F.get(F.transform(F.array(form), of), F.lit(0))
+
+
+def slots(words: Column, start: Column) -> Column:
+    """The words as written at the placeholders of the window at ``start``, in order, marked by type."""
+    window = F.filter(F.slice(words, start + 1, WINDOW), lambda w: w["form"] <= NAME_SLOT)
+    return F.transform(window, lambda w: F.concat(w["form"], F.regexp_replace(F.lower(w["raw"]), r"[^\p{L}\p{N}.,]+|[.,]+$", "")))
+
+
+def slotted(table: DataFrame, key: str) -> DataFrame:
+    """``key``, ``h`` and the slots of every window."""
+    split = table.select(key, aligned(F.col("text")).alias("words"))
+    split = split.select(key, "words", F.posexplode(window_hashes(F.transform("words", lambda w: w["form"]))).alias("at", "h"))
+    return split.select(key, "h", "at", slots(F.col("words"), F.col("at")).alias("slots"))
+
+
+def small(table: DataFrame) -> DataFrame:
+    """``table`` with a broadcast hint if it is counted to be small enough."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
 def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, windows (of the item), matched, similarity, slots, consistency, changed (slots with another value) of the held items."""
-    item = windows(items.select("item_id", "text"), "item_id").select("item_id", "raw", "form", F.size(F.array_distinct("h")).alias("windows"), F.posexplode("h").alias("at", "h"))
-    known = common.written(
-        item.groupBy("h", "item_id").agg(F.first("windows").alias("windows"), F.min_by(slots("raw", "form", "at"), "at").alias("item_slots")), "benchmark-windows"
-    )
-    few = known.count() <= BROADCAST_ROWS
-    # generate, join and project fuse into one stage of generated code: words are sliced for matched windows only
-    found = windows(docs.select("doc_id", "text"), "doc_id").select("doc_id", "raw", "form", F.posexplode("h").alias("at", "h"))
-    hits = found.join(F.broadcast(known) if few else known, "h").select("doc_id", "item_id", "windows", "h", F.arrays_zip("item_slots", slots("raw", "form", "at").alias("doc_slots")).alias("pairs"))
-    hits = common.written(hits.distinct(), "benchmark-hits")
-
-    held = (
-        hits.groupBy("doc_id", "item_id").agg(F.count_distinct("h").alias("matched"), F.max("windows").alias("windows"))
-        .withColumn("similarity", F.col("matched") / F.col("windows")).where(F.col("similarity") >= SIMILARITY)
+    item = slotted(items.select("item_id", "text"), "item_id")
+    known = common.written(item.groupBy("h", "item_id").agg(F.min_by("slots", "at").alias("item_slots")), "benchmark-windows")
+    sizes = known.groupBy("item_id").agg(F.count(F.lit(1)).alias("windows"))
+
+    found = docs.select("doc_id", F.explode(window_hashes(forms(F.col("text")))).alias("h"))
+    hits = found.join(small(known.select("h", "item_id")), "h").groupBy("doc_id", "item_id", "h").agg(F.count(F.lit(1)).alias("n"))
+    matched = hits.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("matched"))
+    similar = matched.join(small(sizes), "item_id").withColumn("similarity", F.col("matched") / F.col("windows"))
+    held = common.written(similar.where(F.col("similarity") >= SIMILARITY), "benchmark-held")
+
+    # the words of the documents that hold an item are looked at again, for their slots
+    owners = small(held.select("doc_id").distinct().withColumnRenamed("doc_id", "owner"))
+    again = docs.select("doc_id", "text").join(owners, F.col("doc_id").eqNullSafe(F.col("owner")), "left_semi")
+    pair = (
+        slotted(again, "doc_id").join(small(known), "h")
+        .select("doc_id", "item_id", F.explode(F.arrays_zip("item_slots", F.col("slots").alias("doc_slots"))).alias("p")).select("doc_id", "item_id", "p.*").distinct()
     )
-    pair = hits.select("doc_id", "item_id", F.explode("pairs").alias("p")).select("doc_id", "item_id", "p.*").distinct()
     checked = pair.groupBy("doc_id", "item_id").agg(
         F.count_distinct("item_slots").alias("slots"),
         (F.count_distinct("item_slots") / F.count(F.lit(1))).alias("consistency"),
