@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language, pii, pitman_yor, quality_ranker, quality_rules, simhash, suffix_dedup, toxicity
+from . import decontamination, language, pieces, pii, pitman_yor, quality_ranker, quality_rules, simhash, suffix_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_pitman_yor": pitman_yor.query,
         "op4_toxicity": toxicity.query,
         "op5_quality_rules": quality_rules.query,
+        "op6_pieces": pieces.query,
         "op7_suffix_dedup": suffix_dedup.query,
         "op8_simhash": simhash.query,
         "op9_language": language.query,
