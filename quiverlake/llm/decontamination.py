@@ -122,7 +122,8 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``docs`` without the documents that hold an item."""
-    return docs.join(matches(docs, items).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    held = common.written(matches(docs, items).select(F.col("doc_id").alias("_holder")).distinct(), "benchmark-holders")
+    return docs.join(small(held), F.col("doc_id").eqNullSafe(F.col("_holder")), "left_anti").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

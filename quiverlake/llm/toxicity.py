@@ -254,21 +254,38 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column) -> tuple[list[str]
     return stems, w, cut_of(x @ w[:-1] + w[-1], np.array([r[1] for r in rows], float))
 
 
+def scored(lexicon: Lexicon, w: np.ndarray, cut: float, texts: list[str | None]) -> np.ndarray:
+    """Scores of texts, with the cut at CUT."""
+    width, shift = len(lexicon.stems), float(np.log(CUT / (1 - CUT)))
+    raw = np.array([vector(*lexicon.row(t or ""), width) @ w[:-1] + w[-1] for t in texts])
+    return 1 / (1 + np.exp(-np.clip(raw - cut + shift, -30, 30)))
+
+
 def classify(docs: DataFrame, labels: DataFrame, held_out: Column) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of ``docs``; learns from labels(doc_id, toxic) not held out."""
     stems, w, cut = fit(docs, labels, held_out)
-    shift = float(np.log(CUT / (1 - CUT)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, width = Lexicon(stems), len(stems)
+        lexicon = Lexicon(stems)
         for batch in common.blocks(batches):
-            raw = np.array([vector(*lexicon.row(t or ""), width) @ w[:-1] + w[-1] for t in batch.column("text").to_pylist()])
-            p = 1 / (1 + np.exp(-np.clip(raw - cut + shift, -30, 30)))
+            p = scored(lexicon, w, cut, batch.column("text").to_pylist())
             yield common.record(OUT, doc_id=batch.column("doc_id"), held_out=batch.column("held_out"), score=p, predicted=(p >= CUT).astype(np.int32))
 
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), "text")
     return base.mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int")
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame, held_out: Column) -> DataFrame:
+    """``docs`` without the rows predicted toxic, by the same scores as ``classify``; all columns pass through, nothing is shuffled."""
+    stems, w, cut = fit(docs, labels, held_out)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = Lexicon(stems)
+        for batch in common.blocks(batches):
+            yield batch.filter(pa.array(scored(lexicon, w, cut, batch.column("text").to_pylist()) < CUT))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"), common.fold("doc_id", 3, 1))
