@@ -27,12 +27,14 @@ from pyspark.sql import functions as F
 
 from . import common
 from .bytekit import BASE, Block, mix
+from .exchange import PACKED, grouped, pack, packed_row, unpack
 
-#: Restaurants of context classes; tokens of a chunk at least; seatings to burn and to average; the strength of each level.
+#: Restaurants of context classes; tokens of a chunk at least; seatings to burn and to average; the strength and first discount of each level.
 CLASSES = 8192
-CHUNK_TOKENS = 600_000
+CHUNK_TOKENS = 1_000_000
 BURN, SAMPLES = 1, 3
 STRENGTH = (1.0, 1.0)
+START_DISCOUNT = (0.7, 0.8)
 #: Customers seated one by one; beyond, blocks of customers are seated at once with the probability at the block's start.
 ONE_BY_ONE = 64
 
@@ -41,23 +43,6 @@ END = np.uint64(0x5E5D0E5D0E5D0E5D)
 START_CLASS = CLASSES - 1
 
 OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-PACKED = "chunk long, bucket int, body binary"
-
-
-def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays one after the other, behind their lengths in bytes; types are the reader's business."""
-    parts = [np.ascontiguousarray(a).tobytes() for a in arrays]
-    return np.array([len(p) for p in parts], np.int64).tobytes() + b"".join(parts)
-
-
-def unpack(body: bytes, *types) -> list[np.ndarray]:
-    sizes = np.frombuffer(body, np.int64, len(types))
-    out, at = [], 8 * len(types)
-    for kind, n in zip(types, sizes, strict=True):
-        out.append(np.frombuffer(body, kind, int(n) // np.dtype(kind).itemsize, at))
-        at += int(n)
-    return out
-
 
 def tokens(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, word hash, context class) of every token of a lower-cased block, each document's end included, in order."""
@@ -89,7 +74,12 @@ def chunk_rows(chunk: int, ids: list, held: np.ndarray, size: np.ndarray, word:
     place[order] = np.arange(len(at), dtype=np.uint32)
     w, k, count, bucket = w[order], k[order], count[order], bucket[order]
     known = np.array([i is not None for i in ids])
-    yield chunk, -1, pack(np.array([i or 0 for i in ids], np.int64), known, held, size.astype(np.int64), place[entry])
+    # a text's score is a sum: its entries are sent in ascending order, as differences
+    used, doc = place[entry], np.repeat(np.arange(len(size)), size)
+    used = used[np.lexsort((used, doc))]
+    step = np.diff(used, prepend=np.uint32(0))
+    step[np.cumsum(size) - size] = used[np.cumsum(size) - size]
+    yield chunk, -1, pack(np.array([i or 0 for i in ids], np.int64), known, held, size.astype(np.int64), step)
     edge = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
     for a, b in zip(edge, np.append(edge[1:], len(w)), strict=True):
         first = np.flatnonzero(np.concatenate(([True], w[a + 1 : b] != w[a : b - 1])))
@@ -108,7 +98,7 @@ def chunked(docs: DataFrame, held_out: Column, buckets: int) -> DataFrame:
             ids = [i for part in held for i in part[0]]
             rows = chunk_rows(base + serial, ids, *(np.concatenate([part[c] for part in held]) for c in range(1, 5)), buckets)
             for row in rows:
-                yield pa.RecordBatch.from_arrays([pa.array([row[0]]), pa.array([row[1]], pa.int32()), pa.array([row[2]], pa.binary())], ["chunk", "bucket", "body"])
+                yield packed_row(*row)
 
         for batch in common.blocks(batches):
             block = Block(batch.column("text"), lower=True)
@@ -187,78 +177,46 @@ def seeded(bucket: int, sweep: int) -> np.random.Generator:
     return np.random.default_rng([3, bucket, sweep])
 
 
-def grouped(entries: DataFrame, buckets: int, run, schema: str) -> DataFrame:
-    """Runs ``run(bucket, rows)`` on each bucket; a bucket's size is bounded by the number of buckets, not by any word."""
-
-    def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple[int, bytes]] = []
-        now = None
-        for batch in batches:
-            for chunk, b, body in zip(*(batch.column(c).to_pylist() for c in ("chunk", "bucket", "body")), strict=True):
-                if rows and b != now:
-                    yield from run(now, rows)
-                    rows = []
-                now = b
-                rows.append((chunk, body))
-        if rows:
-            yield from run(now, rows)
+def burnt_in(entries: DataFrame, buckets: int) -> dict:
+    """The first round: what the driver needs of the corpus, and a seating to start from.
 
-    return entries.repartition(buckets, "bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(by_bucket, schema)
-
-
-def totals(entries: DataFrame, buckets: int) -> dict:
-    """What the driver needs: tokens, words, tables and discounts of both levels, and customers of each restaurant.
-
-    The discounts are n1 / (n1 + 2 n2) of the counts of counts. Tables of the first seating follow from a sweep with unigram shares.
+    Tokens, words and customers of each restaurant are counted; the discounts are n1 / (n1 + 2 n2) of the counts of counts. BURN sweeps
+    from unigram shares and START_DISCOUNT give the tables of every restaurant. Only CLASSES rows and a few scalars are collected.
     """
 
-    def count(bucket: int, rows: list) -> Iterator[pa.RecordBatch]:
+    def sweep(bucket: int, rows: list) -> Iterator[pa.RecordBatch]:
         b = Bucket([body for _, body in rows])
         seen = b.c > 0
         kinds = np.add.reduceat(seen.astype(np.int64), b.head)
-        out = {-1: int(b.total.sum()), -2: int((b.total > 0).sum()), -3: int((b.c == 1).sum()), -4: int((b.c == 2).sum()), -5: int((kinds == 1).sum()), -6: int((kinds == 2).sum())}
-        customers = np.bincount(b.k, weights=b.c, minlength=CLASSES)
         distinct = np.bincount(b.k[seen], minlength=CLASSES)
+        few = [int(b.total.sum()), int((b.total > 0).sum()), int((b.c == 1).sum()), int((b.c == 2).sum()), int((kinds == 1).sum()), int((kinds == 2).sum())]
+        words, tokens_ = max(int((b.total > 0).sum()), 1) * buckets, max(few[0], 1) * buckets
+        state = {"discount": START_DISCOUNT, "tables": distinct * float(buckets), "V": words, "T1": float(words), "N1": float(seen.sum()) * buckets}
+        p1 = (b.total + 0.5) / (tokens_ + 0.5 * (words + 1))
+        for i in range(BURN):
+            t, t1, p1 = sampled(b, state, seeded(bucket, i), p1)
+        customers = np.bincount(b.k, weights=b.c, minlength=CLASSES).astype(np.int64)
+        tables = np.bincount(b.k, weights=t, minlength=CLASSES)
         used = np.flatnonzero(customers)
-        yield pa.RecordBatch.from_arrays([pa.array([*out, *used], pa.int32()), pa.array([*out.values(), *customers[used].astype(int)], pa.int64()), pa.array([*(0 for _ in out), *distinct[used]], pa.int64())], ["k", "n", "t"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([*range(-len(few), 0), *used], pa.int32()), pa.array([*few, *customers[used]], pa.int64()), pa.array([0.0] * (len(few) - 1) + [float(t1.sum()), *tables[used]], pa.float64())], ["k", "n", "t"]
+        )
 
-    state = {"N": 0, "V": 0, "customers": np.zeros(CLASSES), "tables": np.zeros(CLASSES)}
-    few = {}
-    for k, n, t in grouped(entries, buckets, count, "k int, n long, t long").groupBy("k").agg(F.sum("n"), F.sum("t")).collect():
+    state = {"N": 0, "V": 0, "customers": np.zeros(CLASSES), "tables": np.zeros(CLASSES), "T1": 0.0}
+    few = [0] * 6
+    for k, n, t in grouped(entries, "bucket", buckets, sweep, "k int, n long, t double").groupBy("k").agg(F.sum("n"), F.sum("t")).collect():
         if k >= 0:
             state["customers"][k], state["tables"][k] = n, t
         else:
             few[k] = n
-    state["N"], state["V"] = few.get(-1, 0), few.get(-2, 0)
+            state["T1"] += t
     share = lambda a, b: min(0.95, max(0.05, a / (a + 2 * b))) if a + b else 0.5
-    state["discount"] = (share(few.get(-5, 0), few.get(-6, 0)), share(few.get(-3, 0), few.get(-4, 0)))
+    state["N"], state["V"] = few[0], few[1]
+    state["discount"] = (share(few[4], few[5]), share(few[2], few[3]))
     state["N1"] = float(state["tables"].sum())
-    state["T1"] = float(state["V"])
     return state
 
 
-def burnt_in(entries: DataFrame, buckets: int, state: dict) -> dict:
-    """One synchronised round of sweeps: the tables of every restaurant as sampled, for the averaging round."""
-    shared = entries.sparkSession.sparkContext.broadcast(state)
-
-    def sweep(bucket: int, rows: list) -> Iterator[pa.RecordBatch]:
-        b, s = Bucket([body for _, body in rows]), shared.value
-        p1 = (b.total + 0.5) / (s["N"] + 0.5 * (s["V"] + 1))
-        for i in range(BURN):
-            t, t1, p1 = sampled(b, s, seeded(bucket, i), p1)
-        by_class = np.bincount(b.k, weights=t, minlength=CLASSES)
-        used = np.flatnonzero(by_class)
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *used], pa.int32()), pa.array([float(t1.sum()), *by_class[used]], pa.float64())], ["k", "t"])
-
-    tables, top = np.zeros(CLASSES), 0.0
-    for k, t in grouped(entries, buckets, sweep, "k int, t double").groupBy("k").agg(F.sum("t")).collect():
-        if k < 0:
-            top = t
-        else:
-            tables[k] = t
-    return state | {"tables": tables, "T1": top, "N1": float(tables.sum())}
-
-
 def answers(entries: DataFrame, buckets: int, state: dict) -> DataFrame:
     """For each block of entries of a chunk: the log10 predictive probability of each entry and the training count of its word."""
     shared = entries.sparkSession.sparkContext.broadcast(state)
@@ -275,14 +233,16 @@ def answers(entries: DataFrame, buckets: int, state: dict) -> DataFrame:
             if i >= BURN:
                 mean += (np.maximum(b.c - d2 * t, 0) / full + back * p1[b.word_of]) / SAMPLES
         logp = np.log10(mean).astype(np.float32)[b.entry_of_row]
-        count = b.total[b.word_of].astype(np.uint32)[b.entry_of_row]
+        word = b.word_of[b.entry_of_row]
         at = 0
         for (chunk, _), n in zip(rows, b.sizes, strict=True):
-            body = pack(logp[at : at + n], count[at : at + n])
+            own = word[at : at + n]
+            first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+            body = pack(logp[at : at + n], np.diff(np.append(first, n)).astype(np.uint16), b.total[own[first]])
             at += n
-            yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([bucket], pa.int32()), pa.array([body], pa.binary())], ["chunk", "bucket", "body"])
+            yield packed_row(chunk, bucket, body)
 
-    return grouped(entries, buckets, answer, PACKED)
+    return grouped(entries, "bucket", buckets, answer, PACKED)
 
 
 def score(docs: DataFrame, held_out: Column) -> DataFrame:
@@ -291,40 +251,26 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = common.written(chunked(docs, held_out, buckets), "lm-chunks")
     entries = table.where("bucket >= 0")
-    state = totals(entries, buckets)
-    state = burnt_in(entries, buckets, state)
+    state = burnt_in(entries, buckets)
     n, v = state["N"], state["V"]
 
     def finish(chunk: int, rows: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
-        ids, known, held, size, entry = unpack(rows[0][1], np.int64, np.bool_, np.bool_, np.int64, np.uint32)
-        found = [unpack(body, np.float32, np.uint32) for _, body in rows[1:]]
-        logp, count = np.concatenate([f[0] for f in found]).astype(np.float64), np.concatenate([f[1] for f in found])
+        ids, known, held, size, step = unpack(rows[0][1], np.int64, np.bool_, np.bool_, np.int64, np.uint32)
+        found = [unpack(body, np.float32, np.uint16, np.int64) for _, body in rows[1:]]
+        logp = np.concatenate([f[0] for f in found]).astype(np.float64)
+        count = np.concatenate([np.repeat(f[2], f[1]) for f in found])
         base = np.log10((count + 0.5) / (n + 0.5 * (v + 1)))
         at = np.cumsum(size) - size
+        entry = np.cumsum(step.astype(np.int64))
+        entry -= np.repeat(np.concatenate(([0], entry[at[1:] - 1])), size)
         total = lambda x: np.add.reduceat(x[entry], at)
         yield common.record(
             OUT, doc_id=pa.array(ids, mask=~known), held_out=held, n_tokens=size, n_known=total((count > 0).astype(np.int64)),
             train_tokens=np.full(len(ids), n), base_score=total(base), score=total(logp),
         )
 
-    def by_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple[int, bytes]] = []
-        now = None
-        for batch in batches:
-            for chunk, b, body in zip(*(batch.column(c).to_pylist() for c in ("chunk", "bucket", "body")), strict=True):
-                if rows and chunk != now:
-                    yield from finish(now, rows)
-                    rows = []
-                now = chunk
-                rows.append((b, body))
-        if rows:
-            yield from finish(now, rows)
-
     back = table.where("bucket < 0").unionByName(answers(entries, buckets, state))
-    return (
-        back.repartition(buckets, "chunk").sortWithinPartitions("chunk", "bucket")
-        .mapInArrow(by_chunk, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    )
+    return grouped(back, "chunk", buckets, finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
