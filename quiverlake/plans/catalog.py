@@ -1,11 +1,585 @@
-"""The registered queries of the vector engine, and their SQL."""
+"""The registered queries of the vector engine, and the SQL that gives the same rows on the same tables.
+
+All queries run over the whole ``embeddings`` table. Vectors are scaled by 1 + vec_id % 7, so that metrics disagree; the stated query set
+is vec_id < 50. Distances are rounded to six digits on both sides.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import vectors as v
+from ..operators import clusters, graphs, hashing, knn, labels, pages, quantization
+from ..sources import generators
+from . import planner
+
+K = 10
+QUERY_IDS = 50
+BITS = 8
+
+_queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_sql: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(run):
+        _queries[name] = run
+        if sql is not None:
+            _sql[name] = sql
+        return run
 
-def queries() -> dict:
-    return {}
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_sql)
+
+
+# ---- the tables as both engines see them ----
+
+
+def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
+def base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, vec, label, labels)."""
+    scale = 1 + F.col("vec_id") % 7
+    return raw(spark, sf_dir).select(
+        F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double") * scale).alias("vec"), "label",
+        F.array(F.col("label").cast("string"), (100 + F.col("vec_id") % 3).cast("string")).alias("labels"),
+    )
+
+
+def stated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return base(spark, sf_dir).where(F.col("id") < QUERY_IDS)
+
+
+def rounded(df: DataFrame, *columns: str) -> DataFrame:
+    for c in columns:
+        df = df.withColumn(c, F.round(c, 6))
+    return df
+
+
+BASE = "b AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE * (1 + vec_id % 7)) AS vec, label, [label::VARCHAR, (100 + vec_id % 3)::VARCHAR] AS labels FROM embeddings)"
+QUERIES = f"q AS (SELECT id AS qid, vec AS qvec, label AS qlabel FROM b WHERE id < {QUERY_IDS})"
+
+
+def _sum(a: str, b: str, term: str) -> str:
+    return f"list_sum(list_transform(list_zip({a}, {b}), lambda p: {term}))"
+
+
+def sql_l2(a: str, b: str) -> str:
+    return _sum(a, b, "(p[1] - p[2]) * (p[1] - p[2])")
+
+
+def sql_dot(a: str, b: str) -> str:
+    return _sum(a, b, "p[1] * p[2]")
+
+
+def sql_cosine(a: str, b: str) -> str:
+    return f"1 - {sql_dot(a, b)} / (sqrt({sql_dot(a, a)}) * sqrt({sql_dot(b, b)}))"
+
+
+def sql_knn(dist: str, where: str = "true", k: int = K) -> str:
+    return f"""WITH {BASE}, {QUERIES}, d AS (SELECT qid, id, {dist} AS dist FROM q, b WHERE {where}),
+r AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS rank, id, dist FROM d)
+SELECT qid, rank::INTEGER AS rank, id, round(dist, 6) AS dist FROM r WHERE rank <= {k}"""
+
+
+# ---- joins: nearest neighbours ----
+
+for _metric, _dist in (("l2", sql_l2("qvec", "vec")), ("ip", "-" + sql_dot("qvec", "vec")), ("cosine", sql_cosine("qvec", "vec"))):
+    query(f"knn_{_metric}", sql_knn(_dist))(lambda spark, d, m=_metric: rounded(knn.knn(base(spark, d), stated(spark, d), K, m), "dist"))
+
+
+@query("knn_filtered", sql_knn(sql_l2("qvec", "vec"), "label = 3"))
+def _knn_filtered(spark, d):
+    return rounded(knn.knn_filtered(base(spark, d), stated(spark, d), K, F.col("label") == 3), "dist")
+
+
+@query("knn_filtered_universal", sql_knn(sql_l2("qvec", "vec"), "list_contains(labels, '101') OR id % 50 = 0"))
+def _knn_universal(spark, d):
+    points = base(spark, d).withColumn("labels", F.when(F.col("id") % 50 == 0, F.concat("labels", F.array(F.lit("u")))).otherwise(F.col("labels")))
+    keep = v.label_matches(F.col("labels"), F.array(F.lit("101")), F.lit("u"))
+    return rounded(knn.knn_filtered(points, stated(spark, d), K, keep), "dist")
+
+
+@query("knn_label_per_query", sql_knn(sql_l2("qvec", "vec"), "label = qlabel"))
+def _knn_by_label(spark, d):
+    q = stated(spark, d).select("id", "vec", F.col("label").cast("string").alias("label"))
+    return rounded(knn.knn_by_label(base(spark, d), q, K), "dist")
+
+
+@query("knn_in_parts", sql_knn(sql_l2("qvec", "vec")))
+def _knn_parts(spark, d):
+    """Partial results of parts of the base, merged: the parts are Spark's partitions here."""
+    return rounded(knn.knn(base(spark, d).repartition(7), stated(spark, d), K), "dist")
+
+
+@query("knn_range", f"WITH {BASE}, {QUERIES}, d AS (SELECT qid, id, {sql_l2('qvec', 'vec')} AS dist FROM q, b) SELECT qid, id, round(dist, 6) AS dist FROM d WHERE dist <= 4")
+def _range(spark, d):
+    return rounded(knn.within_range(base(spark, d), stated(spark, d), 4.0), "dist")
+
+
+@query("knn_graph", f"""WITH {BASE}, d AS (SELECT a.id AS src, b.id AS dst, {sql_l2('a.vec', 'b.vec')} AS dist FROM b AS a, b AS b WHERE a.id <> b.id),
+r AS (SELECT src, row_number() OVER (PARTITION BY src ORDER BY dist, dst) AS pos, dst, dist FROM d) SELECT src, pos::INTEGER AS pos, dst, round(dist, 6) AS dist FROM r WHERE pos <= 5""")
+def _graph(spark, d):
+    return rounded(graphs.knn_graph(base(spark, d), 5), "dist")
+
+
+_RECALL = f"""WITH {BASE}, {QUERIES}, d AS (SELECT qid, id, {sql_l2('qvec', 'vec')} AS dist, {sql_cosine('qvec', 'vec')} AS other FROM q, b),
+t AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS rank, row_number() OVER (PARTITION BY qid ORDER BY other, id) AS rank2 FROM d),
+l AS (SELECT qid, dist AS lim FROM t WHERE rank = {K}),
+x AS (SELECT t.qid, t.id, t.rank2 FROM t JOIN l USING (qid) WHERE (t.rank <= 20 AND (t.rank <= {K} OR t.dist = l.lim)))
+SELECT round(100.0 * count(*) FILTER (WHERE rank2 <= {K}) / ({K} * (SELECT count(*) FROM q)), 6) AS recall FROM x"""
+
+
+@query("recall_at_k", _RECALL)
+def _recall(spark, d):
+    truth = knn.knn(base(spark, d), stated(spark, d), 20)
+    return rounded(knn.recall(truth, knn.knn(base(spark, d), stated(spark, d), K, "cosine"), K), "recall")
+
+
+@query("recall_active", _RECALL.replace("FROM x", "FROM x WHERE x.id % 3 <> 0"))
+def _recall_active(spark, d):
+    """Only active ids of the result count."""
+    truth = knn.knn(base(spark, d), stated(spark, d), 20)
+    active = base(spark, d).where("id % 3 <> 0").select("id")
+    found = knn.knn(base(spark, d), stated(spark, d), K, "cosine").join(active, "id", "left_semi")
+    return rounded(knn.recall(truth, found, K), "recall")
+
+
+# ---- projections ----
+
+
+def each(name: str, column: Callable, sql: str) -> None:
+    """A query that gives one array or number of every row, exploded and rounded."""
+    query(f"vec_{name}", f"WITH {BASE}, t AS (SELECT id, {sql} AS a FROM b) SELECT id, unnest(range(len(a))) AS pos, round(unnest(a), 6) AS x FROM t")(
+        lambda spark, d: rounded(base(spark, d).select("id", F.posexplode(column(F.col("vec"))).alias("pos", "x")).withColumn("pos", F.col("pos").cast("long")), "x")
+    )
+
+
+_norm = f"sqrt({sql_dot('vec', 'vec')})"
+each("normalized", v.normalized, f"list_transform(vec, lambda x: x / sqrt(1.1920929e-07 + {sql_dot('vec', 'vec')}))")
+each("normalized_raw", v.normalized_raw, f"list_transform(vec, lambda x: x / {_norm})")
+each("mips_query", v.mips_query, f"list_append(list_transform(vec, lambda x: x / {_norm}), 0.0)")
+each("int8", lambda a: v.to_int8(a, 0.5, 8.0).cast("array<double>"), "list_transform(vec, lambda x: trunc(least(greatest((x - 0.5) * 254.0 / 8.0, -128), 127)))")
+each("from_int8", lambda a: v.from_int8(v.to_int8(a, 0.0, 8.0), 1.0, 0.25), "list_transform(list_transform(vec, lambda x: trunc(least(greatest(x * 254.0 / 8.0, -128), 127))), lambda x: (x - 1.0) * 0.25)")
+each("uint8", lambda a: v.to_uint8(F.transform(a, lambda x: F.abs(x * 1000))).cast("array<double>"), "list_transform(vec, lambda x: (trunc(abs(x * 1000))::BIGINT % 256)::DOUBLE)")
+each("residual", lambda a: v.plus(a, F.lit([0.25] * 64), -1), "list_transform(vec, lambda x: x - 0.25)")
+
+
+@query("vec_mips_augmented", f"WITH {BASE}, m AS (SELECT max({_norm}) AS m FROM b), t AS (SELECT id, list_append(list_transform(vec, lambda x: x / m), sqrt(greatest(0, 1 - {sql_dot('vec', 'vec')} / (m * m)))) AS a FROM b, m) SELECT id, unnest(range(len(a))) AS pos, round(unnest(a), 6) AS x FROM t")
+def _mips(spark, d):
+    points = base(spark, d)
+    largest = points.agg(F.max(v.norm(F.col("vec")))).first()[0]
+    return rounded(points.select("id", F.posexplode(v.mips_augmented(F.col("vec"), F.lit(largest))).alias("pos", "x")).withColumn("pos", F.col("pos").cast("long")), "x")
+
+
+@query("vec_norms", f"WITH {BASE} SELECT id, round({_norm}, 6) AS norm FROM b")
+def _norms(spark, d):
+    return rounded(base(spark, d).select("id", v.norm(F.col("vec")).alias("norm")), "norm")
+
+
+@query("max_norm", f"WITH {BASE} SELECT round(max({_norm}), 6) AS max_norm FROM b")
+def _max_norm(spark, d):
+    return rounded(base(spark, d).agg(F.max(v.norm(F.col("vec"))).alias("max_norm")), "max_norm")
+
+
+@query("fast_l2", sql_knn(f"{sql_dot('vec', 'vec')} - 2 * {sql_dot('vec', 'qvec')}"))
+def _fast(spark, d):
+    """Ranks by the distance without the query's norm, over the partial results of plain L2."""
+    q = stated(spark, d).select(F.col("id").alias("qid"), F.col("vec").alias("q"))
+    near = knn.knn(base(spark, d), stated(spark, d), K).select("qid", "id").join(base(spark, d).select("id", "vec"), "id").join(q, "qid")
+    return rounded(knn.ranked(near.select("qid", "id", v.fast_l2(F.col("vec"), F.col("q"), v.dot(F.col("vec"), F.col("vec"))).alias("dist")), K), "dist")
+
+
+@query("page_and_slot", f"WITH {BASE} SELECT id, id // 7 AS page_id, id % 7 AS slot FROM b")
+def _page_slot(spark, d):
+    return base(spark, d).select("id", v.page_of(F.col("id"), 7).alias("page_id"), v.slot_of(F.col("id"), 7).alias("slot"))
+
+
+@query("sql_functions", f"WITH {BASE}, {QUERIES} SELECT qid, id, round({sql_l2('qvec', 'vec')}, 6) AS l2, round({sql_cosine('qvec', 'vec')}, 6) AS cosine FROM q, b WHERE qid < 5 AND id < 200 AND id >= 100")
+def _functions(spark, d):
+    """The registered SQL functions, over a stated block of pairs."""
+    v.register(spark)
+    base(spark, d).createOrReplaceTempView("quiverlake_points")
+    return spark.sql(
+        "SELECT q.id AS qid, b.id, round(vec_l2(q.vec, b.vec), 6) AS l2, round(vec_cosine(q.vec, b.vec), 6) AS cosine FROM quiverlake_points q JOIN quiverlake_points b ON q.id < 5 AND b.id >= 100 AND b.id < 200"
+    )
+
+
+# ---- labels ----
+
+
+@query("label_codes", f"WITH {BASE}, e AS (SELECT id, unnest(labels) AS label, unnest([1, 2]) AS place FROM b), f AS (SELECT label, min(id * 10 + place) AS seen FROM e GROUP BY label) SELECT label, (row_number() OVER (ORDER BY seen))::INTEGER AS code FROM f")
+def _codes(spark, d):
+    return labels.encode(base(spark, d))
+
+
+@query("label_lookup", f"WITH {BASE}, e AS (SELECT id, unnest(labels) AS label, unnest([1, 2]) AS place FROM b), f AS (SELECT label, min(id * 10 + place) AS seen FROM e WHERE label <> '101' GROUP BY label), c AS (SELECT label, (row_number() OVER (ORDER BY seen) + 1)::INTEGER AS code FROM f) SELECT qid, w.label, coalesce(code, 0)::INTEGER AS code FROM (SELECT vec_id AS qid, (vec_id % 13)::VARCHAR AS label FROM embeddings) w LEFT JOIN c ON c.label = w.label")
+def _lookup(spark, d):
+    wanted = base(spark, d).select(F.col("id").alias("qid"), (F.col("id") % 13).cast("string").alias("label"))
+    return labels.lookup(wanted, labels.encode(base(spark, d), "101"), "101").select("qid", "label", "code")
+
+
+@query("label_counts", f"WITH {BASE}, e AS (SELECT DISTINCT id, unnest(labels) AS label FROM b) SELECT label, count(*) AS n FROM e GROUP BY label")
+def _label_counts(spark, d):
+    return labels.counts(base(spark, d))
+
+
+@query("label_statistics", f"WITH {BASE}, e AS (SELECT DISTINCT id, unnest(labels) AS label FROM b), c AS (SELECT label, count(*) AS n FROM e GROUP BY label) SELECT (SELECT count(*) FROM b) AS points, round((SELECT avg(len(labels)) FROM b), 6) AS labels_per_point, (SELECT avg(CASE WHEN len(labels) > 1 THEN 1.0 ELSE 0.0 END) FROM b) AS dense_share, count(*) AS labels, max(n) AS largest, round(avg(n), 6) AS points_per_label FROM c")
+def _label_stats(spark, d):
+    return rounded(labels.statistics(base(spark, d), 1), "labels_per_point", "points_per_label")
+
+
+@query("label_inverted", f"WITH {BASE}, e AS (SELECT DISTINCT id, unnest(labels) AS label FROM b) SELECT label, id FROM e WHERE label <> '100' UNION SELECT l.label, w.id FROM (SELECT id FROM e WHERE label = '100') w, (SELECT DISTINCT label FROM e WHERE label <> '100') l")
+def _inverted(spark, d):
+    return labels.inverted(base(spark, d), "100")
+
+
+@query("label_broken_up", f"WITH {BASE}, n AS (SELECT count(*) AS n, max(id) + 1 AS first FROM b), g AS (SELECT id, unnest([0, 1]) AS g, unnest([[labels[1]], [labels[2]]]) AS part FROM b), r AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS k FROM b) SELECT CASE WHEN g = 0 THEN g.id ELSE 100000 + k END AS id, g.id AS origin, part[1] AS label FROM g JOIN r ON r.id = g.id")
+def _broken(spark, d):
+    return labels.broken_up(base(spark, d).select("id", "labels"), 1, 100000).select("id", "origin", F.col("labels")[0].alias("label"))
+
+
+@query("label_parsed", "SELECT doc_id AS id, list_filter(list_transform(string_split(concat_ws(',', lang, ' ' || source, ''), ','), lambda x: trim(x)), lambda x: x <> '')[1] AS first, 2 AS n FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL")
+def _parsed(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet").where("lang is not null and source is not null")
+    lines = docs.select(F.col("doc_id").alias("id"), F.concat_ws(",", "lang", F.concat(F.lit(" "), "source"), F.lit("")).alias("line"))
+    return labels.parse(lines).select("id", F.col("labels")[0].alias("first"), F.size("labels").alias("n"))
+
+
+# ---- aggregates ----
+
+
+@query("mean_vector", f"WITH {BASE}, e AS (SELECT unnest(range(64)) AS dim, unnest(vec) AS x FROM b) SELECT dim, round(avg(x), 6) AS mean FROM e GROUP BY dim")
+def _mean(spark, d):
+    return rounded(clusters.mean(base(spark, d)).withColumn("dim", F.col("dim").cast("long")), "mean")
+
+
+_MEAN = "m AS (SELECT list(x ORDER BY dim) AS c FROM (SELECT dim, avg(x) AS x FROM (SELECT unnest(range(64)) AS dim, unnest(vec) AS x FROM b) GROUP BY dim))"
+
+
+@query("medoid", f"WITH {BASE}, {_MEAN}, d AS (SELECT id, {sql_l2('vec', 'c')} AS dist FROM b, m) SELECT id, round(dist, 6) AS dist FROM d ORDER BY round(dist, 9), id LIMIT 1")
+def _medoid(spark, d):
+    return rounded(clusters.medoid(base(spark, d)), "dist")
+
+
+@query("norm_percentiles", f"WITH {BASE}, r AS (SELECT {_norm} AS norm, row_number() OVER (ORDER BY {_norm}, id) - 1 AS k, count(*) OVER () AS n FROM b) SELECT p * 5 AS percent, round(norm, 6) AS norm FROM r, (SELECT unnest(range(21))::INTEGER AS p) s WHERE k = least(n - 1, (p * n) // 20)")
+def _percentiles(spark, d):
+    return rounded(clusters.norm_percentiles(base(spark, d)), "norm")
+
+
+def centres(spark, d) -> DataFrame:
+    """The first 16 vectors stand for trained centres."""
+    return base(spark, d).where("id < 16").select(F.col("id").alias("centre"), "vec")
+
+
+CENTRES = f"c AS (SELECT id AS centre, vec AS cvec FROM b WHERE id < 16), nd AS (SELECT id, centre, {sql_l2('vec', 'cvec')} AS dist FROM b, c), nr AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, centre) AS rank FROM nd)"
+
+
+@query("nearest_centres", f"WITH {BASE}, {CENTRES} SELECT id, rank::INTEGER AS rank, centre, round(dist, 6) AS dist FROM nr WHERE rank <= 2")
+def _nearest(spark, d):
+    return rounded(clusters.nearest(base(spark, d), centres(spark, d), 2), "dist")
+
+
+@query("cluster_sizes", f"WITH {BASE}, {CENTRES} SELECT centre, count(*) AS n FROM nr WHERE rank <= 2 GROUP BY centre")
+def _sizes(spark, d):
+    return clusters.cluster_sizes(base(spark, d), centres(spark, d), 2)
+
+
+@query("lloyd_step", f"WITH {BASE}, {CENTRES}, e AS (SELECT centre, unnest(range(64)) AS dim, unnest(vec) AS x FROM nr JOIN b USING (id) WHERE rank = 1) SELECT centre, dim, round(avg(x), 6) AS mean, count(*) AS n FROM e GROUP BY ALL")
+def _lloyd(spark, d):
+    return rounded(clusters.lloyd_step(base(spark, d), centres(spark, d)).withColumn("dim", F.col("dim").cast("long")), "mean")
+
+
+@query("kmeans_residual", f"WITH {BASE}, {CENTRES} SELECT round(sum(dist), 4) AS residual FROM nr WHERE rank = 1")
+def _residual(spark, d):
+    return clusters.residual(base(spark, d), centres(spark, d)).select(F.round("residual", 4).alias("residual"))
+
+
+# ---- quantisation, with the first 16 vectors cut into 16 chunks of 4 as codebook ----
+
+CHUNKS, WIDTH = 16, 4
+
+
+def book(spark, d) -> quantization.Codebook:
+    import numpy as np
+
+    c = np.array([r[0] for r in centres(spark, d).orderBy("centre").select("vec").collect()])
+    return quantization.Codebook(planner.chunk_offsets(64, CHUNKS), [c[:, m * WIDTH : (m + 1) * WIDTH] for m in range(CHUNKS)], np.zeros(64))
+
+
+_part = lambda a, m: f"{a}[{m} * {WIDTH} + 1 : {m} * {WIDTH} + {WIDTH}]"
+BOOK = f"ch AS (SELECT unnest(range({CHUNKS})) AS chunk), cb AS (SELECT chunk, id AS code, {_part('vec', 'chunk')} AS cen FROM b, ch WHERE id < 16)"
+CODES = f"""{BOOK}, cd AS (SELECT b.id, cb.chunk, cb.code, {sql_l2(_part('b.vec', 'cb.chunk'), 'cen')} AS dist FROM b, cb),
+codes AS (SELECT id, chunk, code FROM (SELECT *, row_number() OVER (PARTITION BY id, chunk ORDER BY dist, code) AS r FROM cd) WHERE r = 1)"""
+
+
+@query("pq_codes", f"WITH {BASE}, {CODES} SELECT id, chunk, code FROM codes")
+def _pq_codes(spark, d):
+    return quantization.encode(base(spark, d), book(spark, d)).select("id", F.posexplode("codes").alias("chunk", "code")).select("id", F.col("chunk").cast("long").alias("chunk"), F.col("code").cast("long").alias("code"))
+
+
+@query("pq_decoded", f"WITH {BASE}, {CODES}, p AS (SELECT id, chunk, unnest(cen) AS x, unnest(range({WIDTH})) AS i FROM codes JOIN cb USING (chunk, code)) SELECT id, chunk * {WIDTH} + i AS pos, round(x, 6) AS x FROM p")
+def _pq_decoded(spark, d):
+    b = book(spark, d)
+    return rounded(quantization.decode(quantization.encode(base(spark, d), b), b).select("id", F.posexplode("vec").alias("pos", "x")).withColumn("pos", F.col("pos").cast("long")), "x")
+
+
+PQ_DIST = f"""{QUERIES}, tab AS (SELECT qid, chunk, code, {sql_l2(_part('qvec', 'chunk'), 'cen')} AS t FROM q, cb), ad AS (SELECT qid, id, sum(t) AS dist FROM codes JOIN tab USING (chunk, code) GROUP BY qid, id)"""
+
+
+@query("pq_knn", f"WITH {BASE}, {CODES}, {PQ_DIST}, r AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY round(dist, 9), id) AS rank, id, dist FROM ad) SELECT qid, rank::INTEGER AS rank, id, round(dist, 6) AS dist FROM r WHERE rank <= {K}")
+def _pq_knn(spark, d):
+    b = book(spark, d)
+    near = quantization.knn_pq(quantization.encode(base(spark, d), b), stated(spark, d), b, 2 * K).select("qid", "id", F.round("dist", 9).alias("dist"))
+    return rounded(knn.ranked(near, K), "dist")
+
+
+@query("pq_table_join", f"WITH {BASE}, {CODES}, {PQ_DIST} SELECT qid, id, round(dist, 6) AS dist FROM ad WHERE id % 10 = qid % 10")
+def _pq_join(spark, d):
+    """Asymmetric distances of stated pairs by joins with the codebook table."""
+    b = book(spark, d)
+    q = stated(spark, d).select(F.col("id").alias("qid"), "vec")
+    pairs = q.join(base(spark, d).select("id"), F.col("id") % 10 == F.col("qid") % 10).select("qid", "id", "vec")
+    return rounded(quantization.adc_pairs(quantization.encode(base(spark, d), b), pairs, quantization.codebook_frame(spark, b), WIDTH), "dist")
+
+
+@query("pq_reranked", f"""WITH {BASE}, {CODES}, {PQ_DIST}, r AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY round(dist, 9), id) AS rank, id FROM ad),
+s AS (SELECT qid, r.id, {sql_l2('qvec', 'vec')} AS dist FROM r JOIN b USING (id) JOIN q USING (qid) WHERE rank <= 100), f AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS rank, id, dist FROM s)
+SELECT qid, rank::INTEGER AS rank, id, round(dist, 6) AS dist FROM f WHERE rank <= {K}""")
+def _reranked(spark, d):
+    b = book(spark, d)
+    return rounded(quantization.knn_reranked(base(spark, d), quantization.encode(base(spark, d), b), stated(spark, d), b, K, 100), "dist")
+
+
+@query("pq_reordered", f"WITH {BASE}, {CODES} SELECT (id * 7919) % 1000003 AS new_id, chunk, code FROM codes")
+def _reordered(spark, d):
+    """Codes under new ids, by a join with the id map."""
+    mapping = base(spark, d).select("id", (F.col("id") * 7919 % 1000003).alias("new_id"))
+    codes = quantization.encode(base(spark, d), book(spark, d)).join(mapping, "id")
+    return codes.select("new_id", F.posexplode("codes").alias("chunk", "code")).select("new_id", F.col("chunk").cast("long").alias("chunk"), F.col("code").cast("long").alias("code"))
+
+
+@query("pq_trained")
+def _trained(spark, d):
+    """A trained codebook's error, plain and rotated."""
+    points = base(spark, d)
+    x = clusters.sample_matrix(points)
+    rows = []
+    for name, b in (("plain", quantization.train(x, 8, 32)), ("rotated", quantization.train_rotated(x, 8, 32, rounds=4))):
+        back = b.decode(b.encode(x)) if b.rotation is None else b.decode(b.encode(x)) @ b.rotation.T
+        rows.append((name, float(((x - back) ** 2).sum(axis=1).mean())))
+    return spark.createDataFrame(rows, "kind string, error double")
+
+
+# ---- hashes, with the first vectors as planes ----
+
+
+def planes(spark, d, bits: int = BITS) -> list[list[float]]:
+    return [list(r[0]) for r in base(spark, d).where(F.col("id") < bits).orderBy("id").select("vec").collect()]
+
+
+def sql_hashes(bits: int) -> str:
+    return f"pl AS (SELECT id AS i, vec AS plane FROM b WHERE id < {bits}), h AS (SELECT b.id, sum(CASE WHEN {sql_dot('vec', 'plane')} >= 0 THEN 1::BIGINT << i ELSE 0 END)::BIGINT AS hash FROM b, pl GROUP BY b.id)"
+
+
+@query("lsh_hashes", f"WITH {BASE}, {sql_hashes(32)} SELECT id, hash FROM h")
+def _hashes(spark, d):
+    return hashing.hashes(base(spark, d), planes(spark, d, 32))
+
+
+@query("lsh_buckets", f"WITH {BASE}, {sql_hashes(BITS)} SELECT hash, id FROM (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY id) AS r FROM h) WHERE r <= 5")
+def _buckets(spark, d):
+    return hashing.buckets(hashing.hashes(base(spark, d), planes(spark, d)), 5)
+
+
+@query("lsh_hamming_ball", f"WITH {BASE}, {sql_hashes(BITS)}, s AS (SELECT unnest(range({1 << BITS})) AS x) SELECT id AS qid, x AS hash FROM h, s WHERE id < {QUERY_IDS} AND bit_count(xor(hash, x)) <= 2")
+def _ball(spark, d):
+    h = hashing.hashes(stated(spark, d), planes(spark, d)).withColumnRenamed("id", "qid")
+    return hashing.probes(h, BITS, 2)
+
+
+@query("lsh_probe", f"WITH {BASE}, {sql_hashes(BITS)} SELECT a.id AS qid, b.id FROM h a, h b WHERE a.id < {QUERY_IDS} AND bit_count(xor(a.hash, b.hash)) <= 1")
+def _probe(spark, d):
+    h = hashing.hashes(base(spark, d), planes(spark, d))
+    return hashing.probe(hashing.buckets(h), h.where(F.col("id") < QUERY_IDS).withColumnRenamed("id", "qid"), BITS, 1)
+
+
+@query("lsh_entry_points", f"WITH {BASE}, {sql_hashes(BITS)}, e AS (SELECT a.id AS qid, b.id, row_number() OVER (PARTITION BY a.id ORDER BY bit_count(xor(a.hash, b.hash)), b.id) AS r FROM h a, h b WHERE a.id < {QUERY_IDS} AND bit_count(xor(a.hash, b.hash)) <= 1) SELECT qid, id FROM e WHERE r <= 4")
+def _entries(spark, d):
+    h = hashing.hashes(base(spark, d), planes(spark, d))
+    return hashing.entry_points(hashing.buckets(h), h.where(F.col("id") < QUERY_IDS).withColumnRenamed("id", "qid"), BITS, 1, 0, 4)
+
+
+@query("lsh_sampled_buckets")
+def _sampled(spark, d):
+    h = hashing.buckets(hashing.hashes(base(spark, d), planes(spark, d)))
+    return hashing.sampled_buckets(h, h.count() // 2)
+
+
+# ---- graphs, over the exact 5-nearest-neighbour graph ----
+
+EDGES = f"""ed AS (SELECT src, dst FROM (SELECT a.id AS src, b.id AS dst, row_number() OVER (PARTITION BY a.id ORDER BY {sql_l2('a.vec', 'b.vec')}, b.id) AS pos FROM b a, b b WHERE a.id <> b.id) WHERE pos <= 5)"""
+
+
+def edges(spark, d) -> DataFrame:
+    """(src, pos, dst) of the exact graph, written once a query."""
+    from ..session import persisted
+
+    return persisted(graphs.knn_graph(base(spark, d), 5).select("src", "pos", "dst"))
+
+
+def lists(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("src").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "dst"))), lambda s: s["dst"]).alias("nbrs"))
+
+
+@query("graph_degrees", f"WITH {BASE}, {EDGES}, r AS (SELECT dst AS src, count(*) AS n FROM ed GROUP BY dst) SELECT count(*) AS nodes, max(n) AS largest, min(n) AS smallest, round(avg(n), 6) AS average, sum(CASE WHEN n < 2 THEN 1 ELSE 0 END)::BIGINT AS under_two FROM r")
+def _degrees(spark, d):
+    out = graphs.degrees(graphs.reversed_edges(edges(spark, d)))
+    return rounded(out.withColumn("largest", F.col("largest").cast("long")).withColumn("smallest", F.col("smallest").cast("long")), "average")
+
+
+@query("graph_bfs_levels", f"WITH RECURSIVE {BASE}, {EDGES}, w(node, level) AS (SELECT 0::BIGINT, 0 UNION SELECT dst, level + 1 FROM w JOIN ed ON src = node WHERE level < 12), f AS (SELECT node, min(level) AS level FROM w GROUP BY node) SELECT level, count(*) AS n FROM f GROUP BY level")
+def _bfs(spark, d):
+    return graphs.bfs_levels(edges(spark, d), 0, 12)
+
+
+@query("graph_stitched", f"WITH {BASE}, {EDGES}, u AS (SELECT src, dst FROM ed UNION SELECT dst, src FROM ed) SELECT src, count(*) AS n, sum(dst)::BIGINT AS total FROM u GROUP BY src")
+def _stitched(spark, d):
+    e = edges(spark, d)
+    both = e.select("src", "dst").unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return graphs.stitched(both).select("src", F.size("nbrs").cast("long").alias("n"), F.aggregate("nbrs", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
+@query("graph_expanded", f"WITH {BASE}, {EDGES}, f AS (SELECT src AS qid, dst AS node FROM ed WHERE src < {QUERY_IDS}) SELECT DISTINCT qid, dst AS node FROM f JOIN ed ON src = node WHERE (qid, dst) NOT IN (SELECT qid, node FROM f) AND dst <> qid")
+def _expanded(spark, d):
+    e = edges(spark, d)
+    frontier = e.where(F.col("src") < QUERY_IDS).select(F.col("src").alias("qid"), F.col("dst").alias("node"))
+    visited = frontier.unionByName(frontier.select("qid", F.col("qid").alias("node")))
+    return graphs.expand(frontier, e, visited)
+
+
+@query("graph_repaired", f"""WITH {BASE}, {EDGES}, g AS (SELECT id FROM b WHERE id % 10 = 3), l AS (SELECT * FROM ed WHERE src NOT IN (FROM g)),
+n AS (SELECT src, dst FROM l UNION SELECT l.src, e.dst FROM l JOIN g ON l.dst = g.id JOIN ed e ON e.src = l.dst) SELECT src, count(*) AS n, sum(dst)::BIGINT AS total FROM n WHERE src <> dst AND dst NOT IN (FROM g) GROUP BY src""")
+def _repaired(spark, d):
+    gone = base(spark, d).where("id % 10 = 3").select("id")
+    fixed = graphs.repaired(lists(edges(spark, d)), gone).where(F.size("nbrs") > 0)
+    return fixed.select("src", F.size("nbrs").cast("long").alias("n"), F.aggregate("nbrs", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
+@query("graph_compacted", f"""WITH {BASE}, {EDGES}, l AS (SELECT id AS old, row_number() OVER (ORDER BY id) - 1 AS src FROM b WHERE id % 10 <> 3)
+SELECT s.src, s.old, count(t.src) AS n, coalesce(sum(t.src), 0)::BIGINT AS total FROM l s LEFT JOIN ed ON ed.src = s.old LEFT JOIN l t ON t.old = ed.dst GROUP BY s.src, s.old""")
+def _compacted(spark, d):
+    live = lists(edges(spark, d)).where("src % 10 <> 3")
+    return graphs.compacted(live).select("src", "old", F.size("nbrs").cast("long").alias("n"), F.aggregate("nbrs", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
+@query("graph_merged_shards")
+def _merged(spark, d):
+    e = edges(spark, d)
+    shards = lists(e).unionByName(graphs.reversed_edges(e))
+    return graphs.merged_shards(shards, 6)
+
+
+@query("graph_pruned")
+def _pruned(spark, d):
+    return graphs.pruned(graphs.reversed_edges(edges(spark, d)), base(spark, d), 4)
+
+
+def sharded(spark, d) -> DataFrame:
+    from ..session import persisted
+
+    points = base(spark, d)
+    owner = clusters.partition(points, 4)
+    return persisted(points.join(owner, "id").select("shard", "id", "vec", "labels"))
+
+
+@query("vamana_search")
+def _vamana(spark, d):
+    """Sharded build and greedy search; its recall is tested."""
+    s = sharded(spark, d)
+    return rounded(graphs.search(s, graphs.build(s, 16, 40), stated(spark, d), K, 60), "dist")
+
+
+@query("vamana_filtered_search")
+def _vamana_filtered(spark, d):
+    s = sharded(spark, d)
+    return rounded(graphs.search(s, graphs.build(s, 16, 40), stated(spark, d), K, 60, keep_label="101"), "dist")
+
+
+def paged(spark, d) -> DataFrame:
+    from ..session import persisted
+
+    s = sharded(spark, d)
+    return persisted(pages.build(s, graphs.build(s, 16, 40), 9, 60))
+
+
+@query("page_search")
+def _page_search(spark, d):
+    return rounded(pages.search(paged(spark, d), stated(spark, d), K, 60), "dist")
+
+
+@query("page_visits")
+def _visits(spark, d):
+    p = paged(spark, d)
+    found = pages.search(p, stated(spark, d), K, 60)
+    return pages.visits(found, pages.id_map(p, 9), 9, 10)
+
+
+@query("page_sequential", f"WITH {BASE} SELECT id // 9 AS page_id, count(*) AS n, min(id) AS first, max(id) AS last FROM b GROUP BY 1")
+def _sequential(spark, d):
+    return pages.sequential(base(spark, d), 9)
+
+
+# ---- planner, generators, slices ----
+
+
+@query("planner_layouts")
+def _planner(spark, d):
+    cases = [(128, 1, 20, 1.0, 23), (128, 1, 12, 0.0, 28), (100, 1, 18, 1.0, 25), (96, 4, 60, 1.0, 31), (64, 4, 16, 1.0, 8), (64, 4, 16, 0.5, 8), (64, 4, 16, 0.0, 8)]
+    rows = [(*c, *planner.page_layout(*c), planner.recommended_degree(*c)) for c in cases]
+    return spark.createDataFrame(rows, "dim int, bytes int, pq int, share double, least int, page_degree int, per_page int, degree int")
+
+
+@query("random_slice", "SELECT vec_id AS id FROM embeddings WHERE ((vec_id + 1) * 2654435761) % 4294967296 < 0.25 * 4294967296")
+def _slice(spark, d):
+    return generators.bernoulli(base(spark, d).select("id"), 0.25)
+
+
+@query("random_vectors")
+def _vectors(spark, d):
+    return generators.vectors(spark, 200, 16, 1.0)
+
+
+@query("random_labels")
+def _labels(spark, d):
+    return generators.zipf_labels(spark, 200, 12)
+
+
+@query("shard_vectors", f"WITH {BASE}, {CENTRES} SELECT id, centre AS shard FROM nr WHERE rank <= 2 AND centre < 4")
+def _shards(spark, d):
+    """Vectors of some shards, by a semi join."""
+    owner = clusters.nearest(base(spark, d), centres(spark, d), 2).where("centre < 4").select("id", F.col("centre").alias("shard"))
+    return owner.join(base(spark, d).select("id"), "id", "left_semi")
+
+
+@query("latency_percentiles", "WITH r AS (SELECT value, row_number() OVER (ORDER BY value, event_id) - 1 AS k, count(*) OVER () AS n FROM events WHERE value IS NOT NULL) SELECT p AS percent, round(value, 6) AS value FROM r, (SELECT unnest([50, 90, 95, 99])::INTEGER AS p) s WHERE k = (p * n) // 100")
+def _latency(spark, d):
+    """Order statistics at index floor(p * n), ranked per range partition."""
+    from ..operators.evaluate import percentiles
+
+    return rounded(percentiles(spark.read.parquet(f"{d}/events.parquet").where("value is not null"), "value", "event_id", [50, 90, 95, 99]), "value")
+
+
+del Window

@@ -41,3 +41,17 @@ def ship_code(spark: SparkSession) -> SparkSession:
         spark.sparkContext.addPyFile(target)
         _shipped.add(app)
     return spark
+
+
+def persisted(df):
+    """Cuts lineage: the rows as a Parquet table in the folder of ``spark.checkpoint.dir`` (a temporary one only where that is unset)."""
+    import uuid
+
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = tempfile.mkdtemp(prefix="quiverlake-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    path = f"{base.rstrip('/')}/quiverlake/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
