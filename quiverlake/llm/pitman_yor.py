@@ -35,6 +35,8 @@ CHUNK_TOKENS = 1_000_000
 BURN, SAMPLES = 1, 3
 STRENGTH = (1.0, 1.0)
 START_DISCOUNT = (0.7, 0.8)
+#: Classes of which a bucket reports the sums in one row.
+RANGE = 512
 #: Customers seated one by one; beyond, blocks of customers are seated at once with the probability at the block's start.
 ONE_BY_ONE = 64
 
@@ -181,7 +183,8 @@ def burnt_in(entries: DataFrame, buckets: int) -> dict:
     """The first round: what the driver needs of the corpus, and a seating to start from.
 
     Tokens, words and customers of each restaurant are counted; the discounts are n1 / (n1 + 2 n2) of the counts of counts. BURN sweeps
-    from unigram shares and START_DISCOUNT give the tables of every restaurant. Only CLASSES rows and a few scalars are collected.
+    from unigram shares and START_DISCOUNT give the tables of every restaurant. Buckets report packed sums by range of classes, which
+    are added up by range; only CLASSES rows and a few scalars are collected.
     """
 
     def sweep(bucket: int, rows: list) -> Iterator[pa.RecordBatch]:
@@ -197,18 +200,27 @@ def burnt_in(entries: DataFrame, buckets: int) -> dict:
             t, t1, p1 = sampled(b, state, seeded(bucket, i), p1)
         customers = np.bincount(b.k, weights=b.c, minlength=CLASSES).astype(np.int64)
         tables = np.bincount(b.k, weights=t, minlength=CLASSES)
-        used = np.flatnonzero(customers)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([*range(-len(few), 0), *used], pa.int32()), pa.array([*few, *customers[used]], pa.int64()), pa.array([0.0] * (len(few) - 1) + [float(t1.sum()), *tables[used]], pa.float64())], ["k", "n", "t"]
-        )
+        scalars = np.zeros(RANGE)
+        scalars[-1] = t1.sum()
+        for part, (n, t) in enumerate([(np.array(few + [0] * (RANGE - len(few))), scalars), *zip(customers.reshape(-1, RANGE), tables.reshape(-1, RANGE), strict=True)]):
+            yield packed_row(bucket, part, pack(n.astype(np.int64), t))
+
+    def add(part: int, rows: list) -> Iterator[pa.RecordBatch]:
+        n, t = np.zeros(RANGE, np.int64), np.zeros(RANGE)
+        for _, body in rows:
+            more = unpack(body, np.int64, np.float64)
+            n, t = n + more[0], t + more[1]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(RANGE, dtype=np.int32) + (part - 1) * RANGE), pa.array(n), pa.array(t)], ["k", "n", "t"])
 
     state = {"N": 0, "V": 0, "customers": np.zeros(CLASSES), "tables": np.zeros(CLASSES), "T1": 0.0}
     few = [0] * 6
-    for k, n, t in grouped(entries, "bucket", buckets, sweep, "k int, n long, t double").groupBy("k").agg(F.sum("n"), F.sum("t")).collect():
+    sums = grouped(grouped(entries, "bucket", buckets, sweep, PACKED), "bucket", CLASSES // RANGE + 1, add, "k int, n long, t double")
+    for k, n, t in sums.collect():
         if k >= 0:
             state["customers"][k], state["tables"][k] = n, t
         else:
-            few[k] = n
+            if k + RANGE < len(few):
+                few[k + RANGE] = n
             state["T1"] += t
     share = lambda a, b: min(0.95, max(0.05, a / (a + 2 * b))) if a + b else 0.5
     state["N"], state["V"] = few[0], few[1]
