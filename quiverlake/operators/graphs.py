@@ -6,8 +6,6 @@ go to every shard, whose partial answers are merged: no task or executor ever ne
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,6 +17,8 @@ from . import knn
 #: Pruning factor, candidates of a prune, slack of degrees while building.
 ALPHA = 1.2
 MOST_CANDIDATES = 750
+#: Points of a shard where shards are made by hash.
+SHARD_POINTS = 100_000
 SLACK = 1.3
 
 
@@ -119,6 +119,71 @@ def build(sharded: DataFrame, degree: int = 32, width: int = 64, alpha: float =
     return sharded.select("shard", "id", "vec").groupBy("shard").applyInPandas(run, "shard long, src long, nbrs array<long>, is_start boolean")
 
 
+def label_starts(labelled: list[set], seed: int = 1, tries: int = 25) -> dict[str, int]:
+    """A start node of each label: of ``tries`` seeded candidates that carry it the one that starts fewest labels so far."""
+    rng = np.random.default_rng(seed)
+    used = np.zeros(len(labelled), int)
+    out = {}
+    for label in sorted(set().union(*labelled)) if labelled else []:
+        own = [i for i, s in enumerate(labelled) if label in s]
+        some = rng.choice(own, min(tries, len(own)), replace=False)
+        best = min(some.tolist(), key=lambda i: (used[i], i))
+        used[best] += 1
+        out[label] = best
+    return out
+
+
+def build_filtered(sharded: DataFrame, degree: int = 32, width: int = 64, alpha: float = ALPHA, universal: str | None = None) -> DataFrame:
+    """(shard, src, nbrs, is_start, starts_label) of (shard, id, vec, labels): edges serve searches by label.
+
+    A point is linked from what is visited from the starts of its labels among points that share one, and from the medoid among all;
+    pruning keeps a candidate unless the occluding one carries all its labels. A universal label stands for every label.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id").reset_index(drop=True)
+        ids, x = pdf["id"].to_numpy(), np.array(pdf["vec"].tolist(), np.float64)
+        own = [set(map(str, row)) for row in pdf["labels"]]
+        every = set().union(*own) - {universal}
+        own = [every if universal in s else s for s in own]
+        carriers = {label: np.array([label in s for s in own]) for label in every}
+        starts = label_starts(own)
+        nbrs: list[list[int]] = [[] for _ in ids]
+        centre = medoid_index(x)
+        most = int(degree * SLACK)
+        for p in range(len(ids)):
+            pool = set(greedy_search(x, nbrs, [centre], x[p], width)[2])
+            for label in sorted(own[p]):
+                pool |= greedy_search(x, nbrs, [starts[label]], x[p], width, carriers[label])[2]
+            nbrs[p] = robust_prune(x, p, list(pool) + nbrs[p], degree, alpha, own)
+            for o in nbrs[p]:
+                if p not in nbrs[o]:
+                    nbrs[o] = [*nbrs[o], p] if len(nbrs[o]) < most else robust_prune(x, o, [*nbrs[o], p], degree, alpha, own)
+        nbrs = [n if len(n) <= degree else robust_prune(x, p, n, degree, alpha, own) for p, n in enumerate(nbrs)]
+        label_of = {}
+        for label, node in starts.items():
+            label_of.setdefault(node, []).append(label)
+        return pd.DataFrame({
+            "shard": pdf["shard"].to_numpy(), "src": ids, "nbrs": [ids[n].tolist() if n else [] for n in nbrs],
+            "is_start": np.arange(len(ids)) == centre, "starts_label": [sorted(label_of.get(i, [])) for i in range(len(ids))],
+        })
+
+    return sharded.select("shard", "id", "vec", "labels").groupBy("shard").applyInPandas(run, "shard long, src long, nbrs array<long>, is_start boolean, starts_label array<string>")
+
+
+def build_stitched(points: DataFrame, degree: int = 32, width: int = 64, most: int = 64, alpha: float = ALPHA) -> DataFrame:
+    """(src, nbrs): a graph for each label, their edges united and lists above ``most`` pruned. points: (id, vec, labels).
+
+    A label's graph is built in shards of its own points, so a label that most points carry is no single task.
+    """
+    owner = points.select("id", "vec", F.explode(F.array_distinct("labels")).alias("label"))
+    sizes = owner.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / F.lit(SHARD_POINTS)))
+    keyed = owner.join(sizes, "label").select("id", "vec", F.xxhash64("label", part).alias("shard"))
+    pairs = build(keyed, degree, width, alpha).select("src", F.explode("nbrs").alias("dst"))
+    return pruned(stitched(pairs), points, most, alpha)
+
+
 def search(sharded: DataFrame, edges: DataFrame, queries: DataFrame, k: int, width: int, keep_label: str | None = None) -> DataFrame:
     """(qid, rank, id, dist) by greedy search of every shard from its start; ``keep_label``: only results with this label, searched wider.
 
@@ -258,15 +323,3 @@ def expand(frontier: DataFrame, pairs: DataFrame, visited: DataFrame) -> DataFra
 def reversed_edges(pairs: DataFrame) -> DataFrame:
     """(src, nbrs): for each node the sources of its incoming edges, by id."""
     return pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst")).distinct().groupBy("src").agg(F.array_sort(F.collect_list("dst")).alias("nbrs"))
-
-
-def iterate(batches: Iterator, size: int) -> Iterator:
-    """Consecutive lists of ``size`` items."""
-    held: list = []
-    for b in batches:
-        held.append(b)
-        if len(held) == size:
-            yield held
-            held = []
-    if held:
-        yield held

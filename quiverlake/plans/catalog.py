@@ -530,6 +530,35 @@ def _page_search(spark, d):
     return rounded(pages.search(paged(spark, d), stated(spark, d), K, 60), "dist")
 
 
+@query("page_search_codes")
+def _page_search_codes(spark, d):
+    """Neighbours queue by code distances; only read pages are scored exactly."""
+    b = quantization.fit(base(spark, d), 16, 64)
+    return rounded(pages.search(paged(spark, d), stated(spark, d), K, 80, book=b), "dist")
+
+
+@query("page_search_hashed")
+def _page_search_hashed(spark, d):
+    """Entry nodes from hash buckets instead of the start page."""
+    h = hashing.hashes(base(spark, d), hashing.random_planes(64, BITS))
+    found = hashing.entry_points(hashing.buckets(h), h.where(F.col("id") < QUERY_IDS).withColumnRenamed("id", "qid"), BITS, 1, 0, 8).collect()
+    entries: dict[int, list[int]] = {}
+    for r in sorted(found):
+        entries.setdefault(r["qid"], []).append(r["id"])
+    return rounded(pages.search(paged(spark, d), stated(spark, d), K, 60, entries=entries), "dist")
+
+
+@query("vamana_filtered_build")
+def _filtered_build(spark, d):
+    s = sharded(spark, d)
+    return rounded(graphs.search(s, graphs.build_filtered(s, 16, 40).select("shard", "src", "nbrs", "is_start"), stated(spark, d), K, 60, keep_label="101"), "dist")
+
+
+@query("vamana_stitched_build")
+def _stitched_build(spark, d):
+    return graphs.degrees(graphs.build_stitched(base(spark, d).select("id", "vec", "labels"), 12, 30, 24))
+
+
 @query("page_visits")
 def _visits(spark, d):
     p = paged(spark, d)

@@ -98,6 +98,15 @@ def test_graph_invariants_and_recall(spark):
     assert sorted(members) == list(range(400))
     assert all(not set(r["nbrs"]) & set(r["ids"]) and len(r["nbrs"]) <= 40 for r in built.collect())
     assert knn.recall(truth, pages.search(built, queries, 10, 60), 10).first()[0] >= 95
+    book = quantization.fit(base, 8, 32)
+    assert knn.recall(truth, pages.search(built, queries, 10, 80, book=book), 10).first()[0] >= 90
+    filtered = graphs.build_filtered(base, 12, 30)
+    assert {s for r in filtered.collect() for s in r["starts_label"]} == {"a", "b"} and all(len(r["nbrs"]) <= 12 for r in filtered.collect())
+    only_a = knn.knn_filtered(base, queries, 5, F.array_contains("labels", "a"))
+    own = graphs.search(base, filtered.select("shard", "src", "nbrs", "is_start"), queries, 5, 60, keep_label="a")
+    assert knn.recall(only_a, own, 5).first()[0] >= 95
+    sewn = graphs.build_stitched(base, 10, 20, 16).collect()
+    assert len(sewn) == 400 and all(len(r["nbrs"]) <= 16 and r["src"] not in r["nbrs"] for r in sewn)
     assert pages.search(built, queries, 10, 60, most_pages=1).count() <= 30 * 7
 
 
