@@ -72,3 +72,18 @@ def broken_up(points: DataFrame, density: int, start: int) -> DataFrame:
     )
     new = F.when(F.col("g") == 0, F.col("id")).otherwise(start + F.coalesce("before", F.lit(0)) + F.col("g") - 1)
     return cut.select(new.cast("long").alias("id"), F.col("id").alias("origin"), F.col("part").alias("labels"))
+
+
+def read_map(spark, path: str) -> DataFrame:
+    """(label, code) of lines ``label TAB code``."""
+    parts = F.split("value", "\t")
+    return spark.read.text(path).where("value <> ''").select(parts[0].alias("label"), parts[1].cast("int").alias("code"))
+
+
+def write_map(codes: DataFrame, path: str) -> None:
+    codes.orderBy("code").select(F.concat_ws("\t", "label", F.col("code").cast("string")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_filters(spark, path: str) -> DataFrame:
+    """(qid, label) of a file with one label a line, numbered in file order; query files are stated sets, read by one task."""
+    return spark.sparkContext.textFile(path, 1).zipWithIndex().toDF(["label", "qid"]).select(F.col("qid").cast("long").alias("qid"), F.trim("label").alias("label"))
