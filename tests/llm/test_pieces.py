@@ -1,7 +1,9 @@
+import math
 import random
 from collections import Counter
 from pathlib import Path
 
+import numpy as np
 import pytest
 
 from quiverlake.llm import pieces as p
@@ -32,33 +34,41 @@ def every(model, unit):
     for i in range(1, len(unit) + 1):
         if found := model.weight.get(unit[:i]):
             for rest, w in every(model, unit[i:]).items():
-                out[(found[1], *rest)] = out.get((found[1], *rest), 0) + found[0] * w
+                out[(found[1], *rest)] = out.get((found[1], *rest), 0) + math.exp(found[0]) * w
     return out
 
 
-@pytest.mark.parametrize("unit", [" the", " hello", "nation", " internationals"])
+@pytest.mark.parametrize("unit", [" the", " hello", "nation", " internationals", "a. b, c"])
 def test_draws_follow_the_weights(model, unit):
     want = every(model, unit)
     total = sum(want.values())
-    rng = random.Random(2)
-    ends = model.lattice(unit)
     n = 20000
-    got = Counter(model.draw(ends, rng.random()) for _ in range(n))
+    ids, sizes = model.encode_all([unit] * n, list(range(n)))
+    got = Counter(tuple(x.tolist()) for x in np.split(ids, np.cumsum(sizes)[:-1]))
     assert set(got) <= set(want)
     for seg, w in want.items():
         share = w / total
         assert abs(got[seg] / n - share) < 5 * (share * (1 - share) / n) ** 0.5 + 1e-3
 
 
-def test_listed_and_drawn_segmentations_are_the_same(model):
-    rng = random.Random(3)
-    for unit in (" the", " hello", "cat", "tion"):
-        ends = model.lattice(unit)
-        if found := model.listed(ends):
-            for _ in range(500):
-                u = rng.random()
-                k = min(p.bisect_right(found[0], u), len(found[1]) - 1)
-                assert found[1][k] == model.draw(ends, u)
+def test_no_piece_crosses_a_cut(model):
+    rng = random.Random(5)
+    words = rng.sample(list(model.weight), 400)
+    for _ in range(200):
+        text = "".join(rng.choices(words, k=12))
+        cut = model.cuts(p._points(text))
+        for i in range(len(text)):
+            for j in range(i + 1, min(len(text), i + model.longest) + 1):
+                if text[i:j] in model.weight:
+                    assert not cut[i + 1 : j].any()
+
+
+def test_block_and_single_texts_agree(model):
+    rng = random.Random(6)
+    texts = ["".join(rng.choices("ab the▁ \n\té漢🙂.,", k=rng.randint(0, 60))) for _ in range(50)]
+    ids, sizes = model.encode_all(texts, list(range(50)))
+    parts = [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])]
+    assert parts == [model.encode(t, k) for k, t in enumerate(texts)]
 
 
 def test_rows_are_reproducible_and_lossless(spark):

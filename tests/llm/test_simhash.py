@@ -63,3 +63,14 @@ def test_split_groups_lose_no_link(spark, monkeypatch):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(docs).count() == 0
+
+
+def test_one_row_of_each_group_stays(spark):
+    text = " ".join(f"word{i}" for i in range(80))
+    rows = [(3, text, "a"), (3, text, "a"), (1, text + " ", "b"), (7, "quite another text " * 9, "c"), (None, text, "d"), (9, None, "e"), (8, "", "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, rep string")
+    kept = simhash.representatives(docs)
+    assert kept.columns == docs.columns
+    assert sorted((str(r["doc_id"]), r["rep"]) for r in kept.collect()) == [("1", "b"), ("7", "c"), ("8", "f"), ("None", "d")]
+    found = {(r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(docs).collect()}
+    assert found == {(3, 1), (1, 1), (7, 7), (None, 1), (9, 8), (8, 8)}
