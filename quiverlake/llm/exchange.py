@@ -16,10 +16,10 @@ from pyspark.sql import DataFrame
 PACKED = "chunk long, bucket int, body binary"
 
 
-def pack(*arrays: np.ndarray) -> bytes:
+def pack(*arrays: np.ndarray, level: int = 3) -> bytes:
     """Arrays one after the other, behind their lengths in bytes, each in byte planes (first bytes of all items, then second ones), compressed."""
     parts = [np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T).tobytes() for a in arrays]
-    return zstandard.ZstdCompressor(level=1).compress(np.array([len(p) for p in parts], np.int64).tobytes() + b"".join(parts))
+    return zstandard.ZstdCompressor(level=level).compress(np.array([len(p) for p in parts], np.int64).tobytes() + b"".join(parts))
 
 
 def unpack(body: bytes, *types) -> list[np.ndarray]:

@@ -42,7 +42,9 @@ CHUNK_BYTES = 2 << 20
 HOT = 5000
 
 OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
-_BODY = (np.int64, np.bool_, np.int64, np.int64, np.uint8, np.uint32, np.uint64)
+_BODY = (np.int64, np.bool_, np.int64, np.int64, np.uint8, np.uint32)
+#: Compression of what is sent: texts and contexts are most of the bytes.
+LEVEL = 6
 
 
 def anchors(block: Block) -> tuple[np.ndarray, np.ndarray]:
@@ -85,7 +87,7 @@ def chunked(docs: DataFrame, buckets: int) -> DataFrame:
         for serial, batch in enumerate(common.blocks(batches, most=CHUNK_BYTES)):
             block, ids = Block(batch.column("text")), batch.column("doc_id").to_pylist()
             position, h = anchors(block)
-            body = pack(np.array([i or 0 for i in ids], np.int64), np.array([i is not None for i in ids]), block.starts, block.ends, block.data, position, h)
+            body = pack(np.array([i or 0 for i in ids], np.int64), np.array([i is not None for i in ids]), block.starts, block.ends, block.data, position, level=LEVEL)
             yield packed_row(base + serial, -1, body)
             distinct, count = np.unique(h, return_counts=True)
             for b, at in by_bucket(distinct, buckets):
@@ -153,10 +155,13 @@ class Chunk:
     """A chunk's own row, and what follows from the answers on its anchors; the same in every stage that needs it."""
 
     def __init__(self, body: bytes, answers: list[tuple[int, np.ndarray]], buckets: int):
-        self.ids, self.known, self.starts, self.ends, self.data, position, h = unpack(body, *_BODY)
+        self.ids, self.known, self.starts, self.ends, self.data, position = unpack(body, *_BODY)
+        position = position.astype(np.int64)
+        self.block = Block(pa.array([], pa.string()))
+        self.block.data = self.data
+        h = self.block.span_hash(position, position + GRAM)
         distinct, inverse = np.unique(h, return_inverse=True)
         state = spread(answers, distinct, buckets)[inverse]
-        position = position.astype(np.int64)
         doc = np.searchsorted(self.ends, position, side="left")
         start, end = self.starts[doc], self.ends[doc]
         merged, hot = state == 1, state == 2
@@ -164,9 +169,7 @@ class Chunk:
         self.strings = string_starts(position[hot], start[hot], end[hot])
 
     def string_hashes(self) -> np.ndarray:
-        block = Block(pa.array([], pa.string()))
-        block.data = self.data
-        return block.span_hash(self.strings, self.strings + LENGTH)
+        return self.block.span_hash(self.strings, self.strings + LENGTH)
 
 
 def split_rows(rows: list[tuple[int, bytes]], low: int, high: int) -> list[tuple[int, bytes]]:
@@ -180,7 +183,7 @@ def runs(rows: DataFrame, buckets: int) -> DataFrame:
         chunk = Chunk(rows[0][1], [(b, unpack(body, np.uint8)[0]) for b, body in rows[1:]], buckets)
         for b, at in by_bucket(chunk.hash, buckets):
             _, count, prefix, rest = front_coded(contexts(chunk.data, chunk.start[at], chunk.end[at], chunk.position[at]))
-            yield packed_row(number, b, pack(count, prefix, rest))
+            yield packed_row(number, b, pack(count, prefix, rest, level=LEVEL))
         distinct, count = np.unique(chunk.string_hashes(), return_counts=True)
         for b, at in by_bucket(distinct, buckets):
             yield packed_row(number, buckets + b, pack(distinct[at], count[at].astype(np.uint32)))
