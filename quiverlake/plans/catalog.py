@@ -505,15 +505,15 @@ def sharded(spark, d) -> DataFrame:
     return persisted(points.join(owner, "id").select("shard", "id", "vec", "labels"))
 
 
-@query("vamana_search")
-def _vamana(spark, d):
+@query("graph_search")
+def _graph_search(spark, d):
     """Sharded build and greedy search; its recall is tested."""
     s = sharded(spark, d)
     return rounded(graphs.search(s, graphs.build(s, 16, 40), stated(spark, d), K, 60), "dist")
 
 
-@query("vamana_filtered_search")
-def _vamana_filtered(spark, d):
+@query("graph_filtered_search")
+def _graph_filtered(spark, d):
     s = sharded(spark, d)
     return rounded(graphs.search(s, graphs.build(s, 16, 40), stated(spark, d), K, 60, keep_label="101"), "dist")
 
@@ -548,13 +548,13 @@ def _page_search_hashed(spark, d):
     return rounded(pages.search(paged(spark, d), stated(spark, d), K, 60, entries=entries), "dist")
 
 
-@query("vamana_filtered_build")
+@query("graph_filtered_build")
 def _filtered_build(spark, d):
     s = sharded(spark, d)
     return rounded(graphs.search(s, graphs.build_filtered(s, 16, 40).select("shard", "src", "nbrs", "is_start"), stated(spark, d), K, 60, keep_label="101"), "dist")
 
 
-@query("vamana_stitched_build")
+@query("graph_stitched_build")
 def _stitched_build(spark, d):
     return graphs.degrees(graphs.build_stitched(base(spark, d).select("id", "vec", "labels"), 12, 30, 24))
 
