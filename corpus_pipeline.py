@@ -1,4 +1,4 @@
-"""The corpus pipeline: toxicity, SimHash near-duplicates, benchmark decontamination, personal data, SentencePiece encoding.
+"""The corpus pipeline: toxicity, near-duplicates, benchmark decontamination, personal data, SentencePiece encoding.
 
 Each stage takes (spark, docs, sf_dir) and works on all documents its predecessor kept; all but the last return the columns of
 ``documents``. Between stages the documents are written as Parquet in the shared folder and read again.
@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quiverlake.llm import common, decontamination, pieces, pii, simhash, toxicity
+from quiverlake.llm import common, decontamination, near_copies, pieces, pii, simhash, toxicity
 from quiverlake.session import ship_code
 
 
@@ -18,9 +18,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints, the one of the smallest doc_id."""
+    """One document of each group of texts linked by a Jaccard similarity of 0.8 or more of their five-word shingles, the one of the smallest doc_id."""
     ship_code(spark)
-    return simhash.representatives(docs)
+    return simhash.representatives(docs, near_copies.kept_ids(docs))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

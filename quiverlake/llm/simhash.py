@@ -250,9 +250,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return table.join(named, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def representatives(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each component: a row whose doc_id is the component's, or of rows without doc_id each one."""
-    chosen = near_duplicates(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+def representatives(docs: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
+    """``docs`` with one row of each component: a row whose doc_id is the component's, or of rows without doc_id each one.
+
+    ``chosen``: the components' doc_ids, by default those of ``near_duplicates``.
+    """
+    if chosen is None:
+        chosen = near_duplicates(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     named = docs.where("doc_id is not null").join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
