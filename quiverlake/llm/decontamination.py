@@ -2,9 +2,9 @@
 
 Canonical text: numbers, names and units become typed placeholders, the rest is lower-cased and stripped of punctuation; the words stay
 aligned with the words as written. A template window is WINDOW consecutive canonical words (all of them in a shorter item). A document
-holds an item if at least SIMILARITY of the item's distinct windows occur in it and its slots are consistent: over the matched windows,
-each value of the item's slots is replaced by one value of the document (CONSISTENCY: distinct item values per distinct replacement
-pair, at least). So verbatim copies and copies with other numbers, names or units are found alike.
+holds an item if at least SIMILARITY of the item's distinct windows occur in it and its slots are consistent in one alignment that holds
+as many, or over all matched windows: each value of the item's slots is replaced by one value of the document (CONSISTENCY: distinct item
+values per distinct replacement pair, at least). An alignment pairs each place of the item with one place of a region of a row. So verbatim copies and copies with other numbers, names or units are found alike.
 
 Plan: DataFrame functions only. Documents are exploded to window hashes and joined with the benchmark's windows; those that hold an item
 are read again for their slots. A side is broadcast only if it is counted to have at most BROADCAST_ROWS rows; else the join shuffles
@@ -16,7 +16,7 @@ doc_id like any other; items with the same text are each reported. An empty tabl
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -78,10 +78,10 @@ def slots(words: Column, start: Column) -> Column:
 
 
 def slotted(table: DataFrame, key: str) -> DataFrame:
-    """``key``, ``h`` and the slots of every window."""
-    split = table.select(key, aligned(F.col("text")).alias("words"))
-    split = split.select(key, "words", F.posexplode(window_hashes(F.transform("words", lambda w: w["form"]))).alias("at", "h"))
-    return split.select(key, "h", "at", slots(F.col("words"), F.col("at")).alias("slots"))
+    """``key``, ``row`` (a hash of the text), ``h``, the place and the slots of every window."""
+    split = table.select(key, F.xxhash64("text").alias("row"), aligned(F.col("text")).alias("words"))
+    split = split.select(key, "row", "words", F.posexplode(window_hashes(F.transform("words", lambda w: w["form"]))).alias("at", "h"))
+    return split.select(key, "row", "h", "at", slots(F.col("words"), F.col("at")).alias("slots"))
 
 
 def small(table: DataFrame) -> DataFrame:
@@ -89,30 +89,57 @@ def small(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
+def alignments(placed: DataFrame) -> DataFrame:
+    """Windows of documents and items, one place of the document for each place of the item, by ``alignment``.
+
+    An alignment is a region of a row's diagonals (place in the document less place in the item), half as wide as the item has windows, so
+    that words put in or left out do not end it; regions overlap by half. A place of the item is paired on the diagonal of most windows.
+    The last alignment takes all places of the document together, each window as at its first place in the item.
+    """
+    diagonal = F.col("at") - F.col("item_at")
+    wide = F.greatest(F.col("windows") / 2, F.lit(4))
+    same = Window.partitionBy("doc_id", "row", "item_id", "item_row", "diagonal")
+    counted = placed.withColumn("diagonal", diagonal).withColumn("on", F.count(F.lit(1)).over(same))
+    regions = F.array(*(F.struct(F.lit(i).alias("shift"), F.floor(F.col("diagonal") / wide + F.lit(i / 2)).alias("region"), F.col("row"), F.col("item_row")) for i in (0, 1)))
+    local = counted.withColumn("alignment", F.explode(regions)).groupBy("doc_id", "item_id", "windows", "alignment", "item_at").agg(
+        F.max_by(F.struct("h", "item_slots", "slots"), F.struct("on", -F.col("diagonal"))).alias("p")
+    )
+    whole = placed.where("first").select("doc_id", "item_id", "windows", F.lit(None).cast(local.schema["alignment"].dataType).alias("alignment"), "h", "item_slots", "slots")
+    return local.select("doc_id", "item_id", "windows", "alignment", "p.*").unionByName(whole)
+
+
 def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, windows (of the item), matched, similarity, slots, consistency, changed (slots with another value) of the held items."""
-    item = slotted(items.select("item_id", "text"), "item_id")
-    known = common.written(item.groupBy("h", "item_id").agg(F.min_by("slots", "at").alias("item_slots")), "benchmark-windows")
-    sizes = known.groupBy("item_id").agg(F.count(F.lit(1)).alias("windows"))
+    item = slotted(items.select("item_id", "text"), "item_id").distinct()
+    first = F.struct("row", "at") == F.min(F.struct("row", "at")).over(Window.partitionBy("h", "item_id"))
+    known = item.select("h", "item_id", F.col("row").alias("item_row"), F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), first.alias("first"))
+    known = common.written(known, "benchmark-windows")
+    sizes = known.groupBy("item_id").agg(F.count_distinct("h").alias("windows"))
 
     found = docs.select("doc_id", F.explode(window_hashes(forms(F.col("text")))).alias("h"))
-    hits = found.join(small(known.select("h", "item_id")), "h").groupBy("doc_id", "item_id", "h").agg(F.count(F.lit(1)).alias("n"))
+    hits = found.join(small(known.where("first").select("h", "item_id")), "h").groupBy("doc_id", "item_id", "h").agg(F.count(F.lit(1)).alias("n"))
     matched = hits.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("matched"))
     similar = matched.join(small(sizes), "item_id").withColumn("similarity", F.col("matched") / F.col("windows"))
     held = common.written(similar.where(F.col("similarity") >= SIMILARITY), "benchmark-held")
 
     # the words of the documents that hold an item are looked at again, for their slots
-    owners = small(held.select("doc_id").distinct().withColumnRenamed("doc_id", "owner"))
-    again = docs.select("doc_id", "text").join(owners, F.col("doc_id").eqNullSafe(F.col("owner")), "left_semi")
-    pair = (
-        slotted(again, "doc_id").join(small(known), "h")
-        .select("doc_id", "item_id", F.explode(F.arrays_zip("item_slots", F.col("slots").alias("doc_slots"))).alias("p")).select("doc_id", "item_id", "p.*").distinct()
-    )
-    checked = pair.groupBy("doc_id", "item_id").agg(
+    owners = held.select(F.col("doc_id").alias("owner"), F.col("item_id").alias("held_item"), "windows")
+    again = docs.select("doc_id", "text").join(small(owners.select("owner").distinct()), F.col("doc_id").eqNullSafe(F.col("owner")), "left_semi")
+    placed = slotted(again, "doc_id").distinct().join(small(known), "h")
+    placed = placed.join(small(owners), F.col("doc_id").eqNullSafe(F.col("owner")) & F.col("item_id").eqNullSafe(F.col("held_item")))
+    aligned_windows = alignments(placed)
+    covers = F.col("alignment").isNull() | (F.count_distinct("h") >= SIMILARITY * F.col("windows"))
+    pair = F.explode_outer(F.arrays_zip("item_slots", F.col("slots").alias("doc_slots")))
+    each = aligned_windows.select("doc_id", "item_id", "windows", "alignment", "h", pair.alias("p")).select("doc_id", "item_id", "windows", "alignment", "h", "p.*")
+    pairs = F.count_distinct(F.when(F.col("item_slots").isNotNull(), F.struct("item_slots", "doc_slots")))
+    judged = each.groupBy("doc_id", "item_id", "windows", "alignment").agg(
+        covers.alias("covers"),
         F.count_distinct("item_slots").alias("slots"),
-        (F.count_distinct("item_slots") / F.count(F.lit(1))).alias("consistency"),
+        F.coalesce(F.try_divide(F.count_distinct("item_slots"), pairs), F.lit(1.0)).alias("consistency"),
         F.count_distinct(F.when(F.col("item_slots") != F.col("doc_slots"), F.col("item_slots"))).alias("changed"),
     )
+    best = F.max(F.struct("consistency", (-F.col("changed")).alias("same"), "slots", "changed")).alias("best")
+    checked = judged.where("covers").groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")
     same = held["doc_id"].eqNullSafe(checked["doc_id"]) & held["item_id"].eqNullSafe(checked["item_id"])
     return held.join(checked, same, "left").select(
         held["doc_id"], held["item_id"], "windows", "matched", "similarity",

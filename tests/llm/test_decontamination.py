@@ -27,6 +27,15 @@ def test_inconsistent_slots_are_rejected(spark):
     assert set(run(spark, [(1, other), (2, same)], [(0, item)])) == {(2, 0)}
 
 
+def test_one_consistent_alignment_is_enough(spark):
+    numbers = "What is the next number in the sequence 2, 4, 6, 8, 10, 12, 14, 16, 18, 20?"
+    variants = [ITEM.replace("Maria", n).replace("12", str(k)).replace("30", str(k + 1)).replace("4 kg", f"{k + 2} lb") for n, k in (("Peter", 51), ("Anna", 71))]
+    docs = [(1, "Before it. " + numbers), (2, " Then ".join([variants[0], ITEM, variants[1]])), (3, variants[0]), (3, ITEM), (3, variants[1]), (4, numbers.replace("number in", "whole number in"))]
+    got = run(spark, docs, [(0, numbers), (1, ITEM)])
+    assert {(1, 0), (2, 1), (3, 1)} <= set(got) <= {(1, 0), (2, 1), (3, 1), (4, 0)}
+    assert all(got[k]["consistency"] == 1 and got[k]["changed"] == 0 for k in ((1, 0), (2, 1), (3, 1)))
+
+
 def test_short_items_and_empty_tables(spark):
     assert set(run(spark, [(1, "three short words"), (2, "three short words more")], [(0, "Three short words!")])) == {(1, 0)}
     assert run(spark, [], [(0, ITEM)]) == {} and run(spark, [(1, ITEM)], []) == {}
