@@ -1,7 +1,8 @@
 """Operator 1, benchmark decontamination [native]: template windows of documents hash-joined with those of the benchmark's items.
 
 Canonical text: numbers, names and units become typed placeholders, the rest is lower-cased and stripped of punctuation; the words stay
-aligned with the words as written. A template window is WINDOW consecutive canonical words (all of them in a shorter item). A document
+aligned with the words as written. Texts are also read in a second form in which names stay words and white space is one blank, so that
+copies in other case or wrapped anew are found; the form of the better similarity counts. A template window is WINDOW consecutive canonical words (all of them in a shorter item). A document
 holds an item if at least SIMILARITY of the item's distinct windows occur in it and its slots are consistent in one alignment that holds
 as many, or over all matched windows: each value of the item's slots is replaced by one value of the document (CONSISTENCY: distinct item
 values per distinct replacement pair, at least). An alignment pairs each place of the item with one place of a region of a row. So verbatim copies and copies with other numbers, names or units are found alike.
@@ -36,27 +37,33 @@ PUNCTUATION = r"[!-/:-@\[-`{-~¡¿«»‐-›…]+"
 NUMBER_SLOT, UNIT_SLOT, NAME_SLOT = "\u0001", "\u0002", "\u0003"
 
 
-def canonical(text: Column) -> Column:
-    """Placeholders for numbers, units after numbers, and capitalised words inside a sentence; then lower case without punctuation.
+def canonical(text: Column, named: bool = True) -> Column:
+    """Placeholders for numbers, units after numbers, and (if ``named``) capitalised words inside a sentence; then lower case without punctuation.
 
     White space is kept sign by sign, so the words stay aligned with those of the text. Each pattern begins with the signs it replaces
     and looks back from there: a pattern that began by looking back would be tried at every position.
     """
-    out = F.regexp_replace(text, r"\p{Lu}(?<=[^\s.!?:;][ \t]\p{Lu})\p{Ll}[\p{L}'’-]*", NAME_SLOT)
+    out = F.regexp_replace(text, r"\p{Lu}(?<=[^\s.!?:;][ \t]\p{Lu})\p{Ll}[\p{L}'’-]*", NAME_SLOT) if named else text
     out = F.regexp_replace(out, r"[0-9](?<=(?<!\S)[^\s\p{L}0-9]{0,4}[0-9])\S*", NUMBER_SLOT)
     out = F.regexp_replace(out, rf"(?i)\x01 (?:{UNITS})(?![\p{{L}}0-9])", f"{NUMBER_SLOT} {UNIT_SLOT}")
     return F.regexp_replace(F.lower(out), PUNCTUATION, "")
 
 
-def forms(text: Column) -> Column:
+def filled(text: Column, named: bool) -> Column:
+    """A text, not null; white space is one blank where names stay words, so that a text wrapped anew has the same words."""
+    text = F.coalesce(text, F.lit(""))
+    return text if named else F.regexp_replace(text, r"\s+", " ")
+
+
+def forms(text: Column, named: bool = True) -> Column:
     """Canonical words of a text; words that were punctuation only are left out, null and blank texts have none."""
-    return F.filter(F.split(canonical(F.coalesce(text, F.lit(""))), r"\s"), lambda w: w != "")
+    return F.filter(F.split(canonical(filled(text, named), named), r"\s"), lambda w: w != "")
 
 
-def aligned(text: Column) -> Column:
+def aligned(text: Column, named: bool = True) -> Column:
     """Structs (raw, form) of the words that have a canonical form."""
-    filled = F.coalesce(text, F.lit(""))
-    pairs = F.arrays_zip(F.split(filled, r"\s").alias("raw"), F.split(canonical(filled), r"\s").alias("form"))
+    text = filled(text, named)
+    pairs = F.arrays_zip(F.split(text, r"\s").alias("raw"), F.split(canonical(text, named), r"\s").alias("form"))
     return F.filter(pairs, lambda p: p["form"] != "")
 
 
@@ -78,10 +85,11 @@ def slots(words: Column, start: Column) -> Column:
 
 
 def slotted(table: DataFrame, key: str) -> DataFrame:
-    """``key``, ``row`` (a hash of the text), ``h``, the place and the slots of every window."""
-    split = table.select(key, F.xxhash64("text").alias("row"), aligned(F.col("text")).alias("words"))
-    split = split.select(key, "row", "words", F.posexplode(window_hashes(F.transform("words", lambda w: w["form"]))).alias("at", "h"))
-    return split.select(key, "row", "h", "at", slots(F.col("words"), F.col("at")).alias("slots"))
+    """``key``, ``row`` (a hash of the text), and for both values of ``named`` ``h``, the place and the slots of every window."""
+    both = F.array(*(F.struct(F.lit(n).alias("named"), aligned(F.col("text"), n).alias("words")) for n in (True, False)))
+    split = table.select(key, F.xxhash64("text").alias("row"), F.explode(both).alias("form")).select(key, "row", "form.*")
+    split = split.select(key, "row", "named", "words", F.posexplode(window_hashes(F.transform("words", lambda w: w["form"]))).alias("at", "h"))
+    return split.select(key, "row", "named", "h", "at", slots(F.col("words"), F.col("at")).alias("slots"))
 
 
 def small(table: DataFrame) -> DataFrame:
@@ -98,53 +106,59 @@ def alignments(placed: DataFrame) -> DataFrame:
     """
     diagonal = F.col("at") - F.col("item_at")
     wide = F.greatest(F.col("windows") / 2, F.lit(4))
-    same = Window.partitionBy("doc_id", "row", "item_id", "item_row", "diagonal")
+    same = Window.partitionBy("doc_id", "row", "item_id", "named", "item_row", "diagonal")
     counted = placed.withColumn("diagonal", diagonal).withColumn("on", F.count(F.lit(1)).over(same))
     regions = F.array(*(F.struct(F.lit(i).alias("shift"), F.floor(F.col("diagonal") / wide + F.lit(i / 2)).alias("region"), F.col("row"), F.col("item_row")) for i in (0, 1)))
-    local = counted.withColumn("alignment", F.explode(regions)).groupBy("doc_id", "item_id", "windows", "alignment", "item_at").agg(
+    local = counted.withColumn("alignment", F.explode(regions)).groupBy("doc_id", "item_id", "named", "windows", "alignment", "item_at").agg(
         F.max_by(F.struct("h", "item_slots", "slots"), F.struct("on", -F.col("diagonal"))).alias("p")
     )
-    whole = placed.where("first").select("doc_id", "item_id", "windows", F.lit(None).cast(local.schema["alignment"].dataType).alias("alignment"), "h", "item_slots", "slots")
-    return local.select("doc_id", "item_id", "windows", "alignment", "p.*").unionByName(whole)
+    whole = placed.where("first").select("doc_id", "item_id", "named", "windows", F.lit(None).cast(local.schema["alignment"].dataType).alias("alignment"), "h", "item_slots", "slots")
+    return local.select("doc_id", "item_id", "named", "windows", "alignment", "p.*").unionByName(whole)
 
 
 def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, windows (of the item), matched, similarity, slots, consistency, changed (slots with another value) of the held items."""
     item = slotted(items.select("item_id", "text"), "item_id").distinct()
-    first = F.struct("row", "at") == F.min(F.struct("row", "at")).over(Window.partitionBy("h", "item_id"))
-    known = item.select("h", "item_id", F.col("row").alias("item_row"), F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), first.alias("first"))
+    first = F.struct("row", "at") == F.min(F.struct("row", "at")).over(Window.partitionBy("h", "item_id", "named"))
+    known = item.select("h", "item_id", "named", F.col("row").alias("item_row"), F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), first.alias("first"))
     known = common.written(known, "benchmark-windows")
-    sizes = known.groupBy("item_id").agg(F.count_distinct("h").alias("windows"))
-
-    found = docs.select("doc_id", F.explode(window_hashes(forms(F.col("text")))).alias("h"))
-    hits = found.join(small(known.where("first").select("h", "item_id")), "h").groupBy("doc_id", "item_id", "h").agg(F.count(F.lit(1)).alias("n"))
-    matched = hits.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("matched"))
-    similar = matched.join(small(sizes), "item_id").withColumn("similarity", F.col("matched") / F.col("windows"))
+    sizes = known.groupBy("item_id", "named").agg(F.count_distinct("h").alias("windows"))
+
+    # a window without names has the same hash in both forms
+    hashes = F.array_union(*(window_hashes(forms(F.col("text"), n)) for n in (True, False)))
+    found = docs.select("doc_id", F.explode(hashes).alias("h"))
+    hits = found.join(small(known.where("first").select("h", "item_id", "named")), "h").groupBy("doc_id", "item_id", "named", "h").agg(F.count(F.lit(1)).alias("n"))
+    matched = hits.groupBy("doc_id", "item_id", "named").agg(F.count(F.lit(1)).alias("matched"))
+    similar = matched.join(small(sizes), ["item_id", "named"]).withColumn("similarity", F.col("matched") / F.col("windows"))
     held = common.written(similar.where(F.col("similarity") >= SIMILARITY), "benchmark-held")
 
     # the words of the documents that hold an item are looked at again, for their slots
-    owners = held.select(F.col("doc_id").alias("owner"), F.col("item_id").alias("held_item"), "windows")
+    owners = held.select(F.col("doc_id").alias("owner"), F.col("item_id").alias("held_item"), F.col("named").alias("held_named"), "windows")
     again = docs.select("doc_id", "text").join(small(owners.select("owner").distinct()), F.col("doc_id").eqNullSafe(F.col("owner")), "left_semi")
-    placed = slotted(again, "doc_id").distinct().join(small(known), "h")
-    placed = placed.join(small(owners), F.col("doc_id").eqNullSafe(F.col("owner")) & F.col("item_id").eqNullSafe(F.col("held_item")))
-    aligned_windows = alignments(placed)
+    placed = slotted(again, "doc_id").distinct().join(small(known), ["h", "named"])
+    same = F.col("doc_id").eqNullSafe(F.col("owner")) & F.col("item_id").eqNullSafe(F.col("held_item")) & (F.col("named") == F.col("held_named"))
+    aligned_windows = alignments(placed.join(small(owners), same))
     covers = F.col("alignment").isNull() | (F.count_distinct("h") >= SIMILARITY * F.col("windows"))
     pair = F.explode_outer(F.arrays_zip("item_slots", F.col("slots").alias("doc_slots")))
-    each = aligned_windows.select("doc_id", "item_id", "windows", "alignment", "h", pair.alias("p")).select("doc_id", "item_id", "windows", "alignment", "h", "p.*")
+    keys = ["doc_id", "item_id", "named", "windows", "alignment"]
+    each = aligned_windows.select(*keys, "h", pair.alias("p")).select(*keys, "h", "p.*")
     pairs = F.count_distinct(F.when(F.col("item_slots").isNotNull(), F.struct("item_slots", "doc_slots")))
-    judged = each.groupBy("doc_id", "item_id", "windows", "alignment").agg(
+    judged = each.groupBy(*keys).agg(
         covers.alias("covers"),
         F.count_distinct("item_slots").alias("slots"),
         F.coalesce(F.try_divide(F.count_distinct("item_slots"), pairs), F.lit(1.0)).alias("consistency"),
         F.count_distinct(F.when(F.col("item_slots") != F.col("doc_slots"), F.col("item_slots"))).alias("changed"),
     )
     best = F.max(F.struct("consistency", (-F.col("changed")).alias("same"), "slots", "changed")).alias("best")
-    checked = judged.where("covers").groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")
-    same = held["doc_id"].eqNullSafe(checked["doc_id"]) & held["item_id"].eqNullSafe(checked["item_id"])
-    return held.join(checked, same, "left").select(
-        held["doc_id"], held["item_id"], "windows", "matched", "similarity",
+    checked = judged.where("covers").groupBy("doc_id", "item_id", "named").agg(best).select("doc_id", "item_id", "named", "best.*")
+    same = held["doc_id"].eqNullSafe(checked["doc_id"]) & held["item_id"].eqNullSafe(checked["item_id"]) & (held["named"] == checked["named"])
+    both = held.join(checked, same, "left").select(
+        held["doc_id"], held["item_id"], held["named"], "windows", "matched", "similarity",
         F.coalesce("slots", F.lit(0)).alias("slots"), F.coalesce("consistency", F.lit(1.0)).alias("consistency"), F.coalesce("changed", F.lit(0)).alias("changed"),
     ).where(F.col("consistency") >= CONSISTENCY)
+    # of the two forms, the one of the better similarity
+    better = F.max_by(F.struct("windows", "matched", "similarity", "slots", "consistency", "changed"), F.struct("similarity", "named")).alias("better")
+    return both.groupBy("doc_id", "item_id").agg(better).select("doc_id", "item_id", "better.*")
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:

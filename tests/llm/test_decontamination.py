@@ -36,6 +36,14 @@ def test_one_consistent_alignment_is_enough(spark):
     assert all(got[k]["consistency"] == 1 and got[k]["changed"] == 0 for k in ((1, 0), (2, 1), (3, 1)))
 
 
+def test_copies_in_other_case_or_wrapped_anew_are_found(spark):
+    wrapped = ITEM.replace(" Maria", "\nMaria")
+    docs = [(1, ITEM.lower()), (2, ITEM.upper()), (3, wrapped), (4, ITEM.replace(" Maria", "  Maria")), (5, "so " + ITEM.replace("12 kg", "7\nkg").lower())]
+    got = run(spark, docs, [(0, ITEM)])
+    assert set(got) == {(i, 0) for i in range(1, 6)}
+    assert all(r["similarity"] == 1 for r in got.values())
+
+
 def test_short_items_and_empty_tables(spark):
     assert set(run(spark, [(1, "three short words"), (2, "three short words more")], [(0, "Three short words!")])) == {(1, 0)}
     assert run(spark, [], [(0, ITEM)]) == {} and run(spark, [(1, ITEM)], []) == {}
