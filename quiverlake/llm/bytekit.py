@@ -1,7 +1,9 @@
 """Numpy kernels over blocks of UTF-8 texts: words, lines and windows as byte ranges with 64-bit content hashes.
 
 A block is one byte buffer in which every document is followed by one line feed, so no word or window hash can span documents.
-Hashes are polynomials modulo 2**64 over random byte values, finished by a mixer; equal hashes are taken as equal contents.
+Hashes are two polynomials over random byte values, one modulo 2**64 and one modulo the prime 2**31 - 1, mixed into 64 bits: contents
+built to collide in the first (Thue-Morse words do, whatever the base) differ in the second. Equal hashes are taken as equal contents.
+A block's arrays take up to 50 bytes a text byte, so the longest single text bounds a worker's memory: 10 MB of text need 0.5 GB.
 """
 
 from __future__ import annotations
@@ -14,6 +16,9 @@ import pyarrow.compute as pc
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BYTE_VALUE = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
+PRIME = np.uint64((1 << 31) - 1)
+BASE31 = 0x2C1B3C6D
+VALUE31 = np.random.default_rng(20240608).integers(1, 2**31 - 1, 256, dtype=np.uint64)
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -31,6 +36,25 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def fold31(x: np.ndarray) -> np.ndarray:
+    """x modulo 2**31 - 1, for any x below 2**63."""
+    x = (x & PRIME) + (x >> np.uint64(31))
+    x = (x & PRIME) + (x >> np.uint64(31))
+    return np.where(x >= PRIME, x - PRIME, x)
+
+
+@lru_cache(maxsize=2)
+def _powers31(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of BASE31 and of its inverse modulo 2**31 - 1, by doubling."""
+    out = []
+    for base in (BASE31, pow(BASE31, -1, int(PRIME))):
+        x = np.ones(1 << bits, np.uint64)
+        for k in range(bits):
+            x[1 << k : 2 << k] = fold31(x[: 1 << k] * np.uint64(pow(base, 1 << k, int(PRIME))))
+        out.append(x.astype(np.uint32))
+    return out[0], out[1]
+
+
 @lru_cache(maxsize=2)
 def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
     n = 1 << bits
@@ -62,6 +86,7 @@ class Block:
         self.data = data
         self.sizes = self.ends - self.starts
         self._prefix: np.ndarray | None = None
+        self._prefix31: np.ndarray | None = None
 
     @property
     def prefix(self) -> np.ndarray:
@@ -70,14 +95,29 @@ class Block:
             np.cumsum(BYTE_VALUE[self.data] * self._up()[0][: len(self.data)], out=self._prefix[1:])
         return self._prefix
 
+    @property
+    def prefix31(self) -> np.ndarray:
+        if self._prefix31 is None:
+            self._prefix31 = np.zeros(len(self.data) + 1, np.uint64)
+            np.cumsum(fold31(VALUE31[self.data] * _powers31(self._bits())[0][: len(self.data)]), out=self._prefix31[1:])
+        return self._prefix31
+
+    def _bits(self) -> int:
+        return max(20, int(len(self.data)).bit_length())
+
     def _up(self) -> tuple[np.ndarray, np.ndarray]:
-        return _powers(max(20, int(len(self.data)).bit_length()))
+        return _powers(self._bits())
 
-    def span_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """A hash of the bytes in each [start, end)."""
+    def quick_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """A hash of the bytes in each [start, end), for choices that need no protection against contents built to collide."""
         h = (self.prefix[end] - self.prefix[start]) * self._up()[1][start]
         return mix(h ^ ((end - start).astype(np.uint64) << np.uint64(48)))
 
+    def span_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """A hash of the bytes in each [start, end)."""
+        other = fold31(fold31(self.prefix31[end] - self.prefix31[start]) * _powers31(self._bits())[1][start])
+        return mix(self.quick_hash(start, end) + other * BASE)
+
     def document_of(self, position: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.ends, position, side="left")
 

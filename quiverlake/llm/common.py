@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import gc
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -15,7 +17,11 @@ from pyspark.sql import functions as F
 #: Text bytes handled at once by the numpy kernels: bounds a Python worker's memory (a longer document is a block by itself).
 BLOCK_BYTES = 1 << 20
 
+#: Text bytes that one bucket or one group of chunks should hold in the lookups of ``exchange``: their number follows the input.
+SHARE_BYTES = 16 << 20
+
 _scratch: list[tuple[SparkSession, str]] = []
+_local_dirs: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,21 +29,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``; a temporary folder only where that is unset (local tests)."""
+    """The folder all executors share, from ``spark.checkpoint.dir``. Where that is unset, a local session gets a temporary one (tests);
+    a cluster gets an error, since no folder of one machine would do."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="quiverlake-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    if found:
+        return found
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if context.applicationId not in _local_dirs:
+        _local_dirs[context.applicationId] = tempfile.mkdtemp(prefix="quiverlake-")
+    return _local_dirs[context.applicationId]
+
 
+def written(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+    """Cuts lineage: writes ``df`` as Parquet in the shared folder and reads it back, so a lost executor loses nothing.
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Cuts lineage: writes ``df`` as Parquet in the shared folder and reads it back, so a lost executor loses nothing."""
+    ``by``: a column whose values become folders of their own, which ``dropped`` can remove one by one.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/quiverlake/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(by) if by else writer).parquet(path)
     _scratch.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def dropped(table: DataFrame, folder: str = "") -> None:
+    """Removes a written table, or one folder of it, that no later step reads; and lets Spark clean the shuffles of finished steps."""
+    spark = table.sparkSession
+    delete(spark, f"{table.scratch_path}/{folder}" if folder else table.scratch_path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def release_scratch() -> None:
@@ -45,16 +75,22 @@ def release_scratch() -> None:
     while _scratch:
         spark, path = _scratch.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            delete(spark, path)
         except Exception:  # noqa: BLE001 - the session may already be stopped at exit
-            return
+            break
+    while _local_dirs:
+        shutil.rmtree(_local_dirs.popitem()[1], ignore_errors=True)
 
 
 atexit.register(release_scratch)
 
 
+def shares(docs: DataFrame, column: str = "text", per: int = SHARE_BYTES) -> int:
+    """How many shares of ``per`` bytes all values of ``column`` make; at least the session's shuffle partitions."""
+    total = docs.agg(F.sum(F.octet_length(F.col(column)).cast("long"))).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // per))
+
+
 def fold(doc_id: str | Column, mod: int, remainder: int) -> Column:
     """True for rows whose crc32(doc_id as text) mod ``mod`` is ``remainder``; a null id is in no such fold."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id
@@ -62,8 +98,19 @@ def fold(doc_id: str | Column, mod: int, remainder: int) -> Column:
 
 
 def bounded_rows(df: DataFrame, key: str, bound: int, seed: int) -> DataFrame:
-    """At most ``bound`` rows in the order of a seeded hash of ``key``: the same rows however the data are partitioned."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), F.col(key)).limit(bound)
+    """At most ``bound`` rows in the order of a seeded hash of ``key``: the same rows however the data are partitioned.
+
+    ``key`` has distinct values. Rows beyond a hash that some twice ``bound`` rows lie below are left out first, so that tasks sort
+    and send their share of the bound and not each the whole of it.
+    """
+    hashed = df.withColumn("_order", F.xxhash64(F.lit(seed), F.col(key)))
+    n = df.count()
+    least, most = -(1 << 63), (1 << 63) - 1
+    below = hashed
+    if n > 4 * bound:
+        cut = least + int(2 * (bound + 100) / n * (1 << 64))
+        below = hashed.where(F.col("_order") <= min(cut, most))
+    return below.orderBy("_order", F.col(key)).limit(bound).drop("_order")
 
 
 def labelled_sample(labels: DataFrame, column: str, keep: Column, bound: int, seed: int) -> list[tuple[int, int]]:
