@@ -1,60 +1,5 @@
-"""The corpus pipeline: toxicity, near-duplicates, benchmark decontamination, personal data, SentencePiece encoding.
+"""The corpus pipeline of ``quiverlake.llm.pipeline``: its stages, its run and its SQL, by the names the driver looks for."""
 
-Each stage takes (spark, docs, sf_dir) and works on all documents its predecessor kept; all but the last return the columns of
-``documents``. Between stages the documents are written as Parquet in the shared folder and read again.
-"""
+from quiverlake.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-
-from quiverlake.llm import common, decontamination, near_copies, pieces, pii, simhash, toxicity
-from quiverlake.session import ship_code
-
-
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity operator does not reject."""
-    return toxicity.without_toxic(docs, common.table(ship_code(spark), sf_dir, "labels"), common.fold("doc_id", 3, 1))
-
-
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts linked by a Jaccard similarity of 0.8 or more of their five-word shingles, the one of the smallest doc_id."""
-    ship_code(spark)
-    return simhash.representatives(docs, near_copies.kept_ids(docs))
-
-
-def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    return decontamination.clean(docs, common.table(spark, sf_dir, "benchmark"))
-
-
-def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data replaced by the name of its kind."""
-    ship_code(spark)
-    return pii.redact(docs)
-
-
-def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, pieces and the round trip of every document."""
-    ship_code(spark)
-    return pieces.encode(docs)
-
-
-STAGES = [
-    ("toxicity", drop_toxic),
-    ("near_duplicates", drop_near_duplicates),
-    ("decontamination", drop_contaminated),
-    ("personal_data", redact_personal_data),
-    ("sentencepiece", encode_pieces),
-]
-
-#: SQL cannot express trained classifiers, bit-sliced linking or sampling; the stages are tested against brute force instead.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage over the whole documents table."""
-    docs = common.table(ship_code(spark), sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = common.written(stage(spark, docs, sf_dir), f"stage-{name}")
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]

@@ -4,15 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language, pieces, pii, pitman_yor, quality_ranker, quality_rules, simhash, suffix_dedup, toxicity
+from . import decontamination, language, pieces, pii, pipeline, pitman_yor, quality_ranker, quality_rules, simhash, suffix_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline.run,
         "op1_decontamination": decontamination.query,
         "op2_quality_ranker": quality_ranker.query,
         "op3_pitman_yor": pitman_yor.query,

@@ -1,13 +1,15 @@
 """Operator 8, SimHash near-duplicates: fingerprints of whole texts, linked by bit-sliced comparison, joined into components.
 
 Distinct fingerprints are cut into ``m`` blocks of bits; two that differ in at most RADIUS bits agree in ``m - RADIUS`` blocks at least,
-so every choice of that many blocks is a key and no link is lost. The fingerprints of a key are compared bit plane by bit plane: 64
-pairs share a word, carry-save adders count differing bits vertically, and words whose 64 pairs all exceed the radius are abandoned.
-A key with more than GROUP fingerprints is split into parts, and each pair of parts is a task of its own. A task returns a star for
-each of its local components, never all pairs; components of the whole come from alternating star contractions.
-
-Nulls: a null text has no words, so its fingerprint is zero, and all such texts link. A null doc_id gets the component of its
-fingerprint and is never the smallest id. Repeated rows stay. An empty table gives an empty result.
+so every choice of that many blocks is a key and no link is lost. The fingerprints of a task are stored vertically, as 64 bit planes in
+which a word holds one bit of 64 fingerprints. A fingerprint is compared with the words of its key's others: a plane is inverted where
+its own bit is set, carry-save adders count the differing bits of 64 lanes at once, and words in which every lane exceeds the radius are
+abandoned. A key with more than GROUP fingerprints is split into parts, and each pair of parts is a task of its own. A task returns a
+star for each of its local components, never all pairs; components of the whole come from alternating star contractions.
+
+Nulls: a null text has no words, so its fingerprint is zero, and all such texts link. Links are between fingerprints, so rows without
+doc_id link like any other; they are never the smallest id, and a component without any id has the component_id null. Repeated rows
+stay. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,11 +30,13 @@ from .bytekit import Block
 SHINGLE = 4
 SEED = 42
 RADIUS = 4
-#: Fingerprints of a key that one task compares with each other, and pairs held at once.
+#: Fingerprints of a key that one task compares with each other, and words of 64 lanes (or pairs) held at once.
 GROUP = 4096
 PAIRS_AT_ONCE = 1 << 19
 #: Planes added between two looks at which words are still alive.
 STRIDE = 9
+#: Fingerprints with more than this share (one in so many) of all rows are broadcast.
+HOT_KEYS = 10_000
 
 
 def fingerprints(block: Block) -> np.ndarray:
@@ -92,17 +96,26 @@ def planes(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(m.T)
 
 
-def within(a: np.ndarray, b: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """True for each pair (a[i], b[i]) that differs in at most ``radius`` (0 to 6) bits."""
-    n = len(a)
-    diff = planes(a ^ b)
-    words = diff.shape[1]
-    alive = np.arange(words)
-    low, mid, high, over = (np.zeros(words, np.uint64) for _ in range(4))
+ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
+
+
+def lanes(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Words with the lanes [lo, hi) set, lanes from the top bit down; lo and hi are cut to 0 to 64."""
+    below = lambda k: np.where(k >= 64, np.uint64(0), ALL >> np.clip(k, 0, 63).astype(np.uint64))
+    return below(lo) & ~below(hi)
+
+
+def near_lanes(vertical: np.ndarray, word: np.ndarray, own: np.ndarray, wanted: np.ndarray, radius: int = RADIUS) -> np.ndarray:
+    """For each comparison k the lanes of ``wanted[k]`` in which word ``word[k]`` of the planes differs from ``own[k]`` in at most ``radius`` (0 to 6) bits."""
+    result = np.zeros(len(word), np.uint64)
+    alive = np.flatnonzero(wanted)
+    low, mid, high, over = (np.zeros(len(alive), np.uint64) for _ in range(4))
+    near = wanted[alive]
     for at in range(0, 64, STRIDE):
+        w, mine = word[alive], own[alive]
         for p in range(at, min(at + STRIDE, 64), 3):
-            rows = [diff[q, alive] if q < 64 else np.uint64(0) for q in (p, p + 1, p + 2)]
-            x, y, z = rows
+            # a plane is inverted where the own bit is set: 0 - 1 has all bits
+            x, y, z = (vertical[q][w] ^ (np.uint64(0) - (mine >> np.uint64(63 - q) & np.uint64(1))) if q < 64 else np.uint64(0) for q in (p, p + 1, p + 2))
             half = x ^ y
             one, two = half ^ z, (x & y) | (half & z)
             carry = low & one
@@ -115,18 +128,38 @@ def within(a: np.ndarray, b: np.ndarray, radius: int = RADIUS) -> np.ndarray:
         bits = [low, mid, high]
         above, equal = over.copy(), ~over
         for k in (2, 1, 0):
-            limit = np.uint64(0xFFFFFFFFFFFFFFFF) if radius >> k & 1 else np.uint64(0)
+            limit = ALL if radius >> k & 1 else np.uint64(0)
             above |= equal & bits[k] & ~limit
             equal &= ~(bits[k] ^ limit)
-        going = np.flatnonzero(above != np.uint64(0xFFFFFFFFFFFFFFFF))
+        near = near & ~above
+        going = np.flatnonzero(near)
         if len(going) < len(alive):
-            alive, low, mid, high, over, above = alive[going], low[going], mid[going], high[going], over[going], above[going]
+            alive, low, mid, high, over, near = alive[going], low[going], mid[going], high[going], over[going], near[going]
         if not len(alive):
-            break
-    result = np.zeros(words, np.uint64)
-    if len(alive):
-        result[alive] = ~above
-    return np.unpackbits(result.astype(">u8").view(np.uint8))[:n].astype(bool)
+            return result
+    result[alive] = near
+    return result
+
+
+def near_pairs(fp: np.ndarray, begin: np.ndarray, stop: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs (i, j) with begin[i] <= j < stop[i] whose fingerprints differ in at most ``radius`` bits."""
+    vertical = planes(fp)
+    first = begin // 64
+    n = np.where(stop > begin, (stop - 1) // 64 - first + 1, 0)
+    at = np.concatenate(([0], np.cumsum(n)))
+    a, b = [], []
+    lo = 0
+    while lo < len(fp):
+        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + PAIRS_AT_ONCE, side="right")) - 1)
+        i = np.repeat(np.arange(lo, hi), n[lo:hi])
+        word = first[i] + np.arange(len(i)) - np.repeat(at[lo:hi] - at[lo], n[lo:hi])
+        near = near_lanes(vertical, word, fp[i], lanes(begin[i] - 64 * word, stop[i] - 64 * word), radius)
+        hit = np.flatnonzero(near)
+        k, lane = np.nonzero(np.unpackbits(near[hit].astype(">u8").view(np.uint8)).reshape(-1, 64))
+        a.append(i[hit][k])
+        b.append(64 * word[hit][k] + lane)
+        lo = hi
+    return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
 
 
 def stars(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -156,24 +189,20 @@ def local_pairs(size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def linked(batches: Iterator[pa.RecordBatch], radius: int = RADIUS) -> Iterator[pa.RecordBatch]:
-    """Rows (key, lo, hi, part, fp, rep) sorted by key, lo, hi -> star links (u, v), v < u, of each group's components."""
-
-    def solve(rows: list[np.ndarray]) -> pa.RecordBatch:
-        key, lo, hi, part, fp, rep = (np.concatenate(c) for c in zip(*rows, strict=True))
-        new = np.concatenate(([True], (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])))
-        edge = np.flatnonzero(new)
-        fp = fp.view(np.uint64)
-        a, b = [], []
-        for i, j in local_pairs(np.diff(np.append(edge, len(key)))):
-            fresh = (lo[i] == hi[i]) | (part[i] != part[j])
-            i, j = i[fresh], j[fresh]
-            near = within(fp[i], fp[j], radius) if len(i) else np.zeros(0, bool)
-            a.append(i[near])
-            b.append(j[near])
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
-        label = stars(rep, a, b)
-        moved = label < rep
-        return pa.RecordBatch.from_arrays([pa.array(rep[moved]), pa.array(label[moved])], ["u", "v"])
+    """Rows (key, lo, hi, part, fp) sorted by key, lo, hi, part -> star links (u, v), v < u, of each group's components."""
+
+    def solve(rows: list[list[np.ndarray]]) -> pa.RecordBatch:
+        key, lo, hi, part, fp = (np.concatenate(c) for c in zip(*rows, strict=True))
+        edge = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]))))
+        size = np.diff(np.append(edge, len(key)))
+        stop = np.repeat(edge + size, size)
+        # a part is compared with itself, or the first of two parts with the second, which begins behind it
+        second = np.repeat(edge + np.add.reduceat((part == lo).astype(np.int64), edge), size)
+        begin = np.where(lo == hi, np.arange(len(key)) + 1, np.where(part == lo, second, stop))
+        a, b = near_pairs(fp.view(np.uint64), begin, stop, radius)
+        label = stars(fp, a, b)
+        moved = label < fp
+        return pa.RecordBatch.from_arrays([pa.array(fp[moved]), pa.array(label[moved])], ["u", "v"])
 
     held: list[np.ndarray] = []
     total = 0
@@ -210,18 +239,18 @@ def keys(fp: Column, m: int, radius: int = RADIUS) -> Column:
     return F.array(*out)
 
 
-def links(reps: DataFrame, n: int) -> DataFrame:
-    """Star links (u, v) between representatives; reps: (fp, rep), one row for each of ``n`` distinct fingerprints."""
-    keyed = reps.withColumn("key", F.explode(keys(F.col("fp"), block_count(n))))
+def links(prints: DataFrame, n: int) -> DataFrame:
+    """Star links (u, v) between ``n`` distinct fingerprints; prints: fp."""
+    keyed = prints.select("fp", F.explode(keys(F.col("fp"), block_count(n))).alias("key"))
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     parts = F.ceil(F.col("n") / F.lit(GROUP))
     part = F.pmod(F.xxhash64(F.lit(8), "fp"), parts)
     tasks = (
         keyed.join(sizes, "key")
-        .select("key", "fp", "rep", part.alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("other"))
-        .select("key", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "fp", "rep")
+        .select("key", "fp", part.alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("other"))
+        .select("key", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "fp")
     )
-    return tasks.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(linked, "u long, v long")
+    return tasks.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "part").mapInArrow(linked, "u long, v long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -241,24 +270,27 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (signed long) and component_id of every row of ``docs``."""
-    table = common.written(fingerprinted(docs), "fingerprints")
-    reps = common.written(table.groupBy("fp").agg(F.min("doc_id").alias("rep")).where("rep is not null"), "representatives")
-    roots = components(links(reps, reps.count()))
-    named = reps.join(roots, reps["rep"] == roots["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    return table.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+def with_hot_keys(rows: DataFrame, named: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` with the columns of ``named``, one row for each value of ``key`` and ``n``, how many rows have it.
 
+    Keys of more than a HOT_KEYS-th of all rows, so HOT_KEYS of them at most, are broadcast; only rows of the others are shuffled.
+    """
+    hot = F.col("n") > F.lit(max(total // HOT_KEYS, 1))
+    added = [c for c in named.columns if c not in (key, "n")]
+    tagged = rows.join(F.broadcast(named.where(hot).drop("n").withColumn("_hot", F.lit(True))), key, "left")
+    cold = tagged.where("_hot is null").drop("_hot", *added).join(named.where(~hot).drop("n"), key)
+    return tagged.where("_hot").drop("_hot").unionByName(cold)
 
-def representatives(docs: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
-    """``docs`` with one row of each component: a row whose doc_id is the component's, or of rows without doc_id each one.
 
-    ``chosen``: the components' doc_ids, by default those of ``near_duplicates``.
-    """
-    if chosen is None:
-        chosen = near_duplicates(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, fp (signed long) and component_id of every row of ``docs``."""
+    table = common.written(fingerprinted(docs), "fingerprints")
+    prints = common.written(table.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "distinct-fingerprints")
+    distinct, total = prints.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    roots = components(links(prints, distinct))
+    rooted = common.written(prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "n", "least", F.coalesce("root", "fp").alias("root")), "roots")
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return with_hot_keys(table, rooted.drop("least").join(least, "root").drop("root"), "fp", total).select("doc_id", "fp", "component_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
