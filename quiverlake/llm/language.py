@@ -4,10 +4,13 @@ Document frequencies come from every training text; the weights from a bounded s
 elastic-net penalties; a temperature fitted on the sample's last fifth calibrates the probabilities.
 
 Nulls: a null text, or one without a letter, is ``und`` with score 0. A null language is no label; without labels all texts are ``und``.
+Rows without doc_id are training rows like any other and get a prediction each; repeated rows stay, and are learned from once. What the
+driver collects is bounded by LANGUAGE_BOUND times the number of languages.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +25,7 @@ BITS = 15
 ORDERS = (1, 2, 3)
 #: Bound on the documents of each language in the sample; FTRL's rate, stabiliser, L1 and L2 penalties and passes.
 LANGUAGE_BOUND = 800
-ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.02, 0.5, 3
+ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.02, 0.005, 3
 UNKNOWN = "und"
 
 OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
@@ -49,7 +52,11 @@ def counts(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         for i in range(order):
             h = (h ^ points[i : n + i]) * np.uint32(0x01000193) + np.uint32(0x9E3779B9)
         keys.append((h * np.uint32(2654435761)) >> np.uint32(32 - BITS))
-    total = np.bincount(np.concatenate(keys), minlength=1 << BITS) if keys else np.zeros(1 << BITS, np.int64)
+    every = np.concatenate(keys) if keys else np.zeros(0, np.uint32)
+    if len(every) < 1 << (BITS - 3):
+        used, n = np.unique(every, return_counts=True)
+        return used.astype(np.int64), n
+    total = np.bincount(every, minlength=1 << BITS)
     used = np.flatnonzero(total)
     return used, total[used]
 
@@ -91,7 +98,7 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int) -> np.nda
 
     def weights(at: np.ndarray | slice) -> np.ndarray:
         zi = z[at]
-        return np.where(np.abs(zi) <= L1, 0.0, -(zi - np.sign(zi) * L1) / ((BETA + np.sqrt(n[at])) / ALPHA + L2 * 0.01))
+        return np.where(np.abs(zi) <= L1, 0.0, -(zi - np.sign(zi) * L1) / ((BETA + np.sqrt(n[at])) / ALPHA + L2))
 
     order = np.random.default_rng(9)
     for _ in range(EPOCHS):
@@ -144,13 +151,14 @@ def fit(training: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray, float]:
         for batch, i, points in texts_of(batches):
             at, x = vector(points, idf)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(i, 1), pa.array([code[batch.column("lang")[i].as_py()]], pa.int32()), pa.array([at.astype(np.int32).tobytes()]), pa.array([x.astype(np.float32).tobytes()])], ["doc_id", "y", "at", "x"]
+                [pa.array([code[batch.column("lang")[i].as_py()]], pa.int32()), pa.array([at.astype(np.int32).tobytes()]), pa.array([x.astype(np.float32).tobytes()])], ["y", "at", "x"]
             )
 
-    picked = known.where(F.pmod(F.xxhash64(F.lit(9), F.col("doc_id")), F.lit(1 << 20)) < share[F.col("lang")])
-    found = picked.select("doc_id", "lang", "text").mapInArrow(sparse, "doc_id long, y int, at binary, x binary").collect()
-    found.sort(key=lambda r: (hash((r[0], 1)) & 0xFFFF, r[0]))
-    rows = [(np.frombuffer(r[2], np.int32), np.frombuffer(r[3], np.float32).astype(float), r[1]) for r in found]
+    # repeated rows, and copies of one text, are one row of the sample; its order is that of a digest, whatever the ids
+    picked = known.where(F.pmod(F.xxhash64(F.lit(9), "doc_id", "text"), F.lit(1 << 20)) < share[F.col("lang")])
+    found = picked.select("lang", "text").mapInArrow(sparse, "y int, at binary, x binary").distinct().collect()
+    found.sort(key=lambda r: hashlib.md5(b"%d %b %b" % (r[0], r[1], r[2])).digest())
+    rows = [(np.frombuffer(r[1], np.int32), np.frombuffer(r[2], np.float32).astype(float), r[0]) for r in found]
     cut = max(1, len(rows) * 4 // 5)
     w = ftrl(rows[:cut], len(languages))
     return languages, idf, w, temperature(rows[cut:], w)

@@ -1,8 +1,12 @@
 """Held-out accuracy, edge cases and independence of partitions of the three trained classifiers."""
 
+import math
 import zlib
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from quiverlake.llm import common, language, quality_ranker, toxicity
@@ -102,6 +106,63 @@ def test_language_without_training(spark, corpus):
     assert language.identify(docs.limit(0), common.fold("doc_id", 3, 1)).count() == 0
 
 
+def test_language_takes_rows_without_id(spark, corpus):
+    docs, _ = corpus
+    more = docs.unionByName(docs.where("doc_id < 40").withColumn("doc_id", F.lit(None).cast("long")))
+    rows = language.identify(more, common.fold("doc_id", 3, 1)).collect()
+    assert len(rows) == more.count() and not any(r["held_out"] for r in rows if r["doc_id"] is None)
+
+
+def test_tf_idf_against_plain_counts():
+    texts = ["The café, 12!", "", "aaa", None]
+    points, at = language.code_points(pa.array(texts))
+    idf = np.random.default_rng(0).random(1 << language.BITS) + 0.5
+    for k, text in enumerate(texts):
+        plain = "".join(c if c.isalpha() else " " for c in (text or "").lower())
+        grams = Counter(plain[i : i + n] for n in language.ORDERS for i in range(len(plain) - n + 1))
+        want = {}
+        for g, n in grams.items():
+            used, _ = language.counts(np.array([ord(c) for c in g], np.uint32))
+            h = np.uint32(len(g))
+            for c in g:
+                h = np.uint32(((int(h) ^ ord(c)) * 0x01000193 + 0x9E3779B9) & 0xFFFFFFFF)
+            bucket = ((int(h) * 2654435761) & 0xFFFFFFFF) >> (32 - language.BITS)
+            assert bucket in used
+            want[bucket] = want.get(bucket, 0) + n
+        want = {b: math.log1p(n) * idf[b] for b, n in want.items()}
+        norm = math.sqrt(sum(v * v for v in want.values())) or 1
+        used, x = language.vector(points[at[k] : at[k + 1]], idf)
+        assert dict(zip(used.tolist(), x.tolist(), strict=True)) == pytest.approx({b: v / norm for b, v in want.items()})
+
+
+def test_ftrl_against_plain_updates():
+    rng = np.random.default_rng(2)
+    rows = [(np.sort(rng.choice(30, 5, replace=False)), rng.random(5), int(rng.integers(3))) for _ in range(40)]
+    got = language.ftrl(rows, 3)
+    z, n, order = {}, {}, np.random.default_rng(9)
+
+    def weight(key):
+        if abs(z.get(key, 0)) <= language.L1:
+            return 0.0
+        sign = 1 if z[key] > 0 else -1
+        return -(z[key] - sign * language.L1) / ((language.BETA + math.sqrt(n[key])) / language.ALPHA + language.L2)
+
+    for _ in range(language.EPOCHS):
+        for r in order.permutation(len(rows)):
+            at, x, y = rows[r]
+            items = [*zip(at.tolist(), x.tolist(), strict=True), (1 << language.BITS, 0.3)]
+            w = {(i, c): weight((i, c)) for i, _ in items for c in range(3)}
+            e = [math.exp(sum(v * w[i, c] for i, v in items)) for c in range(3)]
+            for i, v in items:
+                for c in range(3):
+                    g = v * (e[c] / sum(e) - (c == y))
+                    before = n.get((i, c), 0.0)
+                    n[i, c] = before + g * g
+                    z[i, c] = z.get((i, c), 0.0) + g - (math.sqrt(n[i, c]) - math.sqrt(before)) / language.ALPHA * w[i, c]
+    for i in [*range(30), 1 << language.BITS]:
+        assert got[i] == pytest.approx([weight((i, c)) for c in range(3)], abs=1e-9)
+
+
 def test_temperature_calibrates():
     rows = [(np.array([0]), np.array([1.0]), int(i % 4 == 0)) for i in range(400)]
     w = np.zeros(((1 << language.BITS) + 1, 2))
