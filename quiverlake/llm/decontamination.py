@@ -9,10 +9,11 @@ values per distinct replacement pair, at least). An alignment pairs each place o
 
 Plan: DataFrame functions only. Documents are exploded to window hashes and joined with the benchmark's windows; those that hold an item
 are read again for their slots. A side is broadcast only if it is counted to have at most BROADCAST_ROWS rows; else the join shuffles
-both sides. A frequent window meets no shuffle of its own: counts are aggregated per task first.
+both sides by window, where the adaptive plan splits a frequent window's rows over several tasks.
 
 Nulls: null or empty texts hold nothing and items without a word are found nowhere. Rows with one doc_id are judged together, a null
-doc_id like any other; items with the same text are each reported. An empty table gives no rows.
+doc_id like any other, and so are items with one item_id, null or not; items with the same text are each reported. Repeated rows count
+once. Very long texts are cut into windows like any other. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -118,7 +119,8 @@ def alignments(placed: DataFrame) -> DataFrame:
 
 def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, windows (of the item), matched, similarity, slots, consistency, changed (slots with another value) of the held items."""
-    item = slotted(items.select("item_id", "text"), "item_id").distinct()
+    # in a struct, a null item_id equals itself in joins
+    item = slotted(items.select(F.struct("item_id").alias("item_id"), "text"), "item_id").distinct()
     first = F.struct("row", "at") == F.min(F.struct("row", "at")).over(Window.partitionBy("h", "item_id", "named"))
     known = item.select("h", "item_id", "named", F.col("row").alias("item_row"), F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), first.alias("first"))
     known = common.written(known, "benchmark-windows")
@@ -158,13 +160,13 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     ).where(F.col("consistency") >= CONSISTENCY)
     # of the two forms, the one of the better similarity
     better = F.max_by(F.struct("windows", "matched", "similarity", "slots", "consistency", "changed"), F.struct("similarity", "named")).alias("better")
-    return both.groupBy("doc_id", "item_id").agg(better).select("doc_id", "item_id", "better.*")
+    return both.groupBy("doc_id", "item_id").agg(better).select("doc_id", "item_id.item_id", "better.*")
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``docs`` without the documents that hold an item."""
-    held = common.written(matches(docs, items).select(F.col("doc_id").alias("_holder")).distinct(), "benchmark-holders")
-    return docs.join(small(held), F.col("doc_id").eqNullSafe(F.col("_holder")), "left_anti").select(*docs.columns)
+    held = small(common.written(matches(docs, items).select(F.col("doc_id").alias("holder")).distinct(), "benchmark-holders"))
+    return docs.join(held, docs["doc_id"].eqNullSafe(held["holder"]), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

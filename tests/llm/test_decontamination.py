@@ -60,3 +60,16 @@ def test_clean_keeps_columns(spark):
     docs = spark.createDataFrame([(1, ITEM, "a"), (2, "other", "b")], "doc_id long, text string, h string")
     items = spark.createDataFrame([(0, ITEM)], "item_id long, text string")
     assert d.clean(docs, items).collect() == [(2, "other", "b")]
+
+
+def test_several_changed_copies_and_items_without_id(spark):
+    variants = [ITEM.replace("Maria", n).replace("12", str(k)).replace("30", str(k + 1)).replace("4 kg", f"{k + 2} lb") for n, k in (("Peter", 51), ("Anna", 71), ("Otto", 91))]
+    docs = [(1, " Then ".join(variants)), (2, " Then ".join([ITEM, *variants])), (3, ITEM), (3, ITEM), (4, "word " * 20_000 + ITEM + " word" * 20_000), (5, "nothing " * 50)]
+    got = run(spark, docs, [(None, ITEM), (1, "quite another item of seven words here")])
+    assert set(got) == {(i, None) for i in (1, 2, 3, 4)}
+    assert all(got[i, None]["consistency"] == 1 for i in (2, 3, 4)) and got[1, None]["consistency"] >= d.CONSISTENCY
+
+
+def test_holders_column_of_the_input_is_no_clash(spark):
+    docs = spark.createDataFrame([(1, ITEM, "a", 1), (2, "other", "b", 2)], "doc_id long, text string, holder string, _holder int")
+    assert d.clean(docs, spark.createDataFrame([(0, ITEM)], "item_id long, text string")).collect() == [(2, "other", "b", 2)]
