@@ -5,12 +5,13 @@ hash of its GRAM-byte strings is an anchor, so equal strings have anchors at equ
 occur at one place only are left out first. A chunk of documents sorts its anchors' contexts (LENGTH bytes to the right, then those
 that a string around the anchor may have to the left), front-codes each sorted run and sends it to the bucket of the anchor's
 GRAM bytes. A bucket merges its runs with a loser tree whose nodes keep the common prefix with the last suffix put out, so that known
-prefixes are never compared again. From the merged order's common prefixes (to the right) and hashes of growing left contexts follows,
+prefixes are never compared again. From the merged order's common prefixes (to the right) and those of the sorted left contexts follows,
 for every offset of the string around the anchor, whether it occurs elsewhere; the answers go back to the chunks, which cut the bytes.
 
 Equal contexts are one record a chunk, with their number. An anchor whose GRAM bytes are in more than HOT records all over would still
 make one large bucket, as its contexts differ outside the shared passage: the strings around such anchors are counted by their hashes,
-spread over all buckets. Both ways are exact but for collisions of 64-bit hashes.
+spread over all buckets. This is the exact way for hot groups, not a cut; both ways give the same result but for collisions of 64-bit
+hashes. The number of buckets follows the bytes of the texts, so a task's share does not grow with the input.
 
 Nulls: a null text is empty. Texts under LENGTH bytes keep everything. Repeated rows are two documents with the same text: both lose
 all bytes if long enough. Texts need not be unique by doc_id, and a null doc_id stays null.
@@ -53,7 +54,7 @@ def anchors(block: Block) -> tuple[np.ndarray, np.ndarray]:
     if n < LENGTH or not (block.sizes >= LENGTH).any():
         return np.zeros(0, np.uint32), np.zeros(0, np.uint64)
     position = np.arange(n - GRAM + 1)
-    h = block.span_hash(position, position + GRAM)
+    h = block.quick_hash(position, position + GRAM)
     low = (h & np.uint64(0xFFFFFFFF00000000)) | position.astype(np.uint64)
     width = 1
     while 2 * width <= PLACES:
@@ -65,7 +66,7 @@ def anchors(block: Block) -> tuple[np.ndarray, np.ndarray]:
     np.add.at(valid, block.starts[long], 1)
     np.add.at(valid, block.ends[long] - LENGTH + 1, -1)
     chosen = np.unique((low[np.cumsum(valid)[: n - LENGTH + 1] > 0] & np.uint64(0xFFFFFFFF)).astype(np.uint32))
-    return chosen, h[chosen]
+    return chosen, block.span_hash(chosen.astype(np.int64), chosen.astype(np.int64) + GRAM)
 
 
 def by_bucket(hashes: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -262,15 +263,19 @@ def extents(keys: np.ndarray, shared: np.ndarray, number: np.ndarray) -> tuple[n
     n = len(keys)
     most, least = np.zeros(n, np.uint8), np.full(n, 255, np.uint8)
     right, left = keys[:, -2].astype(np.int64), keys[:, -1].astype(np.int64)
-    h = np.zeros(n, np.uint64)
+    # the left contexts in order, with the common prefix of each with the one before: equal ones are neighbours
+    context = np.ascontiguousarray(keys[:, LENGTH : LENGTH + LEFT])
+    order = np.argsort(context.view(f"V{LEFT}").reshape(-1), kind="stable") if n else np.zeros(0, np.int64)
+    unlike = context[order][1:] != context[order][:-1]
+    same = np.concatenate(([0], np.where(unlike.any(axis=1), unlike.argmax(axis=1), LEFT)))[:n]
+    before = np.empty(n, np.int64)
     for j in range(LEFT + 1):
-        if j:
-            h = h * BASE + keys[:, LENGTH + j - 1].astype(np.uint64) + np.uint64(1)
         fits = (left >= j) & (right >= LENGTH - j)
         if not fits.any():
             continue
-        group = np.cumsum(shared < LENGTH - j).astype(np.uint64)
-        _, inverse = np.unique(mix(h + mix(group))[fits], return_inverse=True)
+        before[order] = np.cumsum(same < j)
+        pair = np.cumsum(shared < LENGTH - j) * (n + 1) + before
+        _, inverse = np.unique(pair[fits], return_inverse=True)
         again = np.zeros(n, bool)
         again[fits] = np.bincount(inverse, weights=number[fits])[inverse] > 1
         most[again] = j
@@ -327,7 +332,7 @@ def finished(rows: list[tuple[int, bytes]], buckets: int) -> pa.RecordBatch:
 
 def dedup(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs``."""
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = common.shares(docs)
     table = common.written(chunked(docs, buckets), "suffix-chunks")
     own = table.where("bucket < 0")
     answers = common.written(grouped(table.where("bucket >= 0"), "bucket", buckets, counted, PACKED), "suffix-anchors")
