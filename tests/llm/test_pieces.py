@@ -79,5 +79,7 @@ def test_rows_are_reproducible_and_lossless(spark):
     assert len(a) == len(rows) and p.encode(docs).where("not lossless").count() == 0
     back = sorted((str(r["doc_id"]), str(r["text"])) for r in p.decode(p.encode(docs)).collect())
     assert back == sorted((str(i), str(t)) for i, t, _ in rows)
-    assert len({str(r["pieces"]) for r in p.encode(docs.where("doc_id < 2")).collect()}) >= 1
+    long = spark.createDataFrame([(i, "several words of one text " * 20) for i in (0, 1, 1)], "doc_id long, text string")
+    drawn = [(r["doc_id"], str(r["pieces"])) for r in p.encode(long).collect()]
+    assert len(set(drawn)) == 2 and len({x for _, x in drawn}) == 2
     assert p.encode(docs.limit(0)).count() == 0
