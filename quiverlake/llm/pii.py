@@ -1,18 +1,26 @@
 """Operator 10, personal data: candidate spans from high-recall generators, boosted trees over format and context, calibrated thresholds.
 
 Base spans (e-mail addresses, IPv4 addresses, payment cards, phone numbers) follow fixed patterns and checks and always stay. The
-generators propose more, overlapping spans: digit groups in any grouping, addresses in disguise, and values assigned to words such as
-``password``. Gradient-boosted trees are trained on a bounded sample of candidates, whose labels are the checks of the formats
-(silver labels; the checks themselves are no features), calibrated on every fifth candidate, and the least probability at which a kind
-reaches PRECISION there is its threshold. Accepted candidates that overlap no better span are added.
-
-Nulls: a null text is an empty one (no spans). Offsets count code points, the end is exclusive. Repeated rows stay.
+generators propose more, overlapping spans: digit groups in any grouping, addresses in disguise, long tokens, and values assigned to
+words such as ``password``.
+
+Gradient-boosted trees learn from a bounded sample what such spans look like without the marks that give them away. Positive examples are
+base spans written in disguise (no plus sign, ``(at)`` and ``dot``, ``[.]``) and values behind a naming word, half of them with that word
+taken away (a plain word behind a colon is prose, and none); negative ones are candidates that fail their kind's check, lie inside
+another kind's span, or are tokens without a name. What a
+label rests on is thus no feature: the check digit of cards and the range of address parts are never features, and the rest is hidden.
+Candidates that neither rule settles are not learned from. Every fifth example calibrates the trees' probabilities, and the least one at
+which a kind reaches PRECISION there is its threshold. Accepted candidates that overlap no better span are added.
+
+Nulls: a null text is an empty one (no spans). Offsets count code points, the end is exclusive. Repeated rows stay and are learned from
+once. Long texts are searched whole; a table without spans gives trees that accept nothing.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,19 +40,29 @@ BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "secret")
 _ORDER = {k: i for i, k in enumerate(KINDS)}
 
-#: High-recall generators of further candidates by kind.
+_AT, _DOT = r"(?:@|[ ]?\(at\)[ ]?|[ ]?\[at\][ ]?|[ ]at[ ])", r"(?:\.|[ ]?\(dot\)[ ]?|[ ]?\[dot\][ ]?|\[\.\]|[ ]dot[ ])"
+_NAME = r"(?:pass(?:word|wd|phrase)?|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|credentials?|pwd)"
+#: High-recall generators of further candidates by kind, searched around marks: digits, signs of addresses.
 GENERATORS = (
-    ("email", re.compile(r"[A-Za-z0-9._%+-]{1,64}[ ]?(?:@|\(at\)|\[at\])[ ]?[A-Za-z0-9-]{1,63}(?:[ ]?(?:\.|\(dot\)|\[dot\])[ ]?[A-Za-z0-9-]{2,24}){1,4}")),
-    ("ip", re.compile(r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9.])")),
-    ("card", re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9]){12,18}(?![0-9])")),
-    ("phone", re.compile(r"(?<![0-9])(?:\+?[0-9]{1,3}[\x20.-]?)?\(?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}[\x20.-]?[0-9]{3,4}(?![0-9])")),
-    ("secret", re.compile(r"[A-Za-z0-9_/+-]{12,128}={0,2}")),
+    ("email", re.compile(rf"[A-Za-z0-9._%+-]{{1,64}}{_AT}[A-Za-z0-9-]{{1,63}}(?:{_DOT}[A-Za-z0-9-]{{2,24}}){{1,4}}")),
+    ("ip", re.compile(rf"(?<![0-9.])[0-9]{{1,3}}(?:{_DOT}[0-9]{{1,3}}){{3}}(?![0-9])")),
+    ("card", re.compile(r"(?<![0-9])[0-9](?:[\x20./-]{0,2}[0-9]){12,18}(?![0-9])")),
+    ("phone", re.compile(r"(?<![0-9])\+?(?:[0-9]{1,3}[\x20./-]?)?\(?[0-9]{1,4}\)?[\x20./-]{0,2}[0-9]{3,4}[\x20./-]?[0-9]{3,4}(?![0-9])")),
 )
-_ASSIGNED = re.compile(r"[\"']?[ ]?[=:][ ]?[\"']?$")
-_NAMED = re.compile(r"(?i)(?:pass(?:word|wd|phrase)?|secret|token|api[_-]?key|access[_-]?key|auth|credential|pwd)\W{0,6}$")
-
-#: Documents in the sample, candidates kept from each, trees, depth, rate, the precision a threshold must reach on the calibration fold.
+_MARK = re.compile(r"[0-9]|@|\(at\)|\[at\]|[ ]at[ ][A-Za-z0-9-]{1,63}(?=[ ]dot[ ])")
+#: Characters around a mark within which the patterns above lie.
+AROUND = 280
+#: Generators of secrets, searched in the whole text: long tokens of letters and digits, and any value behind a naming word and = or :.
+TOKEN = re.compile(r"[A-Za-z0-9_/+-]{12,}={0,2}")
+NAMED_VALUE = re.compile(rf"(?i)(?<![a-z]){_NAME}[\"']?[ ]{{0,3}}(?:=>|[=:])[ ]{{0,3}}(?:\"([^\"\s]{{4,}})\"|'([^'\s]{{4,}})'|([^\s\"',;]{{4,}}))")
+_ASSIGNED = re.compile(r"[\"']?[ ]?(?:=>|[=:])[ ]?[\"']?$")
+_NAMED = re.compile(rf"(?i){_NAME}\W{{0,6}}$")
+#: Other writings of the signs in an address, by which base spans are hidden from the trees.
+DISGUISES = ((" at ", " dot "), ("(at)", "(dot)"), ("[at]", "[dot]"), (" (at) ", "."), ("@", "[.]"))
+
+#: Documents in the sample, distinct examples learned from, trees, depth, rate, the precision a threshold must reach in calibration.
 SAMPLE_BOUND = 20_000
+EXAMPLE_BOUND = 20_000
 TREES, DEPTH, RATE = 40, 3, 0.3
 PRECISION = 0.95
 LEAST_POSITIVES = 5
@@ -95,61 +113,89 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(found, key=lambda s: (s[1], _ORDER[s[0]]))
 
 
-def _likely(text: str) -> bool:
-    return any("0" <= c <= "9" for c in text)
-
-
 def candidates(text: str) -> list[tuple[str, int, int]]:
-    """Overlapping spans proposed by the generators. Every kind but disguised addresses needs a digit near; the scan starts there."""
+    """Overlapping spans proposed by the generators."""
     found = []
-    marks = [m.span() for m in re.finditer(r"[0-9]|@|\((?:at)\)|\[at\]", text)]
-    if not marks:
-        return found
-    # merge the surroundings of all marks, so that only they are searched
+    # the surroundings of all marks, merged: only they are searched for the kinds that need a mark
     zones: list[list[int]] = []
-    for a, b in marks:
-        a, b = max(0, a - 130), min(len(text), b + 130)
+    for m in _MARK.finditer(text):
+        a, b = max(0, m.start() - AROUND), min(len(text), m.end() + AROUND)
         if zones and a <= zones[-1][1]:
             zones[-1][1] = b
         else:
             zones.append([a, b])
     for a, b in zones:
         for kind, pattern in GENERATORS:
-            for m in pattern.finditer(text, a, b):
-                if kind == "secret" and not (_likely(m[0]) and any(c.isalpha() for c in m[0])):
-                    continue
-                found.append((kind, *m.span()))
-    return found
+            found += [(kind, *m.span()) for m in pattern.finditer(text, a, b)]
+    secrets = {m.span(m.lastindex) for m in NAMED_VALUE.finditer(text)}
+    if zones:
+        secrets |= {m.span() for m in TOKEN.finditer(text) if any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0])}
+    return found + [("secret", *span) for span in sorted(secrets)]
 
 
-def features(text: str, kind: str, start: int, end: int) -> list[float]:
+def features(kind: str, s: str, before: str, after: str) -> list[float]:
     """Format: length, digits, separators, classes, variety. Context: the text before, assignment, quotes, neighbours."""
-    s = text[start:end]
-    before, after = text[max(0, start - CONTEXT) : start], text[end : end + 2]
     digits = _digits(s)
     n = max(len(s), 1)
     parts = re.split(r"[^0-9]+", s.strip("+() "))
+    letters = sum(c.isalpha() for c in s)
+    turns = sum(x.isdigit() != y.isdigit() for x, y in zip(s, s[1:], strict=False))
     return [
-        float(_ORDER[kind]), float(n), float(len(digits)), len(digits) / n, float(sum(c in " -.()" for c in s)), float(s.count(".")), float(s.count("@")),
-        float(max((len(p) for p in parts), default=0)), float(len(parts)), float(s[0] == "+"), float(s[0] in "3456"), len(set(s)) / n,
-        sum(c in "abcdef" for c in s) / n, sum(c.isupper() for c in s) / n, float(bool(_ASSIGNED.search(before))), float(bool(_NAMED.search(before))),
-        float(before[-1:] in "\"'"), float(before[-1:].isspace() or not before), float(after[:1].isspace() or not after), float(max((int(p[:6]) for p in parts if p), default=0) > 255),
+        float(_ORDER[kind]), float(n), float(len(digits)), len(digits) / n, float(sum(c in " -.()/" for c in s)), float(s.count(".")), float(s.count("@")),
+        float(max((len(p) for p in parts), default=0)), float(len(parts)), float(s[:1] == "+"), float(digits[:1] in ("3", "4", "5", "6")), len(set(s)) / n,
+        sum(c in "abcdef" for c in s) / n, sum(c.isupper() for c in s) / n, float(bool(_ASSIGNED.search(before))), float(bool(_NAMED.search(before[:-1] if before[-1:] in "\"'" else before))),
+        float(before[-1:] in ("\"", "'")), float(before[-1:].isspace() or not before), float(after[:1].isspace() or not after), letters / n, turns / n,
     ]
 
 
-def silver(text: str, kind: str, start: int, end: int) -> bool:
-    """The check of the kind's format."""
-    s = text[start:end]
-    d = _digits(s)
+def around(text: str, start: int, end: int) -> tuple[str, str, str]:
+    """The span, the text before it and the text behind it, as ``features`` takes them."""
+    return text[start:end], text[max(0, start - CONTEXT) : start], text[end : end + 2]
+
+
+def hidden(kind: str, s: str, before: str, choice: int) -> tuple[str, str]:
+    """The span and the text before it without the marks by which its kind is told."""
+    at, dot = DISGUISES[choice % len(DISGUISES)]
     if kind == "email":
-        return EMAIL.fullmatch(re.sub(r"[ ]?[(\[]at[)\]][ ]?", "@", re.sub(r"[ ]?[(\[]dot[)\]][ ]?", ".", s))) is not None
+        name, host = s.split("@", 1)
+        return name + at + host.replace(".", dot), before
     if kind == "ip":
-        return all(int(p) <= 255 for p in s.split("."))
-    if kind == "card":
-        return 14 <= len(d) <= 19 and luhn(d)
+        return s.replace(".", dot if choice % 2 else "[.]"), before
     if kind == "phone":
-        return 10 <= len(d) <= 15 and (s[0] == "+" or "(" in s or s.count("-") + s.count(".") >= 2)
-    return bool(_NAMED.search(text[max(0, start - CONTEXT) : start]))
+        return s.lstrip("+"), before
+    if kind == "secret":
+        return s, re.sub(rf"(?i){_NAME}[\"']?\s*(?:=>|[=:])?\s*([\"']?)$", r"\1", before)
+    return s, before
+
+
+def examples(text: str) -> Iterator[tuple[list[float], int]]:
+    """(features, label) of the spans of a text that can be learned from."""
+    base = base_spans(text)
+    for kind, a, b in base:
+        s, before, after = around(text, a, b)
+        choice = zlib.crc32(s.encode())
+        if kind == "card" or kind == "phone":
+            # the same number in another grouping: not as it stands in the text, but as generators would propose it
+            s = re.sub(r"[\x20-]", ("", " ", "-", ".")[choice % 4], s) if choice % 2 else s
+        s, before = hidden(kind, s, before, choice)
+        yield features(kind, s, before, after), 1
+    for kind, a, b in candidates(text):
+        touched = {k for k, x, y in base if x < b and a < y}
+        s, before, after = around(text, a, b)
+        if kind == "secret":
+            far = text[max(0, a - 40) : a]
+            named = _NAMED.search(re.sub(r"[\"']?\s*(?:=>|[=:])\s*[\"']?$", "", far))
+            if named and ("=" in far[named.start() :] or not s.isalpha()):
+                yield features(kind, s, before, after), 1
+                s, before = hidden(kind, s, far, 0)
+                yield features(kind, s, before[-CONTEXT:], after), 1
+            elif kind not in touched:
+                yield features(kind, s, before, after), 0
+        elif kind not in touched:
+            digits = len(_digits(s))
+            failed = {"email": False, "ip": any(int(p) > 255 for p in re.findall("[0-9]+", s)), "card": not 14 <= digits <= 19 or not luhn(_digits(s)), "phone": not 10 <= digits <= 15}[kind]
+            if touched or failed:
+                yield features(kind, s, before, after), 0
 
 
 @dataclass
@@ -251,27 +297,27 @@ def calibrated(trees: Trees, x: np.ndarray, y: np.ndarray) -> Trees:
 
 
 def fit(docs: DataFrame) -> Trees:
-    """Trained on the candidates of at most SAMPLE_BOUND documents, in the order of a hash of doc_id; features are made by the executors."""
+    """Trained on the examples in at most SAMPLE_BOUND documents, EXAMPLE_BOUND distinct ones, both in the order of a hash; features are
+    made by the executors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, x, y = [], [], []
-            for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                for kind, a, b in candidates(text):
-                    ids.append(i)
-                    x.append(np.array(features(text, kind, a, b), np.float32).tobytes())
-                    y.append(int(silver(text, kind, a, b)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(x, pa.binary()), pa.array(y, pa.int32())], ["doc_id", "x", "y"])
-
-    hashed = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"))
-    chosen = [(int(r[0]), 0) for r in common.bounded_rows(hashed, "doc_id", SAMPLE_BOUND, 10).collect()]
-    sample = common.sampled_texts(docs.where("text is not null"), sorted(set(chosen)))
-    counted = sample.select("doc_id", "text").mapInArrow(run, "doc_id long, x binary, y int").groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least"))
-    rows = common.bounded_rows(counted, "x", SAMPLE_BOUND, 10).collect()
-    width = len(features("0", "ip", 0, 1))
+        for batch in common.blocks(batches):
+            x, y = [], []
+            for text in batch.column("text").to_pylist():
+                for values, label in examples(text):
+                    x.append(np.array(values, np.float32).tobytes())
+                    y.append(label)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array(y, pa.int32())], ["x", "y"])
+
+    ids = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    chosen = [(int(r[0]), 0) for r in common.bounded_rows(ids, "doc_id", SAMPLE_BOUND, 10).collect()]
+    sample = common.sampled_texts(docs.where("text is not null"), sorted(chosen)).select("text").distinct()
+    counted = sample.mapInArrow(run, "x binary, y int").groupBy("x").agg(F.avg("y").alias("y"))
+    rows = common.bounded_rows(counted, "x", EXAMPLE_BOUND, 10).collect()
+    width = len(features("ip", "0", "", ""))
     if not rows:
         return calibrated(boost(np.zeros((0, width)), np.zeros(0)), np.zeros((0, width)), np.zeros(0))
-    rows.sort(key=lambda r: (hashlib.md5(bytes(r["x"])).digest(), r["y"]))
+    rows.sort(key=lambda r: hashlib.md5(bytes(r["x"])).digest())
     x = np.array([np.frombuffer(r["x"], np.float32) for r in rows], float)
     y = np.array([r["y"] for r in rows], float)
     fifth = np.arange(len(y)) % 5 == 4
@@ -284,7 +330,7 @@ def spans_of(text: str, trees: Trees) -> tuple[list[tuple[str, int, int]], list[
     proposed = candidates(text)
     if not proposed:
         return base, base
-    x = np.array([features(text, *c) for c in proposed])
+    x = np.array([features(kind, *around(text, a, b)) for kind, a, b in proposed])
     p = trees.probability(x)
     every = list(base)
     for k in np.argsort(-p, kind="stable"):

@@ -51,6 +51,43 @@ def test_trees_learn_and_base_spans_stay(spark):
     assert clean[0] == "one two password=<SECRET> three" and clean[1000] is None
 
 
+def test_generators_propose_disguised_spans():
+    rng = random.Random(7)
+    spans = [("email", f"u{rng.randint(1, 99)}.x@mail{i}.example.com") for i in range(50)] + [("ip", f"{rng.randint(1, 255)}.{i}.3.44") for i in range(50)]
+    spans += [("phone", f"+1 ({rng.randint(200, 999)}) 555-{rng.randint(1000, 9999)}") for _ in range(50)] + [("phone", f"+49 30 {rng.randint(1000000, 9999999)}") for _ in range(50)]
+    seen = []
+    for kind, s in spans:
+        for choice in range(len(pii.DISGUISES)):
+            other, _ = pii.hidden(kind, s, "", choice)
+            text = f"words before {other} and after"
+            at = text.index(other)
+            seen.append((kind, at, at + len(other)) in pii.candidates(text))
+    assert np.mean(seen) >= 0.9, np.mean(seen)
+    for value in ("hunter2", "Abc-123!xyz$", "k" * 500 + "7"):
+        for text in (f'my password = "{value}" here', f"api_key:{value}", f"x PASSWORD=>'{value}'"):
+            assert ("secret", text.index(value), text.index(value) + len(value)) in pii.candidates(text)
+
+
+def test_marks_are_hidden_from_the_trees():
+    text = "mail u1@a.example.com call +1 (625) 555-7196 at 10.2.3.4 with token = 'abcdef123456789' and version 10.2.300.4 or id 1234567890123456"
+    rows = list(pii.examples(text))
+    plus, at = [r for r, y in rows if y and r[0] == 3], [r for r, y in rows if y and r[0] == 0]
+    assert plus and all(r[9] == 0 for r in plus) and at
+    named = [r[15] for r, y in rows if y and r[0] == 4]
+    assert sorted(named) == [0.0, 1.0]
+    assert any(r[0] == 1 and y == 0 for r, y in rows) and any(r[0] == 2 and y == 0 for r, y in rows)
+
+
+def test_repeated_rows_empty_tables_and_long_texts(spark):
+    text = "word " * 200_000 + "u1@a.example.com " + "x" * 300_000 + " +1 (625) 555-7196"
+    docs = spark.createDataFrame([(1, text), (1, text), (2, text[:5])], "doc_id long, text string")
+    got = [tuple(r) for r in pii.find(docs).collect()]
+    assert len(got) == 3 and got.count(next(r for r in got if r[0] == 1)) == 2
+    assert [r[1] + r[4] for r in got if r[0] == 1] == [2, 2]
+    none = docs.limit(0)
+    assert pii.find(none).count() == 0 and pii.redact(none).columns == docs.columns
+
+
 def test_calibration_without_candidates():
-    trees = pii.calibrated(pii.boost(np.zeros((0, 20)), np.zeros(0)), np.zeros((0, 20)), np.zeros(0))
+    trees = pii.calibrated(pii.boost(np.zeros((0, 21)), np.zeros(0)), np.zeros((0, 21)), np.zeros(0))
     assert set(trees.thresholds.values()) == {2.0}
