@@ -1,17 +1,19 @@
 """Operator 4, toxicity: weak supervision. Lexicon and pattern voters, a generative label model, a linear classifier on its posteriors.
 
 Voters fire or abstain on a document. Their lexicon is a fixed list plus the words and word beginnings that a bounded sample of
-labelled training documents shows to be far more frequent in toxic ones. The label model is a tree-structured one: every voter has an
-accuracy given the hidden class and a correlation with its parent voter, the tree being the strongest conditional dependencies; it is
-estimated by expectation maximisation without the labels. A ridge logistic regression on counts of lexicon hits is then trained on the
-posterior labels and scores every whole text; its cut, placed at 0.7, is the best one on the sample's labels.
+labelled training documents shows to be far more frequent in toxic ones; every stem is a voter, and so are some patterns. From here on no
+label is used. The label model looks at a bounded sample of training documents, labelled or not: it is tree-structured, every voter has
+an accuracy given the hidden class and a correlation with its parent voter, the tree being the strongest conditional dependencies, and
+is estimated by expectation maximisation. A ridge logistic regression on counts of lexicon hits is trained on the posteriors and scores
+every whole text; its cut, placed at 0.7, is the one of the best expected F1 under the posteriors.
 
 Nulls: a null text is an empty one (no voter fires). Labels that are neither 0 nor 1 are no labels; without any, only the fixed list
-votes. Repeated rows stay.
+votes. Rows without doc_id are in no sample and are scored like any other. Repeated rows stay.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -26,13 +28,14 @@ from . import common
 
 #: Insults that vote even where no label mentions them.
 INSULTS = ("idiot", "moron", "stupid", "loser", "trash", "scum", "worthless", "pathetic", "disgusting", "clown", "imbecile", "dumbass")
-#: Bound on the labelled documents of each class in the sample; lengths of word beginnings; voters of a stem of its own.
+#: Bounds on the labelled documents of each class and on the documents of the label model; lengths of word beginnings.
 CLASS_BOUND = 3000
+DOCUMENT_BOUND = 20_000
 PREFIXES = (4, 5, 6, 7, 8)
-OWN_VOTERS = 40
-MOST_STEMS = 400
-#: A stem's least share of toxic documents, and its least ratio of the toxic to the clean share.
-LEAST_SHARE, LEAST_COUNT, LEAST_RATIO = 0.015, 4, 25.0
+#: A stem votes if its likelihood-ratio statistic and its ratio of the toxic to the clean share reach these; no further cut is made.
+LEAST_G, LEAST_RATIO = 25.0, 20.0
+#: Patterns that vote beside the stems.
+PATTERNS = 8
 RIDGE = 1e-3
 CUT = 0.7
 
@@ -60,11 +63,14 @@ def mined(sample: DataFrame, toxic: int, clean: int) -> list[str]:
             some = names[at : at + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([seen[1][s] for s in some]), pa.array([seen[0][s] for s in some])], ["stem", "t", "c"])
 
-    least = max(LEAST_COUNT, int(LEAST_SHARE * toxic))
-    ratio = (F.col("t") / max(toxic, 1)) / ((F.col("c") + 0.5) / max(clean, 1))
+    t, c = F.col("t"), F.col("c")
+    rate, rest = (t + c) / (toxic + clean), float(max(toxic, 1)) / (toxic + clean or 1)
+    part = lambda x, expected: F.when(x > 0, x * F.log(x / expected)).otherwise(0.0)
+    statistic = 2 * (part(t, (t + c) * rest) + part(c, (t + c) * (1 - rest)) + part(toxic - t, toxic * (1 - rate)) + part(clean - c, clean * (1 - rate)))
+    ratio = (t / max(toxic, 1)) / ((c + 0.5) / max(clean, 1))
     rows = (
         sample.select("label", "text").mapInArrow(partial, "stem string, t long, c long").groupBy("stem").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-        .where((F.col("t") >= least) & (ratio >= LEAST_RATIO)).orderBy(F.desc("t"), F.length("stem"), "stem").limit(20 * MOST_STEMS).collect()
+        .where((ratio >= LEAST_RATIO) & (statistic >= LEAST_G)).collect()
     )
     return chosen_stems([tuple(r) for r in rows])
 
@@ -78,7 +84,7 @@ def chosen_stems(rows: list[tuple[str, int, int]]) -> list[str]:
     for stem, t, _ in reversed(pure):
         if not any(stem[:k] in kept for k in range(1, len(stem))):
             kept[stem] = t
-    return sorted(kept, key=lambda s: (-kept[s], s))[:MOST_STEMS]
+    return sorted(kept, key=lambda s: (-kept[s], s))
 
 
 class Lexicon:
@@ -115,49 +121,41 @@ class Lexicon:
         return hits, [shouted, exclaimed, low.count(" ") + low.count("\n") + 1]
 
 
-def vector(hits: dict[int, int], extra: list[float], width: int) -> np.ndarray:
-    """Linear features: log counts by stem, then of all hits, hits by word, shouted hits, exclaimed hits."""
-    x = np.zeros(width + 4)
-    for i, n in hits.items():
-        x[i] = np.log1p(n)
+def vector(hits: dict[int, int], extra: list[float], width: int) -> tuple[list[int], list[float]]:
+    """Linear features other than zero, as places and values: log counts by stem, then of all hits, hits by word, shouted hits, exclaimed hits."""
     total = sum(hits.values())
-    x[width:] = np.log1p(total), min(5.0, 100 * total / extra[2]), np.log1p(extra[0]), np.log1p(extra[1])
-    return x
+    if not total:
+        return [], []
+    groups = (math.log1p(total), min(5.0, 100 * total / extra[2]), math.log1p(extra[0]), math.log1p(extra[1]))
+    return [*hits, *range(width, width + 4)], [*(math.log1p(n) for n in hits.values()), *groups]
 
 
-def votes(hits: dict[int, int], extra: list[float], width: int, listed: set[int]) -> np.ndarray:
-    """Which voters fire: one for each leading stem, then lexicon groups and patterns."""
-    own = min(width, OWN_VOTERS)
-    v = np.zeros(own + 9, bool)
-    for i in hits:
-        if i < own:
-            v[i] = True
+def votes(hits: dict[int, int], extra: list[float], width: int, listed: set[int]) -> list[int]:
+    """The voters that fire: one for each stem, then the fixed list and the patterns."""
     total = sum(hits.values())
-    v[own:] = (
-        any(i in listed for i in hits), any(i >= own for i in hits), total >= 1, total >= 2, total >= 4, len(hits) >= 2,
-        100 * total >= extra[2], extra[0] >= 1, extra[1] >= 1,
-    )
-    return v
+    patterns = (any(i in listed for i in hits), total >= 1, total >= 2, total >= 4, len(hits) >= 2, 100 * total >= extra[2], extra[0] >= 1, extra[1] >= 1)
+    return [*hits, *(width + k for k, fires in enumerate(patterns) if fires and total)]
 
 
-def label_model(v: np.ndarray, rounds: int = 30) -> np.ndarray:
-    """Posterior P(toxic) of each row of the vote matrix, from the tree-structured generative model fitted by EM."""
-    n, m = v.shape
-    if not n:
+def label_model(v: np.ndarray, n: np.ndarray | None = None, rounds: int = 30) -> np.ndarray:
+    """Posterior P(toxic) of each row of the vote matrix, from the tree-structured generative model fitted by EM; ``n``: how often a row occurs."""
+    rows, m = v.shape
+    if not rows:
         return np.zeros(0)
+    n = np.ones(rows) if n is None else n
     q = np.clip(0.02 + 0.9 * (v.sum(axis=1) >= 2), 0.02, 0.92)
     parent = np.full(m, -1)
     x = v.astype(float)
     for step in range(rounds):
         if step % 10 == 0:
-            parent = dependency_tree(x, q)
-        log = np.zeros((n, 2))
-        for y, weight in ((0, 1 - q), (1, q)):
+            parent = dependency_tree(x, q, n)
+        log = np.zeros((rows, 2))
+        for y, weight in ((0, n * (1 - q)), (1, n * q)):
             total = weight.sum()
-            log[:, y] += np.log((total + 1) / (n + 2))
+            log[:, y] += np.log((total + 1) / (n.sum() + 2))
             for j in range(m):
                 if parent[j] < 0:
-                    p = np.full(n, (weight @ x[:, j] + 0.5) / (total + 1))
+                    p = np.full(rows, (weight @ x[:, j] + 0.5) / (total + 1))
                 else:
                     up = x[:, parent[j]]
                     p1 = (weight @ (x[:, j] * up) + 0.5) / (weight @ up + 1)
@@ -172,11 +170,12 @@ def label_model(v: np.ndarray, rounds: int = 30) -> np.ndarray:
     return q
 
 
-def dependency_tree(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+def dependency_tree(x: np.ndarray, q: np.ndarray, n: np.ndarray | None = None) -> np.ndarray:
     """Parents of the voters in the maximum spanning tree of their mutual information given the class."""
-    n, m = x.shape
+    m = x.shape[1]
+    n = np.ones(len(x)) if n is None else n
     info = np.zeros((m, m))
-    for weight in (1 - q, q):
+    for weight in (n * (1 - q), n * q):
         both = (x * weight[:, None]).T @ x + 0.25
         one = (x * weight[:, None]).sum(axis=0) + 0.5
         total = weight.sum() + 1
@@ -185,7 +184,7 @@ def dependency_tree(x: np.ndarray, q: np.ndarray) -> np.ndarray:
                 joint = {(1, 1): both, (1, 0): one[:, None] - both, (0, 1): one[None, :] - both, (0, 0): total - one[:, None] - one[None, :] + both}[a, b]
                 joint = np.maximum(joint, 0.1) / total
                 pa_, pb = (one / total if a else 1 - one / total), (one / total if b else 1 - one / total)
-                info += total / (n + 2) * joint * np.log(joint / np.maximum(pa_[:, None] * pb[None, :], 1e-9))
+                info += total / (n.sum() + 2) * joint * np.log(joint / np.maximum(pa_[:, None] * pb[None, :], 1e-9))
     parent = np.full(m, -1)
     if m < 2:
         return parent
@@ -199,38 +198,38 @@ def dependency_tree(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return parent
 
 
-def regression(x: np.ndarray, q: np.ndarray, steps: int = 600) -> np.ndarray:
-    """Ridge logistic regression on soft labels by accelerated projected gradients. Hits never speak against toxicity, so all weights
-    but the last, the bias, are kept at zero or above."""
+def regression(x: np.ndarray, q: np.ndarray, n: np.ndarray, steps: int = 600) -> np.ndarray:
+    """Ridge logistic regression on soft labels of rows that occur ``n`` times, by accelerated projected gradients. Hits never speak against
+    toxicity, so all weights but the last, the bias, are kept at zero or above."""
     z = np.column_stack([x, np.ones(len(x))])
-    rate = 4 / max(float(np.linalg.eigvalsh(z.T @ z / len(z))[-1]), 1e-6)
+    share = n / n.sum()
+    rate = 4 / max(float(np.linalg.eigvalsh((z * share[:, None]).T @ z)[-1]), 1e-6)
     w = ahead = np.zeros(z.shape[1])
     for k in range(steps):
         p = 1 / (1 + np.exp(-np.clip(z @ ahead, -30, 30)))
-        new = ahead - rate * (z.T @ (p - q) / len(z) + RIDGE * np.append(ahead[:-1], 0))
+        new = ahead - rate * (z.T @ (share * (p - q)) + RIDGE * np.append(ahead[:-1], 0))
         new[:-1] = np.maximum(new[:-1], 0)
         ahead = new + k / (k + 3) * (new - w)
         w = new
     return w
 
 
-def cut_of(s: np.ndarray, y: np.ndarray) -> float:
-    """The raw score that separates the labels with the best F1: the middle between its neighbours."""
+def cut_of(s: np.ndarray, q: np.ndarray, n: np.ndarray) -> float:
+    """The raw score of the best expected F1 under the posteriors ``q`` of rows that occur ``n`` times: the middle between its neighbours."""
     order = np.argsort(-s, kind="stable")
-    s, y = s[order], y[order]
+    s, q, n = s[order], q[order], n[order]
     last = np.append(s[1:] != s[:-1], True)
-    hit = np.cumsum(y)
-    f1 = np.where(last, 2 * hit / (np.arange(1, len(y) + 1) + max(y.sum(), 1)), -1)
+    f1 = np.where(last, 2 * np.cumsum(q * n) / (np.cumsum(n) + max((q * n).sum(), 1e-9)), -1)
     k = int(np.argmax(f1))
     return float((s[k] + s[k + 1]) / 2 if k + 1 < len(s) else s[k] - 1)
 
 
 def fit(docs: DataFrame, labels: DataFrame, held_out: Column) -> tuple[list[str], np.ndarray, float]:
-    """(stems, weights, cut)."""
+    """(stems, weights, cut). ``held_out`` is a condition on doc_id."""
     chosen = common.labelled_sample(labels, "toxic", ~held_out, CLASS_BOUND, 4)
     toxic = sum(y for _, y in chosen)
-    sample = common.written(common.sampled_texts(docs, chosen).select("doc_id", "label", "text"), "toxicity-sample")
-    stems = mined(sample, toxic, len(chosen) - toxic)
+    labelled = common.sampled_texts(docs, chosen)
+    stems = mined(labelled, toxic, len(chosen) - toxic) if toxic else []
     stems += [w + "$" for w in INSULTS if not any(w[:k] in stems for k in range(1, len(w) + 1)) and w + "$" not in stems]
     width = len(stems)
 
@@ -239,25 +238,31 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column) -> tuple[list[str]
         listed = {i for i, s in enumerate(stems) if s.rstrip("$") in INSULTS}
         for batch in common.blocks(batches):
             rows = [lexicon.row(t or "") for t in batch.column("text").to_pylist()]
-            x = [vector(h, e, width).astype(np.float32).tobytes() for h, e in rows]
-            v = [votes(h, e, width, listed).tobytes() for h, e in rows]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(x, pa.binary()), pa.array(v, pa.binary())], ["doc_id", "label", "x", "v"])
-
-    rows = sorted(sample.mapInArrow(featured, "doc_id long, label int, x binary, v binary").collect())
-    if not rows or not toxic:
-        w = np.zeros(width + 5)
-        w[width], w[-1] = 4.0, -2.0
-        return stems, w, 0.0
-    x = np.array([np.frombuffer(r[2], np.float32) for r in rows], float)
-    v = np.array([np.frombuffer(r[3], bool) for r in rows])
-    w = regression(x, label_model(v))
-    return stems, w, cut_of(x @ w[:-1] + w[-1], np.array([r[1] for r in rows], float))
+            x = [vector(h, e, width) for h, e in rows]
+            columns = ([a for a, _ in x], [v for _, v in x], [votes(h, e, width, listed) for h, e in rows])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.list_(k)) for c, k in zip(columns, (pa.int32(), pa.float64(), pa.int32()), strict=True)], ["at", "x", "v"])
+
+    # documents without a hit differ in nothing: they are counted, not collected
+    ids = docs.where(~held_out & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    some = [(int(r[0]), 0) for r in common.bounded_rows(ids, "doc_id", DOCUMENT_BOUND, 44).collect()]
+    rows = common.sampled_texts(docs, sorted(some)).select("text").mapInArrow(featured, "at array<int>, x array<double>, v array<int>")
+    rows = sorted(tuple(map(tuple, r[:3])) + (r[3],) for r in rows.groupBy("at", "x", "v").count().collect())
+    if not any(r[2] for r in rows):
+        return stems, np.append(np.zeros(width), [4.0, 0, 0, 0, -2.0]), 0.0
+    n = np.array([r[3] for r in rows], float)
+    x, v = np.zeros((len(rows), width + 4)), np.zeros((len(rows), width + PATTERNS), bool)
+    for k, (at, values, fired, _) in enumerate(rows):
+        x[k, list(at)] = values
+        v[k, list(fired)] = True
+    q = label_model(v, n)
+    w = regression(x, q, n)
+    return stems, w, cut_of(x @ w[:-1] + w[-1], q, n)
 
 
 def scored(lexicon: Lexicon, w: np.ndarray, cut: float, texts: list[str | None]) -> np.ndarray:
     """Scores of texts, with the cut at CUT."""
-    width, shift = len(lexicon.stems), float(np.log(CUT / (1 - CUT)))
-    raw = np.array([vector(*lexicon.row(t or ""), width) @ w[:-1] + w[-1] for t in texts])
+    width, shift, weights = len(lexicon.stems), float(np.log(CUT / (1 - CUT))), w.tolist()
+    raw = np.array([sum(weights[i] * x for i, x in zip(*vector(*lexicon.row(t or ""), width), strict=True)) for t in texts], float) + weights[-1]
     return 1 / (1 + np.exp(-np.clip(raw - cut + shift, -30, 30)))
 
 
