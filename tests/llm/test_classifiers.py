@@ -45,13 +45,43 @@ def test_quality_ranker_without_labels(spark, corpus):
     assert quality_ranker.rank(docs.limit(0), labels, common.fold("doc_id", 4, 2)).count() == 0
 
 
-def test_bradley_terry_orders_pairs():
+def plain_pairwise_fit(z, i, j, ridge):
+    """Newton steps on the written-out differences."""
+    d = z[i] - z[j]
+    w = np.zeros(z.shape[1])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-d @ w))
+        w += np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d / len(d) + ridge * np.eye(len(w)), d.T @ (1 - p) / len(d) - ridge * w)
+    return w
+
+
+def test_bradley_terry_against_a_plain_fit(monkeypatch):
     rng = np.random.default_rng(0)
-    x = rng.standard_normal((400, 5))
-    true = np.array([2.0, -1.0, 0, 0, 0.5])
-    y = (x @ true + 0.1 * rng.standard_normal(400) > 0).astype(float)
-    w = quality_ranker.fit(x, y)
-    assert np.corrcoef(w, true)[0, 1] > 0.95
+    monkeypatch.setattr(quality_ranker, "BITS", 3)
+    monkeypatch.setattr(quality_ranker, "STEPS", 5000)
+    monkeypatch.setattr(quality_ranker, "RIDGE", 1e-2)
+    dense, row = rng.standard_normal((300, 4)) * [1, 2, 0.5, 3], np.repeat(np.arange(300), 2)
+    x = quality_ranker.Rows(dense, row, rng.integers(0, 8, 600), rng.random(600))
+    wide = np.zeros((300, 12))
+    wide[:, :4] = dense
+    np.add.at(wide, (x.row, 4 + x.bucket), x.value)
+    y = (wide @ rng.standard_normal(12) + rng.standard_normal(300) > 0).astype(int)
+    assert np.allclose(x.times(np.arange(12.0)), wide @ np.arange(12.0))
+    z = wide.copy()
+    z[:, :4] = np.clip((dense - dense.mean(axis=0)) / dense.std(axis=0), -5, 5)
+    want = plain_pairwise_fit(z, *quality_ranker.preferences(y), 1e-2)
+    want[:4] /= dense.std(axis=0)
+    assert np.allclose(quality_ranker.fit(x, y), want, atol=1e-4)
+
+
+def test_threshold_is_the_quantile_of_label_0():
+    rng = np.random.default_rng(1)
+    raw = np.concatenate((rng.normal(-3, 1, 700), rng.normal(3, 1, 1300)))
+    y = np.repeat([0, 1], [700, 1300])
+    bins = (quality_ranker.squashed(raw) * quality_ranker.BINS).astype(int)
+    rows = [(int(b), int((y[bins == b] == 1).sum()), int((y[bins == b] == 0).sum())) for b in np.unique(bins)]
+    level, at = quality_ranker.quantile_cut(rows)
+    assert level == 0.35 and abs((raw < at).sum() - 700) <= 2
 
 
 def test_toxicity(spark, corpus):
@@ -75,6 +105,20 @@ def test_toxicity_without_labels_uses_the_list(spark, corpus):
     assert toxicity.classify(docs.limit(0), labels, common.fold("doc_id", 3, 1)).count() == 0
 
 
+def test_posteriors_use_no_labels(spark, corpus):
+    docs, labels = corpus
+    fold = common.fold("doc_id", 3, 1)
+    stems, w, cut = toxicity.fit(docs, labels, fold)
+    assert "zwac" in stems and all(w[:-1] >= 0)
+    rng = np.random.default_rng(0)
+    y = rng.random(500) < 0.1
+    x = np.where(y[:, None], rng.random((500, 6)) < 0.6, rng.random((500, 6)) < 0.02)
+    n = rng.integers(1, 4, 500).astype(float)
+    many = toxicity.label_model(np.repeat(x, n.astype(int), axis=0))
+    assert np.allclose(toxicity.label_model(x, n), many[np.cumsum(n.astype(int)) - 1], atol=1e-6)
+    assert ((toxicity.label_model(x, n) > 0.5) == y).mean() > 0.95
+
+
 def test_label_model_finds_accurate_and_correlated_voters():
     rng = np.random.default_rng(1)
     y = rng.random(3000) < 0.2

@@ -1,3 +1,7 @@
+import random
+
+import regex
+
 from quiverlake.llm import decontamination as d
 
 ITEM = "A farmer sells 12 kg of apples to Maria for 30 dollars. How much does Maria pay for 4 kg of apples on the same day?"
@@ -73,3 +77,39 @@ def test_several_changed_copies_and_items_without_id(spark):
 def test_holders_column_of_the_input_is_no_clash(spark):
     docs = spark.createDataFrame([(1, ITEM, "a", 1), (2, "other", "b", 2)], "doc_id long, text string, holder string, _holder int")
     assert d.clean(docs, spark.createDataFrame([(0, ITEM)], "item_id long, text string")).collect() == [(2, "other", "b", 2)]
+
+
+def plain_windows(text, named):
+    """The template windows of a text by plain string code: word for word, without hashes."""
+    out = regex.sub(r"(?<!\S)([^\s\p{L}0-9]{0,4})[0-9]\S*", lambda m: m[1] + "\x01", text or "")
+    out = regex.sub(rf"(?i)\x01(\s+)(?:{d.UNITS})(?![\p{{L}}0-9])", lambda m: "\x01" + m[1] + "\x02", out)
+    out = regex.sub(r"(?<=[^\s.!?:;][ \t])\p{Lu}\p{Ll}[\p{L}'’-]*", lambda m: "\x03" + m[0], out)
+    words = [w for w in regex.split(r"\s", regex.sub(d.PUNCTUATION, "", out.lower())) if w]
+    words = [(w if w[0] != "\x03" else "\x03" if named else w[1:]) for w in words]
+    return {tuple(words[i : i + d.WINDOW]) for i in range(max(len(words) - d.WINDOW + 1, min(len(words), 1)))}
+
+
+def test_similarity_against_plain_windows(spark):
+    rng = random.Random(12)
+    words = "the farm has Maria 12 kg and apples, 7 on. Then Otto paid (30 dollars) for it; so 3 miles away".split()
+    items = [(i, " ".join(rng.choices(words, k=rng.randint(3, 30)))) for i in range(25)]
+    docs = []
+    for i in range(120):
+        own = rng.choice(items)[1].split()
+        for _ in range(rng.randint(0, 2)):
+            own[rng.randrange(len(own))] = rng.choice(words)
+        docs.append((i, rng.choice([" ", "  ", "\n"]).join(rng.choices(words, k=rng.randint(0, 8)) + own + rng.choices(words, k=rng.randint(0, 8)))))
+    got = run(spark, docs, items)
+    for i, text in docs:
+        for j, item in items:
+            best = 0.0
+            for named in (True, False):
+                have, want = plain_windows(text, named), plain_windows(item, named)
+                best = max(best, len(have & want) / len(want))
+            if (i, j) in got:
+                assert abs(got[i, j]["similarity"] - best) < 1e-12 and best >= d.SIMILARITY
+            elif item in " ".join(text.split()):
+                raise AssertionError((text, item))
+            else:
+                # what is similar enough and not reported has slots that no alignment makes consistent
+                assert best < d.SIMILARITY or regex.search(r"[0-9]|\p{Lu}", item)
