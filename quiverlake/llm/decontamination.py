@@ -1,7 +1,7 @@
 """Operator 1, benchmark decontamination [native]: template windows of documents hash-joined with those of the benchmark's items.
 
 Canonical text: numbers, names and units become typed placeholders, the rest is lower-cased and stripped of punctuation; the words stay
-aligned with the words as written. Texts are also read in a second form in which names stay words and white space is one blank, so that
+aligned with the words as written. Texts are also read in a second form in which names stay words, so that
 copies in other case or wrapped anew are found; the form of the better similarity counts. A template window is WINDOW consecutive canonical words (all of them in a shorter item). A document
 holds an item if at least SIMILARITY of the item's distinct windows occur in it and its slots are consistent in one alignment that holds
 as many, or over all matched windows: each value of the item's slots is replaced by one value of the document (CONSISTENCY: distinct item
@@ -38,59 +38,78 @@ PUNCTUATION = r"[!-/:-@\[-`{-~¡¿«»‐-›…]+"
 NUMBER_SLOT, UNIT_SLOT, NAME_SLOT = "\u0001", "\u0002", "\u0003"
 
 
-def canonical(text: Column, named: bool = True) -> Column:
-    """Placeholders for numbers, units after numbers, and (if ``named``) capitalised words inside a sentence; then lower case without punctuation.
+def canonical(text: Column) -> Column:
+    """Placeholders for numbers and units after numbers, a mark before capitalised words inside a sentence; then lower case without punctuation.
 
     White space is kept sign by sign, so the words stay aligned with those of the text. Each pattern begins with the signs it replaces
     and looks back from there: a pattern that began by looking back would be tried at every position.
     """
-    out = F.regexp_replace(text, r"\p{Lu}(?<=[^\s.!?:;][ \t]\p{Lu})\p{Ll}[\p{L}'’-]*", NAME_SLOT) if named else text
-    out = F.regexp_replace(out, r"[0-9](?<=(?<!\S)[^\s\p{L}0-9]{0,4}[0-9])\S*", NUMBER_SLOT)
-    out = F.regexp_replace(out, rf"(?i)\x01 (?:{UNITS})(?![\p{{L}}0-9])", f"{NUMBER_SLOT} {UNIT_SLOT}")
+    out = F.regexp_replace(text, r"[0-9](?<=(?<!\S)[^\s\p{L}0-9]{0,4}[0-9])\S*", NUMBER_SLOT)
+    out = F.regexp_replace(out, rf"(?i)\x01(\s+)(?:{UNITS})(?![\p{{L}}0-9])", f"{NUMBER_SLOT}$1{UNIT_SLOT}")
+    out = F.regexp_replace(out, r"\p{Lu}(?<=[^\s.!?:;][ \t]\p{Lu})\p{Ll}[\p{L}'’-]*", f"{NAME_SLOT}$0")
     return F.regexp_replace(F.lower(out), PUNCTUATION, "")
 
 
-def filled(text: Column, named: bool) -> Column:
-    """A text, not null; white space is one blank where names stay words, so that a text wrapped anew has the same words."""
-    text = F.coalesce(text, F.lit(""))
-    return text if named else F.regexp_replace(text, r"\s+", " ")
+def bound(value: Column, of) -> Column:
+    """``of(value)`` with ``value`` computed once, however often ``of`` uses it."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
 
 
-def forms(text: Column, named: bool = True) -> Column:
+def words(text: Column) -> Column:
     """Canonical words of a text; words that were punctuation only are left out, null and blank texts have none."""
-    return F.filter(F.split(canonical(filled(text, named), named), r"\s"), lambda w: w != "")
+    return F.filter(F.split(canonical(F.coalesce(text, F.lit(""))), r"\s"), lambda w: w != "")
 
 
-def aligned(text: Column, named: bool = True) -> Column:
+def aligned(text: Column) -> Column:
     """Structs (raw, form) of the words that have a canonical form."""
-    text = filled(text, named)
-    pairs = F.arrays_zip(F.split(text, r"\s").alias("raw"), F.split(canonical(text, named), r"\s").alias("form"))
+    text = F.coalesce(text, F.lit(""))
+    pairs = F.arrays_zip(F.split(text, r"\s").alias("raw"), F.split(canonical(text), r"\s").alias("form"))
     return F.filter(pairs, lambda p: p["form"] != "")
 
 
-def window_hashes(form: Column) -> Column:
-    """Hashes of the template windows in order; one for a text shorter than a window, none for one without words. ``form`` is bound once."""
+def form(word: Column, named: bool) -> Column:
+    """A canonical word in one of the two forms: a marked name is its placeholder, or the word without its mark."""
+    return F.when(word.startswith(NAME_SLOT), F.lit(NAME_SLOT) if named else F.substring(word, 2, 1 << 30)).otherwise(word)
+
+
+def window_hashes(hashes: Column) -> Column:
+    """Hashes of the template windows in order, of the hashes of the words; one for a text shorter than a window, none for one without words."""
+
+    def of(h: Column) -> Column:
+        places = F.sequence(F.lit(0), F.greatest(F.size(h) - WINDOW, F.lit(0)))
+        found = F.transform(places, lambda i: F.xxhash64(*(F.get(h, i + j) for j in range(WINDOW))))
+        return F.when(F.size(h) > 0, found).otherwise(F.array().cast("array<bigint>"))
 
-    def of(f: Column) -> Column:
-        places = F.sequence(F.lit(0), F.greatest(F.size(f) - WINDOW, F.lit(0)))
-        hashes = F.transform(places, lambda i: F.xxhash64(*(F.get(f, i + j) for j in range(WINDOW))))
-        return F.when(F.size(f) > 0, hashes).otherwise(F.array().cast("array<bigint>"))
+    return bound(hashes, of)
 
-    return F.get(F.transform(F.array(form), of), F.lit(0))
 
+def text_hashes(text: Column) -> Column:
+    """The distinct window hashes of a text in both forms, which differ only where there are names."""
+    of = lambda ws, named: window_hashes(F.transform(ws, lambda w: F.xxhash64(form(w, named))))
+    both = lambda ws: F.when(F.exists(ws, lambda w: w.startswith(NAME_SLOT)), F.array_union(of(ws, True), of(ws, False))).otherwise(F.array_distinct(of(ws, True)))
+    return bound(words(text), both)
 
-def slots(words: Column, start: Column) -> Column:
+
+def slots(ws: Column, start: Column) -> Column:
     """The words as written at the placeholders of the window at ``start``, in order, marked by type."""
-    window = F.filter(F.slice(words, start + 1, WINDOW), lambda w: w["form"] <= NAME_SLOT)
+    window = F.filter(F.slice(ws, start + 1, WINDOW), lambda w: w["form"] <= NAME_SLOT)
     return F.transform(window, lambda w: F.concat(w["form"], F.regexp_replace(F.lower(w["raw"]), r"[^\p{L}\p{N}.,]+|[.,]+$", "")))
 
 
 def slotted(table: DataFrame, key: str) -> DataFrame:
     """``key``, ``row`` (a hash of the text), and for both values of ``named`` ``h``, the place and the slots of every window."""
-    both = F.array(*(F.struct(F.lit(n).alias("named"), aligned(F.col("text"), n).alias("words")) for n in (True, False)))
-    split = table.select(key, F.xxhash64("text").alias("row"), F.explode(both).alias("form")).select(key, "row", "form.*")
-    split = split.select(key, "row", "named", "words", F.posexplode(window_hashes(F.transform("words", lambda w: w["form"]))).alias("at", "h"))
-    return split.select(key, "row", "named", "h", "at", slots(F.col("words"), F.col("at")).alias("slots"))
+
+    def of(ws: Column) -> Column:
+        hashes = window_hashes(F.transform(ws, lambda w: F.xxhash64(w["form"])))
+        return F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("at"), slots(ws, i).alias("slots")))
+
+    def written_out(named: bool) -> Column:
+        return F.struct(F.lit(named).alias("named"), F.transform("words", lambda w: F.struct(w["raw"].alias("raw"), form(w["form"], named).alias("form"))).alias("words"))
+
+    split = table.select(key, F.xxhash64("text").alias("row"), aligned(F.col("text")).alias("words"))
+    split = split.select(key, "row", F.explode(F.array(written_out(True), written_out(False))).alias("form"))
+    # a text is not repeated beside each of its windows: only what a window needs leaves the array
+    return split.select(key, "row", "form.named", F.explode(bound(F.col("form.words"), of)).alias("w")).select(key, "row", "named", "w.*")
 
 
 def small(table: DataFrame) -> DataFrame:
@@ -126,9 +145,7 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     known = common.written(known, "benchmark-windows")
     sizes = known.groupBy("item_id", "named").agg(F.count_distinct("h").alias("windows"))
 
-    # a window without names has the same hash in both forms
-    hashes = F.array_union(*(window_hashes(forms(F.col("text"), n)) for n in (True, False)))
-    found = docs.select("doc_id", F.explode(hashes).alias("h"))
+    found = docs.select("doc_id", F.explode(text_hashes(F.col("text"))).alias("h"))
     hits = found.join(small(known.where("first").select("h", "item_id", "named")), "h").groupBy("doc_id", "item_id", "named", "h").agg(F.count(F.lit(1)).alias("n"))
     matched = hits.groupBy("doc_id", "item_id", "named").agg(F.count(F.lit(1)).alias("matched"))
     similar = matched.join(small(sizes), ["item_id", "named"]).withColumn("similarity", F.col("matched") / F.col("windows"))
@@ -137,9 +154,9 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     # the words of the documents that hold an item are looked at again, for their slots
     owners = held.select(F.col("doc_id").alias("owner"), F.col("item_id").alias("held_item"), F.col("named").alias("held_named"), "windows")
     again = docs.select("doc_id", "text").join(small(owners.select("owner").distinct()), F.col("doc_id").eqNullSafe(F.col("owner")), "left_semi")
-    placed = slotted(again, "doc_id").distinct().join(small(known), ["h", "named"])
     same = F.col("doc_id").eqNullSafe(F.col("owner")) & F.col("item_id").eqNullSafe(F.col("held_item")) & (F.col("named") == F.col("held_named"))
-    aligned_windows = alignments(placed.join(small(owners), same))
+    placed = slotted(again, "doc_id").join(small(known), ["h", "named"]).join(small(owners), same).distinct()
+    aligned_windows = alignments(common.written(placed, "benchmark-placed"))
     covers = F.col("alignment").isNull() | (F.count_distinct("h") >= SIMILARITY * F.col("windows"))
     pair = F.explode_outer(F.arrays_zip("item_slots", F.col("slots").alias("doc_slots")))
     keys = ["doc_id", "item_id", "named", "windows", "alignment"]
