@@ -4,8 +4,9 @@ Voters fire or abstain on a document. Their lexicon is a fixed list plus the wor
 labelled training documents shows to be far more frequent in toxic ones; every stem is a voter, and so are some patterns. From here on no
 label is used. The label model looks at a bounded sample of training documents, labelled or not: it is tree-structured, every voter has
 an accuracy given the hidden class and a correlation with its parent voter, the tree being the strongest conditional dependencies, and
-is estimated by expectation maximisation. A ridge logistic regression on counts of lexicon hits is trained on the posteriors and scores
-every whole text; its cut, placed at 0.7, is the one of the best expected F1 under the posteriors.
+is estimated by expectation maximisation. The toxic class has kinds, found as groups of stems that fire together, since insults of one
+language say nothing of texts in others; a posterior is the sum over the kinds. A ridge logistic regression on counts of lexicon hits is
+trained on the posteriors and scores every whole text; its cut, placed at 0.7, is the one of the best expected F1 under the posteriors.
 
 Nulls: a null text is an empty one (no voter fires). Labels that are neither 0 nor 1 are no labels; without any, only the fixed list
 votes. Rows without doc_id are in no sample and are scored like any other. Repeated rows stay.
@@ -35,7 +36,10 @@ PREFIXES = (4, 5, 6, 7, 8)
 #: A stem votes if its likelihood-ratio statistic and its ratio of the toxic to the clean share reach these; no further cut is made.
 LEAST_G, LEAST_RATIO = 25.0, 20.0
 #: Patterns that vote beside the stems.
-PATTERNS = 8
+PATTERNS = 6
+#: The share of the rarer stem's documents on which stems of one kind fire together, and the weight of a prior of one half on each rate.
+TOGETHER = 0.15
+SMALL = 0.2
 RIDGE = 1e-3
 CUT = 0.7
 
@@ -133,41 +137,60 @@ def vector(hits: dict[int, int], extra: list[float], width: int) -> tuple[list[i
 def votes(hits: dict[int, int], extra: list[float], width: int, listed: set[int]) -> list[int]:
     """The voters that fire: one for each stem, then the fixed list and the patterns."""
     total = sum(hits.values())
-    patterns = (any(i in listed for i in hits), total >= 1, total >= 2, total >= 4, len(hits) >= 2, 100 * total >= extra[2], extra[0] >= 1, extra[1] >= 1)
-    return [*hits, *(width + k for k, fires in enumerate(patterns) if fires and total)]
+    patterns = (any(i in listed for i in hits), total >= 2, total >= 4, len(hits) >= 2, extra[0] >= 1, extra[1] >= 1)
+    return [*hits, *(width + k for k, fires in enumerate(patterns) if fires)]
 
 
-def label_model(v: np.ndarray, n: np.ndarray | None = None, rounds: int = 30) -> np.ndarray:
-    """Posterior P(toxic) of each row of the vote matrix, from the tree-structured generative model fitted by EM; ``n``: how often a row occurs."""
+def kinds_of(v: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A group for each voter: those that fire together on TOGETHER of the rarer one's documents at least, directly or by a chain."""
+    x = v.astype(float)
+    both = (x * n[:, None]).T @ x
+    alone = np.diag(both)
+    linked = both >= np.maximum(TOGETHER * np.minimum(alone[:, None], alone[None, :]), 3)
+    group = np.arange(v.shape[1])
+    while True:
+        least = np.minimum(group, np.where(linked, group[None, :], len(group)).min(axis=1, initial=len(group)))
+        if (least == group).all():
+            return np.unique(group, return_inverse=True)[1]
+        group = least
+
+
+def label_model(v: np.ndarray, n: np.ndarray | None = None, rounds: int = 30, stems: int = 0) -> np.ndarray:
+    """Posterior P(toxic) of each row of the vote matrix, from the tree-structured generative model fitted by EM; ``n``: how often a row
+    occurs, ``stems``: the leading voters, whose groups are the kinds of the toxic class (0: all voters, and one kind)."""
     rows, m = v.shape
     if not rows:
         return np.zeros(0)
     n = np.ones(rows) if n is None else n
-    q = np.clip(0.02 + 0.9 * (v.sum(axis=1) >= 2), 0.02, 0.92)
-    parent = np.full(m, -1)
     x = v.astype(float)
+    own = v[:, : stems or m]
+    group = kinds_of(own, n) if stems else np.zeros(m, int)
+    fired = own.astype(float) @ np.eye(group.max() + 1)[group]
+    used = np.flatnonzero(np.bincount(fired.argmax(axis=1), weights=n * (own.sum(axis=1) >= 2), minlength=fired.shape[1]) >= 3)
+    used = used if len(used) else np.arange(1)
+    # the share of each class in each row: clean first, then the kinds
+    q = np.zeros((rows, 1 + len(used)))
+    q[np.arange(rows), 1 + fired[:, used].argmax(axis=1)] = np.where(own.sum(axis=1) >= 2, 0.92, 0.02)
+    q[:, 0] = 1 - q[:, 1:].sum(axis=1)
+    parent = np.full(m, -1)
     for step in range(rounds):
         if step % 10 == 0:
-            parent = dependency_tree(x, q, n)
-        log = np.zeros((rows, 2))
-        for y, weight in ((0, n * (1 - q)), (1, n * q)):
-            total = weight.sum()
-            log[:, y] += np.log((total + 1) / (n.sum() + 2))
-            for j in range(m):
-                if parent[j] < 0:
-                    p = np.full(rows, (weight @ x[:, j] + 0.5) / (total + 1))
-                else:
-                    up = x[:, parent[j]]
-                    p1 = (weight @ (x[:, j] * up) + 0.5) / (weight @ up + 1)
-                    p0 = (weight @ (x[:, j] * (1 - up)) + 0.5) / (weight @ (1 - up) + 1)
-                    p = np.where(up > 0, p1, p0)
-                log[:, y] += np.where(x[:, j] > 0, np.log(p), np.log1p(-p))
-        new = 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -50, 50)))
+            parent = dependency_tree(x, 1 - q[:, 0], n)
+        weight = n[:, None] * q
+        total = weight.sum(axis=0)
+        log = np.tile(np.log((total + 0.5) / (n.sum() + 1)), (rows, 1))
+        for j in range(m):
+            up = x[:, parent[j]] if parent[j] >= 0 else np.zeros(rows)
+            for state in (up, 1 - up):
+                rate = (weight.T @ (x[:, j] * state) + 0.5 * SMALL) / (weight.T @ state + SMALL)
+                log += state[:, None] * np.where(x[:, j, None] > 0, np.log(rate), np.log1p(-rate))
+        new = np.exp(log - log.max(axis=1, keepdims=True))
+        new /= new.sum(axis=1, keepdims=True)
         done = np.abs(new - q).max() < 1e-5
         q = new
         if done:
             break
-    return q
+    return 1 - q[:, 0]
 
 
 def dependency_tree(x: np.ndarray, q: np.ndarray, n: np.ndarray | None = None) -> np.ndarray:
@@ -254,7 +277,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column) -> tuple[list[str]
     for k, (at, values, fired, _) in enumerate(rows):
         x[k, list(at)] = values
         v[k, list(fired)] = True
-    q = label_model(v, n)
+    q = label_model(v, n, stems=width)
     w = regression(x, q, n)
     return stems, w, cut_of(x @ w[:-1] + w[-1], q, n)
 
