@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import persisted
 from . import knn
 
 #: Lloyd repetitions, the relative change that stops, the training sample's bound.
@@ -45,8 +46,6 @@ def norm_percentiles(points: DataFrame, steps: int = 20) -> DataFrame:
     if not n:
         return points.sparkSession.createDataFrame([], "percent int, norm double")
     ordered = norms.repartitionByRange("norm", "id").withColumn("part", F.spark_partition_id())
-    from ..session import persisted
-
     ordered = persisted(ordered)
     sizes = sorted((r["part"], r["count"]) for r in ordered.groupBy("part").count().collect())
     offset, total = {}, 0
@@ -90,15 +89,50 @@ def nearest(points: DataFrame, centres: DataFrame, k: int = 1) -> DataFrame:
 
 
 def lloyd_step(points: DataFrame, centres: DataFrame, keep_empty: bool = False) -> DataFrame:
-    """(centre, dim, mean, n): new centres; one without points becomes zero, or stays with ``keep_empty``."""
-    owner = nearest(points, centres).select("id", "centre")
-    new = (
-        points.join(owner, "id").select("centre", F.posexplode("vec").alias("dim", "x"))
-        .groupBy("centre", "dim").agg(F.avg(F.col("x").cast("double")).alias("mean"), F.count(F.lit(1)).alias("n"))
-    )
+    """(centre, dim, mean, n): new centres; one without points becomes zero, or stays with ``keep_empty``.
+
+    A task sends one row of sums for each centre it meets; points are not shuffled.
+    """
+    spark = points.sparkSession
+    ids, c = _whole(centres)
+    sent = spark.sparkContext.broadcast((ids, c))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, c = sent.value
+        sums, n = np.zeros_like(c), np.zeros(len(ids), np.int64)
+        for part in knn.parts_of(batches):
+            x = knn.matrix(part.column("vec"))
+            query, centre, _ = knn.top_k(ids, c, x, 1, "l2")
+            at = np.searchsorted(ids, centre)
+            np.add.at(sums, at, x[query])
+            n += np.bincount(at, minlength=len(ids))
+        met = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[met]), pa.array(list(sums[met]), pa.list_(pa.float64())), pa.array(n[met])], ["centre", "sums", "n"])
+
+    partial = points.select(F.col("id").cast("long").alias("id"), "vec").where("vec is not null").mapInArrow(run, "centre long, sums array<double>, n long")
+    new = partial.select("centre", "n", F.posexplode("sums").alias("dim", "x")).groupBy("centre", "dim").agg((F.sum("x") / F.sum("n")).alias("mean"), F.sum("n").alias("n"))
     old = centres.select(F.col("centre").cast("long").alias("centre"), F.posexplode("vec").alias("dim", "x"))
     rest = F.col("x").cast("double") if keep_empty else F.lit(0.0)
-    return old.join(new, ["centre", "dim"], "left").select("centre", "dim", F.coalesce("mean", rest).alias("mean"), F.coalesce("n", F.lit(0)).alias("n"))
+    return old.join(F.broadcast(new), ["centre", "dim"], "left").select("centre", "dim", F.coalesce("mean", rest).alias("mean"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def _whole(centres: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and matrix of a stated set of centres, in order of their ids."""
+    parts = list(knn.query_blocks(centres.select(F.col("centre").alias("id"), "vec"), "id", "vec"))
+    return np.array([i for ids, _ in parts for i in ids], np.int64), np.vstack([c for _, c in parts]) if parts else np.zeros((0, 0))
+
+
+def kmeans_whole(points: DataFrame, centres: DataFrame, rounds: int = LLOYD_ROUNDS) -> DataFrame:
+    """(centre, vec) after Lloyd's rounds over all points, from the given centres; stops when the residual changes by under LEAST_CHANGE."""
+    last = None
+    for _ in range(rounds):
+        step = lloyd_step(points, centres, True).groupBy("centre").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "mean"))), lambda s: s["mean"]).alias("vec"))
+        centres = centres.sparkSession.createDataFrame(step.collect(), "centre long, vec array<double>")
+        now = residual(points, centres).first()[0] or 0.0
+        if now < 1e-12 or (last is not None and abs(last - now) / now < LEAST_CHANGE):
+            break
+        last = now
+    return centres
 
 
 def residual(points: DataFrame, centres: DataFrame) -> DataFrame:
@@ -112,9 +146,14 @@ def cluster_sizes(points: DataFrame, centres: DataFrame, k: int = 1) -> DataFram
 
 
 def sample_matrix(points: DataFrame, bound: int = TRAINING_BOUND, seed: int = 1) -> np.ndarray:
-    """A bounded training sample on the driver, in the order of a seeded hash."""
-    rows = points.select("vec").where("vec is not null").orderBy(F.xxhash64(F.lit(seed), "id"), "id") if "id" in points.columns else points
-    return np.array([r[0] for r in rows.limit(bound).select("vec").collect()], np.float64)
+    """A bounded training sample on the driver, in the order of a seeded hash of (id, vec). Rows beyond a hash that some twice ``bound`` rows
+    lie below are left out first, so no task sorts or sends the whole bound."""
+    own = points.where("vec is not null")
+    hashed = own.select("vec", F.xxhash64(F.lit(seed), *([F.col("id")] if "id" in points.columns else []), "vec").alias("h"))
+    n = own.count()
+    if n > 4 * bound:
+        hashed = hashed.where(F.col("h") <= -(1 << 63) + int(2 * (bound + 100) / n * (1 << 64)))
+    return np.array([r[0] for r in hashed.orderBy("h").limit(bound).select("vec").collect()], np.float64)
 
 
 def seeds(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
@@ -159,16 +198,31 @@ def partition(points: DataFrame, parts: int, overlap: int = 2, seed: int = 1) ->
     return nearest(points, centres_frame(points.sparkSession, c), min(overlap, parts)).select("id", F.col("centre").alias("shard"))
 
 
-def partition_under(points: DataFrame, most_points: int, overlap: int = 2, seed: int = 1, start: int = 3) -> tuple[int, DataFrame]:
-    """(parts, (id, shard)): from ``start`` parts on, two more until the largest shard has at most ``most_points`` points."""
+def partition_under(points: DataFrame, most_points: int, overlap: int = 2, seed: int = 1, start: int = 1) -> tuple[int, DataFrame]:
+    """(parts, (id, shard)): from ``start`` parts on, more until the largest shard, as counted, has at most ``most_points`` points.
+
+    The sample tells where to begin counting; each count of the real rows that is above the bound adds parts. Shards that stay too large
+    however many parts there are, as copies of one vector do, are dealt out by a hash of the id.
+    """
     x = sample_matrix(points, seed=seed)
     n = points.count()
-    parts = start
-    while True:
+    parts = max(start, -(-n * min(overlap, 2) // max(most_points, 1))) if n > most_points else 1
+    spark = points.sparkSession
+    for _ in range(6):
         c, _, _ = kmeans(x, parts, seed=seed)
-        d = knn.approximate("l2", x, c)
-        k = min(overlap, parts)
-        share = np.bincount(np.argsort(d, axis=1)[:, :k].ravel(), minlength=parts).max() / max(len(x), 1)
-        if share * n <= most_points or parts >= max(len(x), 1):
-            return parts, nearest(points, centres_frame(points.sparkSession, c), k).select("id", F.col("centre").alias("shard"))
-        parts += 2
+        owner = persisted(nearest(points, centres_frame(spark, c), min(overlap, parts)).select("id", F.col("centre").alias("shard")))
+        sizes = owner.groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
+        largest = sizes.agg(F.max("n")).first()[0] or 0
+        if largest <= most_points or parts >= max(len(x), 1):
+            break
+        parts = min(max(parts + 2, int(parts * 1.5)), max(len(x), 1))
+    if largest <= most_points:
+        return parts, owner
+    pieces = F.ceil(F.col("n") / F.lit(most_points))
+    dealt = owner.join(F.broadcast(sizes), "shard").select("id", F.xxhash64("shard", F.pmod(F.xxhash64(F.lit(seed), "id"), pieces)).alias("shard"))
+    return dealt.select("shard").distinct().count(), dealt
+
+
+def sharded_under(points: DataFrame, most_points: int, overlap: int = 1, seed: int = 1) -> DataFrame:
+    """``points`` with their shard, written: shards of at most ``most_points`` points, each point in ``overlap`` of them."""
+    return persisted(points.join(partition_under(points, most_points, overlap, seed)[1], "id"))

@@ -43,6 +43,23 @@ def simulated_recall(spark, shards: int, k: int, shard_recall: float, draws: int
     return hits.groupBy("shard").agg(F.sum("hit").alias("hits"), F.count(F.lit(1)).alias("n")).agg((F.sum("hits") / F.sum("n")).alias("recall"))
 
 
+def search_report(run: Callable[[], DataFrame], queries: int, truth: DataFrame | None = None, depths: tuple[int, ...] = (10, 5, 2, 1), clock: Callable[[], float] = time.perf_counter) -> dict[str, float]:
+    """Runs a page search once and reports it: seconds, queries a second, and by query the mean and the 99.9th percentile of pages read, mean
+    hops, and recall at several depths where ``truth`` is given. ``run`` gives a read log (qid, found, hops, pages)."""
+    from . import pages
+
+    began = clock()
+    log = persisted(run())
+    took = clock() - began
+    each = log.groupBy("qid").agg(F.sum(F.size("pages")).alias("reads"), F.sum("hops").alias("hops"))
+    row = each.agg(F.avg("reads").alias("reads"), F.percentile("reads", F.lit(0.999)).alias("most"), F.avg("hops").alias("hops")).first()
+    out = {"seconds": took, "qps": queries / took if took else 0.0, "mean_latency": took / max(queries, 1), "mean_ios": row["reads"] or 0.0, "p999_ios": row["most"] or 0.0, "mean_hops": row["hops"] or 0.0}
+    if truth is not None:
+        found = pages.results(log, max(depths))
+        out |= {f"recall_{r['k']}": r["recall"] for r in report(truth, found, depths).collect()}
+    return out
+
+
 def tuned_beam(run: Callable[[int], DataFrame], start: int = 2, most: int = 64, clock: Callable[[], float] = time.perf_counter) -> int:
     """The beam width (grown by a tenth, one at least) up to which a sample runs faster each time."""
     best, width, last = start, start, None

@@ -1,7 +1,7 @@
 """Proximity graphs: building, pruning, searching, merging, statistics and repair. Edges are (src, nbrs array), neighbours nearest first.
 
-A shard of bounded size is built and searched by one task; shards come from a partition under a size limit. Queries are a stated set and
-go to every shard, whose partial answers are merged: no task or executor ever needs the whole index.
+A shard is built and searched by one task; ``clusters.sharded_under`` makes shards of a stated largest size, counted on the real rows.
+Queries are a stated set and go to every shard, whose partial answers are merged: no task or executor ever needs the whole index.
 """
 
 from __future__ import annotations
@@ -22,11 +22,31 @@ SHARD_POINTS = 100_000
 SLACK = 1.3
 
 
-def distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    return ((x - q) ** 2).sum(axis=1)
+def distances(x: np.ndarray, q: np.ndarray, metric: str = "l2") -> np.ndarray:
+    """Distances of rows to one vector: squared, negative products, or 1 - cosine (1 where a norm is zero)."""
+    if metric == "l2":
+        return ((x - q) ** 2).sum(axis=1)
+    products = x @ q
+    if metric == "ip":
+        return -products
+    norms = np.sqrt((x * x).sum(axis=1) * (q @ q))
+    return 1 - np.divide(products, norms, out=np.zeros(len(x)), where=norms > 0)
 
 
-def robust_prune(x: np.ndarray, point: int, pool: list[int], degree: int, alpha: float = ALPHA, labels: list[set] | None = None, saturate: bool = False) -> list[int]:
+def occlusion(metric: str, to_point: np.ndarray, between: np.ndarray, factor: float) -> np.ndarray:
+    """How far a taken neighbour occludes candidates: a candidate is occluded while this is above the factor.
+
+    Distances: the candidate's distance to the point over that to the taken one. Inner products have no scale of distances: a candidate is
+    occluded at this factor if it is more similar to the taken one than ``factor`` times as similar to the point.
+    """
+    if metric == "ip":
+        return np.where(-between > factor * -to_point, factor + 0.01, 0.0)
+    return np.where(between > 0, to_point / np.maximum(between, 1e-300), np.inf)
+
+
+def robust_prune(
+    x: np.ndarray, point: int, pool: list[int], degree: int, alpha: float = ALPHA, labels: list[set] | None = None, saturate: bool = False, metric: str = "l2"
+) -> list[int]:
     """At most ``degree`` neighbours of ``point`` from a pool.
 
     In order of distance a candidate is taken unless a taken one occludes it: is nearer to it than the point by more than the factor,
@@ -35,7 +55,7 @@ def robust_prune(x: np.ndarray, point: int, pool: list[int], degree: int, alpha:
     ids = np.array(sorted(set(pool) - {point}), int)
     if not len(ids):
         return []
-    d = distances(x[ids], x[point])
+    d = distances(x[ids], x[point], metric)
     order = np.lexsort((ids, d))[:MOST_CANDIDATES]
     ids, d = ids[order], d[order]
     worst = np.zeros(len(ids))
@@ -54,69 +74,129 @@ def robust_prune(x: np.ndarray, point: int, pool: list[int], degree: int, alpha:
             if labels is not None:
                 rest = np.array([r for r in rest if labels[ids[r]] <= labels[ids[i]]], int)
             if len(rest):
-                between = distances(x[ids[rest]], x[ids[i]])
-                worst[rest] = np.maximum(worst[rest], np.where(between > 0, d[rest] / np.maximum(between, 1e-300), np.inf))
+                worst[rest] = np.maximum(worst[rest], occlusion(metric, d[rest], distances(x[ids[rest]], x[ids[i]], metric), factor))
         factor *= 1.2
     if saturate and alpha > 1:
         taken += [int(i) for i in ids if int(i) not in taken][: degree - len(taken)]
     return taken
 
 
-def greedy_search(x: np.ndarray, nbrs: list, starts: list[int], q: np.ndarray, width: int, allowed: np.ndarray | None = None) -> tuple[list[int], list[float], set[int], int]:
-    """(nearest ids, their distances, all expanded ids, hops): expands the closest unexpanded node of a list of ``width``."""
-    seen = set(starts)
-    first = np.array(sorted(seen), int)
-    queue = sorted(zip(distances(x[first], q).tolist(), first.tolist(), strict=True))[:width]
+def greedy_search(
+    x: np.ndarray, nbrs: list, starts: list[int], q: np.ndarray, width: int, allowed: np.ndarray | None = None, metric: str = "l2", wanted: np.ndarray | None = None
+) -> tuple[list[int], list[float], set[int], int]:
+    """(nearest ids, their distances, all expanded ids, hops): expands the closest unexpanded node of a list of ``width``.
+
+    ``allowed``: nodes that may be entered at all. ``wanted``: nodes that may be results; others lead the way, and a list of their own holds
+    the ``width`` nearest wanted ones, so that however many nodes are unwanted no wanted one is pushed out.
+    """
+    first = np.array(sorted(set(starts)), int)
+    seen = np.zeros(len(x), bool)
+    seen[first] = True
+    reach = sorted(zip(distances(x[first], q, metric).tolist(), first.tolist(), strict=True))
+    queue, hits = reach[:width], [r for r in reach if wanted is None or wanted[r[1]]]
     done: set[int] = set()
     while True:
+        # with unwanted nodes the search goes on until ``width`` wanted ones are nearer than all that is left
         now = next((n for _, n in queue if n not in done), None)
         if now is None:
             break
         done.add(now)
-        fresh = np.array([n for n in nbrs[now] if n not in seen and (allowed is None or allowed[n])], int)
-        seen.update(fresh.tolist())
+        fresh = np.array(nbrs[now], int)
+        fresh = fresh[~seen[fresh]] if len(fresh) else fresh
+        if allowed is not None and len(fresh):
+            fresh = fresh[allowed[fresh]]
         if len(fresh):
-            queue = sorted(queue + list(zip(distances(x[fresh], q).tolist(), fresh.tolist(), strict=True)))[:width]
-    return [n for _, n in queue], [d for d, _ in queue], done, len(done)
+            fresh = np.unique(fresh)
+            seen[fresh] = True
+            more = list(zip(distances(x[fresh], q, metric).tolist(), fresh.tolist(), strict=True))
+            hits = sorted(hits + [r for r in more if wanted is None or wanted[r[1]]])[:width]
+            queue = sorted(queue + more)
+            if wanted is None:
+                queue = queue[:width]
+            else:
+                limit = hits[-1][0] if len(hits) >= width else np.inf
+                queue = [r for k, r in enumerate(queue) if k < width or r[0] < limit]
+    found = hits if wanted is not None else queue
+    return [n for _, n in found], [d for d, _ in found], done, len(done)
 
 
 def medoid_index(x: np.ndarray) -> int:
     return int(np.argmin(distances(x, x.mean(axis=0))))
 
 
-def build_local(x: np.ndarray, degree: int, width: int, alpha: float = ALPHA, labels: list[set] | None = None) -> tuple[list[list[int]], int]:
+def build_local(x: np.ndarray, degree: int, width: int, alpha: float = ALPHA, labels: list[set] | None = None, metric: str = "l2", saturate: bool = False) -> tuple[list[list[int]], int]:
     """(neighbours, start) of one shard: points are inserted in order of their ids, with reverse edges under slack and a final trim."""
     n = len(x)
     nbrs: list[list[int]] = [[] for _ in range(n)]
     if not n:
         return nbrs, -1
     start = medoid_index(x)
-    most = int(degree * SLACK)
-    for p in range(n):
-        _, _, visited, _ = greedy_search(x, nbrs, [start], x[p], width)
-        nbrs[p] = robust_prune(x, p, list(visited) + nbrs[p], degree, alpha, labels)
-        for o in nbrs[p]:
-            if p not in nbrs[o]:
-                nbrs[o].append(p)
-                if len(nbrs[o]) > most:
-                    nbrs[o] = robust_prune(x, o, nbrs[o], degree, alpha, labels)
     for p in range(n):
-        if len(nbrs[p]) > degree:
-            nbrs[p] = robust_prune(x, p, nbrs[p], degree, alpha, labels)
-    return nbrs, start
+        insert_local(x, nbrs, [start], p, degree, width, alpha, labels, metric, saturate)
+    return trimmed(x, nbrs, degree, alpha, labels, metric), start
+
+
+def insert_local(x: np.ndarray, nbrs: list[list[int]], starts: list[int], p: int, degree: int, width: int, alpha: float = ALPHA, labels: list[set] | None = None, metric: str = "l2", saturate: bool = False) -> None:
+    """Links point ``p`` from what a search for it visits, and back; lists that outgrow the slack are pruned."""
+    visited = greedy_search(x, nbrs, starts, x[p], width, metric=metric)[2]
+    nbrs[p] = robust_prune(x, p, list(visited) + nbrs[p], degree, alpha, labels, saturate, metric)
+    linked_back(x, nbrs, p, degree, alpha, labels, metric)
+
+
+def linked_back(x: np.ndarray, nbrs: list[list[int]], p: int, degree: int, alpha: float, labels: list[set] | None, metric: str) -> None:
+    """Reverse edges of ``p``, under slack."""
+    most = int(degree * SLACK)
+    for o in nbrs[p]:
+        if p not in nbrs[o]:
+            nbrs[o].append(p)
+            if len(nbrs[o]) > most:
+                nbrs[o] = robust_prune(x, o, nbrs[o], degree, alpha, labels, metric=metric)
+
+
+def trimmed(x: np.ndarray, nbrs: list[list[int]], degree: int, alpha: float, labels: list[set] | None = None, metric: str = "l2") -> list[list[int]]:
+    return [n if len(n) <= degree else robust_prune(x, p, n, degree, alpha, labels, metric=metric) for p, n in enumerate(nbrs)]
+
+
+EDGES = "shard long, src long, nbrs array<long>, is_start boolean"
 
 
-def build(sharded: DataFrame, degree: int = 32, width: int = 64, alpha: float = ALPHA) -> DataFrame:
-    """(shard, src, nbrs, is_start) of (shard, id, vec): one task a shard."""
+def build(sharded: DataFrame, degree: int = 32, width: int = 64, alpha: float = ALPHA, metric: str = "l2", saturate: bool = False, book=None) -> DataFrame:
+    """(shard, src, nbrs, is_start) of (shard, id, vec): one task a shard. ``book``: distances while building are those of decoded codes."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
         ids = pdf["id"].to_numpy()
         x = np.array(pdf["vec"].tolist(), np.float64)
-        nbrs, start = build_local(x, degree, width, alpha)
+        if book is not None and len(x):
+            x = book.restored(book.encode(x))
+        nbrs, start = build_local(x, degree, width, alpha, None, metric, saturate)
         return pd.DataFrame({"shard": pdf["shard"].to_numpy(), "src": ids, "nbrs": [ids[n].tolist() if n else [] for n in nbrs], "is_start": np.arange(len(ids)) == start})
 
-    return sharded.select("shard", "id", "vec").groupBy("shard").applyInPandas(run, "shard long, src long, nbrs array<long>, is_start boolean")
+    return sharded.select("shard", "id", "vec").groupBy("shard").applyInPandas(run, EDGES)
+
+
+def inserted(sharded: DataFrame, edges: DataFrame, new: DataFrame, degree: int = 32, width: int = 64, alpha: float = ALPHA, metric: str = "l2") -> DataFrame:
+    """(shard, src, nbrs, is_start) with the (shard, id, vec) points of ``new`` linked in, in order of their ids, each shard by one task."""
+    old = sharded.select("shard", "id", "vec").join(edges.withColumnRenamed("src", "id"), ["shard", "id"])
+    both = old.withColumn("old", F.lit(True)).unionByName(
+        new.select("shard", "id", "vec").withColumn("nbrs", F.array().cast("array<bigint>")).withColumn("is_start", F.lit(False)).withColumn("old", F.lit(False)), allowMissingColumns=True
+    )
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id").reset_index(drop=True)
+        ids, x = pdf["id"].to_numpy(), np.array(pdf["vec"].tolist(), np.float64)
+        place = {int(i): n for n, i in enumerate(ids)}
+        nbrs = [[place[int(i)] for i in row if int(i) in place] for row in pdf["nbrs"]]
+        is_start = pdf["is_start"].to_numpy(bool)
+        if not is_start.any():
+            is_start[medoid_index(x)] = True
+        starts = np.flatnonzero(is_start).tolist()
+        for p in np.flatnonzero(~pdf["old"].to_numpy(bool)).tolist():
+            insert_local(x, nbrs, starts, p, degree, width, alpha, metric=metric)
+        nbrs = trimmed(x, nbrs, degree, alpha, metric=metric)
+        return pd.DataFrame({"shard": pdf["shard"].to_numpy(), "src": ids, "nbrs": [ids[n].tolist() if n else [] for n in nbrs], "is_start": is_start})
+
+    return both.groupBy("shard").applyInPandas(run, EDGES)
 
 
 def label_starts(labelled: list[set], seed: int = 1, tries: int = 25) -> dict[str, int]:
@@ -133,7 +213,7 @@ def label_starts(labelled: list[set], seed: int = 1, tries: int = 25) -> dict[st
     return out
 
 
-def build_filtered(sharded: DataFrame, degree: int = 32, width: int = 64, alpha: float = ALPHA, universal: str | None = None) -> DataFrame:
+def build_filtered(sharded: DataFrame, degree: int = 32, width: int = 64, alpha: float = ALPHA, universal: str | None = None, metric: str = "l2") -> DataFrame:
     """(shard, src, nbrs, is_start, starts_label) of (shard, id, vec, labels): edges serve searches by label.
 
     A point is linked from what is visited from the starts of its labels among points that share one, and from the medoid among all;
@@ -150,17 +230,14 @@ def build_filtered(sharded: DataFrame, degree: int = 32, width: int = 64, alpha:
         starts = label_starts(own)
         nbrs: list[list[int]] = [[] for _ in ids]
         centre = medoid_index(x)
-        most = int(degree * SLACK)
         for p in range(len(ids)):
-            pool = set(greedy_search(x, nbrs, [centre], x[p], width)[2])
+            pool = set(greedy_search(x, nbrs, [centre], x[p], width, metric=metric)[2])
             for label in sorted(own[p]):
-                pool |= greedy_search(x, nbrs, [starts[label]], x[p], width, carriers[label])[2]
-            nbrs[p] = robust_prune(x, p, list(pool) + nbrs[p], degree, alpha, own)
-            for o in nbrs[p]:
-                if p not in nbrs[o]:
-                    nbrs[o] = [*nbrs[o], p] if len(nbrs[o]) < most else robust_prune(x, o, [*nbrs[o], p], degree, alpha, own)
-        nbrs = [n if len(n) <= degree else robust_prune(x, p, n, degree, alpha, own) for p, n in enumerate(nbrs)]
-        label_of = {}
+                pool |= greedy_search(x, nbrs, [starts[label]], x[p], width, carriers[label], metric)[2]
+            nbrs[p] = robust_prune(x, p, list(pool) + nbrs[p], degree, alpha, own, metric=metric)
+            linked_back(x, nbrs, p, degree, alpha, own, metric)
+        nbrs = trimmed(x, nbrs, degree, alpha, own, metric)
+        label_of: dict[int, list[str]] = {}
         for label, node in starts.items():
             label_of.setdefault(node, []).append(label)
         return pd.DataFrame({
@@ -168,7 +245,7 @@ def build_filtered(sharded: DataFrame, degree: int = 32, width: int = 64, alpha:
             "is_start": np.arange(len(ids)) == centre, "starts_label": [sorted(label_of.get(i, [])) for i in range(len(ids))],
         })
 
-    return sharded.select("shard", "id", "vec", "labels").groupBy("shard").applyInPandas(run, "shard long, src long, nbrs array<long>, is_start boolean, starts_label array<string>")
+    return sharded.select("shard", "id", "vec", "labels").groupBy("shard").applyInPandas(run, EDGES + ", starts_label array<string>")
 
 
 def build_stitched(points: DataFrame, degree: int = 32, width: int = 64, most: int = 64, alpha: float = ALPHA) -> DataFrame:
@@ -184,53 +261,94 @@ def build_stitched(points: DataFrame, degree: int = 32, width: int = 64, most: i
     return pruned(stitched(pairs), points, most, alpha)
 
 
-def search(sharded: DataFrame, edges: DataFrame, queries: DataFrame, k: int, width: int, keep_label: str | None = None) -> DataFrame:
-    """(qid, rank, id, dist) by greedy search of every shard from its start; ``keep_label``: only results with this label, searched wider.
+SEARCHED = "qid long, id long, dist double, hops int, compared int"
+
 
-    sharded: (shard, id, vec[, labels]); k may not exceed ``width``.
+def search(
+    sharded: DataFrame, edges: DataFrame, queries: DataFrame, k: int, width: int, keep_label: str | None = None, metric: str = "l2",
+    universal: str | None = None, unwanted: DataFrame | None = None, counted: bool = False,
+) -> DataFrame:
+    """(qid, rank, id, dist) by greedy search of every shard from its start.
+
+    ``keep_label``: only results with this label (or the universal one), from the label's own starts where ``edges`` has them and the
+    shard's start; a label that no point has raises. ``unwanted``: (id) of nodes that lead the way and are no results. ``counted``: with
+    the columns hops (nodes expanded, over all shards) and shards. sharded: (shard, id, vec[, labels]); k may not exceed ``width``.
     """
     if k > width:
         raise ValueError("k must not be larger than the list width")
-    spark = sharded.sparkSession
-    out = None
-    cols = ["shard", "id", "vec"] + (["labels"] if keep_label is not None else [])
-    joined = sharded.select(*cols).join(edges.withColumnRenamed("src", "id"), ["shard", "id"])
-    for qids, q in knn.query_blocks(queries, "id", "vec"):
-        sent = spark.sparkContext.broadcast((qids, q))
-
-        def searcher(sent):
-            def run(pdf: pd.DataFrame) -> pd.DataFrame:
-                pdf = pdf.sort_values("id").reset_index(drop=True)
-                ids, x = pdf["id"].to_numpy(), np.array(pdf["vec"].tolist(), np.float64)
-                place = {int(i): n for n, i in enumerate(ids)}
-                nbrs = [[place[int(i)] for i in row if int(i) in place] for row in pdf["nbrs"]]
-                starts = np.flatnonzero(pdf["is_start"].to_numpy()).tolist() or [0]
-                fits = None if keep_label is None else np.array([keep_label in set(map(str, row)) for row in pdf["labels"]])
-                if fits is not None and fits.any():
-                    starts = starts + [int(np.flatnonzero(fits)[0])]
-                rows = []
-                for i, v in zip(*sent.value, strict=True):
-                    found, dist, _, hops = greedy_search(x, nbrs, starts, v, width if fits is None else 4 * width)
-                    hits = [(n, d) for n, d in zip(found, dist, strict=True) if fits is None or fits[n]][:k]
-                    rows += [(i, int(ids[n]), d, hops) for n, d in hits]
-                return pd.DataFrame(rows, columns=["qid", "id", "dist", "hops"]).astype({"qid": "int64", "id": "int64", "dist": "float64", "hops": "int64"})
-
-            return run
-
-        some = joined.groupBy("shard").applyInPandas(searcher(sent), "qid long, id long, dist double, hops long")
-        out = some if out is None else out.unionByName(some)
-    if out is None:
-        return spark.createDataFrame([], "qid long, rank int, id long, dist double")
-    return knn.ranked(out.groupBy("qid", "id").agg(F.min("dist").alias("dist")), k)
-
-
-def knn_graph(points: DataFrame, k: int) -> DataFrame:
-    """(src, pos, dst, dist): the exact k-nearest-neighbour graph; every point is a query, in blocks."""
-    found = knn.knn(points, points, k + 1).where("qid <> id")
-    from pyspark.sql import Window
+    filtered = keep_label is not None
+    if filtered:
+        known = F.array_contains("labels", keep_label) if universal is None else F.array_contains("labels", keep_label) | F.array_contains("labels", universal)
+        if sharded.where(known).isEmpty():
+            raise ValueError(f"unknown label {keep_label}")
+    own = [c for c in ("nbrs", "is_start", "starts_label") if c in edges.columns]
+    joined = sharded.select("shard", "id", "vec", *(["labels"] if filtered else [])).join(edges.select("shard", F.col("src").alias("id"), *own), ["shard", "id"])
+    gone = F.lit(False)
+    if unwanted is not None:
+        joined = joined.join(unwanted.select("id").distinct().withColumn("gone", F.lit(True)), "id", "left")
+        gone = F.coalesce("gone", F.lit(False))
+    joined = joined.withColumn("gone", gone)
+
+    def block(parts: tuple) -> DataFrame:
+        sent = sharded.sparkSession.sparkContext.broadcast(parts)
+
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("id").reset_index(drop=True)
+            ids, x = pdf["id"].to_numpy(), np.array(pdf["vec"].tolist(), np.float64)
+            place = {int(i): n for n, i in enumerate(ids)}
+            nbrs = [[place[int(i)] for i in row if int(i) in place] for row in pdf["nbrs"]]
+            starts = np.flatnonzero(pdf["is_start"].to_numpy(bool)).tolist() or [0]
+            wanted = ~pdf["gone"].to_numpy(bool)
+            if filtered:
+                wanted &= np.array([not {keep_label, universal}.isdisjoint(map(str, row)) for row in pdf["labels"]])
+                if "starts_label" in pdf:
+                    starts += [n for n, row in enumerate(pdf["starts_label"]) if keep_label in row]
+                elif wanted.any():
+                    starts += [int(np.flatnonzero(wanted)[0])]
+            rows = []
+            for i, v in zip(*sent.value, strict=True) if wanted.any() else ():
+                found, dist, _, hops = greedy_search(x, nbrs, starts, v, width, None, metric, None if wanted.all() else wanted)
+                rows += [(i, int(ids[n]), d, hops, len(ids)) for n, d in list(zip(found, dist, strict=True))[:k]]
+            return pd.DataFrame(rows, columns=["qid", "id", "dist", "hops", "compared"]).astype({"qid": "int64", "id": "int64", "dist": "float64", "hops": "int32", "compared": "int32"})
+
+        out = joined.groupBy("shard").applyInPandas(run, SEARCHED)
+        return out if counted else out.select("qid", "id", "dist")
+
+    out = knn.over_blocks(queries, [], block)
+    best = knn.ranked(out.groupBy("qid", "id").agg(F.min("dist").alias("dist")), k)
+    if not counted or "hops" not in out.columns:
+        return best
+    # a query has one number of hops in each shard, on every row of it
+    hops = out.groupBy("qid", "hops", "compared").agg(F.lit(1).alias("one")).groupBy("qid").agg(F.sum("hops").alias("hops"))
+    return best.join(hops, "qid")
+
+
+def knn_graph(points: DataFrame, k: int, block: int = 4096) -> DataFrame:
+    """(src, pos, dst, dist): the exact k-nearest-neighbour graph.
+
+    Points are cut into blocks by hash, and each pair of blocks is a task: work grows with the square of the points, as it must for an
+    exact graph, but no task holds more than two blocks, the driver none, and a task sends the best k of its points only.
+    """
+    n = points.count()
+    parts = max(1, -(-n // block))
+    named = points.where("vec is not null").select(F.col("id").cast("long").alias("id"), "vec", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"))
+    sides = named.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    pairs = sides.select(F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "id", "vec")
 
-    w = Window.partitionBy("qid").orderBy("dist", "id")
-    return found.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= k).select(F.col("qid").alias("src"), "pos", F.col("id").alias("dst"), "dist")
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        ids, x, part = pdf["id"].to_numpy(), np.array(pdf["vec"].tolist(), np.float64), pdf["part"].to_numpy()
+        lo, hi = int(pdf["lo"].iloc[0]), int(pdf["hi"].iloc[0])
+        rows = []
+        for a, b in {(lo, hi), (hi, lo)}:
+            query, found, dist = knn.top_k(ids[part == b], x[part == b], x[part == a], k + 1, "l2")
+            rows.append(pd.DataFrame({"src": ids[part == a][query], "dst": found, "dist": dist}))
+        out = pd.concat(rows)
+        return out[out["src"] != out["dst"]]
+
+    found = pairs.groupBy("lo", "hi").applyInPandas(run, "src long, dst long, dist double")
+    best = knn.ranked(found.select(F.col("src").alias("qid"), F.col("dst").alias("id"), "dist"), k)
+    return best.select(F.col("qid").alias("src"), F.col("rank").alias("pos"), F.col("id").alias("dst"), "dist")
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -265,32 +383,49 @@ def merged_shards(edges: DataFrame, most: int, seed: int = 1) -> DataFrame:
     return ordered.select("src", F.slice(F.transform("all", lambda s: s["dst"]), 1, most).alias("nbrs"))
 
 
-def pruned(edges: DataFrame, points: DataFrame, degree: int, alpha: float = ALPHA) -> DataFrame:
-    """(src, nbrs): nodes above ``degree`` pruned to it; others as they are. Candidate vectors are joined, no node needs all vectors."""
-    few = edges.where(F.size("nbrs") <= degree).select("src", "nbrs")
-    many = edges.where(F.size("nbrs") > degree).select("src", F.explode("nbrs").alias("id")).join(points.select("id", "vec"), "id")
-    own = edges.where(F.size("nbrs") > degree).select("src").join(points.select(F.col("id").alias("src"), F.col("vec")), "src").select("src", F.col("src").alias("id"), "vec")
+def build_merged(sharded: DataFrame, degree: int = 32, width: int = 64, alpha: float = ALPHA, metric: str = "l2", seed: int = 1) -> DataFrame:
+    """(src, nbrs): one graph over overlapping shards (shard, id, vec): each is built with two thirds of the degree, then lists are united."""
+    return merged_shards(build(sharded, max(1, 2 * degree // 3), width, alpha, metric), degree, seed)
+
+
+def pruned(edges: DataFrame, points: DataFrame, degree: int, alpha: float = ALPHA, metric: str = "l2", by: list[str] | None = None) -> DataFrame:
+    """(src, nbrs): nodes above ``degree`` pruned to it; others as they are. Candidate vectors are joined, no node needs all vectors.
+
+    ``by``: further columns of both sides, such as the shard, that are part of a node's name.
+    """
+    by = by or []
+    few = edges.where(F.size("nbrs") <= degree).select(*by, "src", "nbrs")
+    many = edges.where(F.size("nbrs") > degree)
+    others = many.select(*by, "src", F.explode("nbrs").alias("id")).join(points.select(*by, "id", "vec"), [*by, "id"])
+    own = many.select(*by, "src", F.col("src").alias("id")).join(points.select(*by, "id", "vec"), [*by, "id"])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         src = int(pdf["src"].iloc[0])
+        first = pdf.iloc[:1]
         pdf = pdf.drop_duplicates("id").sort_values("id")
         ids, x = pdf["id"].to_numpy(), np.array(pdf["vec"].tolist(), np.float64)
         me = int(np.searchsorted(ids, src))
-        kept = robust_prune(x, me, list(range(len(ids))), degree, alpha)
-        return pd.DataFrame({"src": [src], "nbrs": [ids[kept].tolist()]})
+        kept = robust_prune(x, me, list(range(len(ids))), degree, alpha, metric=metric)
+        return pd.DataFrame({**{c: first[c].to_numpy() for c in by}, "src": [src], "nbrs": [ids[kept].tolist()]})
 
-    return few.unionByName(many.select("src", "id", "vec").unionByName(own).groupBy("src").applyInPandas(run, "src long, nbrs array<long>"))
+    schema = "".join(f"{c} {points.schema[c].dataType.simpleString()}, " for c in by) + "src long, nbrs array<long>"
+    return few.unionByName(others.select(*by, "src", "id", "vec").unionByName(own.select(*by, "src", "id", "vec")).groupBy(*by, "src").applyInPandas(run, schema))
 
 
-def repaired(edges: DataFrame, deleted: DataFrame) -> DataFrame:
-    """(src, nbrs) after deletions: deleted neighbours are replaced by theirs, without deleted nodes, the node itself or doubles."""
-    live = edges.join(deleted.withColumnRenamed("id", "src"), "src", "left_anti")
-    pairs = live.select("src", F.explode("nbrs").alias("dst"))
-    gone = pairs.join(deleted.withColumnRenamed("id", "dst"), "dst", "left_semi")
-    theirs = gone.join(edges.select(F.col("src").alias("dst"), F.col("nbrs").alias("next")), "dst").select("src", F.explode("next").alias("dst"))
-    every = pairs.unionByName(theirs).where("src <> dst").distinct().join(deleted.withColumnRenamed("id", "dst"), "dst", "left_anti")
-    lists = every.groupBy("src").agg(F.array_sort(F.collect_list("dst")).alias("nbrs"))
-    return live.select("src").join(lists, "src", "left").select("src", F.coalesce("nbrs", F.array().cast("array<bigint>")).alias("nbrs"))
+def repaired(edges: DataFrame, deleted: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(src, nbrs) after deletions: deleted neighbours are replaced by theirs, without deleted nodes, the node itself or doubles.
+
+    ``by``: further columns, such as the shard, that are part of a node's name.
+    """
+    by = by or []
+    gone = deleted.select("id").distinct()
+    live = edges.select(*by, "src", "nbrs").join(gone.withColumnRenamed("id", "src"), "src", "left_anti")
+    pairs = live.select(*by, "src", F.explode("nbrs").alias("dst"))
+    lost = pairs.join(gone.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    theirs = lost.join(edges.select(*by, F.col("src").alias("dst"), F.col("nbrs").alias("next")), [*by, "dst"]).select(*by, "src", F.explode("next").alias("dst"))
+    every = pairs.unionByName(theirs).where("src <> dst").distinct().join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti")
+    lists = every.groupBy(*by, "src").agg(F.array_sort(F.collect_list("dst")).alias("nbrs"))
+    return live.select(*by, "src").join(lists, [*by, "src"], "left").select(*by, "src", F.coalesce("nbrs", F.array().cast("array<bigint>")).alias("nbrs"))
 
 
 def compacted(edges: DataFrame) -> DataFrame:
@@ -314,6 +449,22 @@ def dense_numbers(ids: DataFrame) -> DataFrame:
     return ordered.select("old", (F.row_number().over(Window.partitionBy("part").orderBy("old")) - 1 + starts[F.col("part")]).cast("long").alias("new"))
 
 
+def free_slots(used: DataFrame, capacity: int) -> DataFrame:
+    """(slot): places from 0 to ``capacity`` that no id of (id) takes, in which points may be put."""
+    return used.sparkSession.range(capacity).withColumnRenamed("id", "slot").join(used.select(F.col("id").alias("slot")).distinct(), "slot", "left_anti")
+
+
+def stitched_starts(points: DataFrame) -> DataFrame:
+    """(label, id): a start node of each label of (id, vec, labels): of its points the nearest to their mean."""
+    from ..functions import vectors
+
+    owner = points.select("id", "vec", F.explode(F.array_distinct("labels")).alias("label"))
+    means = owner.select("label", F.posexplode("vec").alias("dim", "x")).groupBy("label", "dim").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    centre = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "m"))), lambda s: s["m"]).alias("centre"))
+    near = owner.join(centre, "label").select("label", F.struct(vectors.l2(F.col("vec"), F.col("centre")).alias("dist"), F.col("id")).alias("near"))
+    return near.groupBy("label").agg(F.min("near").alias("near")).select("label", F.col("near.id").alias("id"))
+
+
 def expand(frontier: DataFrame, pairs: DataFrame, visited: DataFrame) -> DataFrame:
     """(qid, node): the neighbours of a frontier (qid, node) over (src, dst) that their query has not visited (qid, node)."""
     reached = frontier.join(pairs, frontier["node"] == pairs["src"]).select("qid", F.col("dst").alias("node")).distinct()

@@ -35,6 +35,8 @@ def approximate(metric: str, x: np.ndarray, q: np.ndarray) -> np.ndarray:
     products = x @ q.T
     if metric == "ip":
         return -products
+    if metric == "fast_l2":
+        return (x * x).sum(axis=1)[:, None] - 2 * products
     if metric == "cosine":
         with np.errstate(invalid="ignore", divide="ignore"):
             return 1 - products / np.sqrt((x * x).sum(axis=1))[:, None] / np.sqrt((q * q).sum(axis=1))[None, :]
@@ -46,6 +48,8 @@ def exact(metric: str, x: np.ndarray, q: np.ndarray) -> np.ndarray:
     run = lambda a: np.cumsum(a, axis=1)[:, -1] if a.shape[1] else np.zeros(len(a))
     if metric == "ip":
         return -run(x * q)
+    if metric == "fast_l2":
+        return run(x * x) - 2 * run(x * q)
     if metric == "cosine":
         with np.errstate(invalid="ignore", divide="ignore"):
             return 1 - run(x * q) / (np.sqrt(run(x * x)) * np.sqrt(run(q * q)))
@@ -69,15 +73,15 @@ def top_k(ids: np.ndarray, x: np.ndarray, q: np.ndarray, k: int, metric: str) ->
     return query[keep_it], ids[row[keep_it]], dist[keep_it]
 
 
-def query_blocks(queries: DataFrame, qid: str, vec: str) -> Iterator[tuple[list[int], np.ndarray]]:
-    """The stated queries in blocks of bounded size, in order of their id."""
+def query_blocks(queries: DataFrame, qid: str, vec: str, more: list[str] | None = None) -> Iterator[tuple]:
+    """(ids, matrix[, values of further columns]) of the stated queries in blocks of bounded size, in order of their id."""
     last = None
     while True:
         part = queries.where(F.col(vec).isNotNull()) if last is None else queries.where(F.col(vec).isNotNull() & (F.col(qid) > last))
-        rows = part.orderBy(qid).select(F.col(qid).cast("long"), vec).limit(QUERY_BLOCK).collect()
+        rows = part.orderBy(qid).select(F.col(qid).cast("long"), vec, *(more or [])).limit(QUERY_BLOCK).collect()
         if not rows:
             return
-        yield [r[0] for r in rows], np.array([r[1] for r in rows], np.float64)
+        yield [r[0] for r in rows], np.array([r[1] for r in rows], np.float64), *([r[2 + i] for r in rows] for i in range(len(more or [])))
         if len(rows) < QUERY_BLOCK:
             return
         last = rows[-1][0]
@@ -89,35 +93,65 @@ def ranked(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("qid", "rank", "id", "dist")
 
 
+class Best:
+    """The best k (id, distance) of each of some queries, kept up to date by a task; ties by id."""
+
+    def __init__(self, queries: int, k: int):
+        self.queries, self.k = queries, k
+        self.held = [np.zeros(0, int), np.zeros(0, np.int64), np.zeros(0)]
+
+    def add(self, query: np.ndarray, ids: np.ndarray, dist: np.ndarray) -> None:
+        query, ids, dist = (np.concatenate(c) for c in zip(self.held, (query, ids, dist), strict=True))
+        order = np.lexsort((ids, dist, query))
+        query, ids, dist = query[order], ids[order], dist[order]
+        keep = np.arange(len(query)) - np.searchsorted(query, np.arange(self.queries))[query] < self.k
+        self.held = [query[keep], ids[keep], dist[keep]]
+
+    def batch(self, qids: np.ndarray) -> pa.RecordBatch:
+        query, ids, dist = self.held
+        return pa.RecordBatch.from_arrays([pa.array(qids[query], pa.int64()), pa.array(ids, pa.int64()), pa.array(dist, pa.float64())], ["qid", "id", "dist"])
+
+
+def parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ROWS_AT_ONCE rows."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+            yield batch.slice(at, ROWS_AT_ONCE)
+
+
+FOUND = "qid long, id long, dist double"
+
+
+def over_blocks(queries: DataFrame, columns: list[str], run) -> DataFrame:
+    """The union of ``run(block)`` over the blocks of the stated queries; a block is their ids, vectors and further columns."""
+    out = None
+    for block in query_blocks(queries, "id", "vec", columns):
+        some = run(block)
+        out = some if out is None else out.unionByName(some)
+    return out if out is not None else queries.sparkSession.createDataFrame([], FOUND)
+
+
 def partial(base: DataFrame, queries: DataFrame, k: int, metric: str) -> DataFrame:
     """(qid, id, dist): the best k of each query in each task."""
-    spark = base.sparkSession
-    out = None
-    for qids, q in query_blocks(queries, "id", "vec"):
-        sent = spark.sparkContext.broadcast((np.array(qids), q))
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+    def block(parts: tuple) -> DataFrame:
+        sent = base.sparkSession.sparkContext.broadcast((np.array(parts[0]), parts[1]))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             qids, q = sent.value
-            best = [np.zeros(0, int), np.zeros(0, np.int64), np.zeros(0)]
-            for batch in batches:
-                for at in range(0, batch.num_rows, ROWS_AT_ONCE):
-                    part = batch.slice(at, ROWS_AT_ONCE)
-                    found = top_k(part.column("id").to_numpy(), matrix(part.column("vec")), q, k, metric)
-                    best = [np.concatenate(c) for c in zip(best, found, strict=True)]
-                    order = np.lexsort((best[1], best[2], best[0]))
-                    best = [c[order] for c in best]
-                    rank = np.arange(len(order)) - np.searchsorted(best[0], np.arange(len(q)))[best[0]]
-                    best = [c[rank < k] for c in best]
-            yield pa.RecordBatch.from_arrays([pa.array(qids[best[0]], pa.int64()), pa.array(best[1], pa.int64()), pa.array(best[2], pa.float64())], ["qid", "id", "dist"])
-
-        some = base.select(F.col("id").cast("long").alias("id"), "vec").where("vec is not null").mapInArrow(run, "qid long, id long, dist double")
-        out = some if out is None else out.unionByName(some)
-    return out if out is not None else spark.createDataFrame([], "qid long, id long, dist double")
+            best = Best(len(q), k)
+            for part in parts_of(batches):
+                best.add(*top_k(part.column("id").to_numpy(), matrix(part.column("vec")), q, k, metric))
+            yield best.batch(qids)
+
+        return base.select(F.col("id").cast("long").alias("id"), "vec").where("vec is not null").mapInArrow(run, FOUND)
+
+    return over_blocks(queries, [], block)
 
 
 def knn(base: DataFrame, queries: DataFrame, k: int, metric: str = "l2") -> DataFrame:
     """(qid, rank, id, dist) of the k nearest base rows of each query. Both sides: (id, vec). Null vectors match nothing."""
-    if metric not in ("l2", "ip", "cosine"):
+    if metric not in ("l2", "ip", "cosine", "fast_l2"):
         raise ValueError(f"unknown metric {metric}")
     return ranked(partial(base, queries, k, metric), k)
 
@@ -130,44 +164,58 @@ def knn_filtered(base: DataFrame, queries: DataFrame, k: int, keep: Column, metr
 def knn_by_label(base: DataFrame, queries: DataFrame, k: int, metric: str = "l2") -> DataFrame:
     """Each query sees the base rows that share its label: (id, vec, labels array) and (id, vec, label).
 
-    One pass a distinct query label, each a filter pushed into the scan and a ``knn`` of that label's queries; labels are the stated filters.
+    One scan of the base for a block of queries; a task groups its rows by the labels that queries ask for. Queries without label find nothing.
     """
-    out = None
-    for (label,) in queries.select("label").where("label is not null").distinct().orderBy("label").collect():
-        some = knn(base.where(F.array_contains("labels", label)).select("id", "vec"), queries.where(F.col("label") == label).select("id", "vec"), k, metric)
-        out = some if out is None else out.unionByName(some)
-    return out if out is not None else knn(base.select("id", "vec").limit(0), queries.select("id", "vec"), k, metric)
+
+    def block(parts: tuple) -> DataFrame:
+        sent = base.sparkSession.sparkContext.broadcast((np.array(parts[0]), parts[1], np.array([str(x) for x in parts[2]])))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            qids, q, wanted = sent.value
+            best = Best(len(q), k)
+            asked = {label: np.flatnonzero(wanted == label) for label in set(wanted.tolist())}
+            for part in parts_of(batches):
+                ids, x = part.column("id").to_numpy(), matrix(part.column("vec"))
+                rows: dict[str, list[int]] = {}
+                for i, own in enumerate(part.column("labels").to_pylist()):
+                    for label in set(map(str, own or ())) & asked.keys():
+                        rows.setdefault(label, []).append(i)
+                for label, at in rows.items():
+                    query, found, dist = top_k(ids[at], x[at], q[asked[label]], k, metric)
+                    best.add(asked[label][query], found, dist)
+            yield best.batch(qids)
+
+        return base.select(F.col("id").cast("long").alias("id"), "vec", "labels").where("vec is not null").mapInArrow(run, FOUND)
+
+    return ranked(over_blocks(queries.where("label is not null"), ["label"], block), k)
 
 
 def within_range(base: DataFrame, queries: DataFrame, radius: float, metric: str = "l2") -> DataFrame:
     """(qid, id, dist) of all base rows with dist <= radius; a task returns the matches of its own rows."""
-    spark = base.sparkSession
-    out = None
-    for qids, q in query_blocks(queries, "id", "vec"):
-        sent = spark.sparkContext.broadcast((np.array(qids), q))
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+    def block(parts: tuple) -> DataFrame:
+        sent = base.sparkSession.sparkContext.broadcast((np.array(parts[0]), parts[1]))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             qids, q = sent.value
-            for batch in batches:
-                for at in range(0, batch.num_rows, ROWS_AT_ONCE):
-                    part = batch.slice(at, ROWS_AT_ONCE)
-                    x = matrix(part.column("vec"))
-                    rough = np.nan_to_num(approximate(metric, x, q), nan=np.inf)
-                    row, query = np.nonzero(rough <= radius + 1e-6 * (1 + abs(radius)))
-                    dist = exact(metric, x[row], q[query])
-                    hit = dist <= radius
-                    ids = part.column("id").to_numpy()[row[hit]]
-                    yield pa.RecordBatch.from_arrays([pa.array(qids[query[hit]], pa.int64()), pa.array(ids, pa.int64()), pa.array(dist[hit])], ["qid", "id", "dist"])
-
-        some = base.select(F.col("id").cast("long").alias("id"), "vec").where("vec is not null").mapInArrow(run, "qid long, id long, dist double")
-        out = some if out is None else out.unionByName(some)
-    return out if out is not None else spark.createDataFrame([], "qid long, id long, dist double")
+            for part in parts_of(batches):
+                x = matrix(part.column("vec"))
+                rough = np.nan_to_num(approximate(metric, x, q), nan=np.inf)
+                row, query = np.nonzero(rough <= radius + 1e-6 * (1 + abs(radius)))
+                dist = exact(metric, x[row], q[query])
+                hit = dist <= radius
+                ids = part.column("id").to_numpy()[row[hit]]
+                yield pa.RecordBatch.from_arrays([pa.array(qids[query[hit]], pa.int64()), pa.array(ids, pa.int64()), pa.array(dist[hit])], ["qid", "id", "dist"])
+
+        return base.select(F.col("id").cast("long").alias("id"), "vec").where("vec is not null").mapInArrow(run, FOUND)
+
+    return over_blocks(queries, [], block)
 
 
 def recall(truth: DataFrame, result: DataFrame, k: int) -> DataFrame:
     """One row: recall in percent of result (qid, id) against truth (qid, rank, id, dist). Truth ties with rank k count; duplicates once."""
     at_k = truth.where(F.col("rank") == k).select("qid", F.col("dist").alias("limit"))
     extended = truth.join(at_k, "qid", "left").where((F.col("rank") <= k) | (F.col("dist") == F.col("limit"))).select("qid", "id").distinct()
-    n = truth.select("qid").distinct().agg(F.count(F.lit(1)).alias("nq"))
+    queries = truth.select("qid").distinct().count()
     hits = result.select("qid", "id").distinct().join(extended, ["qid", "id"]).groupBy("qid").agg(F.least(F.count(F.lit(1)), F.lit(k)).alias("hits"))
-    return hits.agg(F.coalesce(F.sum("hits"), F.lit(0)).alias("hits")).crossJoin(n).select((100.0 * F.col("hits") / (F.col("nq") * k)).alias("recall"))
+    return hits.agg(F.coalesce(F.sum("hits"), F.lit(0)).alias("hits")).select((100.0 * F.col("hits") / F.lit(queries * k)).alias("recall"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import persisted
+
 
 def parse(lines: DataFrame, line: str = "line", sep: str = ",") -> DataFrame:
     """(id, labels) from (id, line): what stands before a tab, split, trimmed, without empty labels."""
@@ -41,8 +43,8 @@ def statistics(points: DataFrame, dense: int = 10) -> DataFrame:
     per_point = points.agg(
         F.count(F.lit(1)).alias("points"), F.avg(F.size("labels")).alias("labels_per_point"), F.avg((F.size("labels") > dense).cast("double")).alias("dense_share")
     )
-    per_label = counts(points).agg(F.count(F.lit(1)).alias("labels"), F.max("n").alias("largest"), F.avg("n").alias("points_per_label"))
-    return per_point.crossJoin(per_label)  # one row each
+    few = counts(points).agg(F.count(F.lit(1)).alias("labels"), F.max("n").alias("largest"), F.avg("n").alias("points_per_label")).first()
+    return per_point.select("*", F.lit(few["labels"]).cast("long").alias("labels"), F.lit(few["largest"]).cast("long").alias("largest"), F.lit(few["points_per_label"]).cast("double").alias("points_per_label"))
 
 
 def inverted(points: DataFrame, universal: str | int | None = None) -> DataFrame:
@@ -62,16 +64,34 @@ def inverted(points: DataFrame, universal: str | int | None = None) -> DataFrame
 def broken_up(points: DataFrame, density: int, start: int) -> DataFrame:
     """(id, origin, labels): each group of ``density`` labels of a point is a point of its own; copies get ids from ``start`` on.
 
-    Numbers of copies are summed by point order in one window over points with copies only.
+    Copies are numbered in order of their points by range partitions and their offsets.
     """
+    from .graphs import dense_numbers
+
     groups = F.ceil(F.size("labels") / F.lit(density))
-    many = points.where(F.size("labels") > density).select("id", (groups - 1).alias("copies"))
-    before = many.select("id", (F.sum("copies").over(Window.orderBy("id").rowsBetween(Window.unboundedPreceding, -1))).alias("before"))
-    cut = points.join(before, "id", "left").select(
-        "id", "before", F.posexplode(F.transform(F.sequence(F.lit(0), F.greatest(groups.cast("int") - 1, F.lit(0))), lambda g: F.slice("labels", g * density + 1, density))).alias("g", "part")
-    )
-    new = F.when(F.col("g") == 0, F.col("id")).otherwise(start + F.coalesce("before", F.lit(0)) + F.col("g") - 1)
-    return cut.select(new.cast("long").alias("id"), F.col("id").alias("origin"), F.col("part").alias("labels"))
+    many = points.where(F.size("labels") > density)
+    copies = many.select("id", F.explode(F.sequence(F.lit(1), groups.cast("int") - 1)).alias("g")).select(F.struct("id", "g").alias("old"))
+    numbered = dense_numbers(copies).select("old.id", "old.g", (F.col("new") + F.lit(start)).alias("copy"))
+    cut = points.select("id", F.posexplode(F.transform(F.sequence(F.lit(0), F.greatest(groups.cast("int") - 1, F.lit(0))), lambda g: F.slice("labels", g * density + 1, density))).alias("g", "part"))
+    named = cut.join(numbered, ["id", "g"], "left")
+    return named.select(F.coalesce("copy", "id").cast("long").alias("id"), F.col("id").alias("origin"), F.col("part").alias("labels"))
+
+
+def size_report(points: DataFrame, steps: int = 20, top: int = 3) -> DataFrame:
+    """(kind, place, value, label): the points of a label at each 5 per cent (kind percent), and those of the largest labels (kind top)."""
+    from .evaluate import percentiles
+
+    sizes = persisted(counts(points))
+    wanted = [100 * i // steps for i in range(steps + 1)]
+    spread = percentiles(sizes, "n", "label", wanted).select(F.lit("percent").alias("kind"), F.col("percent").alias("place"), F.col("value").cast("long").alias("value"), F.lit(None).cast("string").alias("label"))
+    best = sizes.orderBy(F.desc("n"), "label").limit(top)
+    place = F.row_number().over(Window.orderBy(F.desc("n"), "label"))
+    return spread.unionByName(best.select(F.lit("top").alias("kind"), place.alias("place"), F.col("n").alias("value"), "label"))
+
+
+def of_shards(points: DataFrame, owner: DataFrame) -> DataFrame:
+    """(shard, id, label): the labels of each shard's points; owner: (id, shard)."""
+    return owner.join(points.select("id", F.explode(F.array_distinct("labels")).alias("label")), "id").select("shard", "id", "label")
 
 
 def read_map(spark, path: str) -> DataFrame:

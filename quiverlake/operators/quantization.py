@@ -15,6 +15,8 @@ from . import clusters, knn
 
 CENTRES = 256
 ROTATION_ROUNDS = 20
+#: Queries whose tables one product makes; a task holds the tables of its block of queries.
+TABLES_AT_ONCE = 256
 
 
 @dataclass
@@ -46,6 +48,11 @@ class Codebook:
         """Centres put together, without undoing a rotation, plus the mean."""
         return np.hstack([c[codes[:, m]] for m, c in enumerate(self.centres)]) + self.mean
 
+    def restored(self, codes: np.ndarray) -> np.ndarray:
+        """What the codes stand for, in the space of the vectors: decoded, with a rotation undone."""
+        parts = np.hstack([c[codes[:, m]] for m, c in enumerate(self.centres)])
+        return (parts if self.rotation is None else parts @ self.rotation.T) + self.mean
+
     def tables(self, q: np.ndarray, metric: str = "l2") -> np.ndarray:
         """(queries, chunks, codes): the distance of each query's chunk to each centre."""
         q = self.prepared(q)
@@ -122,27 +129,56 @@ def decode(codes: DataFrame, book: Codebook) -> DataFrame:
     return codes.select("id", "codes").mapInArrow(run, "id long, vec array<double>")
 
 
+def prepared(points: DataFrame, book: Codebook) -> DataFrame:
+    """(id, vec): vectors as a codebook sees them, less its mean and rotated."""
+    sent = points.sparkSession.sparkContext.broadcast(book)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in knn.parts_of(batches):
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(list(sent.value.prepared(knn.matrix(part.column("vec")))), pa.list_(pa.float64()))], ["id", "vec"])
+
+    return points.select(F.col("id").cast("long").alias("id"), "vec").mapInArrow(run, "id long, vec array<double>")
+
+
+def error(points: DataFrame, book: Codebook) -> float:
+    """The mean squared distance of all vectors to what their codes stand for."""
+    sent = points.sparkSession.sparkContext.broadcast(book)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = 0.0, 0
+        for part in knn.parts_of(batches):
+            x = knn.matrix(part.column("vec"))
+            total, n = total + float(((x - sent.value.restored(sent.value.encode(x))) ** 2).sum()), n + len(x)
+        yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([n], pa.int64())], ["total", "n"])
+
+    row = points.select("vec").where("vec is not null").mapInArrow(run, "total double, n long").agg(F.sum("total"), F.sum("n")).first()
+    return (row[0] or 0.0) / max(row[1] or 0, 1)
+
+
 def knn_pq(codes: DataFrame, queries: DataFrame, book: Codebook, k: int, metric: str = "l2") -> DataFrame:
-    """(qid, rank, id, dist): the best k by asymmetric distances."""
-    spark = codes.sparkSession
-    out = None
-    for qids, q in knn.query_blocks(queries, "id", "vec"):
-        sent = spark.sparkContext.broadcast((np.array(qids), book, book.tables(q, metric)))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            qids, book, tables = sent.value
-            for batch in batches:
-                for at in range(0, batch.num_rows, knn.ROWS_AT_ONCE):
-                    part = batch.slice(at, knn.ROWS_AT_ONCE)
-                    ids, s = part.column("id").to_numpy(), book.scores(tables, knn.matrix(part.column("codes")).astype(int))
+    """(qid, rank, id, dist): the best k by asymmetric distances. The codebook and a block's queries are sent; a task makes the tables of
+    some queries at a time and keeps its best k of each."""
+
+    def block(parts: tuple) -> DataFrame:
+        sent = codes.sparkSession.sparkContext.broadcast((np.array(parts[0]), parts[1], book))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            qids, q, book = sent.value
+            best = knn.Best(len(q), k)
+            tables = [book.tables(q[at : at + TABLES_AT_ONCE], metric) for at in range(0, len(q), TABLES_AT_ONCE)]
+            for part in knn.parts_of(batches):
+                ids, own = part.column("id").to_numpy(), knn.matrix(part.column("codes")).astype(int)
+                for at, some in enumerate(tables):
+                    score = book.scores(some, own)
                     keep = min(k, len(ids))
-                    best = np.lexsort((np.broadcast_to(ids[:, None], s.shape), s), axis=0)[:keep]
-                    query = np.broadcast_to(np.arange(len(qids)), best.shape)
-                    yield pa.RecordBatch.from_arrays([pa.array(qids[query].ravel(), pa.int64()), pa.array(ids[best].ravel(), pa.int64()), pa.array(s[best, query].ravel())], ["qid", "id", "dist"])
+                    limit = np.partition(score, keep - 1, axis=0)[keep - 1]
+                    row, query = np.nonzero(score <= limit)
+                    best.add(query + at * TABLES_AT_ONCE, ids[row], score[row, query])
+            yield best.batch(qids)
 
-        some = codes.select("id", "codes").mapInArrow(run, "qid long, id long, dist double")
-        out = some if out is None else out.unionByName(some)
-    return knn.ranked(out if out is not None else spark.createDataFrame([], "qid long, id long, dist double"), k)
+        return codes.select("id", "codes").mapInArrow(run, knn.FOUND)
+
+    return knn.ranked(knn.over_blocks(queries, [], block), k)
 
 
 def knn_reranked(points: DataFrame, codes: DataFrame, queries: DataFrame, book: Codebook, k: int, candidates: int) -> DataFrame:
@@ -156,17 +192,49 @@ def knn_reranked(points: DataFrame, codes: DataFrame, queries: DataFrame, book:
 
 
 def codebook_frame(spark, book: Codebook) -> DataFrame:
-    """The codebook as a table (chunk, code, centre)."""
-    return spark.createDataFrame([(m, i, [float(v) for v in row]) for m, c in enumerate(book.centres) for i, row in enumerate(c)], "chunk int, code int, centre array<double>")
+    """The codebook as a table (chunk, code, centre, offset, mean, rotation): a row for each centre, and one of chunk -1 with what all share."""
+    rows = [(m, i, [float(v) for v in row], book.offsets[m], None, None) for m, c in enumerate(book.centres) for i, row in enumerate(c)]
+    rotation = None if book.rotation is None else [[float(v) for v in row] for row in book.rotation]
+    rows.append((-1, 0, None, book.offsets[-1], [float(v) for v in book.mean], rotation))
+    return spark.createDataFrame(rows, "chunk int, code int, centre array<double>, offset int, mean array<double>, rotation array<array<double>>")
+
+
+def codebook_of(table: DataFrame) -> Codebook:
+    """The codebook of a table that ``codebook_frame`` made."""
+    rows = sorted(table.select("chunk", "code", "offset", "centre", "mean", "rotation").collect(), key=lambda r: (r["chunk"], r["code"]))
+    shared, cells = rows[0], rows[1:]
+    if not cells or shared["chunk"] != -1:
+        raise ValueError("the table holds no whole codebook")
+    chunks = cells[-1]["chunk"] + 1
+    centres = [np.array([r["centre"] for r in cells if r["chunk"] == m]) for m in range(chunks)]
+    offsets = [next(r["offset"] for r in cells if r["chunk"] == m) for m in range(chunks)] + [shared["offset"]]
+    rotation = None if shared["rotation"] is None else np.array(shared["rotation"])
+    return Codebook(offsets, centres, np.array(shared["mean"]), rotation)
+
+
+def residuals(points: DataFrame, centres: DataFrame) -> DataFrame:
+    """(id, centre, vec): the vectors less their nearest centre."""
+    from ..functions import vectors
+
+    owner = clusters.nearest(points, centres).select("id", "centre")
+    named = points.select("id", "vec").join(owner, "id").join(F.broadcast(centres.select("centre", F.col("vec").alias("c"))), "centre")
+    return named.select("id", "centre", vectors.plus(F.col("vec"), F.col("c"), -1).alias("vec"))
+
+
+def reordered(codes: DataFrame, mapping: DataFrame) -> DataFrame:
+    """(id, codes) under the new ids of (old, new)."""
+    return codes.join(mapping.select(F.col("old").alias("id"), "new"), "id").select(F.col("new").alias("id"), "codes")
+
 
+def adc_pairs(codes: DataFrame, queries: DataFrame, centres: DataFrame, width: int, metric: str = "l2") -> DataFrame:
+    """(qid, id, dist) of queries (qid, id of their candidate, vec) by SQL joins with the codebook table; ``width``: dimensions a chunk.
 
-def adc_pairs(codes: DataFrame, queries: DataFrame, centres: DataFrame, width: int) -> DataFrame:
-    """(qid, id, dist) of queries (qid, id of their candidate, vec) by SQL joins with the codebook table; ``width``: dimensions a chunk."""
+    l2, or ip: the negative inner product with the centres.
+    """
     from ..functions import vectors
 
     cells = queries.select("qid", "id", "vec").join(codes, "id").select("qid", "id", "vec", F.posexplode("codes").alias("chunk", "code"))
     part = F.slice("vec", F.col("chunk") * width + 1, width)
-    return (
-        cells.join(centres, ["chunk", "code"]).select("qid", "id", "chunk", vectors.l2(part, F.col("centre")).alias("d"))
-        .groupBy("qid", "id").agg(F.sum("d").alias("dist"))
-    )
+    each = vectors.inner_product(part, F.col("centre")) if metric == "ip" else vectors.l2(part, F.col("centre"))
+    own = centres.where("chunk >= 0").select("chunk", "code", "centre")
+    return cells.join(F.broadcast(own), ["chunk", "code"]).select("qid", "id", "chunk", each.alias("d")).groupBy("qid", "id").agg(F.sum("d").alias("dist"))

@@ -1,7 +1,8 @@
 """The registered queries of the vector engine, and the SQL that gives the same rows on the same tables.
 
 All queries run over the whole ``embeddings`` table. Vectors are scaled by 1 + vec_id % 7, so that metrics disagree; the stated query set
-is vec_id < 50. Distances are rounded to six digits on both sides.
+is every row whose vec_id is divisible by 50. Distances are rounded to six digits on both sides. Centres, codebooks and planes that SQL
+must know too are the first vectors of the table: parameters of a stated size.
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ from ..sources import generators
 from . import planner
 
 K = 10
-QUERY_IDS = 50
+#: Every row whose id this divides is a query.
+QUERY_STEP = 50
 BITS = 8
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,7 +61,7 @@ def base(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return base(spark, sf_dir).where(F.col("id") < QUERY_IDS)
+    return base(spark, sf_dir).where(F.col("id") % QUERY_STEP == 0)
 
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
@@ -69,7 +71,7 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
 
 
 BASE = "b AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE * (1 + vec_id % 7)) AS vec, label, [label::VARCHAR, (100 + vec_id % 3)::VARCHAR] AS labels FROM embeddings)"
-QUERIES = f"q AS (SELECT id AS qid, vec AS qvec, label AS qlabel FROM b WHERE id < {QUERY_IDS})"
+QUERIES = f"q AS (SELECT id AS qid, vec AS qvec, label AS qlabel FROM b WHERE id % {QUERY_STEP} = 0)"
 
 
 def _sum(a: str, b: str, term: str) -> str:
@@ -174,7 +176,6 @@ each("mips_query", v.mips_query, f"list_append(list_transform(vec, lambda x: x /
 each("int8", lambda a: v.to_int8(a, 0.5, 8.0).cast("array<double>"), "list_transform(vec, lambda x: trunc(least(greatest((x - 0.5) * 254.0 / 8.0, -128), 127)))")
 each("from_int8", lambda a: v.from_int8(v.to_int8(a, 0.0, 8.0), 1.0, 0.25), "list_transform(list_transform(vec, lambda x: trunc(least(greatest(x * 254.0 / 8.0, -128), 127))), lambda x: (x - 1.0) * 0.25)")
 each("uint8", lambda a: v.to_uint8(F.transform(a, lambda x: F.abs(x * 1000))).cast("array<double>"), "list_transform(vec, lambda x: (trunc(abs(x * 1000))::BIGINT % 256)::DOUBLE)")
-each("residual", lambda a: v.plus(a, F.lit([0.25] * 64), -1), "list_transform(vec, lambda x: x - 0.25)")
 
 
 @query("vec_mips_augmented", f"WITH {BASE}, m AS (SELECT max({_norm}) AS m FROM b), t AS (SELECT id, list_append(list_transform(vec, lambda x: x / m), sqrt(greatest(0, 1 - {sql_dot('vec', 'vec')} / (m * m)))) AS a FROM b, m) SELECT id, unnest(range(len(a))) AS pos, round(unnest(a), 6) AS x FROM t")
@@ -196,10 +197,17 @@ def _max_norm(spark, d):
 
 @query("fast_l2", sql_knn(f"{sql_dot('vec', 'vec')} - 2 * {sql_dot('vec', 'qvec')}"))
 def _fast(spark, d):
-    """Ranks by the distance without the query's norm, over the partial results of plain L2."""
-    q = stated(spark, d).select(F.col("id").alias("qid"), F.col("vec").alias("q"))
-    near = knn.knn(base(spark, d), stated(spark, d), K).select("qid", "id").join(base(spark, d).select("id", "vec"), "id").join(q, "qid")
-    return rounded(knn.ranked(near.select("qid", "id", v.fast_l2(F.col("vec"), F.col("q"), v.dot(F.col("vec"), F.col("vec"))).alias("dist")), K), "dist")
+    """Nearest by the distance without the query's own norm."""
+    return rounded(knn.knn(base(spark, d), stated(spark, d), K, "fast_l2"), "dist")
+
+
+@query("knn_normalized", f"""WITH {BASE.replace("b AS", "b0 AS", 1)}, b AS (SELECT id, list_transform(vec, lambda x: x / sqrt(1.1920929e-07 + {sql_dot('vec', 'vec')})) AS vec, label FROM b0), {QUERIES}, d AS (SELECT qid, id, {sql_l2('qvec', 'vec')} / 2 AS dist FROM q, b),
+r AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY round(dist, 9), id) AS rank, id, dist FROM d) SELECT qid, rank::INTEGER AS rank, id, round(dist, 6) AS dist FROM r WHERE rank <= {K}""")
+def _normalized(spark, d):
+    """Cosine search by halved L2 over normalised vectors."""
+    unit = lambda t: t.withColumn("vec", v.normalized(F.col("vec")))
+    near = knn.knn(unit(base(spark, d)), unit(stated(spark, d)), 2 * K).select("qid", "id", F.round(F.col("dist") / 2, 9).alias("dist"))
+    return rounded(knn.ranked(near, K), "dist")
 
 
 @query("page_and_slot", f"WITH {BASE} SELECT id, id // 7 AS page_id, id % 7 AS slot FROM b")
@@ -207,13 +215,16 @@ def _page_slot(spark, d):
     return base(spark, d).select("id", v.page_of(F.col("id"), 7).alias("page_id"), v.slot_of(F.col("id"), 7).alias("slot"))
 
 
-@query("sql_functions", f"WITH {BASE}, {QUERIES} SELECT qid, id, round({sql_l2('qvec', 'vec')}, 6) AS l2, round({sql_cosine('qvec', 'vec')}, 6) AS cosine FROM q, b WHERE qid < 5 AND id < 200 AND id >= 100")
+@query("sql_functions", f"WITH {BASE}, z AS (SELECT vec AS qvec FROM b WHERE id = 0) SELECT id, round({sql_l2('qvec', 'vec')}, 6) AS l2, round(-{sql_dot('qvec', 'vec')}, 6) AS ip, round({sql_cosine('qvec', 'vec')}, 6) AS cosine, round({_norm}, 6) AS norm FROM b, z")
 def _functions(spark, d):
-    """The registered SQL functions, over a stated block of pairs."""
+    """The registered SQL functions of every row and one fixed vector."""
     v.register(spark)
-    base(spark, d).createOrReplaceTempView("quiverlake_points")
+    points = base(spark, d)
+    points.createOrReplaceTempView("quiverlake_points")
+    fixed = ", ".join(repr(float(x)) + "D" for x in points.where("id = 0").first()["vec"])
+    one = f"array({fixed})"
     return spark.sql(
-        "SELECT q.id AS qid, b.id, round(vec_l2(q.vec, b.vec), 6) AS l2, round(vec_cosine(q.vec, b.vec), 6) AS cosine FROM quiverlake_points q JOIN quiverlake_points b ON q.id < 5 AND b.id >= 100 AND b.id < 200"
+        f"SELECT id, round(vec_l2({one}, vec), 6) AS l2, round(vec_ip({one}, vec), 6) AS ip, round(vec_cosine({one}, vec), 6) AS cosine, round(vec_norm(vec), 6) AS norm FROM quiverlake_points"
     )
 
 
@@ -241,6 +252,21 @@ def _label_stats(spark, d):
     return rounded(labels.statistics(base(spark, d), 1), "labels_per_point", "points_per_label")
 
 
+_SIZES = "e AS (SELECT DISTINCT id, unnest(labels) AS label FROM b), c AS (SELECT label, count(*) AS n FROM e GROUP BY label)"
+
+
+@query("label_sizes", f"WITH {BASE}, {_SIZES}, r AS (SELECT n, row_number() OVER (ORDER BY n, label) - 1 AS k, count(*) OVER () AS m FROM c) SELECT 'percent' AS kind, p * 5 AS place, n AS value, NULL AS label FROM r, (SELECT unnest(range(21))::INTEGER AS p) s WHERE k = least(m - 1, (p * 5 * m) // 100) UNION ALL SELECT 'top', t, n, label FROM (SELECT label, n, (row_number() OVER (ORDER BY n DESC, label))::INTEGER AS t FROM c) WHERE t <= 3")
+def _label_sizes(spark, d):
+    return labels.size_report(base(spark, d))
+
+
+@query("label_shards", f"WITH {BASE}, {{CENTRES}} SELECT centre AS shard, label, count(*) AS n FROM nr JOIN (SELECT id, unnest(labels) AS label FROM b) USING (id) WHERE rank <= 2 GROUP BY ALL")
+def _label_shards(spark, d):
+    """Labels of the points of each shard."""
+    owner = clusters.nearest(base(spark, d), centres(spark, d), 2).select("id", F.col("centre").alias("shard"))
+    return labels.of_shards(base(spark, d), owner).groupBy("shard", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("label_inverted", f"WITH {BASE}, e AS (SELECT DISTINCT id, unnest(labels) AS label FROM b) SELECT label, id FROM e WHERE label <> '100' UNION SELECT l.label, w.id FROM (SELECT id FROM e WHERE label = '100') w, (SELECT DISTINCT label FROM e WHERE label <> '100') l")
 def _inverted(spark, d):
     return labels.inverted(base(spark, d), "100")
@@ -292,6 +318,16 @@ def _nearest(spark, d):
     return rounded(clusters.nearest(base(spark, d), centres(spark, d), 2), "dist")
 
 
+_sql["label_shards"] = _sql["label_shards"].replace("{CENTRES}", CENTRES)
+
+
+@query("vec_residual", f"WITH {BASE}, {CENTRES}, t AS (SELECT nr.id, nr.centre, list_transform(list_zip(vec, cvec), lambda p: p[1] - p[2]) AS a FROM nr JOIN b USING (id) JOIN c USING (centre) WHERE rank = 1) SELECT id, centre, unnest(range(len(a))) AS pos, round(unnest(a), 6) AS x FROM t")
+def _residuals(spark, d):
+    """Every vector less its nearest centre."""
+    out = quantization.residuals(base(spark, d), centres(spark, d)).select("id", "centre", F.posexplode("vec").alias("pos", "x"))
+    return rounded(out.withColumn("pos", F.col("pos").cast("long")), "x")
+
+
 @query("cluster_sizes", f"WITH {BASE}, {CENTRES} SELECT centre, count(*) AS n FROM nr WHERE rank <= 2 GROUP BY centre")
 def _sizes(spark, d):
     return clusters.cluster_sizes(base(spark, d), centres(spark, d), 2)
@@ -302,6 +338,14 @@ def _lloyd(spark, d):
     return rounded(clusters.lloyd_step(base(spark, d), centres(spark, d)).withColumn("dim", F.col("dim").cast("long")), "mean")
 
 
+@query("kmeans_rounds", f"""WITH {BASE}, {CENTRES}, s1 AS (SELECT centre, list(x ORDER BY dim) AS cvec FROM (SELECT centre, dim, avg(x) AS x FROM (SELECT centre, unnest(range(64)) AS dim, unnest(vec) AS x FROM nr JOIN b USING (id) WHERE rank = 1) GROUP BY ALL) GROUP BY centre),
+n2 AS (SELECT id, centre, row_number() OVER (PARTITION BY id ORDER BY {sql_l2('vec', 'cvec')}, centre) AS rank FROM b, s1) SELECT centre, dim, round(avg(x), 6) AS x FROM (SELECT centre, unnest(range(64)) AS dim, unnest(vec) AS x FROM n2 JOIN b USING (id) WHERE rank = 1) GROUP BY ALL""")
+def _rounds(spark, d):
+    """Two of Lloyd's rounds over all points."""
+    out = clusters.kmeans_whole(base(spark, d), centres(spark, d), 2).select("centre", F.posexplode("vec").alias("dim", "x"))
+    return rounded(out.withColumn("dim", F.col("dim").cast("long")), "x")
+
+
 @query("kmeans_residual", f"WITH {BASE}, {CENTRES} SELECT round(sum(dist), 4) AS residual FROM nr WHERE rank = 1")
 def _residual(spark, d):
     return clusters.residual(base(spark, d), centres(spark, d)).select(F.round("residual", 4).alias("residual"))
@@ -346,13 +390,33 @@ def _pq_knn(spark, d):
     return rounded(knn.ranked(near, K), "dist")
 
 
-@query("pq_table_join", f"WITH {BASE}, {CODES}, {PQ_DIST} SELECT qid, id, round(dist, 6) AS dist FROM ad WHERE id % 10 = qid % 10")
-def _pq_join(spark, d):
-    """Asymmetric distances of stated pairs by joins with the codebook table."""
+def _table_join(spark, d, metric):
     b = book(spark, d)
     q = stated(spark, d).select(F.col("id").alias("qid"), "vec")
-    pairs = q.join(base(spark, d).select("id"), F.col("id") % 10 == F.col("qid") % 10).select("qid", "id", "vec")
-    return rounded(quantization.adc_pairs(quantization.encode(base(spark, d), b), pairs, quantization.codebook_frame(spark, b), WIDTH), "dist")
+    pairs = knn.knn(base(spark, d), stated(spark, d), 100).select("qid", "id").join(q, "qid")
+    return rounded(quantization.adc_pairs(quantization.encode(base(spark, d), b), pairs, quantization.codebook_frame(spark, b), WIDTH, metric), "dist")
+
+
+_PAIRS = f"pr AS (SELECT qid, id FROM (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY {sql_l2('qvec', 'vec')}, id) AS rank FROM q, b) WHERE rank <= 100)"
+
+
+@query("pq_table_join", f"WITH {BASE}, {CODES}, {PQ_DIST}, {_PAIRS} SELECT qid, id, round(dist, 6) AS dist FROM ad JOIN pr USING (qid, id)")
+def _pq_join(spark, d):
+    """Asymmetric distances of the 100 nearest points of each query by joins with the codebook table."""
+    return _table_join(spark, d, "l2")
+
+
+@query("pq_table_join_ip", f"WITH {BASE}, {CODES}, {QUERIES}, {_PAIRS}, t AS (SELECT qid, id, sum(-{sql_dot(_part('qvec', 'chunk'), 'cen')}) AS dist FROM codes JOIN cb USING (chunk, code) JOIN pr USING (id) JOIN q USING (qid) GROUP BY qid, id) SELECT qid, id, round(dist, 6) AS dist FROM t")
+def _pq_join_ip(spark, d):
+    return _table_join(spark, d, "ip")
+
+
+@query("pq_knn_ip", f"WITH {BASE}, {CODES}, {PQ_DIST.replace(sql_l2(_part('qvec', 'chunk'), 'cen'), '-' + sql_dot(_part('qvec', 'chunk'), 'cen'))}, r AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY round(dist, 9), id) AS rank, id, dist FROM ad) SELECT qid, rank::INTEGER AS rank, id, round(dist, 6) AS dist FROM r WHERE rank <= {K}")
+def _pq_knn_ip(spark, d):
+    """The best by tables of negative inner products."""
+    b = book(spark, d)
+    near = quantization.knn_pq(quantization.encode(base(spark, d), b), stated(spark, d), b, 4 * K, "ip").select("qid", "id", F.round("dist", 9).alias("dist"))
+    return rounded(knn.ranked(near, K), "dist")
 
 
 @query("pq_reranked", f"""WITH {BASE}, {CODES}, {PQ_DIST}, r AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY round(dist, 9), id) AS rank, id FROM ad),
@@ -366,9 +430,9 @@ def _reranked(spark, d):
 @query("pq_reordered", f"WITH {BASE}, {CODES} SELECT (id * 7919) % 1000003 AS new_id, chunk, code FROM codes")
 def _reordered(spark, d):
     """Codes under new ids, by a join with the id map."""
-    mapping = base(spark, d).select("id", (F.col("id") * 7919 % 1000003).alias("new_id"))
-    codes = quantization.encode(base(spark, d), book(spark, d)).join(mapping, "id")
-    return codes.select("new_id", F.posexplode("codes").alias("chunk", "code")).select("new_id", F.col("chunk").cast("long").alias("chunk"), F.col("code").cast("long").alias("code"))
+    mapping = base(spark, d).select(F.col("id").alias("old"), (F.col("id") * 7919 % 1000003).alias("new"))
+    codes = quantization.reordered(quantization.encode(base(spark, d), book(spark, d)), mapping)
+    return codes.select("id", F.posexplode("codes").alias("chunk", "code")).select(F.col("id").alias("new_id"), F.col("chunk").cast("long").alias("chunk"), F.col("code").cast("long").alias("code"))
 
 
 @query("pq_trained")
@@ -376,11 +440,18 @@ def _trained(spark, d):
     """A trained codebook's error, plain and rotated."""
     points = base(spark, d)
     x = clusters.sample_matrix(points)
-    rows = []
-    for name, b in (("plain", quantization.train(x, 8, 32)), ("rotated", quantization.train_rotated(x, 8, 32, rounds=4))):
-        back = b.decode(b.encode(x)) if b.rotation is None else b.decode(b.encode(x)) @ b.rotation.T
-        rows.append((name, float(((x - back) ** 2).sum(axis=1).mean())))
-    return spark.createDataFrame(rows, "kind string, error double")
+    books = (("plain", quantization.train(x, 8, 32)), ("rotated", quantization.train_rotated(x, 8, 32, rounds=4)))
+    return spark.createDataFrame([(name, quantization.error(points, b)) for name, b in books], "kind string, error double")
+
+
+@query("vec_rotated", f"WITH {BASE}, t AS (SELECT id, list_transform(list_zip(list_reverse(vec), range(64)), lambda p: (CASE WHEN p[2] % 2 = 0 THEN 1 ELSE -1 END) * (p[1] - 0.25)) AS a FROM b) SELECT id, unnest(range(len(a))) AS pos, round(unnest(a), 6) AS x FROM t")
+def _rotated(spark, d):
+    """Vectors less a mean, rotated by an orthogonal matrix (here one that turns them round, with every second sign changed)."""
+    import numpy as np
+
+    turn = np.fliplr(np.eye(64)) * np.where(np.arange(64) % 2 == 0, 1.0, -1.0)[None, :]
+    b = quantization.Codebook(planner.chunk_offsets(64, 1), [np.zeros((1, 64))], np.full(64, 0.25), turn)
+    return rounded(quantization.prepared(base(spark, d), b).select("id", F.posexplode("vec").alias("pos", "x")).withColumn("pos", F.col("pos").cast("long")), "x")
 
 
 # ---- hashes, with the first vectors as planes ----
@@ -399,33 +470,40 @@ def _hashes(spark, d):
     return hashing.hashes(base(spark, d), planes(spark, d, 32))
 
 
-@query("lsh_buckets", f"WITH {BASE}, {sql_hashes(BITS)} SELECT hash, id FROM (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY id) AS r FROM h) WHERE r <= 5")
+_CAPPED = f"hb AS (SELECT hash, id FROM (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY id) AS r FROM h) WHERE r <= {hashing.BUCKET_CAP})"
+
+
+@query("lsh_buckets", f"WITH {BASE}, {sql_hashes(BITS)}, {_CAPPED} SELECT hash, id FROM hb")
 def _buckets(spark, d):
-    return hashing.buckets(hashing.hashes(base(spark, d), planes(spark, d)), 5)
+    return hashing.buckets(hashing.hashes(base(spark, d), planes(spark, d)))
 
 
-@query("lsh_hamming_ball", f"WITH {BASE}, {sql_hashes(BITS)}, s AS (SELECT unnest(range({1 << BITS})) AS x) SELECT id AS qid, x AS hash FROM h, s WHERE id < {QUERY_IDS} AND bit_count(xor(hash, x)) <= 2")
+@query("lsh_hamming_ball", f"WITH {BASE}, {sql_hashes(BITS)}, s AS (SELECT unnest(range({1 << BITS})) AS x) SELECT id AS qid, x AS hash FROM h, s WHERE id % {QUERY_STEP} = 0 AND bit_count(xor(hash, x)) <= 2")
 def _ball(spark, d):
     h = hashing.hashes(stated(spark, d), planes(spark, d)).withColumnRenamed("id", "qid")
     return hashing.probes(h, BITS, 2)
 
 
-@query("lsh_probe", f"WITH {BASE}, {sql_hashes(BITS)} SELECT a.id AS qid, b.id FROM h a, h b WHERE a.id < {QUERY_IDS} AND bit_count(xor(a.hash, b.hash)) <= 1")
+@query("lsh_probe", f"WITH {BASE}, {sql_hashes(BITS)} SELECT a.id AS qid, b.id FROM h a, h b WHERE a.id % {QUERY_STEP} = 0 AND bit_count(xor(a.hash, b.hash)) <= 1")
 def _probe(spark, d):
+    """All ids within one flip: the probed table has no cap."""
     h = hashing.hashes(base(spark, d), planes(spark, d))
-    return hashing.probe(hashing.buckets(h), h.where(F.col("id") < QUERY_IDS).withColumnRenamed("id", "qid"), BITS, 1)
+    return hashing.probe(h, h.where(F.col("id") % QUERY_STEP == 0).withColumnRenamed("id", "qid"), BITS, 1)
 
 
-@query("lsh_entry_points", f"WITH {BASE}, {sql_hashes(BITS)}, e AS (SELECT a.id AS qid, b.id, row_number() OVER (PARTITION BY a.id ORDER BY bit_count(xor(a.hash, b.hash)), b.id) AS r FROM h a, h b WHERE a.id < {QUERY_IDS} AND bit_count(xor(a.hash, b.hash)) <= 1) SELECT qid, id FROM e WHERE r <= 4")
+@query("lsh_entry_points", f"WITH {BASE}, {sql_hashes(BITS)}, {_CAPPED}, e AS (SELECT a.id AS qid, b.id, row_number() OVER (PARTITION BY a.id ORDER BY bit_count(xor(a.hash, b.hash)), b.id) AS r FROM h a, hb b WHERE a.id % {QUERY_STEP} = 0 AND bit_count(xor(a.hash, b.hash)) <= 1) SELECT qid, id FROM e WHERE r <= {hashing.ENTRY_CAP}")
 def _entries(spark, d):
     h = hashing.hashes(base(spark, d), planes(spark, d))
-    return hashing.entry_points(hashing.buckets(h), h.where(F.col("id") < QUERY_IDS).withColumnRenamed("id", "qid"), BITS, 1, 0, 4)
+    return hashing.entry_points(hashing.buckets(h), h.where(F.col("id") % QUERY_STEP == 0).withColumnRenamed("id", "qid"), BITS, 1, 0)
 
 
-@query("lsh_sampled_buckets")
+@query("lsh_sampled_buckets", f"""WITH RECURSIVE {BASE}, {sql_hashes(BITS)}, {_CAPPED}, s AS (SELECT hash, count(*) AS n FROM hb GROUP BY hash), t AS (SELECT sum(n) // 2 AS target FROM s),
+v AS (SELECT unnest(range({hashing.BUCKET_CAP + 1})) AS level), w AS (SELECT level, sum(least(n, greatest(level, least(4, n)))) AS total FROM v, s GROUP BY level),
+l AS (SELECT coalesce(min(level), (SELECT max(n) FROM s)) AS level FROM w, t WHERE total >= target) SELECT hash, least(n, greatest(level, 4)) AS kept FROM s, l""")
 def _sampled(spark, d):
+    """Ids kept of each bucket; which ones is the choice of a seeded hash."""
     h = hashing.buckets(hashing.hashes(base(spark, d), planes(spark, d)))
-    return hashing.sampled_buckets(h, h.count() // 2)
+    return hashing.sampled_buckets(h, h.count() // 2).groupBy("hash").agg(F.count(F.lit(1)).alias("kept"))
 
 
 # ---- graphs, over the exact 5-nearest-neighbour graph ----
@@ -450,9 +528,9 @@ def _degrees(spark, d):
     return rounded(out.withColumn("largest", F.col("largest").cast("long")).withColumn("smallest", F.col("smallest").cast("long")), "average")
 
 
-@query("graph_bfs_levels", f"WITH RECURSIVE {BASE}, {EDGES}, w(node, level) AS (SELECT 0::BIGINT, 0 UNION SELECT dst, level + 1 FROM w JOIN ed ON src = node WHERE level < 12), f AS (SELECT node, min(level) AS level FROM w GROUP BY node) SELECT level, count(*) AS n FROM f GROUP BY level")
+@query("graph_bfs_levels", f"WITH RECURSIVE {BASE}, {EDGES}, w(node, level) AS (SELECT 0::BIGINT, 0 UNION SELECT dst, level + 1 FROM w JOIN ed ON src = node WHERE level < 32), f AS (SELECT node, min(level) AS level FROM w GROUP BY node) SELECT level, count(*) AS n FROM f GROUP BY level")
 def _bfs(spark, d):
-    return graphs.bfs_levels(edges(spark, d), 0, 12)
+    return graphs.bfs_levels(edges(spark, d), 0)
 
 
 @query("graph_stitched", f"WITH {BASE}, {EDGES}, u AS (SELECT src, dst FROM ed UNION SELECT dst, src FROM ed) SELECT src, count(*) AS n, sum(dst)::BIGINT AS total FROM u GROUP BY src")
@@ -462,10 +540,10 @@ def _stitched(spark, d):
     return graphs.stitched(both).select("src", F.size("nbrs").cast("long").alias("n"), F.aggregate("nbrs", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
 
 
-@query("graph_expanded", f"WITH {BASE}, {EDGES}, f AS (SELECT src AS qid, dst AS node FROM ed WHERE src < {QUERY_IDS}) SELECT DISTINCT qid, dst AS node FROM f JOIN ed ON src = node WHERE (qid, dst) NOT IN (SELECT qid, node FROM f) AND dst <> qid")
+@query("graph_expanded", f"WITH {BASE}, {EDGES}, f AS (SELECT src AS qid, dst AS node FROM ed WHERE src % {QUERY_STEP} = 0) SELECT DISTINCT qid, dst AS node FROM f JOIN ed ON src = node WHERE (qid, dst) NOT IN (SELECT qid, node FROM f) AND dst <> qid")
 def _expanded(spark, d):
     e = edges(spark, d)
-    frontier = e.where(F.col("src") < QUERY_IDS).select(F.col("src").alias("qid"), F.col("dst").alias("node"))
+    frontier = e.where(F.col("src") % QUERY_STEP == 0).select(F.col("src").alias("qid"), F.col("dst").alias("node"))
     visited = frontier.unionByName(frontier.select("qid", F.col("qid").alias("node")))
     return graphs.expand(frontier, e, visited)
 
@@ -485,37 +563,67 @@ def _compacted(spark, d):
     return graphs.compacted(live).select("src", "old", F.size("nbrs").cast("long").alias("n"), F.aggregate("nbrs", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
 
 
-@query("graph_merged_shards")
+@query("graph_free_slots", f"WITH {BASE} SELECT range AS slot FROM range(20000) WHERE range NOT IN (SELECT id FROM b WHERE id % 10 <> 3)")
+def _free(spark, d):
+    """Places that deleted points leave, and those behind the last one."""
+    return graphs.free_slots(base(spark, d).where("id % 10 <> 3").select("id"), 20000)
+
+
+@query("graph_label_starts", f"""WITH {BASE}, e AS (SELECT id, vec, unnest(list_distinct(labels)) AS label FROM b), m AS (SELECT label, list(x ORDER BY dim) AS c FROM (SELECT label, dim, avg(x) AS x FROM (SELECT label, unnest(range(64)) AS dim, unnest(vec) AS x FROM e) GROUP BY ALL) GROUP BY label)
+SELECT label, id FROM (SELECT e.label, id, row_number() OVER (PARTITION BY e.label ORDER BY round({sql_l2('vec', 'c')}, 9), id) AS r FROM e JOIN m ON m.label = e.label) WHERE r = 1""")
+def _starts(spark, d):
+    """The point of each label that is nearest to its points' mean."""
+    return graphs.stitched_starts(base(spark, d))
+
+
+@query("graph_merged_shards", f"WITH {BASE}, {EDGES}, u AS (SELECT src, dst FROM ed UNION SELECT dst, src FROM ed) SELECT src, count(*) AS n, sum(dst)::BIGINT AS total FROM u GROUP BY src")
 def _merged(spark, d):
+    """The union of a node's lists in two overlapping shards, under a degree that cuts none."""
     e = edges(spark, d)
-    shards = lists(e).unionByName(graphs.reversed_edges(e))
-    return graphs.merged_shards(shards, 6)
+    both = graphs.merged_shards(lists(e).unionByName(graphs.reversed_edges(e)), 1 << 20)
+    return both.select("src", F.size("nbrs").cast("long").alias("n"), F.aggregate("nbrs", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
 
 
-@query("graph_pruned")
+@query("graph_merged_cut", f"WITH {BASE}, {EDGES}, u AS (SELECT src, dst FROM ed UNION SELECT dst, src FROM ed) SELECT src, least(count(*), 6) AS n FROM u GROUP BY src")
+def _merged_cut(spark, d):
+    """Degrees of the united lists, at most 6; which neighbours stay is the order of a seeded hash."""
+    e = edges(spark, d)
+    return graphs.merged_shards(lists(e).unionByName(graphs.reversed_edges(e)), 6).select("src", F.size("nbrs").cast("long").alias("n"))
+
+
+@query("graph_pruned", f"""WITH RECURSIVE {BASE}, {EDGES}, p AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dist, dst) AS k, dist FROM (SELECT ed.src, ed.dst, {sql_l2('x.vec', 'y.vec')} AS dist FROM ed JOIN b x ON x.id = ed.src JOIN b y ON y.id = ed.dst)),
+z AS (SELECT a.src, a.k AS taken, c.k AS later, c.dist / nullif({sql_l2('x.vec', 'y.vec')}, 0) AS factor FROM p a JOIN p c ON a.src = c.src AND a.k < c.k JOIN b x ON x.id = a.dst JOIN b y ON y.id = c.dst),
+w(src, k, kept) AS (SELECT src, 1::BIGINT, [1::BIGINT] FROM p WHERE k = 1 UNION ALL SELECT w.src, w.k + 1, CASE WHEN len(w.kept) < 3 AND NOT EXISTS (SELECT 1 FROM z WHERE z.src = w.src AND z.later = w.k + 1 AND list_contains(w.kept, z.taken) AND coalesce(z.factor, 'inf'::DOUBLE) > 1) THEN list_append(w.kept, w.k + 1) ELSE w.kept END FROM w JOIN p ON p.src = w.src AND p.k = w.k + 1),
+f AS (SELECT src, max_by(kept, k) AS kept FROM w GROUP BY src) SELECT f.src, count(*) AS n, sum(p.dst)::BIGINT AS total FROM f JOIN p ON p.src = f.src AND list_contains(f.kept, p.k) GROUP BY f.src""")
 def _pruned(spark, d):
-    return graphs.pruned(graphs.reversed_edges(edges(spark, d)), base(spark, d), 4)
+    """The exact lists of five pruned to three at the factor 1."""
+    out = graphs.pruned(lists(edges(spark, d)), base(spark, d), 3, 1.0)
+    return out.select("src", F.size("nbrs").cast("long").alias("n"), F.aggregate("nbrs", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
 
 
 def sharded(spark, d) -> DataFrame:
-    from ..session import persisted
+    """Shards under a bound that a small table, too, has several of."""
+    return clusters.sharded_under(base(spark, d).select("id", "vec", "labels"), 4096)
 
-    points = base(spark, d)
-    owner = clusters.partition(points, 4)
-    return persisted(points.join(owner, "id").select("shard", "id", "vec", "labels"))
 
+def _searched(metric: str):
+    def run(spark, d):
+        """Sharded build and greedy search; the recall is tested."""
+        s = sharded(spark, d)
+        return rounded(graphs.search(s, graphs.build(s, 16, 40, metric=metric), stated(spark, d), K, 80, metric=metric), "dist")
+
+    return run
 
-@query("graph_search")
-def _graph_search(spark, d):
-    """Sharded build and greedy search; its recall is tested."""
-    s = sharded(spark, d)
-    return rounded(graphs.search(s, graphs.build(s, 16, 40), stated(spark, d), K, 60), "dist")
+
+for _metric in ("l2", "ip", "cosine"):
+    query("graph_search" if _metric == "l2" else f"graph_search_{_metric}")(_searched(_metric))
 
 
 @query("graph_filtered_search")
 def _graph_filtered(spark, d):
+    """A filtered build, searched from the starts of the label."""
     s = sharded(spark, d)
-    return rounded(graphs.search(s, graphs.build(s, 16, 40), stated(spark, d), K, 60, keep_label="101"), "dist")
+    return rounded(graphs.search(s, graphs.build_filtered(s, 16, 40), stated(spark, d), K, 60, keep_label="101"), "dist")
 
 
 def paged(spark, d) -> DataFrame:
@@ -527,43 +635,84 @@ def paged(spark, d) -> DataFrame:
 
 @query("page_search")
 def _page_search(spark, d):
-    return rounded(pages.search(paged(spark, d), stated(spark, d), K, 60), "dist")
-
-
-@query("page_search_codes")
-def _page_search_codes(spark, d):
-    """Neighbours queue by code distances; only read pages are scored exactly."""
-    b = quantization.fit(base(spark, d), 16, 64)
-    return rounded(pages.search(paged(spark, d), stated(spark, d), K, 80, book=b), "dist")
+    """Neighbours queue by code distances; only members of pages that were read are scored."""
+    return rounded(pages.search(paged(spark, d), stated(spark, d), K, 80, book=quantization.fit(base(spark, d), 16, 64)), "dist")
 
 
 @query("page_search_hashed")
 def _page_search_hashed(spark, d):
     """Entry nodes from hash buckets instead of the start page."""
     h = hashing.hashes(base(spark, d), hashing.random_planes(64, BITS))
-    found = hashing.entry_points(hashing.buckets(h), h.where(F.col("id") < QUERY_IDS).withColumnRenamed("id", "qid"), BITS, 1, 0, 8).collect()
-    entries: dict[int, list[int]] = {}
-    for r in sorted(found):
-        entries.setdefault(r["qid"], []).append(r["id"])
-    return rounded(pages.search(paged(spark, d), stated(spark, d), K, 60, entries=entries), "dist")
+    found = hashing.entry_points(hashing.buckets(h), h.where(F.col("id") % QUERY_STEP == 0).withColumnRenamed("id", "qid"), BITS, 1, 0)
+    entries = {r["qid"]: list(r["ids"]) for r in found.groupBy("qid").agg(F.array_sort(F.collect_list("id")).alias("ids")).collect()}
+    return rounded(pages.search(paged(spark, d), stated(spark, d), K, 80, entries=entries, book=quantization.fit(base(spark, d), 16, 64)), "dist")
 
 
-@query("graph_filtered_build")
-def _filtered_build(spark, d):
-    s = sharded(spark, d)
-    return rounded(graphs.search(s, graphs.build_filtered(s, 16, 40).select("shard", "src", "nbrs", "is_start"), stated(spark, d), K, 60, keep_label="101"), "dist")
+@query("page_packed", f"WITH {BASE} SELECT id, 1 AS pages FROM b")
+def _packed(spark, d):
+    """Every vector lies in one page, at one place, with no more than nine in a page."""
+    p = paged(spark, d)
+    placed = pages.id_map(p, 9)
+    return placed.groupBy(F.col("old").alias("id")).agg((F.count_distinct("new") * F.max(F.when(F.pmod("new", F.lit(9)) < 9, 1))).cast("int").alias("pages"))
 
 
-@query("graph_stitched_build")
-def _stitched_build(spark, d):
-    return graphs.degrees(graphs.build_stitched(base(spark, d).select("id", "vec", "labels"), 12, 30, 24))
+@query("page_visits", f"""WITH {BASE}, {QUERIES}, r AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY {sql_l2('qvec', 'vec')}, id) AS rank FROM q, b),
+p AS (SELECT DISTINCT qid, id // 9 AS page_id FROM r WHERE rank <= {K}) SELECT page_id, count(*) AS n FROM p GROUP BY page_id""")
+def _visits(spark, d):
+    """How often pages are read, from a recorded log: that of a search that reads the sequential pages of its exact results."""
+    from ..session import persisted
 
+    found = knn.knn(base(spark, d), stated(spark, d), K)
+    log = found.groupBy("qid").agg(F.collect_set(F.floor(F.col("id") / 9)).alias("pages"))
+    return pages.visits(persisted(log))
 
-@query("page_visits")
-def _visits(spark, d):
-    p = paged(spark, d)
-    found = pages.search(p, stated(spark, d), K, 60)
-    return pages.visits(found, pages.id_map(p, 9), 9, 10)
+
+@query("page_cache_hits", f"""WITH {BASE}, {QUERIES}, r AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY {sql_l2('qvec', 'vec')}, id) AS rank FROM q, b),
+p AS (SELECT DISTINCT qid, id // 9 AS page_id FROM r WHERE rank <= {K}), c AS (SELECT page_id FROM p GROUP BY page_id ORDER BY count(*) DESC, page_id LIMIT 10)
+SELECT qid, count(*) AS reads, count(*) FILTER (WHERE page_id IN (FROM c))::BIGINT AS hits FROM p GROUP BY qid""")
+def _cache_hits(spark, d):
+    """Reads that a cache of the ten most read pages serves."""
+    from ..session import persisted
+
+    found = knn.knn(base(spark, d), stated(spark, d), K)
+    log = persisted(found.groupBy("qid").agg(F.collect_set(F.floor(F.col("id") / 9)).alias("pages")))
+    return pages.cached(log, pages.visits(log, 10))
+
+
+@query("index_active", sql_knn(sql_l2("qvec", "vec"), "id % 10 <> 3"))
+def _index_active(spark, d):
+    """An index of fresh points, a tenth of them deleted: what is not linked yet is searched exactly."""
+    from ..index import Parameters, VectorIndex
+
+    points = base(spark, d).select("id", "vec", "labels")
+    index = VectorIndex.build(points.limit(0), label_col="labels", parameters=Parameters(8, 20))
+    index, _ = index.insert(points)
+    index, _ = index.delete(points.where("id % 10 = 3").select("id"))
+    return rounded(index.search(stated(spark, d), K, 20), "dist")
+
+
+@query("index_reinserted", f"WITH {BASE}, {QUERIES} SELECT qid, qid AS id, 0.0::DOUBLE AS dist FROM q")
+def _index_reinserted(spark, d):
+    """Ids that are deleted and inserted again are found at their own place, beside the repaired graph."""
+    from ..index import Parameters, VectorIndex
+
+    points = base(spark, d).select("id", "vec", "labels")
+    again = points.where(F.col("id") % QUERY_STEP == 0)
+    index = VectorIndex.build(points, label_col="labels", parameters=Parameters(12, 30))
+    index, _ = index.delete(again.select("id"))
+    index, _ = index.insert(again)
+    return index.search(stated(spark, d), 1, 60).select("qid", "id", "dist")
+
+
+@query("graph_stitched_build", f"WITH {BASE} SELECT id AS src, 1 AS reachable FROM b")
+def _stitched_build(spark, d):
+    """Every point is a node of the stitched graph, with neighbours that share a label and at most 24 of them."""
+    points = base(spark, d).select("id", "vec", "labels")
+    edges_ = graphs.build_stitched(points, 12, 30, 24)
+    pairs = edges_.select("src", F.size("nbrs").alias("n"), F.explode("nbrs").alias("dst"))
+    own, theirs = points.select(F.col("id").alias("src"), F.col("labels").alias("own")), points.select(F.col("id").alias("dst"), F.col("labels").alias("theirs"))
+    fits = pairs.join(own, "src").join(theirs, "dst").withColumn("fits", F.arrays_overlap("own", "theirs") & (F.col("n") <= 24))
+    return fits.groupBy("src").agg(F.min(F.col("fits").cast("int")).alias("reachable"))
 
 
 @query("page_sequential", f"WITH {BASE} SELECT id // 9 AS page_id, count(*) AS n, min(id) AS first, max(id) AS last FROM b GROUP BY 1")
@@ -574,10 +723,17 @@ def _sequential(spark, d):
 # ---- planner, generators, slices ----
 
 
-@query("planner_layouts")
+_CASES = [(128, 1, 20, 1.0, 23), (128, 1, 12, 0.0, 28), (100, 1, 18, 1.0, 25), (96, 4, 60, 1.0, 31), (64, 4, 16, 1.0, 8), (64, 4, 16, 0.5, 8), (64, 4, 16, 0.0, 8)]
+
+
+@query("planner_layouts", f"""WITH c(dim, bytes, pq, share, least) AS (VALUES {', '.join(f"({a}, {b}, {c}, {e}::DOUBLE, {f})" for a, b, c, e, f in _CASES)}),
+f AS (SELECT c.*, d, greatest(0, 4096 - (4 + 4 * d + pq * (d - floor(d * share)::INTEGER))) // (dim * bytes) AS fit FROM c, (SELECT unnest(range(1, 4097))::INTEGER AS d) r),
+g AS (SELECT dim, bytes, pq, share, least, min(d) AS degree FROM f WHERE d >= least AND (fit = 0 OR d >= least * fit) GROUP BY ALL),
+h AS (SELECT g.*, f.fit AS per_page FROM g JOIN f USING (dim, bytes, pq, share, least) WHERE f.d = g.degree),
+i AS (SELECT h.dim, h.bytes, h.pq, h.share, h.least, per_page, min(f.d) - 1 AS page_degree FROM h JOIN f USING (dim, bytes, pq, share, least) WHERE f.d > h.degree AND f.fit <> per_page GROUP BY ALL)
+SELECT dim, bytes, pq, share, least, page_degree, per_page, page_degree // per_page + CASE WHEN (page_degree % per_page)::DOUBLE / per_page >= 0.9 THEN 1 ELSE 0 END AS degree FROM i""")
 def _planner(spark, d):
-    cases = [(128, 1, 20, 1.0, 23), (128, 1, 12, 0.0, 28), (100, 1, 18, 1.0, 25), (96, 4, 60, 1.0, 31), (64, 4, 16, 1.0, 8), (64, 4, 16, 0.5, 8), (64, 4, 16, 0.0, 8)]
-    rows = [(*c, *planner.page_layout(*c), planner.recommended_degree(*c)) for c in cases]
+    rows = [(*c, *planner.page_layout(*c), planner.recommended_degree(*c)) for c in _CASES]
     return spark.createDataFrame(rows, "dim int, bytes int, pq int, share double, least int, page_degree int, per_page int, degree int")
 
 
@@ -586,14 +742,109 @@ def _slice(spark, d):
     return generators.bernoulli(base(spark, d).select("id"), 0.25)
 
 
-@query("random_vectors")
+@query("random_vectors", "SELECT range AS id, 16 AS dims, 3.0::DOUBLE AS norm FROM range(200)")
 def _vectors(spark, d):
-    return generators.vectors(spark, 200, 16, 1.0)
+    """Generated vectors have the dimensions and the norm asked for."""
+    out = generators.vectors(spark, 200, 16, 3.0)
+    return rounded(out.select("id", F.size("vec").alias("dims"), v.norm(F.col("vec")).alias("norm")), "norm")
+
 
+@query("generated_labels", "SELECT range AS id, (range % 12 + 1)::VARCHAR AS label FROM range(200)")
+def _one_label(spark, d):
+    return generators.one_label(spark, 200, 12).select("id", F.col("labels")[0].alias("label"))
 
-@query("random_labels")
+
+@query("random_labels", "SELECT range AS id, true AS valid FROM range(200)")
 def _labels(spark, d):
-    return generators.zipf_labels(spark, 200, 12)
+    """Labels drawn by Zipf's law: 1 to 12, each once in rising order, the first always; \"0\" where none is drawn."""
+    own = F.transform("labels", lambda x: x.cast("int"))
+    valid = (F.array_sort(F.array_distinct(own)) == own) & F.forall(own, lambda x: (x >= 0) & (x <= 12)) & (own[0] == 1)
+    return generators.zipf_labels(spark, 200, 12).select("id", valid.alias("valid"))
+
+
+@query("sampled_query_labels", f"WITH {BASE} SELECT range AS qid, true AS known FROM range(100)")
+def _query_labels(spark, d):
+    """Labels drawn from the points' own, one a query."""
+    known = labels.counts(base(spark, d)).select("label", F.lit(True).alias("known"))
+    return generators.sampled_query_labels(base(spark, d), 100).join(known, "label", "left").select("qid", F.coalesce("known", F.lit(False)).alias("known"))
+
+
+@query("simulated_shard_recall", "SELECT 90 AS recall")
+def _simulated(spark, d):
+    """The recall of merged shards that find nine of ten of their own, in whole per cent."""
+    from ..operators.evaluate import simulated_recall
+
+    return simulated_recall(spark, 8, 10, 0.9, 100_000).select(F.round(100 * F.col("recall")).cast("int").alias("recall"))
+
+
+# ---- files: written to the shared folder and read back ----
+
+
+def _stored(spark, table: DataFrame, layout: str, kind: str, parts: int = 3) -> DataFrame:
+    import uuid
+
+    from ..session import shared_dir
+    from ..sources import files
+
+    path = f"{shared_dir(spark)}/quiverlake/files-{uuid.uuid4().hex}"
+    files.write(table, path, layout, kind, parts)
+    return files.read(spark, path, layout, kind)
+
+
+def _values(df: DataFrame) -> DataFrame:
+    return df.select("id", F.posexplode("vec").alias("pos", "x")).select("id", F.col("pos").cast("long").alias("pos"), F.round(F.col("x").cast("double"), 4).alias("x"))
+
+
+_NUMBERED = "n AS (SELECT row_number() OVER (ORDER BY id) - 1 AS id, vec FROM b)"
+for _layout in ("bin", "vecs"):
+    query(f"files_{_layout}_float", f"WITH {BASE}, {_NUMBERED}, t AS (SELECT id, list_transform(vec, lambda x: x::FLOAT::DOUBLE) AS a FROM n) SELECT id, unnest(range(len(a))) AS pos, round(unnest(a), 4) AS x FROM t")(
+        lambda spark, d, layout=_layout: _values(_stored(spark, base(spark, d), layout, "float"))
+    )
+
+
+@query("files_cast_uint8", f"WITH {BASE}, {_NUMBERED}, t AS (SELECT id, list_transform(vec, lambda x: (trunc(abs(x * 1000))::BIGINT % 256)::DOUBLE) AS a FROM n) SELECT id, unnest(range(len(a))) AS pos, unnest(a) AS x FROM t")
+def _cast(spark, d):
+    """Floats cast to bytes on the way to a file of bytes."""
+    bytes_ = base(spark, d).withColumn("vec", v.to_uint8(F.transform("vec", lambda x: F.abs(x * 1000))))
+    return _values(_stored(spark, bytes_, "vecs", "uint8"))
+
+
+@query("files_tsv", f"WITH {BASE}, {_NUMBERED}, t AS (SELECT id, list_transform(vec, lambda x: x::FLOAT::DOUBLE) AS a FROM n) SELECT id, unnest(range(len(a))) AS pos, round(unnest(a), 4) AS x FROM t")
+def _tsv(spark, d):
+    import uuid
+
+    from ..session import shared_dir
+    from ..sources import files
+
+    path = f"{shared_dir(spark)}/quiverlake/files-{uuid.uuid4().hex}"
+    files.write_tsv(base(spark, d).select("id", F.transform("vec", lambda x: x.cast("float")).alias("vec")), path)
+    return _values(files.read_tsv(spark, path))
+
+
+@query("files_graph", f"WITH {BASE}, {EDGES} SELECT src, count(*) AS n, sum(dst)::BIGINT AS total FROM ed GROUP BY src")
+def _graph_file(spark, d):
+    """The exact graph through a graph file."""
+    import uuid
+
+    from ..session import shared_dir
+    from ..sources import files
+
+    path = f"{shared_dir(spark)}/quiverlake/files-{uuid.uuid4().hex}"
+    files.write_graph(lists(edges(spark, d)), path, 0)
+    return files.read_graph(spark, path).select("src", F.size("nbrs").cast("long").alias("n"), F.aggregate("nbrs", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
+@query("files_truth", sql_knn(sql_l2("qvec", "vec")).replace("SELECT qid, rank::INTEGER", "SELECT (qid / 50)::BIGINT AS qid, rank::INTEGER").replace("round(dist, 6)", "round(dist::FLOAT::DOUBLE, 2)"))
+def _truth(spark, d):
+    """Exact neighbours through a truth file, queries numbered in order."""
+    import uuid
+
+    from ..session import shared_dir
+    from ..sources import files
+
+    path = f"{shared_dir(spark)}/quiverlake/files-{uuid.uuid4().hex}"
+    files.write_truth(knn.knn(base(spark, d), stated(spark, d), K), path)
+    return files.read_truth(spark, path).withColumn("dist", F.round(F.col("dist").cast("double"), 2))
 
 
 @query("shard_vectors", f"WITH {BASE}, {CENTRES} SELECT id, centre AS shard FROM nr WHERE rank <= 2 AND centre < 4")

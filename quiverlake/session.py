@@ -6,12 +6,14 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+_local_dirs: dict[str, str] = {}
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, driver_memory: str = "8g") -> SparkSession:
@@ -43,15 +45,24 @@ def ship_code(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def persisted(df):
-    """Cuts lineage: the rows as a Parquet table in the folder of ``spark.checkpoint.dir`` (a temporary one only where that is unset)."""
-    import uuid
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share, from ``spark.checkpoint.dir``. Where that is unset, a local session gets a temporary one, which goes
+    when the process ends; a cluster gets an error, since no folder of one machine would do."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if context.applicationId not in _local_dirs:
+        _local_dirs[context.applicationId] = tempfile.mkdtemp(prefix="quiverlake-")
+        atexit.register(shutil.rmtree, _local_dirs[context.applicationId], True)
+    return _local_dirs[context.applicationId]
 
+
+def persisted(df: DataFrame) -> DataFrame:
+    """Cuts lineage: the rows as a Parquet table in the shared folder."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="quiverlake-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/quiverlake/table-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/quiverlake/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

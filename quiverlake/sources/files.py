@@ -16,6 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..session import persisted
+
+#: Rows of a piece that is written or read at once.
+PIECE = 4096
 TYPES = {"float": np.dtype("<f4"), "int8": np.dtype("i1"), "uint8": np.dtype("u1"), "uint32": np.dtype("<u4"), "int32": np.dtype("<i4")}
 SQL_TYPES = {"float": "float", "int8": "tinyint", "uint8": "smallint", "uint32": "bigint", "int32": "int"}
 
@@ -52,19 +56,30 @@ def format_vecs(x: np.ndarray, kind: str) -> bytes:
     return np.hstack([head, np.ascontiguousarray(x, TYPES[kind]).view(np.uint8).reshape(len(x), -1)]).tobytes() if len(x) else b""
 
 
+def heads(spark: SparkSession, paths: list[str]) -> dict[str, tuple[int, int]]:
+    """The first two little-endian integers of each file, read by the driver: 8 bytes a file."""
+    out = {}
+    for path in paths:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        stream = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(where)
+        out[path] = struct.unpack("<ii", struct.pack(">ii", stream.readInt(), stream.readInt()))
+        stream.close()
+    return out
+
+
 def read(spark: SparkSession, path: str, layout: str = "bin", kind: str = "float") -> DataFrame:
     """(id, vec) of a file or folder of files, ids counted through in order of file names; a file is one task."""
     parse = parse_bin if layout == "bin" else parse_vecs
     files = spark.read.format("binaryFile").load(path)
     sizes = files.select("path", "length").orderBy("path").collect()
+    head = heads(spark, [r["path"] for r in sizes if r["length"] >= 8])
     if layout == "bin":
-        heads = {r["path"]: r["n"] for r in files.select("path", F.expr("cast(conv(hex(reverse(substring(content, 1, 4))), 16, 10) as long)").alias("n")).collect()}
+        rows = {p: n for p, (n, _) in head.items()}
     else:
-        width = {r["path"]: 4 + TYPES[kind].itemsize * r["d"] for r in files.where("length > 0").select("path", F.expr("cast(conv(hex(reverse(substring(content, 1, 4))), 16, 10) as long)").alias("d")).collect()}
-        heads = {r["path"]: r["length"] // width[r["path"]] if r["length"] else 0 for r in sizes}
+        rows = {r["path"]: r["length"] // (4 + TYPES[kind].itemsize * head[r["path"]][0]) for r in sizes if r["length"] >= 8}
     first, at = {}, 0
     for r in sizes:
-        first[r["path"]], at = at, at + heads[r["path"]]
+        first[r["path"]], at = at, at + rows.get(r["path"], 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,32 +132,60 @@ class BinReader(DataSourceReader):
             yield partition.start + i, row
 
 
+def create(spark: SparkSession, path: str):
+    """An output stream of the path's own file system; an older file is replaced."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
+
+
+def content(spark: SparkSession, path: str) -> bytes:
+    """The bytes of one file, such as a truth file of a stated query set."""
+    return bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
+
+
 def write(points: DataFrame, path: str, layout: str = "bin", kind: str = "float", parts: int = 1) -> None:
-    """Writes (id, vec) as files ``part-<n>``, in order of id over all files, through the file system of the path."""
+    """Writes (id, vec) as files ``part-<n>``, in order of id over all files, through the file system of the path.
+
+    Executors format the rows. Binary files have no sink in Spark, so their bytes pass the driver, PIECE rows at a time: its memory does not
+    grow with the data.
+    """
     spark = points.sparkSession
-    form = format_bin if layout == "bin" else format_vecs
-    ordered = points.select("id", "vec").repartitionByRange(parts, "id").sortWithinPartitions("id")
+    ordered = points.select("id", "vec").repartitionByRange(parts, "id").sortWithinPartitions("id").withColumn("part", F.spark_partition_id())
+    ordered = persisted(ordered)
+    sizes = {r["part"]: (r["n"], r["dims"]) for r in ordered.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("dims")).collect()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        rows = [r for batch in batches for r in batch.column("vec").to_pylist()]
-        body = form(np.array(rows, TYPES[kind]).reshape(len(rows), -1), kind)
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([body], pa.large_binary()).cast(pa.binary())], ["part", "body"])
-
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for row in ordered.mapInArrow(run, "part int, body binary").toLocalIterator():
-        where = jvm.org.apache.hadoop.fs.Path(f"{path}/part-{row['part']:05d}")
-        out = where.getFileSystem(conf).create(where, True)
-        out.write(bytearray(row["body"]))
+        for batch in batches:
+            for lo in range(0, batch.num_rows, PIECE):
+                some = batch.slice(lo, PIECE)
+                flat = some.column("vec").flatten().to_numpy(zero_copy_only=False)
+                x = flat.reshape(some.num_rows, -1).astype(TYPES[kind])
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() if layout == "bin" else format_vecs(x, kind)], pa.binary())], ["body"])
+
+    for part in range(max(sizes, default=-1) + 1):
+        out = create(spark, f"{path}/part-{part:05d}")
+        n, dims = sizes.get(part, (0, 0))
+        if layout == "bin":
+            out.write(bytearray(struct.pack("<ii", n, dims)))
+        if n:
+            one = ordered.where(F.col("part") == part).select("id", "vec").repartitionByRange(1, "id").sortWithinPartitions("id")
+            for r in one.mapInArrow(run, "body binary").toLocalIterator():
+                out.write(bytearray(r["body"]))
         out.close()
 
 
+def numbered_lines(spark: SparkSession, path: str, column: str = "line", blanks: bool = True) -> DataFrame:
+    """(id, line) of a text file or a folder of them, numbered in order of file names and lines; ``blanks``: blank lines count."""
+    paths = [r["path"] for r in spark.read.format("binaryFile").load(path).select("path").orderBy("path").collect()]
+    lines = spark.sparkContext.union([spark.sparkContext.textFile(p) for p in paths])
+    if not blanks:
+        lines = lines.filter(lambda x: bool(x.strip()))
+    return lines.zipWithIndex().toDF(f"{column} string, id long").select("id", column)
+
+
 def read_tsv(spark: SparkSession, path: str, sep: str = r"\s+") -> DataFrame:
-    """(line, vec) of text lines; a line's own number is not kept by a parallel scan, so rows carry their text."""
-    lines = spark.read.text(path).where("trim(value) <> ''")
-    return lines.select(F.col("value").alias("line"), F.transform(F.split(F.trim("value"), sep), lambda x: x.cast("float")).alias("vec"))
+    """(id, line, vec) of text lines, numbered in order of files and lines; blank lines are left out."""
+    return numbered_lines(spark, path, blanks=False).select("id", "line", F.transform(F.split(F.trim("line"), sep), lambda x: x.cast("float")).alias("vec"))
 
 
 def write_tsv(points: DataFrame, path: str) -> None:
@@ -171,6 +214,22 @@ def truth_frame(spark: SparkSession, body: bytes) -> DataFrame:
     return spark.createDataFrame(rows, "qid long, rank int, id long, dist double")
 
 
+def read_truth(spark: SparkSession, path: str) -> DataFrame:
+    return truth_frame(spark, content(spark, path))
+
+
+def write_truth(found: DataFrame, path: str) -> None:
+    """(qid, rank, id, dist) as a truth file, queries in order of their ids; all must have the same number of results."""
+    rows = sorted(tuple(r) for r in found.select("qid", "rank", "id", "dist").collect())
+    queries = len({r[0] for r in rows})
+    if queries and len(rows) % queries:
+        raise ValueError("queries have different numbers of results")
+    shape = (queries, len(rows) // queries if queries else 0)
+    out = create(found.sparkSession, path)
+    out.write(bytearray(format_truth(np.array([r[2] for r in rows]).reshape(shape), np.array([r[3] for r in rows]).reshape(shape))))
+    out.close()
+
+
 def parse_range_truth(body: bytes) -> list[np.ndarray]:
     """Ids by query of a range truth file: counts first, then all ids."""
     n, total = struct.unpack_from("<ii", body)
@@ -196,6 +255,38 @@ def format_graph(lists: list[np.ndarray], start: int, frozen: int = 0) -> bytes:
     return struct.pack("<QIIQ", 24 + len(rows), max(map(len, lists), default=0), start, frozen) + rows
 
 
+def write_graph(edges: DataFrame, path: str, start: int, frozen: int = 0) -> None:
+    """(src, nbrs), src from 0 on without gaps, as a graph file; rows pass the driver one partition at a time."""
+    spark = edges.sparkSession
+    size = edges.agg(F.sum(4 + 4 * F.size("nbrs")), F.max(F.size("nbrs"))).first()
+    out = create(spark, path)
+    out.write(bytearray(struct.pack("<QIIQ", 24 + (size[0] or 0), size[1] or 0, start, frozen)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.column("nbrs").to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(struct.pack("<I", len(r)) + np.asarray(r, "<u4").tobytes() for r in rows)], pa.binary())], ["body"])
+
+    for r in edges.select("src", "nbrs").repartitionByRange(1, "src").sortWithinPartitions("src").mapInArrow(run, "body binary").toLocalIterator():
+        out.write(bytearray(r["body"]))
+    out.close()
+
+
+def read_graph(spark: SparkSession, path: str) -> DataFrame:
+    """(src, nbrs, is_start) of a graph file, parsed by one task: lists have no fixed width, so the file cannot be split."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for body in batch.column("content").to_pylist():
+                start, _, lists = parse_graph(body)
+                for lo in range(0, len(lists), PIECE):
+                    some = lists[lo : lo + PIECE]
+                    src = np.arange(lo, lo + len(some))
+                    yield pa.RecordBatch.from_arrays([pa.array(src), pa.array([x.astype(np.int64) for x in some], pa.list_(pa.int64())), pa.array(src == start)], ["src", "nbrs", "is_start"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "src long, nbrs array<long>, is_start boolean")
+
+
 def checked_tags(points: DataFrame, tags: DataFrame) -> DataFrame:
     """(id, tag) joined; raises where points and tags differ in number."""
     n, m = points.count(), tags.count()

@@ -2,6 +2,7 @@ import struct
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quiverlake.index import Parameters, VectorIndex
 from quiverlake.operators import knn
@@ -62,7 +63,7 @@ def test_index_life_cycle(spark, tmp_path):
     rng = np.random.default_rng(2)
     rows = [(i, [float(v) for v in r], [str(i % 3)]) for i, r in enumerate(rng.standard_normal((200, 8)))]
     table = spark.createDataFrame(rows, "id long, vec array<double>, labels array<string>")
-    index = VectorIndex.build(table, label_col="labels", parameters=Parameters(degree=12, width=40, shards=2))
+    index = VectorIndex.build(table, label_col="labels", parameters=Parameters(degree=12, width=40, most_points=120))
     queries = table.where("id < 10").select("id", "vec")
     assert knn.recall(knn.knn(table, queries, 5), index.search(queries, 5), 5).first()[0] >= 95
     index, failed = index.delete(spark.createDataFrame([(0,), (1,), (999,)], "id long"))
@@ -76,7 +77,8 @@ def test_index_life_cycle(spark, tmp_path):
     assert repaired.edges.where("src in (0, 1) or array_contains(nbrs, 0L) or array_contains(nbrs, 1L)").count() == 0
     live = knn.knn(index.vectors(), queries, 5)
     assert knn.recall(live, repaired.search(queries, 5), 5).first()[0] >= 90
-    whole = index.consolidate()
+    whole, report = index.consolidate()
+    assert report == {"before": 200, "deleted": 2, "added": 1, "after": 199}
     assert whole.status() == {"active": 199, "indexed": 199, "fresh": 0, "deleted": 0}
     whole.write(str(tmp_path / "index"))
     again = VectorIndex.read(spark, str(tmp_path / "index"))
@@ -85,6 +87,57 @@ def test_index_life_cycle(spark, tmp_path):
         VectorIndex.build(table.union(table), label_col="labels")
 
 
+def test_deleted_ids_come_again_and_many_deletions_hide_nothing(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(v) for v in r], [str(i % 3)]) for i, r in enumerate(rng.standard_normal((59, 6)))]
+    schema = "id long, vec array<double>, labels array<string>"
+    table = spark.createDataFrame(rows, schema)
+    index = VectorIndex.build(table, label_col="labels", parameters=Parameters(degree=8, width=20))
+    one = table.where("id = 10").select("id", "vec")
+    gone, _ = index.delete(spark.createDataFrame([(10,)], "id long"))
+    moved = spark.createDataFrame([(10, [9.0] * 6, ["0"])], schema)
+    back, rejected = gone.insert(moved)
+    assert rejected.count() == 0 and back.status() == {"active": 59, "indexed": 58, "fresh": 1, "deleted": 0}
+    assert back.search(moved.select("id", "vec"), 1).first()["id"] == 10 and back.search(one, 1).first()["id"] != 10
+    linked = back.link()
+    assert linked.status() == {"active": 59, "indexed": 59, "fresh": 0, "deleted": 0}
+    assert linked.search(moved.select("id", "vec"), 1).first()["id"] == 10
+    few, _ = index.delete(table.where("id < 49").select("id"))
+    found = few.search(one, 5, 20)
+    live = knn.knn(table.where("id >= 49"), one, 5)
+    assert [r["id"] for r in found.orderBy("rank").collect()] == [r["id"] for r in live.orderBy("rank").collect()]
+    assert few.search_with_vectors(one, 3).select("vec").count() == 3
+    with pytest.raises(ValueError):
+        index.search(one, 30, 20)
+
+
+def test_labels_metrics_and_frozen_starts(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(v) * (1 + i % 4) for v in r], ["u"] if i % 40 == 0 else [str(i % 3)]) for i, r in enumerate(rng.standard_normal((400, 12)))]
+    table = spark.createDataFrame(rows, "id long, vec array<double>, labels array<string>")
+    queries = table.where("id % 20 = 1").select("id", "vec")
+    for metric in ("l2", "ip", "cosine"):
+        index = VectorIndex.build(table, label_col="labels", parameters=Parameters(degree=16, width=60, most_points=250, metric=metric, frozen=3))
+        assert index.edges.where("is_start").count() >= 6
+        assert knn.recall(knn.knn(table, queries, 10, metric), index.search(queries, 10, 80), 10).first()[0] >= 90, metric
+    index = VectorIndex.build(table, label_col="labels", parameters=Parameters(degree=16, width=40, universal_label="u", filtered=True))
+    truth = knn.knn_filtered(table, queries, 10, F.arrays_overlap("labels", F.array(F.lit("2"), F.lit("u"))))
+    assert knn.recall(truth, index.search(queries, 10, 40, "2"), 10).first()[0] >= 95
+    with pytest.raises(ValueError):
+        VectorIndex.build(table, label_col="labels", parameters=Parameters(degree=8, width=20)).search(queries, 5, label="none")
+
+
+def test_graph_and_truth_files(spark, tmp_path):
+    edges = spark.createDataFrame([(0, [1, 2]), (1, []), (2, [0])], "src long, nbrs array<long>")
+    files.write_graph(edges, str(tmp_path / "g"), 2)
+    assert sorted((r["src"], r["nbrs"], r["is_start"]) for r in files.read_graph(spark, str(tmp_path / "g")).collect()) == [(0, [1, 2], False), (1, [], False), (2, [0], True)]
+    found = spark.createDataFrame([(7, 1, 3, 0.5), (7, 2, 4, 0.75), (9, 1, 8, 1.0), (9, 2, 2, 2.0)], "qid long, rank int, id long, dist double")
+    files.write_truth(found, str(tmp_path / "t"))
+    assert sorted(map(tuple, files.read_truth(spark, str(tmp_path / "t")).collect())) == [(0, 1, 3, 0.5), (0, 2, 4, 0.75), (1, 1, 8, 1.0), (1, 2, 2, 2.0)]
+    with pytest.raises(ValueError):
+        files.write_truth(found.limit(3), str(tmp_path / "u"))
+
+
 def test_change_stream(spark, tmp_path):
     schema = "id long, op string, vec array<double>, seq long"
     spark.createDataFrame([(1, "insert", [1.0], 1), (2, "insert", [2.0], 2), (1, "delete", None, 3)], schema).write.parquet(str(tmp_path / "in"))
