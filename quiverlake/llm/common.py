@@ -63,11 +63,15 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 def dropped(table: DataFrame, folder: str = "") -> None:
-    """Removes a written table, or one folder of it, that no later step reads; and lets Spark clean the shuffles of finished steps."""
-    spark = table.sparkSession
-    delete(spark, f"{table.scratch_path}/{folder}" if folder else table.scratch_path)
+    """Removes a written table, or one folder of it, that no later step reads."""
+    delete(table.sparkSession, f"{table.scratch_path}/{folder}" if folder else table.scratch_path)
+
+
+def settled(table: DataFrame) -> DataFrame:
+    """A written table; the shuffles of the finished steps, which only exist for those, are left to Spark's cleaner at once."""
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    table.sparkSession.sparkContext._jvm.System.gc()
+    return table
 
 
 def release_scratch() -> None:

@@ -37,6 +37,8 @@ from .seating import tables
 CHUNK_TOKENS = 1_000_000
 BURN, SAMPLES = 1, 3
 STRENGTH = (1.0, 1.0)
+#: Compression of a chunk's own row, which is sent twice.
+LEVEL = 9
 
 #: Fixed 64-bit values for the end of a text, and the context of its first token.
 END = np.uint64(0x5E5D0E5D0E5D0E5D)
@@ -74,9 +76,9 @@ def steps(ascending: np.ndarray) -> np.ndarray:
     return np.diff(ascending, prepend=ascending.dtype.type(0))
 
 
-def row(chunk: int, bucket: int, *arrays: np.ndarray, sums: list[float] | None = None, summed: bool = False) -> pa.RecordBatch:
+def row(chunk: int, bucket: int, *arrays: np.ndarray, sums: list[float] | None = None, summed: bool = False, level: int = 3) -> pa.RecordBatch:
     """One packed row, with a column for sums if the schema is SUMMED."""
-    columns = [pa.array([chunk]), pa.array([bucket], pa.int32()), pa.array([pack(*arrays) if arrays else b""], pa.binary())]
+    columns = [pa.array([chunk]), pa.array([bucket], pa.int32()), pa.array([pack(*arrays, level=level) if arrays else b""], pa.binary())]
     names = ["chunk", "bucket", "body"]
     if summed:
         columns.append(pa.array([sums], pa.list_(pa.float64())))
@@ -139,7 +141,7 @@ def chunked(docs: DataFrame, held_out: Column, buckets: int) -> DataFrame:
         def flush() -> Iterator[pa.RecordBatch]:
             ids = [i for part in held for i in part[0]]
             chunk, arrays = packed_chunk(ids, *(np.concatenate([part[c] for part in held]) for c in (1, 2, 3)))
-            yield row(base + serial, -1, *arrays)
+            yield row(base + serial, -1, *arrays, level=LEVEL)
             count = chunk.pair_counts()
             for b, lo, hi in bucket_ranges(chunk.pair, buckets):
                 yield row(base + serial, b, steps(chunk.pair[lo:hi]), count[lo:hi].astype(np.uint32))
@@ -341,16 +343,18 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     moved = lambda df, k: df.withColumn("bucket", F.col("bucket") + F.lit(k * buckets).cast("int"))
     packed = lambda df: df.select("chunk", "bucket", "body")
 
+    step = lambda df, label: common.settled(common.written(df, label))
+
     made = common.written(chunked(docs, held_out, buckets).withColumn("asks", F.col("bucket") >= 0), "lm-chunks", by="asks")
     own = packed(made.where("not asks"))
-    found = common.written(grouped(packed(made.where("asks")), "bucket", buckets, counted, SUMMED), "lm-pairs")
+    found = step(grouped(packed(made.where("asks")), "bucket", buckets, counted, SUMMED), "lm-pairs")
     common.dropped(made, "asks=true")
     answers, routes = packed(found.where("chunk >= 0")), packed(found.where(F.col("chunk") == OWN))
     few = sums_of(found)
-    seats = common.written(grouped(own.unionByName(answers), "chunk", buckets, placed(buckets), PACKED), "lm-seats")
+    seats = step(grouped(own.unionByName(answers), "chunk", buckets, placed(buckets), PACKED), "lm-seats")
     words = keyed(seats.where("bucket >= 0"), WORDS)
 
-    totals = common.written(grouped(words, "bucket", buckets, added_up(0, 1, state), SUMMED), "lm-words")
+    totals = step(grouped(words, "bucket", buckets, added_up(0, 1, state), SUMMED), "lm-words")
     state["N"], state["V"], once, twice, state["C"], state["T"] = sums_of(totals) or [0.0] * 6
     state["discount"] = (share(once, twice), share(*few) if few else 0.5)
     pairs = seats.where("bucket < 0")
@@ -358,10 +362,10 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
         last = sweep > BURN
         samples = SAMPLES if last else 1
         swept = grouped(pairs.unionByName(packed(totals.where("chunk >= 0"))), "chunk", buckets, drawn_tables(sweep, samples, buckets, dict(state)), PACKED)
-        tables_ = common.written(swept, "lm-tables")
+        tables_ = step(swept, "lm-tables")
         drawn = keyed(tables_.where((F.col("bucket") >= 0) & (F.col("bucket") < buckets)), TABLES)
         before = packed(totals.where(F.col("chunk") == OWN))
-        more = common.written(grouped(words.unionByName(drawn).unionByName(before), "bucket", buckets, added_up(sweep, samples, dict(state)), SUMMED), "lm-words")
+        more = step(grouped(words.unionByName(drawn).unionByName(before), "bucket", buckets, added_up(sweep, samples, dict(state)), SUMMED), "lm-words")
         common.dropped(totals)
         totals, pairs = more, tables_.where("bucket < 0")
         sums = sums_of(totals) or [0.0] * (4 + 2 * samples)

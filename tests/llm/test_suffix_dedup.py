@@ -68,3 +68,13 @@ def test_merge_gives_sorted_keys_and_true_prefixes():
 
 def test_empty_table(spark):
     assert s.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_long_texts(spark):
+    rng = random.Random(9)
+    passage = "".join(rng.choices("abcdefgh ", k=900))
+    long = "".join(rng.choices("abcdefghij klmnop", k=60_000))
+    docs = [long[:30_000] + passage + long[30_000:] + passage, "x" * 5000, passage + "end", long[1000:1150]]
+    rows = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    got = {r["doc_id"]: tuple(r)[1:] for r in s.dedup(rows).collect()}
+    assert got == dict(enumerate(brute([t.encode() for t in docs], s.LENGTH)))
