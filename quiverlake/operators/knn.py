@@ -73,16 +73,16 @@ def top_k(ids: np.ndarray, x: np.ndarray, q: np.ndarray, k: int, metric: str) ->
     return query[keep_it], ids[row[keep_it]], dist[keep_it]
 
 
-def query_blocks(queries: DataFrame, qid: str, vec: str, more: list[str] | None = None) -> Iterator[tuple]:
-    """(ids, matrix[, values of further columns]) of the stated queries in blocks of bounded size, in order of their id."""
-    last = None
+def query_blocks(queries: DataFrame, qid: str, vec: str, more: list[str] | None = None, size: int | None = None) -> Iterator[tuple]:
+    """(ids, matrix[, values of further columns]) of the stated queries in blocks of ``size`` (QUERY_BLOCK), in order of their id."""
+    size, last = size or QUERY_BLOCK, None
     while True:
         part = queries.where(F.col(vec).isNotNull()) if last is None else queries.where(F.col(vec).isNotNull() & (F.col(qid) > last))
-        rows = part.orderBy(qid).select(F.col(qid).cast("long"), vec, *(more or [])).limit(QUERY_BLOCK).collect()
+        rows = part.orderBy(qid).select(F.col(qid).cast("long"), vec, *(more or [])).limit(size).collect()
         if not rows:
             return
         yield [r[0] for r in rows], np.array([r[1] for r in rows], np.float64), *([r[2 + i] for r in rows] for i in range(len(more or [])))
-        if len(rows) < QUERY_BLOCK:
+        if len(rows) < size:
             return
         last = rows[-1][0]
 
@@ -122,10 +122,10 @@ def parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 FOUND = "qid long, id long, dist double"
 
 
-def over_blocks(queries: DataFrame, columns: list[str], run) -> DataFrame:
+def over_blocks(queries: DataFrame, columns: list[str], run, size: int | None = None) -> DataFrame:
     """The union of ``run(block)`` over the blocks of the stated queries; a block is their ids, vectors and further columns."""
     out = None
-    for block in query_blocks(queries, "id", "vec", columns):
+    for block in query_blocks(queries, "id", "vec", columns, size):
         some = run(block)
         out = some if out is None else out.unionByName(some)
     return out if out is not None else queries.sparkSession.createDataFrame([], FOUND)

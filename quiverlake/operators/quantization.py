@@ -15,7 +15,8 @@ from . import clusters, knn
 
 CENTRES = 256
 ROTATION_ROUNDS = 20
-#: Queries whose tables one product makes; a task holds the tables of its block of queries.
+#: Queries of a block, whose tables a task holds (32 MB at 16 chunks of 256 codes), and of one product.
+TABLE_BLOCK = 1024
 TABLES_AT_ONCE = 256
 
 
@@ -178,7 +179,7 @@ def knn_pq(codes: DataFrame, queries: DataFrame, book: Codebook, k: int, metric:
 
         return codes.select("id", "codes").mapInArrow(run, knn.FOUND)
 
-    return knn.ranked(knn.over_blocks(queries, [], block), k)
+    return knn.ranked(knn.over_blocks(queries, [], block, TABLE_BLOCK), k)
 
 
 def knn_reranked(points: DataFrame, codes: DataFrame, queries: DataFrame, book: Codebook, k: int, candidates: int) -> DataFrame:
