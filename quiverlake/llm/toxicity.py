@@ -34,12 +34,14 @@ CLASS_BOUND = 3000
 DOCUMENT_BOUND = 20_000
 PREFIXES = (4, 5, 6, 7, 8)
 #: A stem votes if its likelihood-ratio statistic and its ratio of the toxic to the clean share reach these; no further cut is made.
-LEAST_G, LEAST_RATIO = 25.0, 20.0
-#: Patterns that vote beside the stems.
-PATTERNS = 6
+LEAST_G, LEAST_RATIO = 60.0, 20.0
+#: Patterns that vote beside the stems, and which of them stands for two hits or more.
+PATTERNS, TWO_HITS = 6, 1
 #: The share of the rarer stem's documents on which stems of one kind fire together, and the weight of a prior of one half on each rate.
 TOGETHER = 0.15
 SMALL = 0.2
+#: Documents that outweigh the assumption that a voter does not depend on its parent.
+DOUBT = 8.0
 RIDGE = 1e-3
 CUT = 0.7
 
@@ -166,11 +168,13 @@ def label_model(v: np.ndarray, n: np.ndarray | None = None, rounds: int = 30, st
     own = v[:, : stems or m]
     group = kinds_of(own, n) if stems else np.zeros(m, int)
     fired = own.astype(float) @ np.eye(group.max() + 1)[group]
-    used = np.flatnonzero(np.bincount(fired.argmax(axis=1), weights=n * (own.sum(axis=1) >= 2), minlength=fired.shape[1]) >= 3)
+    # to begin with, documents with two hits or more are toxic
+    strong = v[:, stems + TWO_HITS] if stems else own.sum(axis=1) >= 2
+    used = np.flatnonzero(np.bincount(fired.argmax(axis=1), weights=n * strong, minlength=fired.shape[1]) >= 3)
     used = used if len(used) else np.arange(1)
     # the share of each class in each row: clean first, then the kinds
     q = np.zeros((rows, 1 + len(used)))
-    q[np.arange(rows), 1 + fired[:, used].argmax(axis=1)] = np.where(own.sum(axis=1) >= 2, 0.92, 0.02)
+    q[np.arange(rows), 1 + fired[:, used].argmax(axis=1)] = np.where(strong, 0.99, 0.01)
     q[:, 0] = 1 - q[:, 1:].sum(axis=1)
     parent = np.full(m, -1)
     for step in range(rounds):
@@ -181,8 +185,10 @@ def label_model(v: np.ndarray, n: np.ndarray | None = None, rounds: int = 30, st
         log = np.tile(np.log((total + 0.5) / (n.sum() + 1)), (rows, 1))
         for j in range(m):
             up = x[:, parent[j]] if parent[j] >= 0 else np.zeros(rows)
+            alone = (weight.T @ x[:, j] + 0.5 * SMALL) / (total + SMALL)
             for state in (up, 1 - up):
-                rate = (weight.T @ (x[:, j] * state) + 0.5 * SMALL) / (weight.T @ state + SMALL)
+                # little evidence of a correlation is none: else the few toxic documents left in the clean class explain one another
+                rate = (weight.T @ (x[:, j] * state) + DOUBT * alone) / (weight.T @ state + DOUBT)
                 log += state[:, None] * np.where(x[:, j, None] > 0, np.log(rate), np.log1p(-rate))
         new = np.exp(log - log.max(axis=1, keepdims=True))
         new /= new.sum(axis=1, keepdims=True)
@@ -251,8 +257,10 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column) -> tuple[list[str]
     """(stems, weights, cut). ``held_out`` is a condition on doc_id."""
     chosen = common.labelled_sample(labels, "toxic", ~held_out, CLASS_BOUND, 4)
     toxic = sum(y for _, y in chosen)
-    labelled = common.sampled_texts(docs, chosen)
-    stems = mined(labelled, toxic, len(chosen) - toxic) if toxic else []
+    # copies of one text speak once
+    labelled = common.written(common.sampled_texts(docs, chosen).groupBy("text").agg(F.max("label").alias("label")), "toxicity-labelled")
+    sizes = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
+    stems = mined(labelled, sizes.get(1, 0), sizes.get(0, 0)) if toxic else []
     stems += [w + "$" for w in INSULTS if not any(w[:k] in stems for k in range(1, len(w) + 1)) and w + "$" not in stems]
     width = len(stems)
 
