@@ -23,10 +23,12 @@ SLACK = 1.3
 
 
 def distances(x: np.ndarray, q: np.ndarray, metric: str = "l2") -> np.ndarray:
-    """Distances of rows to one vector: squared, negative products, or 1 - cosine (1 where a norm is zero)."""
+    """Distances of rows to one vector: squared, without the vector's own norm (fast_l2), negative products, or 1 - cosine (1 where a norm is zero)."""
     if metric == "l2":
         return ((x - q) ** 2).sum(axis=1)
     products = x @ q
+    if metric == "fast_l2":
+        return (x * x).sum(axis=1) - 2 * products
     if metric == "ip":
         return -products
     norms = np.sqrt((x * x).sum(axis=1) * (q @ q))

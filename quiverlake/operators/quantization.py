@@ -141,6 +141,18 @@ def prepared(points: DataFrame, book: Codebook) -> DataFrame:
     return points.select(F.col("id").cast("long").alias("id"), "vec").mapInArrow(run, "id long, vec array<double>")
 
 
+def restored(points: DataFrame, book: Codebook) -> DataFrame:
+    """(id, vec): what the codes of the vectors stand for."""
+    sent = points.sparkSession.sparkContext.broadcast(book)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in knn.parts_of(batches):
+            x = sent.value.restored(sent.value.encode(knn.matrix(part.column("vec"))))
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(list(x), pa.list_(pa.float64()))], ["id", "vec"])
+
+    return points.select(F.col("id").cast("long").alias("id"), "vec").mapInArrow(run, "id long, vec array<double>")
+
+
 def error(points: DataFrame, book: Codebook) -> float:
     """The mean squared distance of all vectors to what their codes stand for."""
     sent = points.sparkSession.sparkContext.broadcast(book)

@@ -116,11 +116,12 @@ def broken_dense(points: DataFrame, density: int) -> DataFrame:
 
 def build_page_index(
     points: DataFrame, budget_gb: float, chunks: int, least_degree: int, metric: str = "l2", most_points: int = graphs.SHARD_POINTS, width: int = 100, alpha: float = graphs.ALPHA,
-    bits: int = hashing.PLANES, seed: int = 1, rotated: bool = False, coded_build: bool = False,
+    bits: int = hashing.PLANES, seed: int = 1, rotated: bool = False, coded_build: bool = False, page_chunks: int = 0,
 ) -> PageIndex:
     """Plans by the budget, then builds. Raises where the budget is below the least or a page holds no vector.
 
     points: (id, vec[, labels]). ``rotated``: the codebook with a trained rotation. ``coded_build``: the graph is built on decoded codes.
+    ``page_chunks``: pages hold codes of so many bytes instead of vectors, by a plain codebook of their own; distances are then those of the codes.
     """
     ship_code(points.sparkSession)
     labelled = persisted(points.select("id", "labels")) if "labels" in points.columns else None
@@ -137,7 +138,13 @@ def build_page_index(
     book = quantization.fit(points, min(chunks, dim), min(quantization.CENTRES, n), rotated, seed=seed)
     sharded = clusters.sharded_under(points, most_points, 1, seed)
     edges = persisted(graphs.build(sharded, degree, width, alpha, book=book if coded_build else None))
-    paged = persisted(pages.build(sharded, edges, per_page, page_degree))
+    held = sharded
+    if page_chunks:
+        own = quantization.fit(points, min(page_chunks, dim), min(quantization.CENTRES, n), seed=seed)
+        held = sharded.drop("vec").join(quantization.restored(points, own), "id")
+    width_bytes = planner.ID_BYTES + (0 if cached >= 1 else chunks)
+    spare = planner.spare_bytes(dim, 4, page_degree, per_page, chunks, cached)
+    paged = persisted(pages.build(held, edges, per_page, page_degree, None, width_bytes, spare))
     planes = hashing.random_planes(dim, bits, seed)
     kept = points if routed >= 1 else points.where(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 20)) < int(routed * (1 << 20)))
     return PageIndex(

@@ -34,6 +34,12 @@ def page_layout(dim: int, bytes_per_value: int, pq_bytes: int, cached_share: flo
     return more - 1, nodes
 
 
+def spare_bytes(dim: int, bytes_per_value: int, page_degree: int, nodes: int, pq_bytes: int, cached_share: float) -> int:
+    """Bytes of a page that its header, vectors, neighbour ids and the codes of uncached neighbours leave."""
+    cached = int(page_degree * cached_share)
+    return max(0, PAGE_BYTES - HEADER_BYTES - nodes * dim * bytes_per_value - ID_BYTES * page_degree - pq_bytes * (page_degree - cached))
+
+
 def recommended_degree(dim: int, bytes_per_value: int, pq_bytes: int, cached_share: float, least_degree: int) -> int:
     """The graph degree to build with: neighbours a node of the page layout, rounded up from ROUND_UP_FROM on."""
     degree, nodes = page_layout(dim, bytes_per_value, pq_bytes, cached_share, least_degree)

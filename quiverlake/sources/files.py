@@ -143,6 +143,18 @@ def content(spark: SparkSession, path: str) -> bytes:
     return bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
 
 
+def write_blocks(spark: SparkSession, path: str, blocks: list[tuple[np.ndarray, str]]) -> list[int]:
+    """Writes (matrix, kind) blocks one behind the other into one file, as codebooks are; returns their offsets, by which ``parse_bin`` reads them."""
+    offsets, at, out = [], 0, create(spark, path)
+    for x, kind in blocks:
+        body = format_bin(x, kind)
+        out.write(bytearray(body))
+        offsets.append(at)
+        at += len(body)
+    out.close()
+    return offsets
+
+
 def write(points: DataFrame, path: str, layout: str = "bin", kind: str = "float", parts: int = 1) -> None:
     """Writes (id, vec) as files ``part-<n>``, in order of id over all files, through the file system of the path.
 

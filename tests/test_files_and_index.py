@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quiverlake import session
 from quiverlake.index import Parameters, VectorIndex
 from quiverlake.operators import knn
 from quiverlake.sources import files, generators
@@ -138,6 +139,28 @@ def test_graph_and_truth_files(spark, tmp_path):
         files.write_truth(found.limit(3), str(tmp_path / "u"))
 
 
+def test_blocks_of_one_file(spark, tmp_path):
+    blocks = [(np.arange(6).reshape(2, 3), "float"), (np.array([[1, 2]]), "int8")]
+    offsets = files.write_blocks(spark, str(tmp_path / "blocks"), blocks)
+    body = files.content(spark, str(tmp_path / "blocks"))
+    assert offsets == [0, 32] and all((files.parse_bin(body, kind, at) == x).all() for at, (x, kind) in zip(offsets, blocks))
+
+
+def test_shared_folder_is_asked_for_on_a_cluster(spark):
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Session:
+        conf = Conf()
+        sparkContext = type("Context", (), {"master": "spark://host:7077", "applicationId": "a"})()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_dir(Session())
+    Session.sparkContext.master = "local[2]"
+    assert session.shared_dir(Session()) == session.shared_dir(Session())
+
+
 def test_change_stream(spark, tmp_path):
     schema = "id long, op string, vec array<double>, seq long"
     spark.createDataFrame([(1, "insert", [1.0], 1), (2, "insert", [2.0], 2), (1, "delete", None, 3)], schema).write.parquet(str(tmp_path / "in"))

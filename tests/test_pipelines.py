@@ -62,6 +62,17 @@ def test_prepared_vectors_rank_like_the_metric(points, metric):
     assert {r["qid"]: r["id"] for r in got.collect()} == want
 
 
+def test_pages_of_codes_and_cached_neighbours(spark, points):
+    built = pipelines.build_page_index(points, 0.1, 8, 8, width=40, bits=6, page_chunks=16)
+    queries = points.where("id < 20")
+    assert knn.recall(knn.knn(points, queries, 10), built.search(queries, 10, 80), 10).first()[0] >= 80
+    split = pages.split_neighbours(built.pages, points.where("id % 3 = 0")).join(built.pages, ["shard", "page_id"]).collect()
+    assert len(split) == built.pages.count()
+    for r in split:
+        assert r["cached"] == [i for i in r["nbrs"] if i % 3 == 0] and r["uncached"] == [i for i in r["nbrs"] if i % 3]
+    assert pages.hops_for(32, 1000) == 2 and pages.hops_for(8, 1000) == 3 and pages.hops_for(8, 10**9) == 2
+
+
 @pytest.mark.parametrize("metric", ["cosine", "ip"])
 def test_page_search_gives_the_metric(points, metric):
     queries = points.where("id % 30 = 1")

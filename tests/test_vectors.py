@@ -89,6 +89,8 @@ def test_graph_invariants_and_recall(spark):
     queries = base.where("id < 30").select("id", "vec")
     truth = knn.knn(base, queries, 10)
     assert knn.recall(truth, graphs.search(base, edges, queries, 10, 60), 10).first()[0] >= 95
+    fast, plain = (graphs.search(base, edges, queries, 10, 60, metric=m).orderBy("qid", "rank").collect() for m in ("fast_l2", "l2"))
+    assert [(r["qid"], r["id"]) for r in fast] == [(r["qid"], r["id"]) for r in plain]
     labelled = graphs.search(base, edges, queries, 5, 60, keep_label="a")
     assert all(r["id"] % 2 == 0 for r in labelled.collect())
     with pytest.raises(ValueError):
@@ -128,3 +130,9 @@ def test_buckets_and_sampling(spark):
     assert hashing.buckets(h, 255).groupBy("hash").count().agg(F.max("count")).first()[0] == 75
     small = hashing.sampled_buckets(h, 100, least=4)
     assert 100 <= small.count() <= 105 and small.where("hash = 7").count() == 20
+
+
+def test_samples_are_bounded_and_do_not_depend_on_partitions(spark):
+    points = spark.range(5000).select("id", F.array(F.col("id").cast("double"), F.lit(1.0)).alias("vec"))
+    a, b = (clusters.sample_matrix(p, 200) for p in (points.repartition(7), points.coalesce(1)))
+    assert a.shape == (200, 2) and (a == b).all() and len(clusters.sample_matrix(points, 10_000)) == 5000
