@@ -4,6 +4,9 @@ Target: byte n-grams of trusted documents; raw: byte n-grams of all documents. A
 log p_target / p_raw over its n-grams, divided by (n-grams + PRIOR), against one threshold for every document: the QUANTILE of the trusted
 documents' own ratios, so that a document is kept if it is as likely to be of the target as all but a few of those are.
 
+Trusted are all documents that the labels trust, however many: counts and threshold cover each of them. Only bins of ratios, or HELD of
+them at most, reach the driver.
+
 Nulls: a null text is an empty one (no words: it fails the word-count rule). Without trusted documents the base rules decide alone. Rows
 repeat in the result as in the input; a trusted document that is repeated counts as often. Texts are never cut, whatever their length.
 """
@@ -20,6 +23,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .bytekit import BASE, Block, covered, repeated, windows
+from .decontamination import small
 
 #: Fixed values of the contract: the symbols counted, the window width, and the limits of the base rules.
 SYMBOLS = b"#*$%&|<>"
@@ -29,11 +33,13 @@ MOST_REPEATED_PERCENT = 20
 
 GRAM = 3
 BITS = 16
-#: Parameters of the ratio: additive smoothing, the length prior, the threshold's quantile, and the bound on trusted documents.
+#: Parameters of the ratio: additive smoothing, the length prior, the threshold's quantile.
 SMOOTHING = 1.0
 PRIOR = 30.0
 QUANTILE = 0.005
-TRUSTED_BOUND = 20_000
+#: Bins of one step of the search for the threshold, and ratios that the driver may sort.
+BINS = 4096
+HELD = 10_000
 
 _IS_SYMBOL = np.zeros(256, bool)
 _IS_SYMBOL[list(SYMBOLS)] = True
@@ -42,7 +48,7 @@ _NO_CONTINUATION = (np.arange(256) & 0xC0) != 0x80
 OUT = pa.schema(
     [("doc_id", pa.int64())]
     + [(c, pa.int64()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-    + [("base_failed", pa.bool_()), ("kept", pa.bool_()), ("n_grams", pa.int64()), ("ratio", pa.float64())]
+    + [("base_failed", pa.bool_()), ("n_grams", pa.int64()), ("ratio", pa.float64())]
 )
 
 
@@ -119,23 +125,25 @@ def scores(block: Block, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return n, np.bincount(doc, weights=weights[bucket], minlength=block.n) / (n + PRIOR)
 
 
-def threshold_of(trusted: DataFrame, weights: Broadcast, quantile: float) -> float:
-    """The quantile of the ratios of the trusted documents, a bounded number, that have enough words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.blocks(batches):
-            block = Block(batch.column("text"))
-            enough = np.bincount(block.document_of(block.words()[0]), minlength=block.n) >= LEAST_WORDS
-            yield pa.RecordBatch.from_arrays([pa.array(scores(block, weights.value)[1][enough])], ["ratio"])
-
-    found = [r[0] for r in trusted.select("text").mapInArrow(run, "ratio double").collect()]
-    return float(np.quantile(found, quantile, method="lower")) if found else -np.inf
+def lower_quantile(values: DataFrame, quantile: float) -> float:
+    """The value of rank floor(quantile * (n - 1)) of the one column, exactly: bins are counted until few enough values are left to be sorted."""
+    x = F.col(values.columns[0])
+    n, lo, hi = values.agg(F.count(x), F.min(x), F.max(x)).first()
+    if not n:
+        return -np.inf
+    rank = int(quantile * (n - 1))
+    while n > HELD and lo < hi:
+        found = values.groupBy(F.floor((x - F.lit(lo)) / F.lit(hi - lo) * F.lit(BINS)).alias("bin")).agg(F.count(x), F.min(x), F.max(x)).collect()
+        for _, n, lo, hi in sorted(found):
+            if rank < n:
+                break
+            rank -= n
+        values = values.where(x.between(F.lit(lo), F.lit(hi)))
+    return lo if lo == hi else sorted(r[0] for r in values.collect())[rank]
 
 
-def judge(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, the base columns, base_failed, kept, n_grams, ratio. ``trusted``: texts of the target, a bounded sample."""
-    weights = docs.sparkSession.sparkContext.broadcast(ratios(gram_counts(trusted), gram_counts(docs)))
-    threshold = threshold_of(trusted, weights, quantile)
+def scored(docs: DataFrame, weights: Broadcast) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, the base columns, base_failed, n_grams, ratio."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.blocks(batches):
@@ -143,16 +151,33 @@ def judge(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE) -> Da
             base = base_columns(block)
             n, ratio = scores(block, weights.value)
             failed = (base["n_words"] < LEAST_WORDS) | (100 * base["n_repeat_words"] > MOST_REPEATED_PERCENT * base["n_words"])
-            yield common.record(OUT, doc_id=batch.column("doc_id"), **base, base_failed=failed, kept=~failed & (ratio >= threshold), n_grams=n, ratio=ratio)
+            yield common.record(OUT, doc_id=batch.column("doc_id"), **base, base_failed=failed, n_grams=n, ratio=ratio)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        score, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_grams long, ratio double"
+        score, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, n_grams long, ratio double"
     )
 
 
+def judge(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, ids: DataFrame | None = None) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, the base columns, base_failed, kept, n_grams, ratio. ``trusted``: all texts of the target.
+
+    ``ids``: a column doc_id, if ``trusted`` are the rows of ``docs`` that have those; their ratios are then not computed a second time.
+    """
+    weights = docs.sparkSession.sparkContext.broadcast(ratios(gram_counts(trusted), gram_counts(docs)))
+    rows = common.written(scored(docs, weights), "quality-ratios")
+    if ids is None:
+        own = common.written(scored(trusted.select(F.lit(None).cast("long").alias("doc_id"), "text"), weights), "trusted-ratios")
+    else:
+        own = rows.join(small(ids), "doc_id", "left_semi")
+    # documents of too few words say nothing of the target's ratios
+    threshold = lower_quantile(common.written(own.where(F.col("n_words") >= LEAST_WORDS).select("ratio"), "target-ratios"), quantile)
+    kept = ~F.col("base_failed") & (F.col("ratio") >= F.lit(float(threshold)))
+    return rows.select(*rows.columns[:7], kept.alias("kept"), "n_grams", "ratio")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document; trusted are at most TRUSTED_BOUND documents whose label says quality 1."""
+    """Every document; trusted are all documents whose label says quality 1."""
     docs = common.table(spark, sf_dir, "documents")
-    good = common.table(spark, sf_dir, "labels").where("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    sample = [(int(r[0]), 1) for r in common.bounded_rows(good, "doc_id", TRUSTED_BOUND, 5).collect()]
-    return judge(docs, common.sampled_texts(docs, sample))
+    good = common.table(spark, sf_dir, "labels").where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    owner = small(good.withColumnRenamed("doc_id", "owner"))
+    return judge(docs, docs.join(owner, F.col("doc_id").cast("long") == F.col("owner"), "left_semi").select("text"), ids=good)

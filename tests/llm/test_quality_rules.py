@@ -79,3 +79,33 @@ def test_ratio_and_verdict_against_plain_counts(spark, monkeypatch):
     least = trusted[math.floor(0.1 * (len(trusted) - 1))]
     assert all(r["kept"] == (not r["base_failed"] and r["ratio"] >= least - 1e-12) for r in got.values())
     assert q.judge(docs, docs.limit(0)).where("kept = base_failed").count() == 0
+
+
+def test_every_trusted_document_counts(spark, tmp_path):
+    # more labelled documents than any sample of 20,000 holds
+    words = "transform(sequence(1, 10 + id % 7), i -> substr(sha2(concat(id, '-', i), 256), 1, 1 + cast(id % 5 as int)))"
+    docs = spark.range(20_600).selectExpr("id as doc_id", f"array_join({words}, ' ') as text")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    docs.selectExpr("doc_id", "if(doc_id % 100 = 99, 0, 1) as quality", "0 as toxic").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+
+    def counts(some):
+        return np.bincount(np.concatenate([q.grams(Block(pa.array(some[i : i + 4000])))[1] for i in range(0, len(some), 4000)]), minlength=1 << q.BITS)
+
+    weights = q.ratios(counts([t for i, t in texts.items() if i % 100 != 99]), counts(list(texts.values())))
+    ratio = {i: q.scores(Block(pa.array([t])), weights)[1][0] for i, t in texts.items()}
+    least = np.quantile([r for i, r in ratio.items() if i % 100 != 99], q.QUANTILE, method="lower")
+    got = {r["doc_id"]: r for r in q.query(spark, str(tmp_path)).collect()}
+    assert len(got) == len(texts) and all(abs(got[i]["ratio"] - r) < 1e-12 for i, r in ratio.items())
+    assert all(r["kept"] == (not r["base_failed"] and r["ratio"] >= least - 1e-12) for r in got.values())
+
+
+def test_quantile_by_bins(spark, monkeypatch):
+    monkeypatch.setattr(q, "HELD", 20)
+    rng = np.random.default_rng(4)
+    for x in (rng.normal(size=1500), np.round(rng.normal(size=900), 1), np.full(300, -0.25), np.array([1e-300, -5.0] * 40), np.array([2.5])):
+        table = spark.createDataFrame([(float(v),) for v in x], "ratio double")
+        for level in (0.0, 0.005, 0.5, 1.0):
+            assert q.lower_quantile(table, level) == np.quantile(x, level, method="lower")
+    assert q.lower_quantile(table.limit(0), 0.5) == -np.inf
