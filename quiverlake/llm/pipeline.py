@@ -12,32 +12,41 @@ from quiverlake.session import ship_code
 
 from . import common, decontamination, near_copies, pieces, pii, toxicity
 
+#: Bytes of rows that go to a Python worker at once; Spark's own 64 MB are held by the JVM and by the worker, for each of an executor's cores.
+BATCH_BYTES = 4 << 20
+
+
+def ready(spark: SparkSession) -> SparkSession:
+    """``spark`` with this package at its workers and batches of bounded size; rows that are larger go alone."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return ship_code(spark)
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity operator does not reject."""
-    return toxicity.without_toxic(docs, common.table(ship_code(spark), sf_dir, "labels"), common.fold("doc_id", 3, 1))
+    return toxicity.without_toxic(docs, common.table(ready(spark), sf_dir, "labels"), common.fold("doc_id", 3, 1))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of texts linked by a Jaccard similarity of 0.8 or more of their five-word shingles, the one of the smallest doc_id."""
-    ship_code(spark)
+    ready(spark)
     return near_copies.without_copies(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    return decontamination.clean(docs, common.table(spark, sf_dir, "benchmark"))
+    return decontamination.clean(docs, common.table(ready(spark), sf_dir, "benchmark"))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data replaced by the name of its kind."""
-    ship_code(spark)
+    ready(spark)
     return pii.redact(docs)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, pieces and the round trip of every document."""
-    ship_code(spark)
+    ready(spark)
     return pieces.encode(docs)
 
 
@@ -55,7 +64,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over the whole documents table."""
-    docs = common.table(ship_code(spark), sf_dir, "documents")
+    docs = common.table(ready(spark), sf_dir, "documents")
     for name, stage in STAGES:
         docs = common.written(stage(spark, docs, sf_dir), f"stage-{name}")
     return docs

@@ -1,10 +1,11 @@
 import re
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from quiverlake.llm import common, pieces, toxicity
+from quiverlake.llm import common, pieces, pipeline, toxicity
 
 from test_decontamination import plain_windows
 
@@ -61,3 +62,14 @@ def test_run_takes_empty_tables(spark, tmp_path):
     for t in ("documents", "labels", "benchmark"):
         spark.read.parquet(str(DATA / f"{t}.parquet")).limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_bound_the_rows_of_a_batch(spark):
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    try:
+        docs = spark.range(0, 60, 1, 1).selectExpr("id as doc_id", "repeat(concat(id, ' and '), 40000) as text")
+        pipeline.redact_personal_data(spark, docs, "")
+        sizes = docs.select("text").mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches), "n long").collect()
+        assert len(sizes) > 2 and max(r["n"] for r in sizes) < 1.2 * pipeline.BATCH_BYTES
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", before)
