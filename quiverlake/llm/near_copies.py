@@ -1,10 +1,12 @@
 """Near-copies for the pipeline: texts whose sets of five-word shingles have a Jaccard similarity of SIMILARITY or more, joined into components.
 
-Candidates come from MinHash: BANDS keys of ROWS minima each, so a pair at similarity 0.8 shares no key with probability
-(1 - 0.8 ** ROWS) ** BANDS, below 3 in 100,000. Texts of a key are linked if AGREE of all minima agree (one byte each; 4.5 standard
-deviations below the mean at 0.8). Only texts in a component of these links are read again, and all pairs of a component that are not
-connected yet are compared by their whole shingle sets: what stays linked is exact. Radii that reach 0.8 are too wide for block keys of
-64-bit fingerprints (pairs at 0.8 differ in about 10 bits, some in 20), so op8's search cannot find these pairs.
+The method is op8's in a wider form: SimHash fingerprints of the whole texts, here of WORDS words and of the distinct five-word shingles, held
+as vertical bit planes, compared by carry-save counters with blocks abandoned beyond RADIUS, joined by stars. A pair at 0.8 differs in 0.15
+of the bits on average (0.19 in sets of four and five shingles), and is beyond RADIUS with probability below 2 in 10,000 for those and 1 in a million
+for others. Choices of agreeing blocks cannot serve as keys at such a radius, so the fingerprints that are compared with each other are those that share
+one of BANDS keys of ROWS shingle minima; a pair at 0.8 shares none with probability (1 - 0.8 ** ROWS) ** BANDS, below 3 in 100,000. An exact check
+follows: the texts of a component of these links are read again, and all pairs of a component that are not connected yet are compared by
+their whole shingle sets, so what stays linked is exact.
 
 A key or component with more texts than a task's share is split into parts, and each pair of parts is a task of its own.
 
@@ -26,21 +28,22 @@ from pyspark.sql import types as T
 from . import common
 from .bytekit import BASE, Block, mix, windows
 from .decontamination import small
-from .simhash import components, local_pairs, stars
+from .simhash import components, majority, pair_blocks, stars
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 20, 4
-AGREE = 48
+WORDS, RADIUS = 4, 72
 #: Texts of a key, and of a component, that one task compares with each other; rows held at once.
 SKETCHES, SETS = 4096, 512
 HELD_BYTES = 1 << 24
-#: Groups up to this size are compared pair by pair, all groups of a batch at once.
-FEW = 32
+#: Words of 64 lanes compared at once.
+AT_ONCE = 1 << 13
 
 _draws = np.random.default_rng(5)
 FLIP = _draws.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
 FACTOR = _draws.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
+DRAW = _draws.integers(0, 2**63, WORDS, dtype=np.uint64)
 
 
 def shingles(block: Block) -> tuple[np.ndarray, np.ndarray]:
@@ -78,8 +81,13 @@ def set_hashes(owner: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def sketched(docs: DataFrame) -> DataFrame:
-    """(doc_id, set, sketch, keys) of every row: the hash of its set, a byte of each minimum, and the keys of its bands."""
+def fingerprints(owner: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
+    """The fingerprint of each document's set of shingles, a row of WORDS words."""
+    return np.stack([majority(owner, mix(h ^ d), n) for d in DRAW], axis=1)
+
+
+def fingerprinted(docs: DataFrame) -> DataFrame:
+    """(doc_id, set, print, keys) of every row: the hash of its set, its fingerprint (none of an empty set), and the keys of its bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.blocks(batches):
@@ -94,15 +102,14 @@ def sketched(docs: DataFrame) -> DataFrame:
                 key = key * BASE + least[:, i::ROWS]
             filled = np.zeros(block.n, np.int64)
             filled[owner[edge]] = 1
-            byte = (mix(least) & np.uint64(255)).astype(np.uint8)
-            rows = iter(byte)
-            sketch = pa.array([next(rows).tobytes() if f else b"" for f in filled.tolist()], pa.binary())
+            prints = fingerprints(owner, h, block.n)
+            prints = pa.array([x.tobytes() if f else b"" for x, f in zip(prints, filled.tolist(), strict=True)], pa.binary())
             offsets = pa.array(np.concatenate(([0], np.cumsum(filled * BANDS))), pa.int32())
             keys = pa.ListArray.from_arrays(offsets, pa.array(mix(key).reshape(-1).view(np.int64)))
             found = pa.array(set_hashes(owner, h, block.n).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), found, sketch, keys], ["doc_id", "set", "sketch", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), found, prints, keys], ["doc_id", "set", "print", "keys"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, set long, sketch binary, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, set long, print binary, keys array<long>")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -136,23 +143,17 @@ def reached(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> tuple[np.n
     return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
 
 
-def alike_sketches(body: list[bytes], edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links between the sketches of each group that agree in AGREE places."""
-    x = np.frombuffer(b"".join(body), np.uint8).reshape(len(body), -1)
-    size = np.diff(np.append(edge, len(body)))
-    a, b = [], []
-    few = np.flatnonzero(np.repeat(size <= FEW, size))
-    for i, j in local_pairs(size[size <= FEW]):
-        i, j = few[i], few[j]
-        near = (x[i] == x[j]).sum(axis=1) >= AGREE
-        a.append(i[near])
-        b.append(j[near])
-    for at, n in zip(edge[size > FEW].tolist(), size[size > FEW].tolist(), strict=True):
-        part = x[at : at + n]
-        i, j = reached(n, lambda i, others, part=part: (part[others] == part[i]).sum(axis=1) >= AGREE)
-        a.append(at + i)
-        b.append(at + j)
-    return tuple(np.concatenate(c) if c else np.zeros(0, np.int64) for c in (a, b))
+def alike_prints(body: list[bytes], edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links between the fingerprints of each group that span all pairs within RADIUS."""
+    fp = np.frombuffer(b"".join(body), np.uint64).reshape(len(body), WORDS)
+    own = np.arange(len(fp))
+    size = np.diff(np.append(edge, len(fp)))
+    a = b = np.zeros(0, np.int64)
+    for i, j in pair_blocks(fp, own + 1, np.repeat(edge + size, size), RADIUS, AT_ONCE):
+        label = stars(own, np.concatenate((a, i)), np.concatenate((b, j)))
+        a = np.flatnonzero(label < own)
+        b = label[a]
+    return a, b
 
 
 def alike_sets(body: list[bytes], edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -215,14 +216,14 @@ def links(members: DataFrame, group: int, alike: Callable[[list[bytes], np.ndarr
 
 
 def kept(table: DataFrame, docs: DataFrame) -> DataFrame:
-    """(doc_id, set) of the row that stays of each component; ``table``: the sketches of ``docs``."""
-    sets = table.groupBy("set").agg(F.min("doc_id").alias("rep"), F.any_value("sketch").alias("body"), F.any_value("keys").alias("keys"))
+    """(doc_id, set) of the row that stays of each component; ``table``: the fingerprints of ``docs``."""
+    sets = table.groupBy("set").agg(F.min("doc_id").alias("rep"), F.any_value("print").alias("body"), F.any_value("keys").alias("keys"))
     sets = common.written(sets, "sets")
 
     keyed = sets.select("set", F.explode("keys").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = keyed.join(sizes, "key").join(sets.select("set", "body"), "set")
-    near = components(links(shared, SKETCHES, alike_sketches))
+    near = components(links(shared, SKETCHES, alike_prints))
     near = near.unionByName(near.select(F.col("root").alias("node"), "root")).distinct()
     near = common.written(near.select(F.col("node").alias("set"), F.col("root").alias("key")), "candidates")
 
@@ -257,7 +258,7 @@ def without_copies(docs: DataFrame) -> DataFrame:
 
     A doc_id that one row has decides by itself. The rows of other ids, and those without, are told apart by their sets.
     """
-    table = common.written(sketched(docs), "sketches")
+    table = common.written(fingerprinted(docs), "prints")
     chosen = common.written(kept(table, docs), "kept")
     counts = table.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     single = counts.where("n = 1 and doc_id is not null").select("doc_id")

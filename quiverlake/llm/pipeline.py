@@ -28,7 +28,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts linked by a Jaccard similarity of 0.8 or more of their five-word shingles, the one of the smallest doc_id."""
+    """One document of each group of near-copies, the one of the smallest doc_id: SimHash fingerprints of five-word shingles compared as bit planes,
+    then the exact check for a Jaccard similarity of 0.8 or more."""
     ready(spark)
     return near_copies.without_copies(docs)
 

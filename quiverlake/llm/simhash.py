@@ -39,12 +39,30 @@ STRIDE = 9
 HOT_KEYS = 10_000
 
 
+#: The bits of a byte as eight bytes, so that one addition counts eight bits; a byte counts to 255.
+SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).reshape(256)
+MOST_COUNTED = 255
+
+
+def majority(owner: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
+    """For each of ``n`` documents the bits that over half of its hashes have set; the hashes of an owner follow each other."""
+    out = np.zeros(n, np.uint64)
+    if not len(h):
+        return out
+    edge = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+    size = np.diff(np.append(edge, len(h)))
+    piece = np.flatnonzero((np.arange(len(h)) - np.repeat(edge, size)) % MOST_COUNTED == 0)
+    counted = np.add.reduceat(SPREAD[h.astype("<u8").view(np.uint8).reshape(-1, 8)], piece, axis=0).view(np.uint8)
+    ones = np.add.reduceat(counted, np.searchsorted(piece, edge), axis=0, dtype=np.int64)
+    out[owner[edge]] = np.packbits(2 * ones > size[:, None], axis=1, bitorder="little").view("<u8").reshape(-1)
+    return out
+
+
 def fingerprints(block: Block) -> np.ndarray:
     """The fingerprint of each document of a lower-cased block."""
     start, end = block.words()
-    out = np.zeros(block.n, np.uint64)
     if not len(start):
-        return out
+        return np.zeros(block.n, np.uint64)
     doc = block.document_of(start)
     kept = np.zeros(len(block.data), bool)
     inside = np.zeros(len(block.data) + 1, np.int8)
@@ -62,12 +80,7 @@ def fingerprints(block: Block) -> np.ndarray:
     first = np.flatnonzero((last - np.arange(len(start)) == SHINGLE - 1) | ((size[doc] < SHINGLE) & (np.arange(len(start)) == head[doc])))
     digest = xxhash.xxh64_intdigest
     h = np.fromiter((digest(text[a:b], SEED) for a, b in zip(place[start[first]].tolist(), place[end[last[first]]].tolist(), strict=True)), np.uint64, len(first))
-    owner = doc[first]
-    edge = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
-    ones = np.add.reduceat(np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1), edge, axis=0, dtype=np.int32)
-    n = np.diff(np.append(edge, len(owner)))
-    out[owner[edge]] = np.packbits(2 * ones > n[:, None], axis=1).reshape(-1).view(">u8").astype(np.uint64)
-    return out
+    return majority(doc[first], h, block.n)
 
 
 def fingerprinted(docs: DataFrame) -> DataFrame:
@@ -106,60 +119,71 @@ def lanes(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
 
 
 def near_lanes(vertical: np.ndarray, word: np.ndarray, own: np.ndarray, wanted: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """For each comparison k the lanes of ``wanted[k]`` in which word ``word[k]`` of the planes differs from ``own[k]`` in at most ``radius`` (0 to 6) bits."""
+    """For each comparison k the lanes of ``wanted[k]`` in which word ``word[k]`` of the planes differs from ``own[k]`` in at most ``radius`` bits.
+
+    ``own[k]`` is a fingerprint: one word, or as many as there are squares of 64 planes.
+    """
+    bits = len(vertical)
+    own = np.ascontiguousarray(own.reshape(len(word), bits // 64).T)
     result = np.zeros(len(word), np.uint64)
     alive = np.flatnonzero(wanted)
-    low, mid, high, over = (np.zeros(len(alive), np.uint64) for _ in range(4))
+    count = [np.zeros(len(alive), np.uint64) for _ in range(max(3, radius.bit_length()))]
+    over = np.zeros(len(alive), np.uint64)
     near = wanted[alive]
-    for at in range(0, 64, STRIDE):
-        w, mine = word[alive], own[alive]
-        for p in range(at, min(at + STRIDE, 64), 3):
+    stride = STRIDE * len(own)
+    for at in range(0, bits, stride):
+        w, mine = word[alive], own[:, alive]
+        for p in range(at, min(at + stride, bits), 3):
             # a plane is inverted where the own bit is set: 0 - 1 has all bits
-            x, y, z = (vertical[q][w] ^ (np.uint64(0) - (mine >> np.uint64(63 - q) & np.uint64(1))) if q < 64 else np.uint64(0) for q in (p, p + 1, p + 2))
+            x, y, z = (vertical[q][w] ^ (np.uint64(0) - (mine[q // 64] >> np.uint64(63 - q % 64) & np.uint64(1))) if q < bits else np.uint64(0) for q in (p, p + 1, p + 2))
             half = x ^ y
             one, two = half ^ z, (x & y) | (half & z)
-            carry = low & one
-            low ^= one
-            twice = mid ^ two
-            four = (mid & two) | (twice & carry)
-            mid = twice ^ carry
-            over |= high & four
-            high ^= four
-        bits = [low, mid, high]
+            carry = count[0] & one
+            count[0] ^= one
+            twice = count[1] ^ two
+            up = (count[1] & two) | (twice & carry)
+            count[1] = twice ^ carry
+            for k in range(2, len(count)):
+                count[k], up = count[k] ^ up, count[k] & up
+            over |= up
         above, equal = over.copy(), ~over
-        for k in (2, 1, 0):
+        for k in reversed(range(len(count))):
             limit = ALL if radius >> k & 1 else np.uint64(0)
-            above |= equal & bits[k] & ~limit
-            equal &= ~(bits[k] ^ limit)
+            above |= equal & count[k] & ~limit
+            equal &= ~(count[k] ^ limit)
         near = near & ~above
         going = np.flatnonzero(near)
         if len(going) < len(alive):
-            alive, low, mid, high, over, near = alive[going], low[going], mid[going], high[going], over[going], near[going]
+            alive, over, near = alive[going], over[going], near[going]
+            count = [c[going] for c in count]
         if not len(alive):
             return result
     result[alive] = near
     return result
 
 
-def near_pairs(fp: np.ndarray, begin: np.ndarray, stop: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (i, j) with begin[i] <= j < stop[i] whose fingerprints differ in at most ``radius`` bits."""
-    vertical = planes(fp)
+def pair_blocks(fp: np.ndarray, begin: np.ndarray, stop: np.ndarray, radius: int = RADIUS, at_once: int = PAIRS_AT_ONCE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (i, j) with begin[i] <= j < stop[i] whose fingerprints, rows of one or more words, differ in at most ``radius`` bits; in blocks."""
+    vertical = np.concatenate([planes(x) for x in fp.reshape(len(fp), -1).T])
     first = begin // 64
     n = np.where(stop > begin, (stop - 1) // 64 - first + 1, 0)
     at = np.concatenate(([0], np.cumsum(n)))
-    a, b = [], []
     lo = 0
     while lo < len(fp):
-        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + PAIRS_AT_ONCE, side="right")) - 1)
+        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + at_once, side="right")) - 1)
         i = np.repeat(np.arange(lo, hi), n[lo:hi])
         word = first[i] + np.arange(len(i)) - np.repeat(at[lo:hi] - at[lo], n[lo:hi])
         near = near_lanes(vertical, word, fp[i], lanes(begin[i] - 64 * word, stop[i] - 64 * word), radius)
         hit = np.flatnonzero(near)
         k, lane = np.nonzero(np.unpackbits(near[hit].astype(">u8").view(np.uint8)).reshape(-1, 64))
-        a.append(i[hit][k])
-        b.append(64 * word[hit][k] + lane)
+        yield i[hit][k], 64 * word[hit][k] + lane
         lo = hi
-    return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+
+
+def near_pairs(fp: np.ndarray, begin: np.ndarray, stop: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of ``pair_blocks``."""
+    found = list(pair_blocks(fp, begin, stop, radius)) if len(fp) else []
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
 def stars(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -175,19 +199,6 @@ def stars(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def local_pairs(size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs i < j inside consecutive groups of the given sizes, in blocks of bounded size."""
-    stop = np.repeat(np.cumsum(size), size)
-    n = stop - np.arange(len(stop)) - 1
-    at = np.concatenate(([0], np.cumsum(n)))
-    lo = 0
-    while lo < len(n):
-        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + PAIRS_AT_ONCE, side="right")) - 1)
-        i = np.repeat(np.arange(lo, hi), n[lo:hi])
-        yield i, i + 1 + np.arange(len(i)) - np.repeat(at[lo:hi] - at[lo], n[lo:hi])
-        lo = hi
-
-
 def linked(batches: Iterator[pa.RecordBatch], radius: int = RADIUS) -> Iterator[pa.RecordBatch]:
     """Rows (key, lo, hi, part, fp) sorted by key, lo, hi, part -> star links (u, v), v < u, of each group's components."""
 
