@@ -37,7 +37,7 @@ MARK = "▁"
 #: Weight (logarithm) of a character that only byte pieces can write.
 BYTES_WEIGHT = -7.0
 #: Text bytes of a block: all arrays of the filtering are some multiples of it.
-BLOCK_BYTES = 1 << 19
+BLOCK_BYTES = 1 << 18
 #: Code points with a row and column in the table of neighbours; beyond it, neighbours are looked up in a sorted list.
 TABLE = 1024
 
