@@ -37,7 +37,7 @@ MARK = "▁"
 #: Weight (logarithm) of a character that only byte pieces can write.
 BYTES_WEIGHT = -7.0
 #: Text bytes of a block: all arrays of the filtering are some multiples of it.
-BLOCK_BYTES = 1 << 18
+BLOCK_BYTES = 1 << 19
 #: Code points with a row and column in the table of neighbours; beyond it, neighbours are looked up in a sorted list.
 TABLE = 1024
 
@@ -251,13 +251,13 @@ def shared(model: bytes, sharpness: float) -> Pieces:
     return _made[key]
 
 
-def encode(docs: DataFrame, model: bytes | None = None, seed: int = SEED, sharpness: float = SHARPNESS) -> DataFrame:
-    """doc_id, n_pieces, pieces, decoded_sha256 and lossless of every row of ``docs``."""
+def encode(docs: DataFrame, model: bytes | None = None, seed: int = SEED, sharpness: float = SHARPNESS, most: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, n_pieces, pieces, decoded_sha256 and lossless of every row of ``docs``; ``most``: text bytes of a block, which change no result."""
     shipped = docs.sparkSession.sparkContext.broadcast(model or load())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = shared(shipped.value, sharpness)
-        for batch in common.blocks(batches, most=BLOCK_BYTES):
+        for batch in common.blocks(batches, most=most):
             none = batch.column("text").is_null()
             texts = pc.fill_null(batch.column("text"), "").to_pylist()
             ids, sizes = pieces.encode_all(texts, [k or 0 for k in batch.column("doc_id").to_pylist()], seed)

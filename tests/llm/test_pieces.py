@@ -83,3 +83,8 @@ def test_rows_are_reproducible_and_lossless(spark):
     drawn = [(r["doc_id"], str(r["pieces"])) for r in p.encode(long).collect()]
     assert len(set(drawn)) == 2 and len({x for _, x in drawn}) == 2
     assert p.encode(docs.limit(0)).count() == 0
+
+
+def test_block_bytes_change_no_result(spark):
+    docs = spark.createDataFrame([(i, f"text {i} of a block, é漢 " * (1 + i % 9)) for i in range(50)] + [(60, None), (61, "")], "doc_id long, text string")
+    assert sorted(map(str, p.encode(docs, most=100).collect())) == sorted(map(str, p.encode(docs).collect()))
