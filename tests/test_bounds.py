@@ -5,7 +5,7 @@ import tracemalloc
 import numpy as np
 import pytest
 
-from quiverlake.operators import knn
+from quiverlake.operators import graphs, knn
 
 
 def peak_mb(run) -> float:
@@ -48,3 +48,31 @@ def test_batches_give_the_best_of_all_pairs(metric, kind):
     order = np.array([np.lexsort((ids, row))[:6] for row in every])
     assert (query == np.repeat(np.arange(300), 6)).all() and (found == ids[order].ravel()).all()
     assert np.array_equal(dist, np.take_along_axis(every, order, 1).ravel(), equal_nan=True)
+
+
+@pytest.mark.parametrize("block", [40, 4096])
+def test_neighbour_graph_moves_blocks_and_equals_plain_code(spark, block):
+    rng = np.random.default_rng(1)
+    x = np.round(rng.standard_normal((500, 4)), 1)
+    points = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(900, None)], "id long, vec array<double>")
+    graph = graphs.knn_graph(points, 5, block)
+    # each point used to be a row of every pair of blocks
+    assert "FlatMapGroupsInPandas" not in graph._jdf.queryExecution().toString()
+    every = [knn.exact("l2", x, np.broadcast_to(v, x.shape)) for v in x]
+    want = [(i, n + 1, j, float(every[i][j])) for i in range(500) for n, j in enumerate([int(j) for j in np.lexsort((np.arange(500), every[i])) if j != i][:5])]
+    assert sorted(map(tuple, graph.collect())) == want
+
+
+def test_two_blocks_meet_once_in_bounded_memory():
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((4096, 64))
+    ids = np.arange(4096)
+
+    def run():
+        one, other = knn.Best(2048, 5), knn.Best(2048, 5)
+        one.meet(ids[:2048], knn.Rows(x[:2048], "l2", True), ids[2048:], knn.Rows(x[2048:], "l2"), other, False)
+        for best, at, rest in ((one, 0, 2048), (other, 2048, 0)):
+            query, found, _ = knn.top_k(ids[rest : rest + 2048], x[rest : rest + 2048], x[at : at + 2048], 5, "l2")
+            assert (best.merged()[0] == query).all() and (best.merged()[1] == found).all()
+
+    assert peak_mb(run) < 120
