@@ -5,7 +5,7 @@ import tracemalloc
 import numpy as np
 import pytest
 
-from quiverlake.operators import graphs, knn
+from quiverlake.operators import graphs, hashing, knn
 
 
 def peak_mb(run) -> float:
@@ -76,3 +76,14 @@ def test_two_blocks_meet_once_in_bounded_memory():
             assert (best.merged()[0] == query).all() and (best.merged()[1] == found).all()
 
     assert peak_mb(run) < 120
+
+
+def test_probe_gives_each_pair_once_without_grouping_pairs(spark, monkeypatch):
+    monkeypatch.setattr(hashing, "PROBE_PART", 5)
+    rng = np.random.default_rng(4)
+    table = [(int(h), i) for i in range(60) for h in rng.integers(0, 16, 1 + i % 3)] + [(16 + 3, 99)]
+    queries = [(q, int(h)) for q in range(12) for h in rng.integers(0, 16, 1 + q % 2)]
+    found = hashing.probe(spark.createDataFrame(table, "hash long, id long"), spark.createDataFrame(queries, "qid long, hash long"), 4, 1)
+    want = {(q, i) for q, own in queries for h, i in table if own == h or (own ^ h) in (1, 2, 4, 8)}
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
