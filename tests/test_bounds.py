@@ -5,7 +5,7 @@ import tracemalloc
 import numpy as np
 import pytest
 
-from quiverlake.operators import graphs, hashing, knn
+from quiverlake.operators import clusters, graphs, hashing, knn
 
 
 def peak_mb(run) -> float:
@@ -87,3 +87,25 @@ def test_probe_gives_each_pair_once_without_grouping_pairs(spark, monkeypatch):
     want = {(q, i) for q, own in queries for h, i in table if own == h or (own ^ h) in (1, 2, 4, 8)}
     assert sorted(map(tuple, found.collect())) == sorted(want)
     assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("metric", ["l2", "ip", "cosine"])
+@pytest.mark.parametrize("whole", [False, True])
+def test_searches_of_many_queries_equal_single_ones(metric, whole):
+    rng = np.random.default_rng(6)
+    x, q = rng.standard_normal((300, 4)), rng.standard_normal((40, 4))
+    if whole:
+        x, q = np.round(2 * x), np.round(2 * q)
+    nbrs, start = graphs.build_local(x, 8, 20, metric=metric)
+    for wanted in (None, np.arange(300) % 3 == 1, np.arange(300) % 60 == 1):
+        nodes, dist, hops = graphs.greedy_search_many(x, graphs.neighbour_table(nbrs), [start, 3], q, 25, metric, wanted)
+        for at, v in enumerate(q):
+            found, want, _, expanded = graphs.greedy_search(x, nbrs, [start, 3], v, 25, None, metric, wanted)
+            free = dist[at] == np.inf
+            assert nodes[at][~free].tolist() == found and hops[at] == expanded
+            assert np.allclose(dist[at][~free], want, rtol=1e-12, atol=1e-12)
+
+
+def test_clustering_holds_no_matrix_of_all_distances():
+    x = np.random.default_rng(8).standard_normal((30_000, 8))
+    assert peak_mb(lambda: clusters.kmeans(x, 300, 2)) < 40
