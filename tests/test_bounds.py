@@ -109,3 +109,13 @@ def test_searches_of_many_queries_equal_single_ones(metric, whole):
 def test_clustering_holds_no_matrix_of_all_distances():
     x = np.random.default_rng(8).standard_normal((30_000, 8))
     assert peak_mb(lambda: clusters.kmeans(x, 300, 2)) < 40
+
+
+def test_pruning_makes_no_pandas_group_of_each_node(spark):
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((60, 4))
+    lists = [sorted(rng.choice([j for j in range(60) if j != i], 9, replace=False).tolist()) for i in range(60)]
+    points = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, vec array<double>")
+    out = graphs.pruned(spark.createDataFrame(list(enumerate(lists)), "src long, nbrs array<long>"), points, 4)
+    assert {r["src"]: r["nbrs"] for r in out.collect()} == {i: graphs.robust_prune(x, i, row, 4) for i, row in enumerate(lists)}
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().toString()
